@@ -96,6 +96,12 @@ BINDINGS: dict[str, str] = {
     "carrito_invitado": """
         select id_detalle, id_carrito, id_producto, cantidad, precio_unitario, fecha
         from cart_events where event_type = 'view'""",
+    "carrito_compra": """
+        select id_detalle, id_carrito, id_producto, cantidad, precio_unitario, fecha
+        from cart_events where event_type = 'purchase'""",
+    "carrito_quitar": """
+        select id_detalle, id_carrito, id_producto, cantidad, precio_unitario, fecha
+        from cart_events where event_type = 'error'""",
 }
 
 _NAME_RE = {n: re.compile(r"\b" + n + r"\b") for n in BINDINGS}

@@ -1 +1,292 @@
-"""Registered queries (filled in below)."""
+"""Registered table-changing jobs.
+
+Change sets are derived from the driver's tables (see the ``*_from_*``
+helpers in ``vitrina.operators.changes``); the SQL states the same rules.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vitrina.functions.money import to_money
+from vitrina.operators import changes as ch
+from vitrina.plans.registry import register
+
+KEEP_CATEGORIES, DEFAULT_CATEGORY = ["PROMO", "LARGE", "Personalizado"], "PROMO"
+AS_OF = "1998-08-02 00:00:00"
+
+_VAT = "(select coalesce(case when max(iva_default) > 0 then max(iva_default) end, 16) from configuracion)"
+
+
+def _money_cols(df, *names):
+    return df.select(*[to_money(c).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+register("merge_carts", "O58", """
+with g as (
+  select id_carrito, id_producto, sum(coalesce(cantidad, 1)) g_qty, min(id_detalle) g_id,
+    arg_min(precio_unitario, id_detalle) g_price
+  from carrito_invitado where id_producto is not null group by id_carrito, id_producto),
+sf as (select id_carrito, id_producto, min(id_detalle) s_first from detalle_carrito
+       group by id_carrito, id_producto),
+adds as (select sf.s_first id_detalle, g.g_qty from g join sf
+         on sf.id_carrito = g.id_carrito and sf.id_producto = g.id_producto)
+select s.id_carrito, s.id_producto, s.id_detalle, cast(coalesce(s.cantidad, 1) + coalesce(a.g_qty, 0) as bigint) cantidad,
+  cast(s.precio_unitario as double) precio_unitario, 'guardado' origen
+from detalle_carrito s left join adds a on a.id_detalle = s.id_detalle
+union all
+select g.id_carrito, g.id_producto, g.g_id, cast(g.g_qty as bigint), cast(g.g_price as double), 'invitado'
+from g where not exists (select 1 from sf where sf.id_carrito = g.id_carrito and sf.id_producto = g.id_producto)
+""")(lambda ctx: _money_cols(ch.merge_carts(ctx["carrito_invitado"], ctx["detalle_carrito"]), "precio_unitario"))
+
+register("replace_carts", "O59", """
+select id_detalle, id_carrito, id_producto, cantidad, cast(precio_unitario as double) precio_unitario, fecha
+from detalle_carrito d where not exists (select 1 from carrito_invitado n where n.id_carrito = d.id_carrito)
+union all
+select id_detalle, id_carrito, id_producto, cantidad, cast(precio_unitario as double), fecha from carrito_invitado
+""")(lambda ctx: _money_cols(ch.replace_carts(ctx["detalle_carrito"], ctx["carrito_invitado"]), "precio_unitario"))
+
+register("verify_orders", "O60", """
+select p.id_pedido, p.id_estado estado_antes,
+  case when e.nombre is null or e.nombre = 'Pendiente de Verificación'
+       then coalesce((select max(id_estado) from estados_pedido where nombre = 'Procesando'), p.id_estado)
+       else p.id_estado end estado_despues,
+  (e.nombre is null or e.nombre = 'Pendiente de Verificación') aceptado
+from pedidos p left join estados_pedido e on e.id_estado = p.id_estado
+""")(lambda ctx: ch.verify_orders(ctx, ctx["pedidos"])[0])
+
+register("verify_orders_stock", "O60", """
+with ok as (
+  select p.id_pedido from pedidos p left join estados_pedido e on e.id_estado = p.id_estado
+  where e.nombre is null or e.nombre = 'Pendiente de Verificación'),
+used as (
+  select id_producto, sum(cantidad) descontado from detalle_pedidos
+  where id_pedido in (select id_pedido from ok) and cantidad >= 0 and id_producto is not null
+  group by id_producto)
+select i.id_producto, i.stock_actual stock_antes, cast(u.descontado as bigint) descontado,
+  cast(case when i.stock_actual - u.descontado is null then null
+       else greatest(0, i.stock_actual - u.descontado) end as bigint) stock_despues
+from inventario i join used u on u.id_producto = i.id_producto
+""")(lambda ctx: ch.verify_orders(ctx, ctx["pedidos"])[1])
+
+_UPDATES = """
+u as (select id_pedido,
+  case when id_pedido % 27 = 0 then 'Cancelado'
+       else (['Pendiente de Verificación', 'Procesando', 'Enviado', 'Entregado'])[id_estado % 4 + 1] end estado
+  from pedidos)"""
+
+register("apply_status_updates", "O61", f"""
+with {_UPDATES}
+select p.id_pedido, p.id_estado estado_antes, coalesce(s.id_estado, p.id_estado) estado_despues,
+  s.id_estado is not null aplicado
+from pedidos p join u on u.id_pedido = p.id_pedido left join estados_pedido s on s.nombre = u.estado
+""")(lambda ctx: ch.apply_status_updates(ctx, ch.status_updates_from_orders(ctx))[0])
+
+register("apply_status_updates_envios", "O61", f"""
+with {_UPDATES}
+select e.id_envio, e.id_pedido, 'T' || cast(e.id_pedido as varchar) numero_guia, 'MRW' empresa_envio,
+  'Enviado' estado_envio
+from envios e join u on u.id_pedido = e.id_pedido where u.estado = 'Enviado'
+""")(lambda ctx: ch.apply_status_updates(ctx, ch.status_updates_from_orders(ctx))[1])
+
+_CHECK = """
+chk as (
+  select l.id_carrito, l.id_detalle, l.id_producto, greatest(1, coalesce(l.cantidad, 1)) cantidad_pedida,
+    coalesce(i.stock_actual, 0) disponible,
+    (l.id_producto is null or l.id_producto = 0 or coalesce(i.stock_actual, 0) >= greatest(1, coalesce(l.cantidad, 1))) ok,
+    coalesce(p.nombre, 'Producto') pname
+  from carrito_compra l left join inventario i on i.id_producto = l.id_producto
+  left join productos p on p.id_producto = l.id_producto),
+bad as (select distinct id_carrito from chk where not ok),
+good as (select * from carrito_compra where id_carrito not in (select id_carrito from bad))"""
+
+register("stock_check", "O63", f"""
+with {_CHECK}
+select id_detalle, id_carrito, id_producto, cantidad_pedida, disponible, ok,
+  case when not ok then '"' || pname || '" no tiene stock suficiente. Disponible: ' || cast(disponible as varchar) end mensaje
+from chk
+""")(lambda ctx: ch.stock_check(ctx["carrito_compra"], ctx["inventario"], ctx["productos"]).select(
+    "id_detalle", "id_carrito", "id_producto", "cantidad_pedida", "disponible", "ok", "mensaje"))
+
+register("stock_check_per_product", "O63", """
+with req as (select id_carrito, id_producto, sum(greatest(1, coalesce(cantidad, 1))) q
+             from carrito_compra group by id_carrito, id_producto)
+select r.id_carrito, r.id_producto, r.q cantidad_pedida, coalesce(i.stock_actual, 0) disponible,
+  (r.id_producto is null or r.id_producto = 0 or coalesce(i.stock_actual, 0) >= r.q) ok
+from req r left join inventario i on i.id_producto = r.id_producto
+""")(lambda ctx: ch.stock_check(ctx["carrito_compra"], ctx["inventario"], per_product=True).select(
+    "id_carrito", "id_producto", F.col("cantidad_pedida").cast("long").alias("cantidad_pedida"),
+    "disponible", "ok"))
+
+register("checkout", "O62", f"""
+with {_CHECK},
+h as (select id_carrito, cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal,
+        count(*) lineas from good group by id_carrito),
+n as (select *, round(subtotal * {_VAT} / 100, 2) impuesto, row_number() over (order by id_carrito) rn from h)
+select n.id_carrito, (select max(id_pedido) from pedidos) + rn id_pedido, (select max(id_venta) from ventas) + rn id_venta,
+  c.id_cliente, n.lineas, cast(subtotal as double) subtotal, cast(impuesto as double) impuesto,
+  cast(round(subtotal + impuesto, 2) as double) total
+from n left join usuarios u on u.id_usuario = n.id_carrito left join clientes c on c.correo = u.correo
+""")(lambda ctx: ch.checkout(ctx, ctx["carrito_compra"])["summary"])
+
+register("physical_sales", "O71", f"""
+with {_CHECK},
+h as (select id_carrito, cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal,
+        count(*) lineas from good group by id_carrito),
+n as (select *, round(subtotal * {_VAT} / 100, 2) impuesto, row_number() over (order by id_carrito) rn from h)
+select id_carrito, (select max(id_venta) from ventas) + rn id_venta, lineas, cast(subtotal as double) subtotal,
+  cast(impuesto as double) impuesto, cast(round(subtotal + impuesto, 2) as double) total
+from n
+""")(lambda ctx: ch.physical_sales(ctx, ctx["carrito_compra"])["summary"])
+
+register("physical_sales_stock", "O71", f"""
+with {_CHECK},
+used as (select id_producto, sum(coalesce(cantidad, 1)) descontado from good
+         where id_producto is not null and id_producto <> 0 group by id_producto)
+select i.id_producto, i.stock_actual stock_antes, cast(u.descontado as bigint) descontado,
+  cast(case when i.stock_actual - u.descontado is null then null
+       else greatest(0, i.stock_actual - u.descontado) end as bigint) stock_despues
+from inventario i join used u on u.id_producto = i.id_producto
+""")(lambda ctx: ch.physical_sales(ctx, ctx["carrito_compra"])["stock"])
+
+register("missing_shipments", "O64", f"""
+select p.id_pedido, '' direccion_envio, 'Pendiente' empresa_envio, '' numero_guia, 'Pendiente' estado_envio,
+  timestamp '{AS_OF}' fecha_envio, '' metodo_pago, '' referencia_pago, 'destino' tipo_envio
+from pedidos p where not exists (select 1 from envios e where e.id_pedido = p.id_pedido)
+""")(lambda ctx: ch.missing_shipments(ctx, AS_OF))
+
+register("carrier_labels", "O65", """
+select id_envio, id_pedido, tipo_envio,
+  case when empresa_envio = 'Pendiente' and tipo_envio <> '' then
+    case tipo_envio when 'destino' then 'Cobro a Destino' when 'tienda' then 'Retiro en Tienda'
+      when 'agencia' then 'Retirar en Agencia' else 'Pendiente' end
+  else empresa_envio end empresa_envio,
+  (empresa_envio = 'Pendiente' and tipo_envio <> '') cambiado
+from envios
+""")(ch.carrier_labels)
+
+register("consolidate_categories", "O66", """
+with old as (select id_categoria from categorias where nombre not in ('PROMO', 'LARGE', 'Personalizado')),
+d as (select min(id_categoria) id from categorias where nombre = 'PROMO')
+select p.id_producto, p.id_categoria categoria_antes,
+  case when o.id_categoria is not null and d.id is not null then d.id else p.id_categoria end id_categoria
+from productos p left join old o on o.id_categoria = p.id_categoria cross join d
+""")(lambda ctx: ch.consolidate_categories(ctx, KEEP_CATEGORIES, DEFAULT_CATEGORY)[0])
+
+register("rename_status", "O67", """
+with o as (select min(id_estado) id from estados_pedido where nombre = 'Enviado'),
+n as (select min(id_estado) id from estados_pedido where nombre = 'Procesando')
+select p.id_pedido, p.id_estado estado_antes,
+  case when o.id is not null and n.id is not null and p.id_estado = o.id then n.id else p.id_estado end id_estado
+from pedidos p cross join o cross join n
+""")(lambda ctx: ch.rename_status(ctx, "Enviado", "Procesando")[0])
+
+_PRODUCT_CHANGES = """
+edits as (
+  select p.id_producto, p.nombre, lower(coalesce(c.nombre, 'varios')) categoria,
+    cast(round(p.precio_venta * 1.05, 2) as decimal(18,2)) precio, p.descripcion
+  from productos p left join categorias c on c.id_categoria = p.id_categoria),
+news as (
+  select 'Producto ' || s_name nombre, 'Personalizado' categoria, cast(abs(s_acctbal) as decimal(18,2)) precio,
+    'Producto personalizado' descripcion
+  from supplier),
+wanted as (select categoria nombre from edits union select categoria from news),
+new_cats as (
+  select cast((select coalesce(max(id_categoria), 0) from categorias) + row_number() over (order by w.nombre) as bigint)
+    id_categoria, w.nombre
+  from (select distinct nombre from wanted where nombre is not null and nombre <> '') w
+  where not exists (select 1 from categorias c where c.nombre = w.nombre)),
+all_cats as (select id_categoria, nombre from categorias union all select id_categoria, nombre from new_cats)"""
+
+register("upsert_products", "O68", f"""
+with {_PRODUCT_CHANGES}
+select e.id_producto, e.nombre, coalesce(e.descripcion, '') descripcion, cast(p.costo as double) costo,
+  cast(e.precio as double) precio_venta, a.id_categoria, p.activo, 'actualizado' cambio
+from edits e join productos p on p.id_producto = e.id_producto left join all_cats a on a.nombre = e.categoria
+where e.nombre is not null and e.nombre <> '' and e.precio is not null
+union all
+select cast((select max(id_producto) from productos) + row_number() over (order by n.nombre, n.precio) as bigint),
+  n.nombre, n.descripcion, cast(n.precio as double), cast(n.precio as double), a.id_categoria, 1, 'nuevo'
+from news n left join all_cats a on a.nombre = n.categoria
+where n.nombre is not null and n.precio is not null
+""")(lambda ctx: _money_cols(ch.upsert_products(ctx, ch.product_changes_from_data(ctx))[0],
+                             "costo", "precio_venta"))
+
+register("upsert_products_categories", "O68/O45", f"""
+with {_PRODUCT_CHANGES}
+select * from new_cats
+""")(lambda ctx: ch.upsert_products(ctx, ch.product_changes_from_data(ctx))[1])
+
+register("delete_products", "O69", """
+select id_producto, nombre, cast(precio_venta as double) precio_venta, id_categoria, activo
+from productos where id_producto not in (select id_producto from productos where activo = 0)
+""")(lambda ctx: _money_cols(ch.delete_products(ctx, ctx["productos"].filter("activo = 0"))[0].select(
+    "id_producto", "nombre", "precio_venta", "id_categoria", "activo"), "precio_venta"))
+
+register("delete_products_stock", "O69", """
+select * from inventario where id_producto not in (select id_producto from productos where activo = 0)
+""")(lambda ctx: ch.delete_products(ctx, ctx["productos"].filter("activo = 0"))[2])
+
+register("soft_delete_clients", "O80", """
+select c.id_cliente, c.nombre, c.correo, c.direccion, c.origen,
+  case when not exists (select 1 from ventas v where v.id_cliente = c.id_cliente) then 0 else c.activo end activo
+from clientes c
+""")(lambda ctx: ch.soft_delete_clients(
+    ctx, ctx["clientes"].join(ctx["ventas"].select("id_cliente"), "id_cliente", "left_anti")))
+
+
+def _client_changes(ctx):
+    c = ctx.raw("customer")
+    s = ctx.raw("supplier")
+    ts = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    upd = c.select(F.col("c_custkey").alias("id_cliente"), F.upper("c_name").alias("nombre"),
+                   F.concat(F.lit("cliente"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("correo"),
+                   F.concat(F.lit("0412-"), F.col("c_custkey").cast("string")).alias("telefono"),
+                   F.col("c_mktsegment").alias("direccion"), ts.alias("ts"))
+    ins = s.select(F.lit(None).cast("long").alias("id_cliente"), F.col("s_name").alias("nombre"),
+                   F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@proveedor.com")).alias("correo"),
+                   F.lit(None).cast("string").alias("telefono"), F.lit(None).cast("string").alias("direccion"),
+                   ts.alias("ts"))
+    return upd.unionByName(ins)
+
+
+register("upsert_clients", "O81", """
+select c.id_cliente, upper(cu.c_name) nombre, 'cliente' || cast(cu.c_custkey as varchar) || '@example.com' correo,
+  '0412-' || cast(cu.c_custkey as varchar) telefono, cu.c_mktsegment direccion, c.activo, c.origen,
+  'actualizado' cambio
+from clientes c join customer cu on cu.c_custkey = c.id_cliente where c.activo = 1
+union all
+select cast((select max(id_cliente) from clientes) + row_number() over (order by 's' || cast(s_suppkey as varchar) || '@proveedor.com') as bigint),
+  s_name, 's' || cast(s_suppkey as varchar) || '@proveedor.com', '', '', 1, 'manual', 'nuevo'
+from supplier
+""")(lambda ctx: ch.upsert_clients(ctx, _client_changes(ctx)))
+
+register("upsert_config", "O77", """
+with chg as (
+  select fecha ts,
+    case when month(fecha) = 1 then cast(12 + year(fecha) % 5 as decimal(5,2)) end iva,
+    case when (month(fecha) + year(fecha) * 12) % 5 = 0 then cast(0 as decimal(12,4)) else tasa end usd,
+    cast(case when (month(fecha) + year(fecha) * 12) % 3 = 0 then null else round(tasa * 1.1, 4) end as decimal(12,4)) eur
+  from tasas_cambio),
+r as (select arg_max(usd, ts) usd, arg_max(coalesce(eur, 0), ts) eur from chg where usd > 0),
+v as (select arg_max(iva, ts) iva from chg where iva is not null)
+select cast(coalesce((select iva from v), (select max(iva_default) from configuracion), 16) as double) iva_default,
+  cast(coalesce((select usd from r), (select max(tasa_usd) from configuracion)) as double) tasa_usd,
+  cast(coalesce((select eur from r), (select max(tasa_eur) from configuracion)) as double) tasa_eur
+""")(lambda ctx: ch.upsert_config(ctx["configuracion"], ch.config_changes_from_rates(ctx)))
+
+register("adjust_cart_quantities", "O78", """
+with d as (
+  select id_carrito, id_producto, sum(case when id_detalle % 2 = 0 then cantidad else -cantidad end) delta
+  from carrito_invitado group by id_carrito, id_producto)
+select s.id_detalle, s.id_carrito, s.id_producto,
+  cast(greatest(1, least(99, coalesce(s.cantidad, 1) + coalesce(d.delta, 0))) as integer) cantidad,
+  cast(s.precio_unitario as double) precio_unitario, s.fecha
+from detalle_carrito s left join d on d.id_carrito = s.id_carrito and d.id_producto = s.id_producto
+where not exists (select 1 from carrito_quitar q where q.id_carrito = s.id_carrito and q.id_producto = s.id_producto)
+""")(lambda ctx: _money_cols(ch.adjust_cart_quantities(
+    ctx["detalle_carrito"],
+    ctx["carrito_invitado"].select("id_carrito", "id_producto", F.when(
+        F.pmod("id_detalle", F.lit(2)) == 0, F.col("cantidad")).otherwise(-F.col("cantidad")).alias("delta")),
+    ctx["carrito_quitar"]).select("id_detalle", "id_carrito", "id_producto", "cantidad", "precio_unitario", "fecha"),
+    "precio_unitario"))

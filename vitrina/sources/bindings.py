@@ -257,6 +257,14 @@ class ShopTables:
         """Guest (cookie) cart lines: the view events."""
         return self["cart_events"].filter(F.col("event_type") == "view").drop("event_type")
 
+    def _t_carrito_compra(self) -> DataFrame:
+        """Carts sent to checkout / the counter: the purchase events."""
+        return self["cart_events"].filter(F.col("event_type") == "purchase").drop("event_type")
+
+    def _t_carrito_quitar(self) -> DataFrame:
+        """Lines removed from saved carts: the error events."""
+        return self["cart_events"].filter(F.col("event_type") == "error").drop("event_type")
+
 
 def shop_views(spark: SparkSession, sf_dir: str) -> ShopTables:
     return ShopTables(spark, sf_dir)
