@@ -1 +1,63 @@
-"""Registered queries (filled in below)."""
+"""Registered event operators (O70, O72-O76), batch twins of the streams.
+
+O73 and O76 are ordered folds with no SQL statement here; their results are
+checked against a sequential brute force in ``tests/test_events.py``.
+"""
+
+from __future__ import annotations
+
+from vitrina.streaming import carts, ledger, limits, rates
+from vitrina.plans.registry import register
+
+RATE_LIMIT, RATE_WINDOW = 8, "1 day"
+
+_LEDGER = """
+mov as (
+  select id_producto, fecha, 'salida' tipo, cantidad, 'Venta realizada' descripcion, id_venta ref,
+    cast(id_detalle as bigint) linea, -cantidad signed
+  from detalle_ventas
+  union all
+  select id_producto, fecha, 'entrada', cantidad, 'Compra realizada', id_proveedor, 0, cantidad
+  from detalle_compras),
+led as (
+  select m.id_producto, m.fecha, m.tipo, m.cantidad, m.descripcion, m.ref, m.linea,
+    cast(i.stock_actual + sum(m.signed) over (partition by m.id_producto
+      order by m.fecha, m.tipo, m.ref, m.linea, m.cantidad
+      rows between unbounded preceding and current row) as bigint) stock_despues
+  from mov m left join inventario i on i.id_producto = m.id_producto)"""
+
+
+def _ledger(ctx):
+    return ledger.stock_ledger(ctx["detalle_ventas"], ctx["detalle_compras"], ctx["inventario"])
+
+
+register("stock_ledger", "O70", f"with {_LEDGER} select * from led")(_ledger)
+
+register("low_stock_alerts", "O74", f"""
+with {_LEDGER}
+select l.id_producto, l.fecha, l.tipo, l.ref, l.linea, l.stock_despues, i.stock_minimo,
+  'Stock bajo del mínimo permitido' mensaje
+from led l join inventario i on i.id_producto = l.id_producto
+where l.stock_despues <= i.stock_minimo
+""")(lambda ctx: ledger.low_stock_alerts(_ledger(ctx), ctx["inventario"]))
+
+register("invoice_local_total", "O72", """
+select x.id_venta, x.fecha, cast(x.usd as double) total_usd, cast(r.tasa as double) tasa,
+  cast(round(x.usd * r.tasa, 2) as double) total_bs
+from (select f.id_venta, v.fecha, f.subtotal + f.impuesto usd
+      from facturas f join ventas v on v.id_venta = f.id_venta) x
+asof left join tasas_cambio r on x.fecha >= r.fecha
+""")(rates.invoice_local_total)
+
+register("rate_limit_flags", "O75", f"""
+select user_id, date_trunc('day', ts) ventana_inicio, date_trunc('day', ts) + interval 1 day ventana_fin,
+  count(*) solicitudes, {RATE_LIMIT} limite
+from events group by user_id, date_trunc('day', ts)
+having count(*) > {RATE_LIMIT}
+""")(lambda ctx: limits.rate_limit_flags(ctx.raw("events"), RATE_LIMIT, RATE_WINDOW))
+
+register("oversell_guard", "O73")(
+    lambda ctx: ledger.oversell_guard(ctx["detalle_ventas"], ctx["inventario"]))
+
+register("active_carts", "O76")(
+    lambda ctx: carts.active_carts(ctx["cart_events"]))
