@@ -34,8 +34,17 @@ BINDINGS: dict[str, str] = {
         from customer""",
     "usuarios": """
         select id_usuario, concat('user', cast(id_usuario as varchar)) nombre,
-          concat('c', cast(id_usuario as varchar), '@example.com') correo, id_usuario % 4 + 1 id_rol
+          concat('c', cast(id_usuario as varchar), '@example.com') correo, id_usuario % 4 + 1 id_rol,
+          id_usuario % 3 <> 0 has_password
         from (select distinct user_id id_usuario from events) t""",
+    "cuentas_vinculadas": """
+        select min(event_id) id_cuenta, arg_min(user_id, event_id) id_usuario, proveedor, proveedor_id,
+          arg_min('c' || cast(user_id as varchar) || '@example.com', event_id) proveedor_correo
+        from (select event_id, user_id, case when event_id % 2 = 0 then 'google' else 'facebook' end proveedor,
+                (case when event_id % 2 = 0 then 'google' else 'facebook' end) || '_'
+                  || json_extract_string(props, '$.k') proveedor_id
+              from events where event_type = 'signup') t
+        group by proveedor, proveedor_id""",
     "roles": """
         select * from (values (1, 'Administrador Panel'), (2, 'Trabajador'), (3, 'Administrador Web')) t(id_rol, nombre)""",
     "ventas": """

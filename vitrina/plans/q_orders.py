@@ -105,3 +105,39 @@ from m where id_mail is not null or id_name is not null
 union all
 select f.key, n.id_nuevo, 'nuevo' from fresh f join new_ids n on n.ident = f.ident
 """)(lambda ctx: orders.match_or_create_clients(orders.incoming_from_customers(ctx), ctx["clientes"]))
+
+from vitrina.operators import accounts  # noqa: E402
+
+register("linked_accounts", "O38", """
+with per as (select id_usuario, proveedor, count(*) n, arg_max(proveedor_correo, id_cuenta) proveedor_correo
+             from cuentas_vinculadas group by id_usuario, proveedor),
+tot as (select id_usuario, count(*) t from cuentas_vinculadas group by id_usuario)
+select p.id_usuario, p.proveedor, p.proveedor_correo, cast(t.t - p.n as bigint) otros,
+  (coalesce(u.has_password, false) or t.t - p.n > 0) removible
+from per p join tot t on t.id_usuario = p.id_usuario left join usuarios u on u.id_usuario = p.id_usuario
+""")(lambda ctx: accounts.link_removal_rules(ctx["cuentas_vinculadas"], ctx["usuarios"]))
+
+register("resolve_linked_accounts", "O79", """
+with inc as (
+  select case when event_id % 2 = 0 then 'google' else 'facebook' end proveedor,
+    (case when event_id % 2 = 0 then 'google' else 'facebook' end) || '_' || json_extract_string(props, '$.k') proveedor_id,
+    case when event_id % 5 = 0 then 'nuevo' || cast(user_id as varchar) || '@mail.com'
+         else 'c' || cast(user_id as varchar) || '@example.com' end correo, ts
+  from events where event_type = 'purchase'),
+first as (select proveedor, proveedor_id, arg_min(correo, (ts, correo)) correo, min(ts) ts
+          from inc group by proveedor, proveedor_id),
+vl as (select * from cuentas_vinculadas l where exists (select 1 from usuarios u where u.id_usuario = l.id_usuario)),
+bm as (select correo, min(id_usuario) u from usuarios where correo is not null group by correo),
+j as (select f.*, vl.id_usuario u_link, bm.u u_mail from first f
+      left join vl on vl.proveedor = f.proveedor and vl.proveedor_id = f.proveedor_id
+      left join bm on bm.correo = f.correo),
+fresh as (select * from j where u_link is null and u_mail is null),
+em as (select correo, min(ts) t0 from fresh group by correo),
+ids as (select correo, (select max(id_usuario) from usuarios) + row_number() over (order by t0, correo) id from em)
+select proveedor, proveedor_id, coalesce(u_link, u_mail) id_usuario,
+  case when u_link is not null then 'vinculo' else 'correo' end via
+from j where u_link is not null or u_mail is not null
+union all
+select f.proveedor, f.proveedor_id, i.id, 'nuevo' from fresh f join ids i on i.correo = f.correo
+""")(lambda ctx: accounts.resolve_linked_accounts(accounts.signins_from_events(ctx.raw("events")),
+                                                  ctx["cuentas_vinculadas"], ctx["usuarios"]))

@@ -122,8 +122,23 @@ class ShopTables:
             F.concat(F.lit("user"), F.col("id_usuario").cast("string")).alias("nombre"),
             F.concat(F.lit("c"), F.col("id_usuario").cast("string"), F.lit("@example.com")).alias("correo"),
             (_mod(F.col("id_usuario"), 4) + 1).alias("id_rol"),
+            (_mod(F.col("id_usuario"), 3) != 0).alias("has_password"),
         )
 
+    def _t_cuentas_vinculadas(self) -> DataFrame:
+        """External sign-in links from the signup events: provider by event id
+        parity, provider id from props.k; one link per (provider, provider id),
+        the earliest event wins."""
+        e = self.raw("events").filter(F.col("event_type") == "signup")
+        prov = F.when(_mod(F.col("event_id"), 2) == 0, F.lit("google")).otherwise(F.lit("facebook"))
+        links = e.select(
+            F.col("event_id").alias("id_cuenta"), F.col("user_id").alias("id_usuario"), prov.alias("proveedor"),
+            F.concat(prov, F.lit("_"), F.get_json_object("props", "$.k")).alias("proveedor_id"),
+            F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("proveedor_correo"))
+        return links.groupBy("proveedor", "proveedor_id").agg(
+            F.min_by(F.struct("id_cuenta", "id_usuario", "proveedor_correo"), "id_cuenta").alias("l")) \
+            .select("l.id_cuenta", "l.id_usuario", "proveedor", "proveedor_id", "l.proveedor_correo")
+
     def _t_roles(self) -> DataFrame:
         # The three roles the shop creates at start.
         return self.spark.createDataFrame(
