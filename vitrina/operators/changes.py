@@ -133,11 +133,11 @@ def verify_orders(ctx, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (orders with decision, new stock rows).
     """
     states = ctx["estados_pedido"]
-    pending = states.filter(F.col("nombre") == PENDING_STATE).select(F.col("id_estado").alias("_pending"))
+    pending_ids = states.filter(F.col("nombre") == PENDING_STATE).select("id_estado").distinct()
     processing = states.filter(F.col("nombre") == PROCESSING_STATE).select(F.max("id_estado")).scalar()
     p = ctx["pedidos"].join(ids.select("id_pedido").distinct(), "id_pedido", "left_semi")
     p = p.join(states.select("id_estado", F.col("nombre").alias("_estado")), "id_estado", "left")
-    p = p.join(F.broadcast(pending), p["id_estado"] == pending["_pending"], "left")  # one row
+    p = p.join(pending_ids.withColumn("_pending", F.lit(True)), "id_estado", "left")
     accept = F.col("_estado").isNull() | F.col("_pending").isNotNull()
     decided = p.select("id_pedido", F.col("id_estado").alias("estado_antes"),
                        F.when(accept, F.coalesce(processing, F.col("id_estado"))).otherwise(F.col("id_estado"))

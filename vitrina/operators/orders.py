@@ -7,7 +7,7 @@ so joins never fan out and "newest 50 orders" counts orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.ids import dense_ids, next_id_base
@@ -24,11 +24,17 @@ NEXT_ACTION = [("Pendiente de Verificación", "verificar"), ("Procesando", "envi
                ("Enviado", "entregar")]
 
 
+def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row with the highest ``order`` per ``key``, as a partial
+    ``max_by`` aggregate (map-side combine), so a key with very many rows is
+    reduced before the shuffle instead of landing whole in one window task."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, "_r.*")
+
+
 def orders_one_shipment(ctx) -> DataFrame:
     """One shipment per order (highest shipment id)."""
-    e = ctx["envios"]
-    w = Window.partitionBy("id_pedido").orderBy(F.desc("id_envio"))
-    return e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return latest_per_key(ctx["envios"], "id_pedido", "id_envio")
 
 
 def _states(ctx) -> DataFrame:
@@ -65,10 +71,8 @@ def admin_orders(ctx, limit: int = 50) -> DataFrame:
     newest = ctx["pedidos"].orderBy(F.desc_nulls_last("fecha"), F.asc("id_pedido")).limit(limit)
     keys = F.broadcast(newest.select("id_pedido"))  # at most `limit` rows
     e = ctx["envios"].join(keys, "id_pedido", "left_semi")
-    w = Window.partitionBy("id_pedido").orderBy(F.desc("id_envio"))
-    ship = (e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-            .select("id_pedido", "direccion_envio", "metodo_pago", "referencia_pago",
-                    "empresa_envio", "numero_guia"))
+    ship = latest_per_key(e, "id_pedido", "id_envio").select(
+        "id_pedido", "direccion_envio", "metodo_pago", "referencia_pago", "empresa_envio", "numero_guia")
     clients = ctx["clientes"].select("id_cliente", F.col("nombre").alias("cliente"), "correo")
     rate = active_rate(ctx).select("tasa").scalar()
     j = (newest.join(clients, "id_cliente", "left")

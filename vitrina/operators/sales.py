@@ -9,7 +9,7 @@ subqueries, so no join is planned for them at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions import money
@@ -256,9 +256,8 @@ def order_line_amounts(ctx) -> DataFrame:
 
 def latest_shipment(ctx) -> DataFrame:
     """One shipment per order: the one with the highest id (see O23)."""
-    e = ctx["envios"]
-    w = Window.partitionBy("id_pedido").orderBy(F.desc("id_envio"))
-    return e.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    e = ctx["envios"].select("id_pedido", "id_envio", "tipo_envio")
+    return e.groupBy("id_pedido").agg(F.max_by("tipo_envio", "id_envio").alias("tipo_envio"))
 
 
 def _receipt(ctx, vat: Column | None = None) -> DataFrame:
