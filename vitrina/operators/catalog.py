@@ -41,7 +41,7 @@ def first_image(ctx) -> DataFrame:
 
 
 def _products_with_category(ctx) -> DataFrame:
-    cats = ctx["categorias"].select("id_categoria", F.col("nombre").alias("categoria"))
+    cats = ctx.dim("categorias").select("id_categoria", F.col("nombre").alias("categoria"))
     return ctx["productos"].join(cats, "id_categoria", "left")
 
 

@@ -132,7 +132,7 @@ def verify_orders(ctx, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     clamping equals clamping the sum because all deductions are >= 0.
     Returns (orders with decision, new stock rows).
     """
-    states = ctx["estados_pedido"]
+    states = ctx.dim("estados_pedido")
     pending_ids = states.filter(F.col("nombre") == PENDING_STATE).select("id_estado").distinct()
     processing = states.filter(F.col("nombre") == PROCESSING_STATE).select(F.max("id_estado")).scalar()
     p = ctx["pedidos"].join(ids.select("id_pedido").distinct(), "id_pedido", "left_semi")
@@ -159,7 +159,7 @@ def apply_status_updates(ctx, updates: DataFrame) -> tuple[DataFrame, DataFrame]
     last = updates.groupBy("id_pedido").agg(
         F.max_by(F.struct("estado", "tracking", "empresa_envio"), "ts").alias("u"))
     last = last.select("id_pedido", "u.*")
-    states = ctx["estados_pedido"].select(F.col("nombre").alias("estado"), F.col("id_estado").alias("_nuevo"))
+    states = ctx.dim("estados_pedido").select(F.col("nombre").alias("estado"), F.col("id_estado").alias("_nuevo"))
     u = last.join(states, "estado", "left")
     p = ctx["pedidos"].select("id_pedido", "id_estado").join(u, "id_pedido", "inner")
     applied = F.col("_nuevo").isNotNull()

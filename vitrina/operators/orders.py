@@ -38,7 +38,7 @@ def orders_one_shipment(ctx) -> DataFrame:
 
 
 def _states(ctx) -> DataFrame:
-    return ctx["estados_pedido"].select("id_estado", F.col("nombre").alias("estado"))
+    return ctx.dim("estados_pedido").select("id_estado", F.col("nombre").alias("estado"))
 
 
 def order_history(ctx) -> DataFrame:
@@ -152,7 +152,7 @@ def client_of_user(ctx) -> DataFrame:
 
 def users_with_role(ctx) -> DataFrame:
     """Users with role name, 'Trabajador' when the role is unknown."""
-    r = F.broadcast(ctx["roles"].select("id_rol", F.col("nombre").alias("rol")))  # fixed 3-row table
+    r = ctx.dim("roles").select("id_rol", F.col("nombre").alias("rol"))
     u = ctx["usuarios"].select("id_usuario", "nombre", "correo", "id_rol")
     return u.join(r, "id_rol", "left").select(
         "id_usuario", "nombre", "correo", "id_rol", F.coalesce("rol", F.lit(DEFAULT_ROLE)).alias("rol"))

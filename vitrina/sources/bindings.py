@@ -20,6 +20,8 @@ from vitrina.sources.schema import DRIVER_SCHEMAS
 DEC = "decimal(18,2)"
 RATE = "decimal(12,4)"
 
+DIM_BROADCAST_ROWS = 1_000_000  # size bound for broadcasting a dimension
+
 # The four order states, ids 1..4 (in this order).
 ORDER_STATES = ["Pendiente de Verificación", "Procesando", "Enviado", "Entregado"]
 # The category that the shop adds for custom products.
@@ -63,6 +65,21 @@ class ShopTables:
     def __contains__(self, name: str) -> bool:
         return hasattr(self, "_t_" + name)
 
+    def dim(self, name: str) -> DataFrame:
+        """A dimension table for joins, broadcast only behind a size check.
+
+        The table is counted once (a small job); if it has at most
+        ``DIM_BROADCAST_ROWS`` rows it is cached and marked for broadcast, so
+        the fact side is never shuffled on a low-cardinality key. Beyond the
+        bound it is returned as is and joins stay sort-merge (AQE may still
+        broadcast it from runtime sizes)."""
+        key = "dim:" + name
+        if key not in self._memo:
+            df = self[name]
+            n = df.count()
+            self._memo[key] = F.broadcast(df.cache()) if n <= DIM_BROADCAST_ROWS else df
+        return self._memo[key]
+
     # ---- catalogue -------------------------------------------------------
     def _t_categorias(self) -> DataFrame:
         # distinct first: the window below then sees one row per category
@@ -75,7 +92,7 @@ class ShopTables:
 
     def _t_productos(self) -> DataFrame:
         part = self.raw("part")
-        cats = self["categorias"]
+        cats = self.dim("categorias")
         j = part.join(cats, part.p_type == cats.nombre, "left")
         return j.select(
             F.col("p_partkey").alias("id_producto"),

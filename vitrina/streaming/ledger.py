@@ -63,6 +63,7 @@ def low_stock_alerts(ledger: DataFrame, inventory: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O73
 GUARD_ORDER = ["fecha", "id_venta", "id_detalle", "cantidad"]
+GUARD_COLS = ["id_venta", "id_detalle", "id_producto", "fecha", "cantidad"]
 
 
 def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,51 +86,51 @@ def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ok[i] = True
             else:
                 ok[i] = False
-        yield pd.DataFrame({"_k": pdf["_k"].to_numpy(), "aceptada": ok})
+        out = pdf[GUARD_COLS].copy()
+        out["aceptada"] = ok
+        yield out
 
 
 def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """In arrival order per product, a line that needs more than the
     stock left is rejected; accepted lines reduce the stock. A product
-    without a stock row accepts everything (the check compares with NULL).
-
-    Plan: (1) a parallel running sum of demand (``running_sum``) accepts the
-    prefix of each product that fits in its opening stock; (2) after the first
-    line that does not fit, the stock left s0 is smaller than that line, and
-    because accepted lines only lower it, later lines larger than s0 are
-    rejected without looking further; (3) only the remaining candidates
-    (quantity <= s0, or any line of a product with negative quantities) run
-    through an ordered fold that streams each product's rows in sorted order
-    (``mapInPandas`` after a sort within hash partitions), holding one number
-    of state; no product's rows are ever gathered in memory.
+    without a stock row accepts everything (the check compares with NULL),
+    and so does a line without a quantity.
+
+    Plan, for products whose quantities are all >= 0 (the running demand is
+    then non-decreasing):
+    (1) a parallel running sum of demand (``running_sum``) accepts every line
+        whose running demand fits in the opening stock;
+    (2) one aggregate per product gives s0, the stock left before the first
+        line that does not fit; stock only goes down from there, so every
+        later line larger than s0 is rejected in parallel;
+    (3) only the remaining candidates (quantity <= s0) run through an ordered
+        fold that streams each product's rows in sorted order (``mapInPandas``
+        after a sort within hash partitions), holding one number of state.
+    A product with a negative quantity sends all its lines to the fold,
+    starting from the opening stock. No product's rows are gathered in memory.
     """
-    lines = sale_lines.select("id_venta", "id_detalle", "id_producto", "fecha",
-                              F.col("cantidad").cast("long").alias("cantidad"))
-    lines = lines.withColumn("_k", F.monotonically_increasing_id())
+    lines = sale_lines.select(*GUARD_COLS).withColumn("cantidad", F.col("cantidad").cast("long"))
     inv = inventory.select("id_producto", F.col("stock_actual").cast("long").alias("_open"))
     x = running_sum(lines, ["id_producto"], GUARD_ORDER, "cantidad", F.to_date("fecha"), "_cum")
     x = x.join(inv, "id_producto", "left")
-    x = x.withColumn("_prev", F.col("_cum") - F.coalesce("cantidad", F.lit(0)))
-    order_struct = F.struct(*GUARD_ORDER)
-    over = x.filter(F.col("_open").isNotNull() & F.col("cantidad").isNotNull() & (F.col("_cum") > F.col("_open")))
-    first = over.groupBy("id_producto").agg(
-        F.min(order_struct).alias("_first"),
-        F.min_by(F.col("_open") - F.col("_prev"), order_struct).alias("_s0"))
-    neg = lines.filter(F.col("cantidad") < 0).select("id_producto").distinct().withColumn("_neg", F.lit(True))
-    y = x.join(first, "id_producto", "left").join(neg, "id_producto", "left")
-    in_prefix = F.col("_first").isNull() | (order_struct < F.col("_first"))
-    fast = y.filter(in_prefix | F.col("cantidad").isNull() | F.col("_open").isNull())
-    tail = y.filter(~(in_prefix | F.col("cantidad").isNull() | F.col("_open").isNull()))
-    candidate = F.col("_neg").isNotNull() | (F.col("cantidad") <= F.col("_s0"))
-    outright = tail.filter(~candidate)
-    cand = tail.filter(candidate)
+    per = x.groupBy("id_producto").agg(
+        (F.min("cantidad") < 0).alias("_neg"),
+        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"))
+    y = x.join(per, "id_producto", "left")
+    s0 = F.col("_open") - F.coalesce("_pref", F.lit(0))
+    decision = (F.when(F.col("_open").isNull() | F.col("cantidad").isNull(), F.lit(True))
+                .when(F.coalesce("_neg", F.lit(False)), F.lit(None))
+                .when(F.col("_cum") <= F.col("_open"), F.lit(True))
+                .when(F.col("cantidad") > s0, F.lit(False))
+                .otherwise(F.lit(None)).cast("boolean"))
+    start = F.when(F.coalesce("_neg", F.lit(False)), F.col("_open")).otherwise(s0)
+    y = y.select(*GUARD_COLS, decision.alias("aceptada"), start.alias("_start"))
+    direct = y.filter(F.col("aceptada").isNotNull()).select(*GUARD_COLS, "aceptada")
     n = int(sale_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = (cand.select("_k", "id_producto", "cantidad", F.col("_s0").alias("_start"), *GUARD_ORDER[:-1])
+    folded = (y.filter(F.col("aceptada").isNull()).drop("aceptada")
               .repartition(n, "id_producto")
               .sortWithinPartitions("id_producto", *GUARD_ORDER)
-              .select("_k", "id_producto", "cantidad", "_start")
-              .mapInPandas(_fold_guard, "_k long, aceptada boolean"))
-    decided = (fast.select("_k", F.lit(True).alias("aceptada"))
-               .unionByName(outright.select("_k", F.lit(False).alias("aceptada")))
-               .unionByName(folded))
-    return lines.join(decided, "_k", "inner").drop("_k")
+              .mapInPandas(_fold_guard, "id_venta long, id_detalle int, id_producto long, "
+                                        "fecha timestamp_ntz, cantidad long, aceptada boolean"))
+    return direct.unionByName(folded)
