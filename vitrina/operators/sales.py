@@ -193,6 +193,7 @@ def prices_in_currency(ctx, feed: DataFrame | None = None) -> DataFrame:
         r.cast("double").alias("tasa"),
         src.alias("fuente"),
         money.format_price("precio_venta", r).alias("precio_texto"),
+        money.format_admin_price("precio_venta", r).alias("precio_admin"),
     )
 
 

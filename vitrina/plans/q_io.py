@@ -79,7 +79,7 @@ register("import_catalogue_categories", "O06", f"with {_IMPORT} select * from ne
     lambda ctx: files.import_catalogue(files.image_paths_from_products(ctx), ctx["productos"],
                                        ctx["categorias"])["categories"])
 
-register("sales_report_rows", "O07", """
+register("sales_report_rows", "O07/O52", """
 with r as (
   select v.id_venta id, c.nombre cliente, v.fecha, count(d.id_detalle) items, coalesce(v.total, 0) total
   from ventas v left join clientes c on v.id_cliente = c.id_cliente

@@ -69,7 +69,7 @@ select id_carrito, cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)
 from detalle_carrito group by id_carrito
 """)(sales.cart_totals)
 
-register("invoice_totals", "O39", """
+register("invoice_totals", "O39/O52", """
 select v.id_venta id, printf('INV-%03d', v.id_venta) numero, c.nombre cliente, v.fecha,
   cast(coalesce(v.total, 0) as double) total,
   cast(case when f.id_venta is not null then f.subtotal else v.total end as double) subtotal,
@@ -119,7 +119,7 @@ from (select strftime(fecha, '%m') mes, coalesce(sum(total), 0) ingresos from ve
 order by mes nulls first
 """)(sales.profit_series)
 
-register("prices_in_currency", "O46", """
+register("prices_in_currency", "O46/O51", """
 with rate as (
   select coalesce(max(case when tasa_usd > 0 then tasa_usd end), 40) tasa,
     case when max(case when tasa_usd > 0 then tasa_usd end) is not null then 'manual' else 'bcv' end fuente
@@ -127,7 +127,9 @@ with rate as (
 select p.id_producto, p.nombre, cast(p.precio_venta as double) precio_usd,
   cast(round(p.precio_venta * rate.tasa, 2) as double) precio_bs, cast(rate.tasa as double) tasa, rate.fuente,
   '$' || format('{:,.2f}', round(p.precio_venta, 2)) || ' / '
-    || translate(format('{:,.2f}', round(p.precio_venta * rate.tasa, 2)), ',.', '.,') || ' Bs' precio_texto
+    || translate(format('{:,.2f}', round(p.precio_venta * rate.tasa, 2)), ',.', '.,') || ' Bs' precio_texto,
+  'Bs ' || cast(cast(round(p.precio_venta * rate.tasa, 2) as decimal(18,2)) as varchar) || ' ('
+    || cast(p.precio_venta as varchar) || '$)' precio_admin
 from productos p cross join rate
 """)(sales.prices_in_currency)
 
