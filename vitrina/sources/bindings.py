@@ -21,6 +21,7 @@ DEC = "decimal(18,2)"
 RATE = "decimal(12,4)"
 
 DIM_BROADCAST_ROWS = 1_000_000  # size bound for broadcasting a dimension
+_DIM_ROWS: dict[tuple, int] = {}  # row counts of dimensions, per (application, input dir, table)
 
 # The four order states, ids 1..4 (in this order).
 ORDER_STATES = ["Pendiente de Verificación", "Procesando", "Enviado", "Entregado"]
@@ -76,8 +77,11 @@ class ShopTables:
         key = "dim:" + name
         if key not in self._memo:
             df = self[name]
-            n = df.count()
-            self._memo[key] = F.broadcast(df.cache()) if n <= DIM_BROADCAST_ROWS else df
+            size_key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if size_key not in _DIM_ROWS:  # the count only steers the join strategy
+                _DIM_ROWS[size_key] = df.count()
+            small = _DIM_ROWS[size_key] <= DIM_BROADCAST_ROWS
+            self._memo[key] = F.broadcast(df.cache()) if small else df
         return self._memo[key]
 
     # ---- catalogue -------------------------------------------------------
