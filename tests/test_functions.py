@@ -132,3 +132,14 @@ def test_merge_carts_adds_to_first_saved_line(spark):
                    (21, 3, Decimal("4.00"), "invitado")}
     total = sum(r.cantidad for r in changes.merge_carts(guest, saved).collect())
     assert total == 1 + 2 + 3 + 1 + 2  # quantity is preserved
+
+
+def test_cart_payload_python_truthiness(spark):
+    payload = ('[{"id": true, "quantity": " 4 "},'          # int(True) = 1; int(" 4 ") = 4
+               ' {"id": "", "id_producto": 3, "price": 1e1},'  # '' is falsy -> id_producto
+               ' {"id": 0.0, "id_producto": null},'            # both falsy/null -> dropped
+               ' {"id": "0", "quantity": 2},'                  # "0" is truthy; int("0") = 0
+               ' {"id": 12, "price": null}]')                  # float(None) fails -> dropped
+    df = spark.createDataFrame([(1, payload)], "id_carrito long, payload string")
+    got = [(r.id, r.quantity, r.price) for r in files.parse_cart_payload(df).orderBy("pos").collect()]
+    assert got == [(1, 4, 0.0), (3, 1, 10.0), (0, 2, 0.0)]

@@ -61,60 +61,71 @@ def rate_docs_from_table(rates: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O05
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
-_NUM_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def _field(item: Column, name: str) -> tuple[Column, Column]:
-    """(raw text, quoted?) of one field of a flat JSON object; NULL text if
-    the field is missing or JSON null."""
-    txt = F.get_json_object(item, f"$.{name}")
-    quoted = F.regexp_extract(item, r'"' + name + r'"\s*:\s*(")', 1) == '"'
-    return txt, quoted
-
-
-def _py_int(txt: Column, quoted: Column, default: int) -> tuple[Column, Column]:
-    """Python ``int(v)`` of a JSON value: quoted text must be an integer
-    literal; a JSON number is truncated toward zero. Returns (value, ok)."""
-    missing = txt.isNull()
-    as_text = F.when(txt.rlike(_INT_TEXT), F.trim(txt).try_cast("long"))
-    as_num = F.when(txt.rlike(_NUM_TEXT), F.trim(txt).try_cast("double")).cast("long")
-    val = F.when(missing, F.lit(default).cast("long")).when(quoted, as_text).otherwise(as_num)
-    return val, val.isNotNull()
+class _JsonField:
+    """One field of a cart item (a VARIANT), with Python's view of it."""
+
+    def __init__(self, item: Column, name: str):
+        path = f"$.{name}"
+        self.v = F.variant_get(item, path, "variant")
+        self.kind = F.schema_of_variant(self.v)
+        self.text = F.variant_get(item, path, "string")
+        self.missing = self.v.isNull()
+        self.null = F.is_variant_null(self.v)
+        self.is_str = self.kind == "STRING"
+        self.is_bool = self.kind == "BOOLEAN"
+        self.is_int = self.kind == "BIGINT"
+
+    def truthy(self) -> Column:
+        """Python ``bool(v)``: None, 0, 0.0, False and '' are falsy."""
+        num = F.variant_get(self.v, "$", "double")
+        return (~self.missing & ~self.null
+                & F.when(self.is_str, self.text != "")
+                   .when(self.is_bool, self.text == "true")
+                   .otherwise(num != 0))
+
+    def as_int(self) -> Column:
+        """Python ``int(v)``: an integer literal in a string, a number
+        truncated toward zero, a bool as 0/1; anything else -> NULL (drop)."""
+        return (F.when(self.is_str, F.when(self.text.rlike(_INT_TEXT), F.trim(self.text).try_cast("long")))
+                .when(self.is_bool, F.when(self.text == "true", F.lit(1)).otherwise(F.lit(0)).cast("long"))
+                .when(self.is_int, F.variant_get(self.v, "$", "long"))
+                .when(~self.null, F.variant_get(self.v, "$", "double").cast("long")))
+
+    def as_float(self) -> Column:
+        """Python ``float(v)``: numeric text in a string, a number, a bool."""
+        return (F.when(self.is_str, F.trim(self.text).try_cast("double"))
+                .when(self.is_bool, F.when(self.text == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
+                .when(~self.null, F.variant_get(self.v, "$", "double")))
 
 
 def parse_cart_payload(payloads: DataFrame, text: str = "payload", owner: str = "id_carrito") -> DataFrame:
     """JSON array of cart items -> one normalised row per item.
 
-    id = ``id`` if truthy else ``id_producto`` (row dropped if that is
-    missing), as int; quantity = max(1, int(quantity or 1)); price =
-    float(price or 0); rows whose numbers do not parse are dropped, as the
-    reference's ``try``/``continue`` does. Missing key != JSON null: a JSON
-    null quantity or price fails ``int``/``float`` and drops the row.
+    id = ``id`` if truthy else ``id_producto`` (row dropped if that is missing
+    or null), as int; quantity = max(1, int(quantity)) with 1 when the key is
+    missing; price = float(price) with 0 when missing; rows whose numbers do
+    not convert (as Python ``int('3.7')`` or ``float('')`` would fail) are
+    dropped, as the reference's ``try``/``continue`` does. Each payload is
+    parsed once into a VARIANT, which keeps JSON strings and numbers apart.
     """
-    items = payloads.select(owner, F.posexplode(F.from_json(F.col(text), "array<string>")).alias("pos", "item"))
-    id_t, id_q = _field(F.col("item"), "id")
-    idp_t, idp_q = _field(F.col("item"), "id_producto")
-    q_t, q_q = _field(F.col("item"), "quantity")
-    p_t, p_q = _field(F.col("item"), "price")
-    has_q = F.col("item").rlike(r'"quantity"\s*:')
-    has_p = F.col("item").rlike(r'"price"\s*:')
-    # Python truthiness of the JSON value: 0, 0.0, false, "" and null are falsy
-    id_truthy = id_t.isNotNull() & F.when(id_q, id_t != "").otherwise(
-        ~id_t.isin("0", "false") & ~id_t.rlike(r"^-?0*\.?0*([eE][+-]?[0-9]+)?$"))
-    pid_t = F.when(id_truthy, id_t).otherwise(idp_t)
-    pid_q = F.when(id_truthy, id_q).otherwise(idp_q)
-    pid, pid_ok = _py_int(pid_t, pid_q, 0)
-    qty, qty_ok = _py_int(q_t, q_q, 1)
-    qty_ok = F.when(has_q, q_t.isNotNull() & qty_ok).otherwise(F.lit(True))
-    qty = F.when(has_q, qty).otherwise(F.lit(1).cast("long"))
-    price = F.when(p_t.rlike(_NUM_TEXT), F.trim(p_t).try_cast("double"))
-    price_ok = F.when(has_p, price.isNotNull()).otherwise(F.lit(True))
-    price = F.when(has_p, price).otherwise(F.lit(0.0))
-    out = items.select(owner, "pos", pid.alias("id"), pid_t.isNotNull().alias("_has_id"), pid_ok.alias("_id_ok"),
-                       F.greatest(F.lit(1).cast("long"), qty).alias("quantity"), qty_ok.alias("_q_ok"),
-                       price.alias("price"), price_ok.alias("_p_ok"),
-                       F.coalesce(F.get_json_object("item", "$.name"), F.lit("")).alias("name"))
-    return out.filter("_has_id and _id_ok and _q_ok and _p_ok").drop("_has_id", "_id_ok", "_q_ok", "_p_ok")
+    items = payloads.select(owner, F.posexplode(
+        F.variant_get(F.parse_json(F.col(text)), "$", "array<variant>")).alias("pos", "item"))
+    item = F.col("item")
+    fid, fidp = _JsonField(item, "id"), _JsonField(item, "id_producto")
+    fq, fp = _JsonField(item, "quantity"), _JsonField(item, "price")
+    use_id = fid.truthy()
+    pid = F.when(use_id, fid.as_int()).otherwise(fidp.as_int())
+    pid_given = F.when(use_id, F.lit(True)).otherwise(~fidp.missing & ~fidp.null)
+    qty = F.when(fq.missing, F.lit(1).cast("long")).otherwise(fq.as_int())
+    price = F.when(fp.missing, F.lit(0.0)).otherwise(fp.as_float())
+    name = F.coalesce(F.variant_get(item, "$.name", "string"), F.lit(""))
+    out = items.select(owner, "pos", pid.alias("id"), pid_given.alias("_given"),
+                       F.greatest(F.lit(1).cast("long"), qty).alias("quantity"), qty.isNotNull().alias("_q_ok"),
+                       price.alias("price"), name.alias("name"))
+    return out.filter(F.col("_given") & F.col("id").isNotNull() & F.col("_q_ok") & F.col("price").isNotNull()) \
+        .drop("_given", "_q_ok")
 
 
 def cart_payloads_from_events(events: DataFrame) -> DataFrame:
