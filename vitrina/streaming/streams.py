@@ -128,10 +128,25 @@ def cart_life_stream(events: DataFrame) -> DataFrame:
     return out.withColumn("creacion_carrito", F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")
 
 
-def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a streaming frame over everything available, then stop."""
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .outputMode(mode).trigger(availableNow=True).start()) if mode == "append" else \
-        (df.writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(out))
-         .option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start())
+def checkpoint_location(spark, name: str) -> str:
+    """Streaming checkpoint folder under the session's shared checkpoint dir."""
+    from vitrina.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+
+
+def run_to_parquet(df: DataFrame, out: str, checkpoint: str | None = None, mode: str = "append",
+                   name: str = "stream") -> None:
+    """Run a streaming frame over everything available, then stop.
+
+    ``append`` writes the rows as parquet files; ``update`` (for aggregates
+    whose rows change) writes every micro-batch's changed rows through
+    ``foreachBatch`` into its own folder, so a retried batch replaces itself. The checkpoint defaults to the shared checkpoint dir, so
+    a restarted job resumes from the last committed micro-batch."""
+    ck = checkpoint or checkpoint_location(df.sparkSession, name)
+    w = df.writeStream.option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).start()
+    else:
+        # one folder per micro-batch id, overwritten on a retry: idempotent
+        q = w.foreachBatch(lambda batch, bid: batch.write.mode("overwrite").parquet(f"{out}/lote={bid}")).start()
     q.awaitTermination()
