@@ -50,11 +50,17 @@ def test_sales_report_csv_round_trip(spark, ctx):
     d = _scratch()
     rep = sales.sales_report(ctx, "1997-01-01", "1997-01-31")
     sinks.write_sales_report_csv(rep, os.path.join(d, "r"))
+    import glob
+    parts = sorted(glob.glob(os.path.join(d, "r", "part-*.csv")))
     back = spark.read.option("header", True).csv(os.path.join(d, "r"))
-    rows = back.collect()
+    rows = []
+    for f in parts:  # part files in name order are the report in order
+        rows += spark.read.option("header", True).csv(f).collect()
     assert back.columns == sinks.REPORT_HEADER
     assert len(rows) == rep.count() + 1
     assert rows[-1]["Items"] == "Total General"
+    dates = [r["Fecha"] for r in rows[:-1]]
+    assert dates[0].endswith("1997") and len(parts) >= 1
     total = sum(float(r["Total"]) for r in rows[:-1])
     assert abs(total - float(rows[-1]["Total"])) < 0.005
 

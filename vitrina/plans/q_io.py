@@ -94,7 +94,7 @@ union all
 select 1, null, '', '', '', 'Total General', format('{:,.2f}', coalesce(sum(total), 0)) from r
 """)(lambda ctx: sinks.sales_report_rows(sales.sales_report(ctx, "1997-01-01", "1997-12-31").select(
     "id", F.when(F.col("cliente") == sales.UNKNOWN_CLIENT, F.lit(None)).otherwise(F.col("cliente")).alias("cliente"),
-    "fecha", "items", "total")))
+    "fecha", "items", "total")).drop("fecha_orden"))
 
 register("top_products_sheet", "O08", """
 select * from (

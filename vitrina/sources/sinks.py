@@ -25,25 +25,30 @@ def sales_report_rows(report: DataFrame) -> DataFrame:
         F.lit(0).alias("orden"), F.col("id").alias("id"),
         invoice_number("id").alias("factura"),
         F.coalesce(F.nullif(F.col("cliente"), F.lit("")), F.lit(UNKNOWN)).alias("cliente"),
-        F.date_format("fecha", "d/M/yyyy").alias("fecha_txt"),
+        F.date_format("fecha", "d/M/yyyy").alias("fecha_txt"), F.col("fecha").alias("fecha_orden"),
         F.concat(F.col("items").cast("string"), F.lit(" producto(s)")).alias("items_txt"),
         F.format_number(F.coalesce(F.col("total"), F.lit(0.0)).cast("decimal(18,2)"), 2).alias("total_txt"))
     total = report.agg(F.sum(F.col("total").cast("decimal(18,2)")).alias("t")).select(
         F.lit(1).alias("orden"), F.lit(None).cast("long").alias("id"), F.lit("").alias("factura"),
-        F.lit("").alias("cliente"), F.lit("").alias("fecha_txt"), F.lit(GRAND_TOTAL).alias("items_txt"),
+        F.lit("").alias("cliente"), F.lit("").alias("fecha_txt"),
+        F.lit(None).cast("timestamp_ntz").alias("fecha_orden"), F.lit(GRAND_TOTAL).alias("items_txt"),
         F.format_number(F.coalesce("t", F.lit(0).cast("decimal(18,2)")), 2).alias("total_txt"))
     return detail.unionByName(total)
 
 
 def write_sales_report_csv(report: DataFrame, path: str) -> None:
-    """Write the report as one CSV with a header (standard quoting).
-    ``total_txt`` uses no thousands separator in the file."""
+    """Write the report as CSV with a header (standard quoting); no
+    thousands separator in the total column.
+
+    The rows are sorted globally (range partitioning), so the part files of
+    the folder, read in name order, are the report in order, newest invoice
+    first and the grand total last. Each part carries the header line; no
+    single task writes the whole report."""
     rows = sales_report_rows(report).withColumn("total_txt", F.regexp_replace("total_txt", ",", ""))
-    out = rows.orderBy("orden", F.desc_nulls_last("id")).select(
+    out = rows.orderBy("orden", F.desc_nulls_last("fecha_orden"), F.desc_nulls_last("id")).select(
         *[F.col(c).alias(h) for c, h in zip(["factura", "cliente", "fecha_txt", "items_txt", "total_txt"],
                                            REPORT_HEADER)])
-    # the report is a listing for one period; a single ordered file is the product
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def top_products_sheet(top: DataFrame, income) -> DataFrame:
