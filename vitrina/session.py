@@ -27,6 +27,26 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors).
+# Shuffles start wide and AQE coalesces them to ~256 MB partitions, splits
+# skewed ones, and turns small join sides into broadcasts from measured
+# sizes; scans read ~512 MB splits; runtime bloom filters prune the big side
+# of selective joins. Pass as ``extra`` (and a matching
+# ``shuffle_partitions``) when building the session on a cluster.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "vitrina", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults."""
