@@ -138,6 +138,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} as ({BINDINGS[n]})" for n in order)
     stripped = body.lstrip()
+    if stripped[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{stripped[15:]}"
     if stripped[:5].lower() == "with ":
         return f"with {ctes},\n{stripped[5:]}"
     return f"with {ctes}\n{body}"

@@ -1,7 +1,7 @@
 """Registered event operators (O70, O72-O76), batch twins of the streams.
 
-O73 and O76 are ordered folds with no SQL statement here; their results are
-checked against a sequential brute force in ``tests/test_events.py``.
+O73 and O76 are ordered folds; their SQL statements are recursive CTEs, and
+``tests/test_events.py`` also checks them against a sequential brute force.
 """
 
 from __future__ import annotations
@@ -56,8 +56,38 @@ from events group by user_id, date_trunc('day', ts)
 having count(*) > {RATE_LIMIT}
 """)(lambda ctx: limits.rate_limit_flags(ctx.raw("events"), RATE_LIMIT, RATE_WINDOW))
 
-register("oversell_guard", "O73")(
-    lambda ctx: ledger.oversell_guard(ctx["detalle_ventas"], ctx["inventario"]))
+# The folds stated as recursive SQL: one step per line of a product / per
+# cart of a client (depth = lines per product, carts per client).
+register("oversell_guard", "O73", """
+with recursive l as (
+  select id_venta, id_detalle, id_producto, fecha, cast(cantidad as bigint) cantidad,
+    row_number() over (partition by id_producto order by fecha, id_venta, id_detalle, cantidad) rn
+  from detalle_ventas),
+st(id_producto, rn, quedan, ok) as (
+  select l.id_producto, l.rn,
+    case when i.stock_actual is null or l.cantidad is null then i.stock_actual
+         when i.stock_actual >= l.cantidad then i.stock_actual - l.cantidad else i.stock_actual end,
+    (i.stock_actual is null or l.cantidad is null or i.stock_actual >= l.cantidad)
+  from l left join inventario i on i.id_producto = l.id_producto where l.rn = 1
+  union all
+  select l.id_producto, l.rn,
+    case when st.quedan is null or l.cantidad is null then st.quedan
+         when st.quedan >= l.cantidad then st.quedan - l.cantidad else st.quedan end,
+    (st.quedan is null or l.cantidad is null or st.quedan >= l.cantidad)
+  from st join l on l.id_producto = st.id_producto and l.rn = st.rn + 1)
+select l.id_venta, l.id_detalle, l.id_producto, l.fecha, l.cantidad, st.ok aceptada
+from l join st on st.id_producto = l.id_producto and st.rn = l.rn
+""")(lambda ctx: ledger.oversell_guard(ctx["detalle_ventas"], ctx["inventario"]))
 
-register("active_carts", "O76")(
-    lambda ctx: carts.active_carts(ctx["cart_events"]))
+register("active_carts", "O76", """
+with recursive ev as (select id_detalle, id_carrito, fecha from cart_events),
+starts(id_carrito, s, n) as (
+  select id_carrito, min(fecha), 1 from ev group by id_carrito
+  union all
+  select st.id_carrito, (select min(e.fecha) from ev e where e.id_carrito = st.id_carrito
+                         and e.fecha > st.s + interval 24 hour), st.n + 1
+  from starts st
+  where exists (select 1 from ev e where e.id_carrito = st.id_carrito and e.fecha > st.s + interval 24 hour))
+select c.*, cast(st.n as bigint) carrito_n, st.s creacion_carrito
+from cart_events c asof join starts st on c.id_carrito = st.id_carrito and c.fecha >= st.s
+""")(lambda ctx: carts.active_carts(ctx["cart_events"]))

@@ -108,7 +108,21 @@ select 1, 'Ganancias Totales', '', cast(coalesce(sum(total), 0) as double) from
 """)(lambda ctx: sinks.top_products_sheet(
     sales.top_products(ctx, 5), ctx["ventas"].select(F.coalesce(F.sum("total"), F.lit(0))).scalar()))
 
-register("order_documents", "O09")(lambda ctx: sinks.order_documents(orders.order_items(ctx)))
+register("order_documents", "O09", """
+with it as (
+  select d.id_pedido, d.id_detalle id, d.id_producto product_id, coalesce(p.nombre, 'Producto personalizado') name,
+    d.cantidad quantity, cast(coalesce(d.precio_unitario, 0) as double) price,
+    cast(coalesce(d.precio_unitario, 0) * case when d.cantidad is null or d.cantidad = 0 then 1
+         else d.cantidad end as double) total
+  from detalle_pedidos d left join productos p on p.id_producto = d.id_producto),
+n as (select *, cast(floor((row_number() over (partition by id_pedido
+        order by id, product_id, name, quantity, price, total) - 1) / 1000) as integer) pieza from it)
+select id_pedido, pieza,
+  to_json(list(struct_pack(id := id, product_id := product_id, name := name, quantity := quantity,
+                           price := price, total := total) order by id, product_id, name, quantity, price, total))
+    items_json
+from n group by id_pedido, pieza
+""")(lambda ctx: sinks.order_documents(orders.order_items(ctx)))
 
 register("vat_breakdown", "O50", """
 select id_venta, cast(total as double) subtotal, cast(round(total * 16 / 100, 2) as double) impuesto,
