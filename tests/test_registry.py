@@ -31,6 +31,5 @@ def test_query_matches_oracle(spark, con, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
-def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
