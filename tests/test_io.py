@@ -80,3 +80,32 @@ def test_checkout_frames_are_consistent(spark, ctx):
     assert s.count() == out["orders"].count() == out["sales"].count() == out["invoices"].count()
     assert out["order_lines"].count() == s.agg(F.sum("lineas")).first()[0]
     assert s.join(out["rejected"], "id_carrito").count() == 0
+
+
+def test_invoice_lines_and_snapshot(spark, ctx):
+    inv = sales.invoice_totals(ctx, with_lines=True)
+    lines = ctx["detalle_ventas"].groupBy("id_venta").count().withColumnRenamed("id_venta", "id")
+    chk = inv.join(lines, "id", "left").filter(F.coalesce(F.size("detalles"), F.lit(0)) != F.coalesce("count", F.lit(0)))
+    assert chk.count() == 0
+    d = _scratch()
+    sinks.write_snapshot(inv.select("id", "numero", "total"), os.path.join(d, "facturas"))
+    assert spark.read.parquet(os.path.join(d, "facturas")).count() == ctx["ventas"].count()
+
+
+def test_linked_accounts_map(spark, ctx):
+    from vitrina.operators import accounts
+    m = accounts.linked_accounts_map(ctx["cuentas_vinculadas"])
+    for r in m.collect():
+        assert set(r.cuentas) <= {"google", "facebook"}
+        assert all(v.endswith("@example.com") for v in r.cuentas.values())
+
+
+def test_custom_report_period(spark):
+    import datetime as dt
+    from vitrina.functions import periods
+    f, t = periods.report_period("custom", F.lit(dt.date(1998, 3, 18)), F.lit("1998-01-05"), F.lit("1998-02-01"))
+    r = spark.range(1).select(f.alias("f"), t.alias("t")).first()
+    assert (r.f, r.t) == (dt.date(1998, 1, 5), dt.date(1998, 2, 1))
+    f, t = periods.report_period("annual", F.lit(dt.date(1998, 3, 18)))
+    r = spark.range(1).select(f.alias("f"), t.alias("t")).first()
+    assert (r.f, r.t) == (dt.date(1998, 1, 1), dt.date(1998, 3, 18))
