@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 def dense_ids(df: DataFrame, order_cols: list[str], base: Column | int, id_col: str,
               checkpoint: bool = True) -> DataFrame:
     spark = df.sparkSession
+    if checkpoint:
+        from vitrina.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     numbered = ranged.withColumn(

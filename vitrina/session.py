@@ -75,5 +75,6 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/vitrina-che
     if not path:
         path = fallback
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext.getCheckpointDir() is None:  # Spark may already use the setting
+        spark.sparkContext.setCheckpointDir(path)
     return path
