@@ -109,3 +109,13 @@ def test_custom_report_period(spark):
     f, t = periods.report_period("annual", F.lit(dt.date(1998, 3, 18)))
     r = spark.range(1).select(f.alias("f"), t.alias("t")).first()
     assert (r.f, r.t) == (dt.date(1998, 1, 1), dt.date(1998, 3, 18))
+
+
+def test_read_evolving_merges_old_and_new_files(spark):
+    from vitrina.operators import checks
+    d = _scratch()
+    spark.createDataFrame([(1, "Ana")], "id_cliente long, nombre string").write.parquet(f"{d}/t/a=1")
+    spark.createDataFrame([(2, "Luis", "V-2")], "id_cliente long, nombre string, cedula string").write.parquet(f"{d}/t/a=2")
+    df = checks.read_evolving(spark, f"{d}/t", [("cedula", "string", None), ("origen", "string", "auto")])
+    rows = {r.id_cliente: (r.cedula, r.origen) for r in df.collect()}
+    assert rows == {1: (None, "auto"), 2: ("V-2", "auto")}

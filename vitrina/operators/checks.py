@@ -16,6 +16,16 @@ def schema_evolve(df: DataFrame, added: list[tuple[str, str, object]]) -> DataFr
     return df.select("*", *extra) if extra else df
 
 
+def read_evolving(spark, path: str, added: list[tuple[str, str, object]]) -> DataFrame:
+    """O02 over files: read a table whose parquet files were written before
+    and after columns were added (``mergeSchema`` unions the file schemas;
+    old files read the new columns as NULL), then add the columns no file has
+    yet. Rows from old files keep NULL in added columns, as SQLite's
+    ``ALTER TABLE ADD COLUMN`` does without a default."""
+    df = spark.read.option("mergeSchema", "true").parquet(path)
+    return schema_evolve(df, added)
+
+
 # The declared keys of the shop schema that the application
 # relies on: (table, kind, column, referenced table, referenced column).
 RULES = [
