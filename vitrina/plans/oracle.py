@@ -46,7 +46,8 @@ BINDINGS: dict[str, str] = {
               from events where event_type = 'signup') t
         group by proveedor, proveedor_id""",
     "roles": """
-        select * from (values (1, 'Administrador Panel'), (2, 'Trabajador'), (3, 'Administrador Web')) t(id_rol, nombre)""",
+        select cast(id_rol as bigint) id_rol, nombre
+        from (values (1, 'Administrador Panel'), (2, 'Trabajador'), (3, 'Administrador Web')) t(id_rol, nombre)""",
     "ventas": """
         select o_orderkey id_venta, case when o_orderkey % 50 = 0 then -1 else o_custkey end id_cliente,
           o_orderdate fecha, cast(o_totalprice as decimal(18,2)) total
@@ -60,12 +61,12 @@ BINDINGS: dict[str, str] = {
           cast(l_extendedprice as decimal(18,2)) costo_unitario, l_shipdate fecha
         from lineitem where l_returnflag = 'R'""",
     "estados_pedido": """
-        select * from (values (1, 'Pendiente de Verificación'), (2, 'Procesando'), (3, 'Enviado'),
-          (4, 'Entregado')) t(id_estado, nombre)""",
+        select cast(id_estado as bigint) id_estado, nombre from (values (1, 'Pendiente de Verificación'),
+          (2, 'Procesando'), (3, 'Enviado'), (4, 'Entregado')) t(id_estado, nombre)""",
     "pedidos": """
         select o_orderkey id_pedido, o_custkey id_cliente,
-          case when o_orderstatus = 'P' then 1 when o_orderstatus = 'O' then 2
-               when o_orderpriority = '1-URGENT' then 3 else 4 end id_estado,
+          cast(case when o_orderstatus = 'P' then 1 when o_orderstatus = 'O' then 2
+               when o_orderpriority = '1-URGENT' then 3 else 4 end as bigint) id_estado,
           o_orderdate fecha, cast(o_totalprice as decimal(18,2)) total
         from orders""",
     "detalle_pedidos": """

@@ -123,7 +123,7 @@ register("trending", "O43", _CATALOG.format(extra="", order="p.id_producto desc"
 
 _order_values = ", ".join(f"('{n}', {i + 1})" for i, n in enumerate(DISPLAY_ORDER))
 register("ordered_category_filter", "O44", f"""
-select c.id_categoria, c.nombre, o.posicion
+select c.id_categoria, c.nombre, cast(o.posicion as bigint) posicion
 from categorias c join (values {_order_values}) o(nombre, posicion) on o.nombre = c.nombre
 order by posicion, id_categoria
 """)(lambda ctx: catalog.ordered_category_filter(ctx, DISPLAY_ORDER))

@@ -109,7 +109,7 @@ from chk
     "id_detalle", "id_carrito", "id_producto", "cantidad_pedida", "disponible", "ok", "mensaje"))
 
 register("stock_check_per_product", "O63", """
-with req as (select id_carrito, id_producto, sum(greatest(1, coalesce(cantidad, 1))) q
+with req as (select id_carrito, id_producto, cast(sum(greatest(1, coalesce(cantidad, 1))) as bigint) q
              from carrito_compra group by id_carrito, id_producto)
 select r.id_carrito, r.id_producto, r.q cantidad_pedida, coalesce(i.stock_actual, 0) disponible,
   (r.id_producto is null or r.id_producto = 0 or coalesce(i.stock_actual, 0) >= r.q) ok

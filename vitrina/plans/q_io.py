@@ -118,9 +118,9 @@ with it as (
 n as (select *, cast(floor((row_number() over (partition by id_pedido
         order by id, product_id, name, quantity, price, total) - 1) / 1000) as integer) pieza from it)
 select id_pedido, pieza,
-  to_json(list(struct_pack(id := id, product_id := product_id, name := name, quantity := quantity,
+  cast(to_json(list(struct_pack(id := id, product_id := product_id, name := name, quantity := quantity,
                            price := price, total := total) order by id, product_id, name, quantity, price, total))
-    items_json
+    as varchar) items_json
 from n group by id_pedido, pieza
 """)(lambda ctx: sinks.order_documents(orders.order_items(ctx)))
 
