@@ -46,17 +46,28 @@ def _key(row):
     return tuple((x is None, str(type(x)), x if x is not None else 0) for x in row)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def compare(spark, con, name: str, build, sql: str, sf_dir: str) -> dict:
     sdf = build(spark, sf_dir)
     s_cols = list(sdf.columns)
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    d_types = {c: str(t) for c, t in zip(con.sql(sql).columns, con.sql(sql).types)}
     d_rows = res.fetchall()
     out = {"name": name, "spark_rows": len(s_rows), "duck_rows": len(d_rows)}
     if sorted(s_cols) != sorted(d_cols):
         out.update(ok=False, why=f"columns differ: {sorted(s_cols)} vs {sorted(d_cols)}")
         return out
+    bad_types = [(c, t, d_types.get(c)) for c, t in s_types.items()
+                 if SPARK_TO_DUCK.get(t, t.upper()) != d_types.get(c)]
+    if bad_types:
+        out.update(ok=False, why=f"types differ: {bad_types}")
+        return out
     order = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
     d_index = {c: i for i, c in enumerate(d_cols)}
     s_norm = sorted((tuple(_norm(r[i]) for i in order) for r in s_rows), key=_key)
