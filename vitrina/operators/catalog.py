@@ -155,16 +155,17 @@ def sales_picker(ctx, limit: int = 20) -> DataFrame:
 
 
 def valid_and_rejected(df: DataFrame, required: list[str], allow_zero: tuple[str, ...] = ()) -> DataFrame:
-    """Tag each row with the first missing required field (NULL or '');
-    ``reason`` is NULL for valid rows. Fields in ``allow_zero`` are rejected
-    only when NULL (a price of 0 passes)."""
+    """Tag each row with the first missing required field (NULL or '',
+    Python's falsy text; '  ' counts as given); ``reason`` is NULL for valid
+    rows. Fields in ``allow_zero`` are rejected only when NULL (a price of 0
+    passes)."""
     reason = F.lit(None).cast("string")
     for name in reversed(required):
         c = F.col(name)
         if name in allow_zero or dict(df.dtypes)[name] != "string":
             missing = c.isNull()
         else:
-            missing = c.isNull() | (F.trim(c) == "")
+            missing = c.isNull() | (c == "")
         reason = F.when(missing, F.lit(f"falta {name}")).otherwise(reason)
     return df.withColumn("reason", reason).withColumn("valido", F.col("reason").isNull())
 

@@ -19,6 +19,7 @@ from vitrina.operators.sales import active_rate
 DEFAULT_STATE = "Pendiente"
 CUSTOM_PRODUCT_NAME = "Producto personalizado"
 DEFAULT_ROLE = "Trabajador"
+NO_CARRIER = "Sin asignar"
 # Admin action for each order state.
 NEXT_ACTION = [("Pendiente de Verificación", "verificar"), ("Procesando", "enviar"),
                ("Enviado", "entregar")]
@@ -42,15 +43,21 @@ def _states(ctx) -> DataFrame:
 
 
 def order_history(ctx) -> DataFrame:
-    """Orders per client with state, carrier, tracking; newest first."""
+    """Orders per client with state, carrier, tracking; newest first.
+    ``envio_texto`` / ``guia_texto`` are the texts the order page shows
+    ('Sin asignar' for no carrier or 'Pendiente', 'Pendiente' for no tracking)."""
     ship = orders_one_shipment(ctx).select("id_pedido", "empresa_envio", "numero_guia")
     j = (ctx["pedidos"].join(_states(ctx), "id_estado", "left")
          .join(ship, "id_pedido", "left"))
+    carrier = F.coalesce("empresa_envio", F.lit(""))
+    tracking = F.coalesce("numero_guia", F.lit(""))
     return (j.select("id_cliente", F.col("id_pedido").alias("id"), "fecha",
                      to_money(F.coalesce("total", F.lit(0).cast(DEC))).alias("total"),
                      F.coalesce("estado", F.lit(DEFAULT_STATE)).alias("estado"),
-                     F.coalesce("empresa_envio", F.lit("")).alias("empresa_envio"),
-                     F.coalesce("numero_guia", F.lit("")).alias("numero_guia"))
+                     carrier.alias("empresa_envio"), tracking.alias("numero_guia"),
+                     F.when((carrier != "") & (carrier != "Pendiente"), carrier)
+                      .otherwise(F.lit(NO_CARRIER)).alias("envio_texto"),
+                     F.when(tracking != "", tracking).otherwise(F.lit("Pendiente")).alias("guia_texto"))
             .orderBy(F.asc_nulls_first("id_cliente"), F.desc_nulls_last("fecha"), F.asc("id")))
 
 

@@ -100,10 +100,10 @@ select * from (
 
 register("product_form_check", "O18", """
 select id_producto,
-  case when nombre is null or trim(nombre) = '' then 'falta nombre'
+  case when nombre is null or nombre = '' then 'falta nombre'
        when precio_venta is null then 'falta precio_venta'
        when id_categoria is null then 'falta id_categoria' end reason,
-  not (nombre is null or trim(nombre) = '' or precio_venta is null or id_categoria is null) valido
+  not (nombre is null or nombre = '' or precio_venta is null or id_categoria is null) valido
 from productos
 """)(catalog.product_form_check)
 

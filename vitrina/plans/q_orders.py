@@ -11,7 +11,9 @@ _SHIP = """(select * from (select e.*, row_number() over (partition by id_pedido
 register("order_history", "O21", f"""
 select p.id_cliente, p.id_pedido id, p.fecha, cast(coalesce(p.total, 0) as double) total,
   coalesce(e.nombre, 'Pendiente') estado, coalesce(s.empresa_envio, '') empresa_envio,
-  coalesce(s.numero_guia, '') numero_guia
+  coalesce(s.numero_guia, '') numero_guia,
+  case when coalesce(s.empresa_envio, '') not in ('', 'Pendiente') then s.empresa_envio else 'Sin asignar' end envio_texto,
+  case when coalesce(s.numero_guia, '') <> '' then s.numero_guia else 'Pendiente' end guia_texto
 from pedidos p left join estados_pedido e on e.id_estado = p.id_estado
 left join {_SHIP} s on s.id_pedido = p.id_pedido
 order by p.id_cliente nulls first, p.fecha desc nulls last, p.id_pedido
