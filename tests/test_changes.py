@@ -100,7 +100,7 @@ def test_match_or_create_clients_tiers(spark):
         "key long, nombre string, correo string, direccion string, telefono string, cedula string")
     got = {r.key: (r.id_cliente, r.tier) for r in orders.match_or_create_clients(inc, clients).collect()}
     assert got[100] == (1, "correo") and got[101] == (2, "nombre_direccion")
-    assert got[102] == got[103] == (3, "nuevo")  # one new client per e-mail
+    assert got[102] == (3, "nuevo") and got[103] == (3, "correo")  # 103 finds the client 102 created
     assert got[104] == (4, "nuevo")
 
 
@@ -121,3 +121,21 @@ def test_linked_accounts_rules(spark):
     assert got["g1"] == (2, "vinculo")
     assert got["g9"] == (1, "correo")  # its link points to a deleted user: dropped, matched by e-mail
     assert got["f7"] == got["g7"] == (4, "nuevo")
+
+
+def test_match_or_create_clients_chains_like_the_sequential_reference(spark):
+    clients = spark.createDataFrame([(1, "Ana", "ana@x.com", "Caracas")],
+                                    "id_cliente long, nombre string, correo string, direccion string")
+    rows = [(10, "N1", "x@x.com", "A1"),   # creates 2
+            (11, "N1", "y@x.com", "A1"),   # e-mail unknown; (N1, A1) was created by 10 -> 2
+            (12, "N2", "y@x.com", "A2"),   # y@ never created (11 matched) -> creates 3
+            (13, "N3", "y@x.com", "A3"),   # y@ now created by 12 -> 3
+            (14, "N2", "z@x.com", "A2"),   # (N2, A2) created by 12 -> 3
+            (9, "N4", "", "A4"),           # creates, and lowest key of all -> 2? no: key order 9 first
+            (15, "N4", "", "A4")]          # (N4, A4) created by 9
+    inc = spark.createDataFrame([(k, n, c, d, "", "") for k, n, c, d in rows],
+                                "key long, nombre string, correo string, direccion string, telefono string, cedula string")
+    got = {r.key: (r.id_cliente, r.tier) for r in orders.match_or_create_clients(inc, clients).collect()}
+    # sequential replay: key 9 -> new 2, 10 -> new 3, 11 -> 3, 12 -> new 4, 13 -> 4, 14 -> 4, 15 -> 2
+    assert got == {9: (2, "nuevo"), 10: (3, "nuevo"), 11: (3, "nombre_direccion"), 12: (4, "nuevo"),
+                   13: (4, "correo"), 14: (4, "nombre_direccion"), 15: (2, "nombre_direccion")}

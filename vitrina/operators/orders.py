@@ -165,39 +165,75 @@ def users_with_role(ctx) -> DataFrame:
         "id_usuario", "nombre", "correo", "id_rol", F.coalesce("rol", F.lit(DEFAULT_ROLE)).alias("rol"))
 
 
+def _first_creators(cand: DataFrame) -> DataFrame:
+    """Rows that create a new client, exactly as the sequential reference
+    decides them. Each candidate row is an edge between its e-mail node and
+    its (name, address) node; a row creates a client iff no earlier creator
+    shares either node, i.e. the creators are the greedy maximal matching in
+    key order. Computed in rounds: a row that has the lowest key among the
+    undecided rows at both its nodes is a creator (every smaller row at its
+    nodes was already rejected); rows touching a new creator's nodes are
+    rejected. Each round is two aggregates and joins; the loop only reads a
+    count, and the shrinking sets are checkpointed to the shared folder."""
+    undecided = cand.select("key", "_mail_node", "_name_node")
+    creators = None
+    while True:
+        low_m = undecided.groupBy("_mail_node").agg(F.min("key").alias("_km"))
+        low_n = undecided.groupBy("_name_node").agg(F.min("key").alias("_kn"))
+        sel = (undecided.join(low_m, "_mail_node").join(low_n, "_name_node")
+               .filter((F.col("key") == F.col("_km")) & (F.col("key") == F.col("_kn")))
+               .select("key", "_mail_node", "_name_node")).checkpoint(eager=True)
+        creators = sel if creators is None else creators.unionByName(sel)
+        gone_m = sel.select("_mail_node").distinct()
+        gone_n = sel.select("_name_node").distinct()
+        undecided = (undecided.join(gone_m, "_mail_node", "left_anti")
+                     .join(gone_n, "_name_node", "left_anti")).checkpoint(eager=True)
+        if undecided.isEmpty():
+            return creators
+
+
 def match_or_create_clients(incoming: DataFrame, clients: DataFrame) -> DataFrame:
     """Tiered client match for incoming (key, nombre, correo, direccion,
-    telefono, cedula) rows.
-
-    Tier 1: by e-mail (skipped when the e-mail is empty); such matches carry
-    the new phone and id card. Tier 2: by (name, address), lowest client id.
-    Else a new client with origin 'auto'. Equal incoming keys collapse first
-    so one batch creates one client per key, as the sequential reference does.
+    telefono, cedula) rows, processed as the reference does, in key order.
+
+    Tier 1: a client with the e-mail (skipped for an empty e-mail): an
+    existing one, else a client created by an earlier incoming row. Tier 2: a
+    client with the same (name, address), existing first, else created
+    earlier. Else the row creates a client (origin 'auto'), numbered after the
+    current maximum in key order. Existing clients always have the lower ids,
+    so they win a tie within a tier (the reference's ``LIMIT 1``). E-mail
+    matches also carry the new phone and id card.
     Returns one row per incoming key: (key, id_cliente, tier).
     """
     by_mail = (clients.filter(F.col("correo").isNotNull() & (F.col("correo") != ""))
                .groupBy(F.col("correo").alias("_mail")).agg(F.min("id_cliente").alias("id_mail")))
     by_name = clients.groupBy("nombre", "direccion").agg(F.min("id_cliente").alias("id_name"))
     inc = incoming.withColumn("_mail", F.when(F.col("correo") != "", F.col("correo")))
-    j = (inc.join(by_mail, "_mail", "left")
-         .join(by_name, ["nombre", "direccion"], "left"))
-    matched = j.select("key", "nombre", "correo", "_mail", "direccion", "telefono", "cedula",
-                       F.coalesce("id_mail", "id_name").alias("id_cliente"),
-                       F.when(F.col("id_mail").isNotNull(), F.lit("correo"))
-                        .when(F.col("id_name").isNotNull(), F.lit("nombre_direccion"))
-                        .otherwise(F.lit("nuevo")).alias("tier"))
-    known = matched.filter(F.col("id_cliente").isNotNull())
-    new_rows = matched.filter(F.col("id_cliente").isNull())
-    # one new client per distinct incoming identity: e-mail if given, else (name, address)
-    ident = F.when(F.col("_mail").isNotNull(), F.concat(F.lit("m:"), F.col("_mail"))) \
-        .otherwise(F.concat(F.lit("n:"), F.coalesce("nombre", F.lit("")), F.lit("|"),
-                            F.coalesce("direccion", F.lit(""))))
-    new_rows = new_rows.withColumn("_ident", ident)
-    idents = new_rows.groupBy("_ident").agg(F.min("key").alias("_first"))
-    ids = dense_ids(idents, ["_first"], next_id_base(clients, "id_cliente"), "id_nuevo")
-    new_rows = new_rows.join(ids.select("_ident", "id_nuevo"), "_ident", "left") \
-        .withColumn("id_cliente", F.col("id_nuevo")).drop("id_nuevo", "_ident", "_mail")
-    return known.drop("_mail").unionByName(new_rows).select("key", "id_cliente", "tier")
+    inc = inc.withColumn("_name_node", F.concat_ws("\u0001", F.coalesce("nombre", F.lit("")),
+                                                   F.coalesce("direccion", F.lit(""))))
+    # an empty e-mail is no node to share: give the row a node of its own
+    inc = inc.withColumn("_mail_node", F.coalesce(F.concat(F.lit("m:"), "_mail"),
+                                                  F.concat(F.lit("k:"), F.col("key").cast("string"))))
+    j = inc.join(by_mail, "_mail", "left").join(by_name, ["nombre", "direccion"], "left")
+    cand = j.filter(F.col("id_mail").isNull() & F.col("id_name").isNull())
+    creators = _first_creators(cand)
+    creators = dense_ids(creators, ["key"], next_id_base(clients, "id_cliente"), "id_nuevo", checkpoint=False)
+    by_new_mail = creators.filter(F.col("_mail_node").startswith("m:")).select(
+        F.col("_mail_node"), F.col("key").alias("_ck_m"), F.col("id_nuevo").alias("id_new_mail"))
+    by_new_name = creators.select("_name_node", F.col("key").alias("_ck_n"), F.col("id_nuevo").alias("id_new_name"))
+    own = creators.select("key", F.col("id_nuevo").alias("id_own"))
+    r = (j.join(by_new_mail, "_mail_node", "left").join(by_new_name, "_name_node", "left")
+         .join(own, "key", "left"))
+    # a created client only counts for rows after its creator
+    new_mail = F.when(F.col("_ck_m") < F.col("key"), F.col("id_new_mail"))
+    new_name = F.when(F.col("_ck_n") < F.col("key"), F.col("id_new_name"))
+    mail_id = F.coalesce(F.col("id_mail"), new_mail)
+    name_id = F.coalesce(F.col("id_name"), new_name)
+    return r.select(
+        "key",
+        F.coalesce(mail_id, name_id, F.col("id_own")).alias("id_cliente"),
+        F.when(mail_id.isNotNull(), F.lit("correo")).when(name_id.isNotNull(), F.lit("nombre_direccion"))
+         .otherwise(F.lit("nuevo")).alias("tier"))
 
 
 def incoming_from_customers(ctx) -> DataFrame:

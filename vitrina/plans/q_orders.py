@@ -105,7 +105,9 @@ select key, coalesce(id_mail, id_name) id_cliente,
   case when id_mail is not null then 'correo' else 'nombre_direccion' end tier
 from m where id_mail is not null or id_name is not null
 union all
-select f.key, n.id_nuevo, 'nuevo' from fresh f join new_ids n on n.ident = f.ident
+select f.key, n.id_nuevo,
+  case when f.key = i.first_key then 'nuevo' when f.ident like 'm:%' then 'correo' else 'nombre_direccion' end
+from fresh f join new_ids n on n.ident = f.ident join idents i on i.ident = f.ident
 """)(lambda ctx: orders.match_or_create_clients(orders.incoming_from_customers(ctx), ctx["clientes"]))
 
 from vitrina.operators import accounts  # noqa: E402
