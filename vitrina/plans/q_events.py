@@ -91,3 +91,11 @@ starts(id_carrito, s, n) as (
 select c.*, cast(st.n as bigint) carrito_n, st.s creacion_carrito
 from cart_events c asof join starts st on c.id_carrito = st.id_carrito and c.fecha >= st.s
 """)(lambda ctx: carts.active_carts(ctx["cart_events"]))
+
+_SHOP_LIMIT_SQL = "\nunion all\n".join(
+    f"""select user_id, date_trunc('{unit}', ts) ventana_inicio, date_trunc('{unit}', ts) + interval 1 {unit} ventana_fin,
+  count(*) solicitudes, {n} limite, '1 {unit}' ventana
+from events group by user_id, date_trunc('{unit}', ts) having count(*) > {n}"""
+    for n, unit in [(200, "day"), (50, "hour"), (10, "minute"), (5, "minute")])
+
+register("shop_limit_flags", "O75", _SHOP_LIMIT_SQL)(lambda ctx: limits.shop_limit_flags(ctx.raw("events")))

@@ -25,3 +25,21 @@ def rate_limit_flags(events: DataFrame, n: int, window: str, key: str = "user_id
     return c.filter(F.col("solicitudes") > n).select(
         key, F.col("w.start").alias("ventana_inicio"), F.col("w.end").alias("ventana_fin"),
         "solicitudes", F.lit(n).alias("limite"))
+
+
+def shop_limit_flags(events: DataFrame, limits: list[tuple[int, str]] | None = None,
+                     key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """O75 for every limit the shop sets at once: one aggregation per window
+    length (limits sharing a window share it), flags tagged with the limit."""
+    limits = limits or SHOP_LIMITS
+    parts = []
+    for window in dict.fromkeys(w for _, w in limits):
+        counts = rate_limit_counts(events, window, key, ts)
+        for n in sorted({n for n, w in limits if w == window}):
+            parts.append(counts.filter(F.col("solicitudes") > n).select(
+                key, F.col("w.start").alias("ventana_inicio"), F.col("w.end").alias("ventana_fin"),
+                "solicitudes", F.lit(n).alias("limite"), F.lit(window).alias("ventana")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
