@@ -139,3 +139,15 @@ def test_match_or_create_clients_chains_like_the_sequential_reference(spark):
     # sequential replay: key 9 -> new 2, 10 -> new 3, 11 -> 3, 12 -> new 4, 13 -> 4, 14 -> 4, 15 -> 2
     assert got == {9: (2, "nuevo"), 10: (3, "nuevo"), 11: (3, "nombre_direccion"), 12: (4, "nuevo"),
                    13: (4, "correo"), 14: (4, "nombre_direccion"), 15: (2, "nombre_direccion")}
+
+
+def test_active_rate_sources(spark):
+    from vitrina.operators import sales
+    cfg = lambda usd: spark.createDataFrame([(Decimal("16.00"), usd)], "iva_default decimal(5,2), tasa_usd decimal(12,4)")
+    feed = spark.createDataFrame([(36.6,), (0.0,)], "usd double")
+    manual = sales.active_rate(Ctx(spark, configuracion=cfg(Decimal("41.5000"))), feed).first()
+    bcv = sales.active_rate(Ctx(spark, configuracion=cfg(Decimal("0.0000"))), feed).first()
+    default = sales.active_rate(Ctx(spark, configuracion=cfg(None))).first()
+    assert (float(manual.tasa), manual.fuente) == (41.5, "manual")
+    assert (float(bcv.tasa), bcv.fuente) == (36.6, "bcv")
+    assert (float(default.tasa), default.fuente) == (40.0, "bcv")

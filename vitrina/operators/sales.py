@@ -154,7 +154,7 @@ def sales_by_period(ctx, period: str = "monthly") -> DataFrame:
     before the shuffle, so the shuffle carries one row per (partition, period).
     """
     v = ctx["ventas"].select(F.to_date("fecha").alias("d"), "total")
-    start, end = period_bounds(F.col("d"), period)
+    start, _ = period_bounds(F.col("d"), period)
     g = v.groupBy(start.alias("desde")).agg(
         F.count(F.lit(1)).alias("facturas"),
         F.coalesce(F.sum("total"), F.lit(0).cast(DEC)).alias("total"))
