@@ -114,3 +114,15 @@ def test_hot_product_is_exact_and_spread(spark):
     assert {k: sorted(v) for k, v in g.items()} == want
     hot_days = base.filter("id_producto = 1").select(F.to_date("fecha")).distinct().count()
     assert hot_days >= 100  # the hot product's windows run as >= 100 separate (product, day) groups
+
+
+def test_asof_rate_edges(spark):
+    from vitrina.streaming import rates
+    t = dt.datetime
+    r = spark.createDataFrame([(t(2024, 1, 10), 1.5), (t(2024, 3, 1), 2.0), (t(2024, 9, 1), 3.0)],
+                              "fecha timestamp_ntz, tasa double")
+    f = spark.createDataFrame([(1, t(2024, 1, 9)), (2, t(2024, 1, 10)), (3, t(2024, 2, 29, 23)), (4, t(2024, 5, 5))],
+                              "k long, fecha timestamp_ntz")
+    got = {x.k: x.tasa for x in rates.asof_rate(f, r).collect()}
+    # before the first rate -> none; the last rate starts after the last fact
+    assert got == {1: None, 2: 1.5, 3: 1.5, 4: 2.0}

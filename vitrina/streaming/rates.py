@@ -21,7 +21,8 @@ def rate_intervals(rates: DataFrame, until) -> DataFrame:
     w = Window.orderBy("fecha")
     iv = rates.select(F.col("fecha").alias("valid_from"), "tasa",
                       F.lead("fecha").over(w).alias("valid_to"))
-    end = F.coalesce(F.col("valid_to"), until)
+    # an open last interval ends at the last fact; never before its own start
+    end = F.greatest(F.coalesce(F.col("valid_to"), until), F.col("valid_from"))
     months = F.sequence(F.trunc(F.to_date("valid_from"), "month"),
                         F.trunc(F.to_date(end), "month"), F.expr("interval 1 month"))
     return iv.withColumn("_month", F.explode(months))
