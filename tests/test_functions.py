@@ -143,3 +143,14 @@ def test_cart_payload_python_truthiness(spark):
     df = spark.createDataFrame([(1, payload)], "id_carrito long, payload string")
     got = [(r.id, r.quantity, r.price) for r in files.parse_cart_payload(df).orderBy("pos").collect()]
     assert got == [(1, 4, 0.0), (3, 1, 10.0), (0, 2, 0.0)]
+
+
+def test_empty_inputs(spark):
+    from vitrina.operators import orders as orders_mod
+    empty = spark.createDataFrame([], "k long")
+    assert dense_ids(empty, ["k"], 5, "nid").count() == 0
+    clients = spark.createDataFrame([(1, "Ana", "a@x.com", "C")], "id_cliente long, nombre string, correo string, direccion string")
+    inc = spark.createDataFrame([(7, "Ana", "a@x.com", "C", "", "")],
+                                "key long, nombre string, correo string, direccion string, telefono string, cedula string")
+    got = [(r.key, r.id_cliente, r.tier) for r in orders_mod.match_or_create_clients(inc, clients).collect()]
+    assert got == [(7, 1, "correo")]  # nothing to create: the matching rounds see no rows
