@@ -38,3 +38,21 @@ def test_clamped_stock(spark, lines, stock):
         else:
             assert 0 <= r.stock_despues <= r.stock_antes
             assert r.stock_despues == max(0, r.stock_antes - r.descontado)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-3, 60), max_size=400), st.one_of(st.none(), st.integers(0, 300)))
+def test_guard_scan_equals_line_by_line(qty, stock):
+    import numpy as np
+    from vitrina.streaming.ledger import guard_scan
+    want, left = [], stock
+    for q in qty:
+        if left is None:
+            want.append(True)
+        elif left >= q:
+            left -= q
+            want.append(True)
+        else:
+            want.append(False)
+    ok, rest = guard_scan(np.array(qty, dtype=np.int64), stock)
+    assert list(ok) == want and rest == left

@@ -66,9 +66,39 @@ GUARD_ORDER = ["fecha", "id_venta", "id_detalle", "cantidad"]
 GUARD_COLS = ["id_venta", "id_detalle", "id_producto", "fecha", "cantidad"]
 
 
+def guard_scan(qty: np.ndarray, left) -> tuple[np.ndarray, object]:
+    """Sequential oversell decisions for one product's lines in order, from
+    stock ``left``: a line is accepted iff it fits in what is left. Instead
+    of a step per line, each step searches (numpy, growing windows) for the
+    next line that fits, so the Python work is one step per accepted line.
+    ``left`` None (no stock row) accepts everything."""
+    n = len(qty)
+    ok = np.zeros(n, dtype=bool)
+    if left is None:
+        ok[:] = True
+        return ok, None
+    i = 0
+    while i < n:
+        w, j = 64, -1
+        while True:  # find the next line (from i) with qty <= left
+            hit = np.flatnonzero(qty[i:i + w] <= left)
+            if hit.size:
+                j = i + int(hit[0])
+                break
+            if i + w >= n:
+                break
+            i, w = i + w, w * 2
+        if j < 0:
+            break
+        ok[j] = True
+        left -= qty[j]
+        i = j + 1
+    return ok, left
+
+
 def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive hash-partitioned by product and sorted by (product, order).
-    State: the current product and its stock left. Accepted lines reduce it."""
+    State: the current product and its stock left."""
     cur, left = None, None
     for pdf in batches:
         if pdf.empty:
@@ -76,16 +106,13 @@ def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prods = pdf["id_producto"].to_numpy()
         qty = pdf["cantidad"].to_numpy()
         start = pdf["_start"].to_numpy()
-        ok = np.empty(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if prods[i] != cur:
-                cur, left = prods[i], start[i]
-            q = qty[i]
-            if left >= q:
-                left -= q
-                ok[i] = True
-            else:
-                ok[i] = False
+        ok = np.zeros(len(pdf), dtype=bool)
+        cuts = np.flatnonzero(prods[1:] != prods[:-1]) + 1
+        bounds = np.concatenate(([0], cuts, [len(pdf)]))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if prods[a] != cur:
+                cur, left = prods[a], start[a]
+            ok[a:b], left = guard_scan(qty[a:b], left)
         out = pdf[GUARD_COLS].copy()
         out["aceptada"] = ok
         yield out
@@ -106,7 +133,9 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
         later line larger than s0 is rejected in parallel;
     (3) only the remaining candidates (quantity <= s0) run through an ordered
         fold that streams each product's rows in sorted order (``mapInPandas``
-        after a sort within hash partitions), holding one number of state.
+        after a sort within hash partitions), holding one number of state and
+        jumping to the next line that fits (``guard_scan``), so Python steps
+        are per accepted line, at most s0 of them.
     A product with a negative quantity sends all its lines to the fold,
     starting from the opening stock. No product's rows are gathered in memory.
     """

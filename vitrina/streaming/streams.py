@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,15 +67,8 @@ def _guard_state(key, pdfs: Iterator[pd.DataFrame], state):
     else:
         o = pdf["_open"].iloc[0]
         left = None if pd.isna(o) else int(o)
-    ok = np.ones(len(pdf), dtype=bool)
-    if left is not None:
-        q = pdf["cantidad"].to_numpy()
-        for i in range(len(pdf)):
-            if left >= q[i]:
-                left -= int(q[i])
-            else:
-                ok[i] = False
-    state.update((left,))
+    ok, left = ledger_mod.guard_scan(pdf["cantidad"].to_numpy(), left)
+    state.update((None if left is None else int(left),))
     pdf["aceptada"] = ok
     yield pdf[["id_venta", "id_detalle", "id_producto", "fecha", "cantidad", "aceptada"]]
 
