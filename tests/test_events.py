@@ -126,3 +126,15 @@ def test_asof_rate_edges(spark):
     got = {x.k: x.tasa for x in rates.asof_rate(f, r).collect()}
     # before the first rate -> none; the last rate starts after the last fact
     assert got == {1: None, 2: 1.5, 3: 1.5, 4: 2.0}
+
+
+def test_active_carts_parallel_path_matches_fold(spark, ctx):
+    """Every client taken as hot: the pointer-doubling path equals the fold."""
+    from vitrina.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    ev = ctx["cart_events"]
+    par = carts.active_carts(ev, hot_rows=0).toPandas()
+    want = _carts_brute(ev.toPandas())
+    got = {r.id_detalle: (r.carrito_n, r.creacion_carrito) for r in par.itertuples()}
+    assert len(par) == ev.count()
+    assert got == want

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIFE_SECONDS = 24 * 3600  # Fixed value: cart life, inclusive boundary.
@@ -49,14 +49,90 @@ def _fold_carts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_k": pdf["_k"].to_numpy(), "_start": starts, "carrito_n": numbers})
 
 
+HOT_CLIENT_ROWS = 5_000_000  # clients above this many events take the parallel path
+_LIFE = LIFE_SECONDS * 1_000_000
+_HOUR = 3600 * 1_000_000
+
+
+def _next_start_after(times: DataFrame) -> DataFrame:
+    """(_client, _t) distinct -> (_client, _t, _nxt): the first event time
+    strictly after _t + life (NULL if none), computed as a suffix minimum over
+    the merged, sorted sequence of event times and shifted query times. The
+    scan is bucketed by hour: per-bucket minima give the part after the
+    bucket (a window over one row per client-hour), a window inside each
+    (client, hour) gives the rest, so no client is one task."""
+    ev = times.select("_client", F.col("_t").alias("_key"), F.lit(0).alias("_kind"),
+                      F.col("_t").alias("_ev"), F.lit(None).cast("long").alias("_q"))
+    qs = times.select("_client", (F.col("_t") + _LIFE).alias("_key"), F.lit(1).alias("_kind"),
+                      F.lit(None).cast("long").alias("_ev"), F.col("_t").alias("_q"))
+    u = ev.unionByName(qs).withColumn("_b", F.floor(F.col("_key") / _HOUR))
+    later = Window.partitionBy("_client").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    bmin = (u.groupBy("_client", "_b").agg(F.min("_ev").alias("_bmin"))
+            .withColumn("_later", F.min("_bmin").over(later)).drop("_bmin"))
+    # events at the same key sort before the query: "strictly after" holds
+    inside = Window.partitionBy("_client", "_b").orderBy("_key", "_kind").rowsBetween(1, Window.unboundedFollowing)
+    x = u.withColumn("_in", F.min("_ev").over(inside)).filter(F.col("_kind") == 1)
+    x = x.join(bmin, ["_client", "_b"], "inner")
+    return x.select("_client", F.col("_q").alias("_t"), F.least("_in", "_later").alias("_nxt"))
+
+
+def _cart_starts_parallel(times: DataFrame) -> DataFrame:
+    """Cart starts (creation times) of every client: the orbit of the client's
+    first event under "next start", by pointer doubling. J_i maps a time to
+    its 2^i-th next start; P_i holds the first 2^i starts; P_{i+1} = P_i plus
+    J_i(P_i). Rounds = log2(carts per client); each round is two joins on
+    (client, time) and the tables are checkpointed to the shared folder."""
+    jump = _next_start_after(times).filter(F.col("_nxt").isNotNull()).checkpoint(eager=True)
+    starts = times.groupBy("_client").agg(F.min("_t").alias("_s")).checkpoint(eager=True)
+    while True:
+        step = (starts.join(jump.withColumnRenamed("_t", "_s"), ["_client", "_s"], "inner")
+                .select("_client", F.col("_nxt").alias("_s")))
+        step = step.join(starts, ["_client", "_s"], "left_anti").checkpoint(eager=True)
+        if step.isEmpty():
+            return starts
+        starts = starts.unionByName(step).checkpoint(eager=True)
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = (a.join(b, (F.col("a._client") == F.col("b._client")) & (F.col("a._nxt") == F.col("b._t")), "inner")
+                .select(F.col("a._client").alias("_client"), F.col("a._t").alias("_t"), F.col("b._nxt").alias("_nxt"))
+                .checkpoint(eager=True))
+
+
+def _assign_to_starts(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each event -> the cart whose [start, start + life] holds it (the
+    intervals of one client are disjoint and cover its events). Starts are
+    exploded to the day buckets they touch, so the join is an equi join on
+    (client, day) plus the interval test. Cart numbers count the client's
+    starts (at most one per day: a window over calendar-sized rows)."""
+    w = Window.partitionBy("_client").orderBy("_s")
+    st = starts.withColumn("carrito_n", F.row_number().over(w).cast("long"))
+    day = F.floor(F.col("_s") / _LIFE)
+    st = st.withColumn("_d", F.explode(F.array_distinct(F.array(day, F.floor((F.col("_s") + _LIFE) / _LIFE)))))
+    ev = e.withColumn("_d", F.floor(F.col("_t") / _LIFE))
+    j = ev.join(st, ["_client", "_d"], "inner").filter(
+        (F.col("_t") >= F.col("_s")) & (F.col("_t") <= F.col("_s") + _LIFE))
+    return j.select("_k", F.col("_s").alias("_start"), "carrito_n")
+
+
 def active_carts(events: DataFrame, client: str = "id_carrito", ts: str = "fecha",
-                 event_id: str = "id_detalle") -> DataFrame:
-    """Each cart event with its cart: (client, cart number 1.., cart creation)."""
+                 event_id: str = "id_detalle", hot_rows: int = HOT_CLIENT_ROWS) -> DataFrame:
+    """Each cart event with its cart: (client, cart number 1.., cart creation).
+
+    Clients with up to ``hot_rows`` events go through the sorted streaming
+    fold (cheapest); hotter clients are split over many tasks by the parallel
+    path (next-start scan, pointer doubling, bucketed range join). Both are
+    exact; tests compare both with a sequential replay."""
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = events.select(F.col(event_id).alias("_k"), F.col(client).alias("_client"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    folded = (e.repartition(n, "_client").sortWithinPartitions("_client", "_t", "_k")
+    sizes = e.groupBy("_client").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.filter(F.col("_rows") > hot_rows).select("_client")
+    cool = e.join(hot, "_client", "left_anti")
+    folded = (cool.repartition(n, "_client").sortWithinPartitions("_client", "_t", "_k")
               .mapInPandas(_fold_carts, "_k long, _start long, carrito_n long"))
+    if not hot.isEmpty():
+        he = e.join(hot, "_client", "left_semi")
+        starts = _cart_starts_parallel(he.select("_client", "_t").distinct())
+        folded = folded.unionByName(_assign_to_starts(he, starts))
     out = events.join(folded.withColumnRenamed("_k", event_id), event_id, "inner")
     return out.withColumn("creacion_carrito",
                           F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")
