@@ -106,7 +106,7 @@ def test_hot_product_is_exact_and_spread(spark):
          + F.make_dt_interval(days=(F.col("id") % 400).cast("int"))).alias("fecha"),
         (F.col("id") % 7 + 1).cast("int").alias("cantidad"))
     inv = spark.createDataFrame([(1, 9000)] + [(i, 40) for i in range(2, 150)], "id_producto long, stock_actual int")
-    got = ledger.oversell_guard(base, inv).toPandas()
+    got = ledger.oversell_guard(base, inv, hot_candidates=100).toPandas()  # product 1 takes the chunked path
     want = _guard_brute(base.toPandas(), {r.id_producto: r.stock_actual for r in inv.collect()})
     g = {}
     for r in got.itertuples():
@@ -138,3 +138,16 @@ def test_active_carts_parallel_path_matches_fold(spark, ctx):
     got = {r.id_detalle: (r.carrito_n, r.creacion_carrito) for r in par.itertuples()}
     assert len(par) == ev.count()
     assert got == want
+
+
+def test_oversell_chunked_path_matches_fold(spark, ctx):
+    """Every product taken as hot: the chunked transition-table path equals
+    the sequential brute force."""
+    res = ledger.oversell_guard(ctx["detalle_ventas"], ctx["inventario"], hot_candidates=0).toPandas()
+    lines = ctx["detalle_ventas"].toPandas()
+    stock = {r.id_producto: r.stock_actual for r in ctx["inventario"].toPandas().itertuples()}
+    want = _guard_brute(lines, stock)
+    got = {}
+    for r in res.itertuples():
+        got.setdefault((r.id_venta, r.id_detalle, r.id_producto, r.fecha, r.cantidad), []).append(bool(r.aceptada))
+    assert len(res) == len(lines) and {k: sorted(v) for k, v in got.items()} == want

@@ -118,7 +118,11 @@ def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
+HOT_PRODUCT_CANDIDATES = 1_000_000  # products with a longer tail take the chunked path
+
+
+def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
+                   hot_candidates: int = HOT_PRODUCT_CANDIDATES) -> DataFrame:
     """In arrival order per product, a line that needs more than the
     stock left is rejected; accepted lines reduce the stock. A product
     without a stock row accepts everything (the check compares with NULL),
@@ -131,13 +135,15 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
     (2) one aggregate per product gives s0, the stock left before the first
         line that does not fit; stock only goes down from there, so every
         later line larger than s0 is rejected in parallel;
-    (3) only the remaining candidates (quantity <= s0) run through an ordered
-        fold that streams each product's rows in sorted order (``mapInPandas``
-        after a sort within hash partitions), holding one number of state and
-        jumping to the next line that fits (``guard_scan``), so Python steps
-        are per accepted line, at most s0 of them.
-    A product with a negative quantity sends all its lines to the fold,
-    starting from the opening stock. No product's rows are gathered in memory.
+    (3) the remaining candidates (quantity <= s0) need the sequential rule.
+        For most products they are few and stream through an ordered fold
+        (``mapInPandas`` after a sort within hash partitions, one number of
+        state, a numpy jump per accepted line). A hot product (a tail of
+        more than ``hot_candidates`` lines) is split: its stock is then an integer
+        in 0..s0, so ``_bounded_fold`` runs the rule as a parallel prefix over
+        (product, hour) chunks of transition tables.
+    A product with a negative quantity (stock may grow) always takes the
+    ordered fold, starting from its opening stock.
     """
     lines = sale_lines.select(*GUARD_COLS).withColumn("cantidad", F.col("cantidad").cast("long"))
     inv = inventory.select("id_producto", F.col("stock_actual").cast("long").alias("_open"))
@@ -145,7 +151,8 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
     x = x.join(inv, "id_producto", "left")
     per = x.groupBy("id_producto").agg(
         (F.min("cantidad") < 0).alias("_neg"),
-        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"))
+        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"),
+        F.count(F.when(F.col("_cum") > F.col("_open"), F.lit(1))).alias("_tail"))
     y = x.join(per, "id_producto", "left")
     s0 = F.col("_open") - F.coalesce("_pref", F.lit(0))
     decision = (F.when(F.col("_open").isNull() | F.col("cantidad").isNull(), F.lit(True))
@@ -154,12 +161,78 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
                 .when(F.col("cantidad") > s0, F.lit(False))
                 .otherwise(F.lit(None)).cast("boolean"))
     start = F.when(F.coalesce("_neg", F.lit(False)), F.col("_open")).otherwise(s0)
-    y = y.select(*GUARD_COLS, decision.alias("aceptada"), start.alias("_start"))
+    neg = F.coalesce("_neg", F.lit(False))
+    y = y.select(*GUARD_COLS, decision.alias("aceptada"), start.alias("_start"),
+                 (~neg & (F.coalesce("_tail", F.lit(0)) > hot_candidates)).alias("_hot"))
     direct = y.filter(F.col("aceptada").isNotNull()).select(*GUARD_COLS, "aceptada")
+    cand = y.filter(F.col("aceptada").isNull()).drop("aceptada")
     n = int(sale_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = (y.filter(F.col("aceptada").isNull()).drop("aceptada")
+    # hot products (many undecided lines, stock bounded by s0) are cut into
+    # hour chunks; the rest, and products with a negative quantity (stock may
+    # grow), stream through the ordered fold
+    # hot products (a long tail past the first line that does not fit; the
+    # stock is then bounded by s0) are cut into hour chunks; the rest, and
+    # products with a negative quantity (stock may grow), stream through the
+    # ordered fold
+    folded = (cand.filter(~F.col("_hot")).drop("_hot")
               .repartition(n, "id_producto")
               .sortWithinPartitions("id_producto", *GUARD_ORDER)
-              .mapInPandas(_fold_guard, "id_venta long, id_detalle int, id_producto long, "
-                                        "fecha timestamp_ntz, cantidad long, aceptada boolean"))
-    return direct.unionByName(folded)
+              .mapInPandas(_fold_guard, GUARD_SCHEMA))
+    bounded = _bounded_fold(cand.filter("_hot").drop("_hot"))
+    return direct.unionByName(folded).unionByName(bounded)
+
+
+GUARD_SCHEMA = ("id_venta long, id_detalle int, id_producto long, fecha timestamp_ntz, cantidad long, "
+                "aceptada boolean")
+
+
+def _chunk_tables(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One (product, hour) chunk: the stock after the chunk for every
+    stock 0..s0 it may start with."""
+    pdf = pdf.sort_values(GUARD_ORDER, kind="stable")
+    qty = pdf["cantidad"].to_numpy()
+    top = int(pdf["_start"].iloc[0])
+    table = [int(guard_scan(qty, s)[1]) for s in range(top + 1)]
+    return pd.DataFrame({"id_producto": [pdf["id_producto"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
+                         "_table": [table]})
+
+
+def _chunk_entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One product: compose the chunk tables in order from s0 and return the
+    stock each chunk starts with (one row per hour with candidates)."""
+    pdf = pdf.sort_values("_chunk", kind="stable")
+    state = int(pdf["_start"].iloc[0])
+    entries = []
+    for table in pdf["_table"]:
+        entries.append(state)
+        state = int(table[state])
+    return pd.DataFrame({"id_producto": pdf["id_producto"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
+                         "_entry": entries})
+
+
+def _chunk_decisions(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(GUARD_ORDER, kind="stable")
+    ok, _ = guard_scan(pdf["cantidad"].to_numpy(), int(pdf["_entry"].iloc[0]))
+    out = pdf[GUARD_COLS].copy()
+    out["aceptada"] = ok
+    return out
+
+
+def _bounded_fold(cand: DataFrame) -> DataFrame:
+    """The fold for products whose stock left, s0, is below one line's
+    quantity (every product without negative quantities): the state is an
+    integer in 0..s0, so each line is a transition on that small set and
+    transitions compose. Candidate lines are cut into (product, hour) chunks;
+    each chunk's transition table is computed in parallel, a scan per product
+    over its tables (one row per hour, a calendar-sized group) gives every
+    chunk its starting stock, and each chunk is re-run from it. A hot
+    product is spread over all its hours; the result equals the sequential
+    fold exactly."""
+    c = cand.withColumn("_chunk", F.floor(F.unix_micros(F.col("fecha").cast("timestamp")) / (3600 * 1_000_000)))
+    tables = c.groupBy("id_producto", "_chunk").applyInPandas(
+        _chunk_tables, "id_producto long, _chunk long, _table array<long>")
+    starts = c.groupBy("id_producto").agg(F.first("_start").alias("_start"))
+    entries = tables.join(starts, "id_producto").groupBy("id_producto").applyInPandas(
+        _chunk_entries, "id_producto long, _chunk long, _entry long")
+    return c.join(entries, ["id_producto", "_chunk"]).groupBy("id_producto", "_chunk").applyInPandas(
+        _chunk_decisions, GUARD_SCHEMA)
