@@ -1,0 +1 @@
+"""Batch operators: catalogue, orders, sales, table changes, accounts, checks."""

@@ -1,0 +1 @@
+"""Query registry (one module per operator group) and the DuckDB oracle statements."""

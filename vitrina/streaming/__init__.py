@@ -1,0 +1 @@
+"""Event operators (ledger, rates, limits, cart life) and their streaming jobs."""
