@@ -118,7 +118,7 @@ def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-HOT_PRODUCT_CANDIDATES = 1_000_000  # products with a longer tail take the chunked path
+HOT_PRODUCT_CANDIDATES = 1_000_000  # products with more lines take the chunked path
 
 
 def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
@@ -138,8 +138,8 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
     (3) the remaining candidates (quantity <= s0) need the sequential rule.
         For most products they are few and stream through an ordered fold
         (``mapInPandas`` after a sort within hash partitions, one number of
-        state, a numpy jump per accepted line). A hot product (a tail of
-        more than ``hot_candidates`` lines) is split: its stock is then an integer
+        state, a numpy jump per accepted line). A hot product (more than
+        ``hot_candidates`` lines) is split: its stock is then an integer
         in 0..s0, so ``_bounded_fold`` runs the rule as a parallel prefix over
         (product, hour) chunks of transition tables.
     A product with a negative quantity (stock may grow) always takes the
@@ -151,8 +151,17 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
     x = x.join(inv, "id_producto", "left")
     per = x.groupBy("id_producto").agg(
         (F.min("cantidad") < 0).alias("_neg"),
-        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"),
-        F.count(F.when(F.col("_cum") > F.col("_open"), F.lit(1))).alias("_tail"))
+        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"))
+    # products with more lines than the threshold may have a long tail: they
+    # take the chunked path (exact for any product without negative
+    # quantities). A one-column count decides whether that path is planned.
+    hot_ids = (lines.groupBy("id_producto").agg(F.count(F.lit(1)).alias("_c"))
+               .filter(F.col("_c") > hot_candidates).select("id_producto"))
+    any_hot = not hot_ids.isEmpty()
+    if any_hot:
+        per = per.join(hot_ids.withColumn("_hot_id", F.lit(True)), "id_producto", "left")
+    else:
+        per = per.withColumn("_hot_id", F.lit(False))
     y = x.join(per, "id_producto", "left")
     s0 = F.col("_open") - F.coalesce("_pref", F.lit(0))
     decision = (F.when(F.col("_open").isNull() | F.col("cantidad").isNull(), F.lit(True))
@@ -163,7 +172,7 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
     start = F.when(F.coalesce("_neg", F.lit(False)), F.col("_open")).otherwise(s0)
     neg = F.coalesce("_neg", F.lit(False))
     y = y.select(*GUARD_COLS, decision.alias("aceptada"), start.alias("_start"),
-                 (~neg & (F.coalesce("_tail", F.lit(0)) > hot_candidates)).alias("_hot"))
+                 (~neg & F.coalesce("_hot_id", F.lit(False))).alias("_hot"))
     direct = y.filter(F.col("aceptada").isNotNull()).select(*GUARD_COLS, "aceptada")
     cand = y.filter(F.col("aceptada").isNull()).drop("aceptada")
     n = int(sale_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,8 +187,10 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
               .repartition(n, "id_producto")
               .sortWithinPartitions("id_producto", *GUARD_ORDER)
               .mapInPandas(_fold_guard, GUARD_SCHEMA))
-    bounded = _bounded_fold(cand.filter("_hot").drop("_hot"))
-    return direct.unionByName(folded).unionByName(bounded)
+    out = direct.unionByName(folded)
+    if any_hot:
+        out = out.unionByName(_bounded_fold(cand.filter("_hot").drop("_hot")))
+    return out
 
 
 GUARD_SCHEMA = ("id_venta long, id_detalle int, id_producto long, fecha timestamp_ntz, cantidad long, "
