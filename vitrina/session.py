@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints written by id numbering and iterative jobs are removed once
+    # their RDDs are garbage-collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast decisions are left to Spark's runtime size check; 32 MB keeps
     # the check meaningful on wide executors without risking driver memory.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
