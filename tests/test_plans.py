@@ -53,3 +53,17 @@ def test_library_avoids_forbidden_calls():
             if bad.search(line):
                 hits.append(f"{p.relative_to(ROOT)}:{i}: {line.strip()}")
     assert hits == []
+
+
+def test_folds_read_their_own_shuffle(spark):
+    """The ordered folds must see each key whole: they are fed by a user
+    repartition (never rewritten into a local read by AQE), not by a join's
+    shuffle that the planner might reuse."""
+    for name in ("oversell_guard", "active_carts"):
+        lines = _plan(spark, name).splitlines()
+        at = [i for i, line in enumerate(lines) if "MapInPandas" in line]
+        assert at, name
+        for i in at:
+            below = lines[i + 1:i + 5]
+            assert any("hashpartitioning(xxhash64(" in x and "REPARTITION_BY_NUM" in x for x in below), below
+            assert not any("AQEShuffleRead local" in x for x in below), below

@@ -127,7 +127,9 @@ def active_carts(events: DataFrame, client: str = "id_carrito", ts: str = "fecha
     sizes = e.groupBy("_client").agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.filter(F.col("_rows") > hot_rows).select("_client")
     cool = e.join(hot, "_client", "left_anti")
-    folded = (cool.repartition(n, "_client").sortWithinPartitions("_client", "_t", "_k")
+    # keyed by xxhash64(client): a shuffle the planner cannot drop as
+    # redundant (see ledger.oversell_guard), so each client stays whole
+    folded = (cool.repartition(n, F.xxhash64("_client")).sortWithinPartitions("_client", "_t", "_k")
               .mapInPandas(_fold_carts, "_k long, _start long, carrito_n long"))
     if not hot.isEmpty():
         he = e.join(hot, "_client", "left_semi")

@@ -183,8 +183,13 @@ def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
     # stock is then bounded by s0) are cut into hour chunks; the rest, and
     # products with a negative quantity (stock may grow), stream through the
     # ordered fold
+    # The fold needs every row of a product in one partition, in order. The
+    # shuffle is keyed by xxhash64(product) so the planner cannot take the
+    # child's partitioning by product as already satisfying it: that one may
+    # be read locally after AQE turns a join into a broadcast, which would
+    # split a product. A user repartition is never rewritten that way.
     folded = (cand.filter(~F.col("_hot")).drop("_hot")
-              .repartition(n, "id_producto")
+              .repartition(n, F.xxhash64("id_producto"))
               .sortWithinPartitions("id_producto", *GUARD_ORDER)
               .mapInPandas(_fold_guard, GUARD_SCHEMA))
     out = direct.unionByName(folded)
