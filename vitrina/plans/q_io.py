@@ -70,10 +70,14 @@ select cast((select max(id_producto) from productos) + row_number() over (order
   trim(regexp_replace(translate(stem, '_-', '  '), '\\s+', ' ', 'g')) descripcion,
   cast(precio as double) costo, cast(precio as double) precio_venta, c.id_categoria, 1 activo, ok.categoria, path
 from ok left join cats c on c.nombre = ok.categoria
-""")(lambda ctx: (lambda r: r["products"].select(
-    "id_producto", "nombre", "descripcion", money.to_money("costo").alias("costo"),
-    money.to_money("precio_venta").alias("precio_venta"), "id_categoria", "activo", "categoria", "path"))(
-    files.import_catalogue(files.image_paths_from_products(ctx), ctx["productos"], ctx["categorias"])))
+""")(lambda ctx: _imported_products(ctx))
+
+
+def _imported_products(ctx):
+    r = files.import_catalogue(files.image_paths_from_products(ctx), ctx["productos"], ctx["categorias"])
+    return r["products"].select(
+        "id_producto", "nombre", "descripcion", money.to_money("costo").alias("costo"),
+        money.to_money("precio_venta").alias("precio_venta"), "id_categoria", "activo", "categoria", "path")
 
 register("import_catalogue_categories", "O06", f"with {_IMPORT} select * from new_cats")(
     lambda ctx: files.import_catalogue(files.image_paths_from_products(ctx), ctx["productos"],
@@ -173,8 +177,15 @@ select p_partkey id, 'Personalizado - ' || upper(substr(lower(p_type), 1, 1)) ||
     || split_part(p_name, ' ', 1) || ', ' || p_brand || ')'
     || case when p_partkey % 3 = 0 then '' else ' con texto: ''' || p_name || ''' (Arial) en frente' end descripcion
 from part
-""")(lambda ctx: (lambda n_d: ctx.raw("part").select(F.col("p_partkey").alias("id"), n_d[0].alias("nombre"),
-                                                     n_d[1].alias("descripcion")))(
-    text.custom_product_text(F.lower("p_type"), "p_size", F.split("p_name", " ").getItem(0), "p_brand",
-                             F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.lit("")).otherwise(F.col("p_name")),
-                             F.lit("Arial"), F.lit("frente"))))
+""")(lambda ctx: _custom_texts(ctx))
+
+
+def _custom_texts(ctx):
+    """Every part as a custom-product form: type, size, first word of the
+    name as colour, brand as material, the name as text (none for every
+    third part), Arial on the front."""
+    name, desc = text.custom_product_text(
+        F.lower("p_type"), "p_size", F.split("p_name", " ").getItem(0), "p_brand",
+        F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.lit("")).otherwise(F.col("p_name")),
+        F.lit("Arial"), F.lit("frente"))
+    return ctx.raw("part").select(F.col("p_partkey").alias("id"), name.alias("nombre"), desc.alias("descripcion"))
