@@ -151,3 +151,14 @@ def test_oversell_chunked_path_matches_fold(spark, ctx):
     for r in res.itertuples():
         got.setdefault((r.id_venta, r.id_detalle, r.id_producto, r.fecha, r.cantidad), []).append(bool(r.aceptada))
     assert len(res) == len(lines) and {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_asof_rate_many_rates_in_a_month(spark):
+    from vitrina.streaming import rates
+    t = dt.datetime
+    r = spark.createDataFrame([(t(2024, 3, 1), 1.0), (t(2024, 3, 5), 2.0), (t(2024, 3, 5, 12), 3.0),
+                               (t(2024, 5, 2), 4.0)], "fecha timestamp_ntz, tasa double")
+    f = spark.createDataFrame([(1, t(2024, 3, 4)), (2, t(2024, 3, 5, 6)), (3, t(2024, 4, 30)), (4, t(2024, 5, 2)),
+                               (5, t(2024, 6, 9))], "k long, fecha timestamp_ntz")
+    got = {x.k: x.tasa for x in rates.asof_rate(f, r).collect()}
+    assert got == {1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 4.0}

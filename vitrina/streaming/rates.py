@@ -1,9 +1,8 @@
 """As-of join of invoices with the exchange rate valid at their date.
 
-The rate table is a dimension that grows with calendar time (at most one rate
-per day), never with sales volume. Its validity intervals [from, to) are built
-with ``lead`` over that small table; each interval is exploded into the months
-it covers, and facts join on (month) as an equi key plus the interval test.
+Validity intervals [from, to) are built per month (see ``rate_intervals``);
+each interval is exploded into the months it covers, and facts join on
+(month) as an equi key plus the interval test.
 No window runs over the facts and no side has to be broadcast (AQE still
 broadcasts the interval table when its measured size allows).
 """
@@ -17,10 +16,19 @@ from vitrina.functions.money import DEC, to_money
 
 
 def rate_intervals(rates: DataFrame, until) -> DataFrame:
-    """[valid_from, valid_to) per rate; the last interval ends at ``until``."""
-    w = Window.orderBy("fecha")
-    iv = rates.select(F.col("fecha").alias("valid_from"), "tasa",
-                      F.lead("fecha").over(w).alias("valid_to"))
+    """[valid_from, valid_to) per rate; the last interval ends at ``until``.
+
+    The next rate date is found inside each month (a window per month), and
+    for a month's last rate it is the first rate of the next month with one:
+    a lead over one row per month, so no window spans the whole rate table
+    even if rates arrive every second."""
+    r = rates.select(F.col("fecha").alias("valid_from"), "tasa",
+                     F.trunc(F.to_date("fecha"), "month").alias("_m"))
+    in_month = F.lead("valid_from").over(Window.partitionBy("_m").orderBy("valid_from"))
+    months = r.groupBy("_m").agg(F.min("valid_from").alias("_first"))
+    months = months.select("_m", F.lead("_first").over(Window.orderBy("_m")).alias("_next_month"))
+    iv = (r.withColumn("_in", in_month).join(months, "_m", "left")
+          .select("valid_from", "tasa", F.coalesce("_in", "_next_month").alias("valid_to")))
     # an open last interval ends at the last fact; never before its own start
     end = F.greatest(F.coalesce(F.col("valid_to"), until), F.col("valid_from"))
     months = F.sequence(F.trunc(F.to_date("valid_from"), "month"),
