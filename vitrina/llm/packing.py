@@ -9,10 +9,12 @@ slots per class, and the n-th piece of a class takes its n-th slot.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class PieceTokenizer:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of a text as native (little-endian) unsigned 32-bit bytes.
 
     White space always ends a token of this vocabulary, so the ids of a text are
     those of its words in a row. Frequent words are remembered (bounded); a rare
@@ -56,14 +58,14 @@ class PieceTokenizer:
         self.cores: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _core(self, core: str) -> bytes:
         got = self.cores.get(core)
         if got is None:
             if PLAIN.fullmatch(core):
                 word = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-                got = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+                got = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
             else:
                 got = self._encoded(core)
             if len(self.cores) < CORE_CACHE:
@@ -88,10 +90,16 @@ class PieceTokenizer:
         return b"".join([get(w) or self._word(w) for w in text.split()])
 
 
+@functools.cache
+def tokenizer_at(path: str) -> PieceTokenizer:
+    """One tokenizer for all tasks of a worker, so that its words stay known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceTokenizer(path)
+
+
 def _pieces(path: str, end_id: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = PieceTokenizer(path)
+        tokenizer = tokenizer_at(path)
         end = np.array([end_id], "<u4").tobytes()
         for frame in frames:
             rows = []
