@@ -28,7 +28,7 @@ from vitrina.llm.shared import id_or_last, written
 SEQUENCE = 4096
 CLASS_WIDTH = 16
 UNITS = SEQUENCE // CLASS_WIDTH
-BUCKET_ROWS = 20_000  # pieces of a class ranked in one window, about
+BUCKET_ROWS = 1_000  # pieces of a class ranked in one window, about
 WORD_CACHE, CORE_CACHE = 120_000, 250_000
 MARKS = ".,;:!?"
 # Lower-case letters whose case and composition all Unicode libraries agree on.
