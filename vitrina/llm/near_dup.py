@@ -196,7 +196,7 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
                .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     members = written(members.select("node", "label", "id", "th", "copies", "blocks", "block"), "members")
-    blocks = (src.join(members, ["id", "th"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = (src.join(members.hint("merge"), ["id", "th"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("label", "node", "t", "copies", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")))
     found = written(blocks.groupBy("label", "b1", "b2").applyInPandas(_verify(n, similarity), "node long, root long, links long"), "links")
     classes = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -214,10 +214,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` without near duplicates: of each class the row with
     the smallest (id, text hash) stays; of equal rows one."""
     rows = written(near_dup_classes(docs, id_col, text_col, **options), "classes")
-    gone = (rows.where("class_size > 1").groupBy("class_id").agg(F.min(F.struct("id", "th")).alias("first")))
-    gone = rows.where("class_size > 1").join(gone, "class_id").where(F.struct("id", "th") != F.col("first")).select("id", "th").distinct()
-    doubled = rows.where("class_size > 1").groupBy("id", "th").count().where("count > 1").select("id", "th", F.lit(True).alias("doubled"))
+    rows = rows.where("class_size > 1")
+    first = rows.groupBy("class_id").agg(F.min(F.struct("id", "th")).alias("first"))
+    marks = (rows.join(first, "class_id").groupBy("id", "th")
+             .agg(F.bool_or(F.struct("id", "th") != F.col("first")).alias("gone"), (F.count("*") > 1).alias("doubled")).where("gone or doubled"))
     out = docs.select(F.struct("*").alias("row"), id_or_last(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
-    out = out.join(gone, ["id", "th"], "left_anti").join(doubled, ["id", "th"], "left")
+    out = out.join(marks.hint("merge"), ["id", "th"], "left").where("gone is null or not gone")
     single = out.where("doubled is null").select("row.*")
     return single.union(out.where("doubled").dropDuplicates(["id", "th"]).select("row.*"))
