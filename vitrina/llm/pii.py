@@ -31,7 +31,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WIDE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])"),
-    "card": re.compile(r"(?<!\d)[0-9]{13,15}(?!\d)"),
+    "card": re.compile(r"(?<!\w)[0-9]{13,15}(?!\w)"),
     "phone": re.compile(r"(?<![\w+.])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "key": re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}|ghp_[0-9A-Za-z]{36})(?!\w)"),
