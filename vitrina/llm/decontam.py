@@ -124,7 +124,7 @@ def _document_windows(sizes: list[int], bits: np.ndarray):
                     h, at = h[may], at[may]
                     who = owner[at]
                     out.append(pd.DataFrame({"id": frame["id"].to_numpy()[who], "th": frame["th"].to_numpy()[who], "h": h.view(np.int64), "p": at - starts[who],
-                                             "d_slots": [value[p : p + size][slot[p : p + size]].view(np.int64).tolist() for p in at]}))
+                                             "d_slots": pd.Series([value[p : p + size][slot[p : p + size]].view(np.int64).tolist() for p in at], dtype=object)}))
                 yield pd.concat(out, ignore_index=True)
 
     return run

@@ -21,6 +21,7 @@ from vitrina.llm.shared import written
 CURVES, DIMS, BITS = 8, 8, 5
 TIE_BITS = 12  # a hash of the id behind the key divides equal vectors
 RANGES, RANGE_ROWS = 32, 4096  # ranges per curve: RANGES, or more if they had more rows
+SMALL_RANGE = 128  # tables of a few such ranges are divided less, so that every query meets enough rows
 WINDOW = 0.1  # part of the order that a query meets on either side of its range
 QUERY_ROWS = 4096  # queries that meet a range in one task, about
 SAMPLE = 10_000  # vectors that scale the projections
@@ -154,10 +155,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, id_col: str =
     keyed = rows.withColumn("tie", F.pmod(F.xxhash64("vec_id"), F.lit(1 << TIE_BITS))).mapInPandas(
         _keys(dim, longest, mean, spread), f"vec_id long, embedding {element}, keys array<long>, query_keys array<long>")
     keyed = written(keyed, "hilbert_keys")
-    ranges = max(RANGES, -(-total // RANGE_ROWS))
-    cuts = (keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve")
+    ranges = max(min(RANGES, total // SMALL_RANGE + 1), -(-total // RANGE_ROWS))
+    cuts = [] if ranges == 1 else (keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve")
             .agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).collect())
-    cuts_of = {r["curve"]: np.array(r["cuts"], np.int64) for r in cuts}
+    cuts_of = dict.fromkeys(range(CURVES), np.zeros(0, np.int64)) | {r["curve"]: np.array(r["cuts"], np.int64) for r in cuts}
 
     @F.pandas_udf("int")
     def range_of(curve: pd.Series, key: pd.Series) -> pd.Series:
