@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vitrina.llm.shared import id_or_last, written
 
 CUT_BITS, SHORTEST, LONGEST = 5, 16, 256  # about 48 bytes a chunk
-MIN_PASSAGE = 96  # bytes of repeated chunks in a row
+MIN_PASSAGE = 80  # bytes of repeated chunks in a row
 GEAR = np.random.default_rng(20240902).integers(0, 2**16, 256, dtype=np.uint16)
 
 
