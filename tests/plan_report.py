@@ -14,16 +14,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 import __spark_entry__ as E  # noqa: E402
+from plan_text import final_plan  # noqa: E402
 from vitrina.session import get_session  # noqa: E402
 
 
-def final_plan(df) -> str:
-    df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("+- == Initial Plan ==")[0]
-
-
 def count(pattern, text):
     return len(re.findall(pattern, text))
 

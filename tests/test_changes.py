@@ -82,12 +82,12 @@ def test_upsert_config_rules(spark):
 
 
 def test_adjust_cart_quantities_bounds(spark):
-    cart = spark.createDataFrame([(1, 5, 1, 2), (1, 6, 2, 98), (1, 7, 3, 1)],
+    cart = spark.createDataFrame([(1, 5, 1, 2), (1, 6, 2, 98), (1, 7, 3, 1), (1, 8, 4, 150), (1, 9, 5, None)],
                                  "id_carrito long, id_producto long, id_detalle long, cantidad int")
     deltas = spark.createDataFrame([(1, 5, -7), (1, 6, 4), (1, 6, 1)], "id_carrito long, id_producto long, delta int")
     rem = spark.createDataFrame([(1, 7)], "id_carrito long, id_producto long")
     got = {r.id_producto: r.cantidad for r in changes.adjust_cart_quantities(cart, deltas, rem).collect()}
-    assert got == {5: 1, 6: 99}
+    assert got == {5: 1, 6: 103, 8: 150, 9: None}
 
 
 def test_match_or_create_clients_tiers(spark):

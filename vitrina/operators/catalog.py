@@ -132,7 +132,7 @@ def low_stock_items(ctx, threshold: int = 5) -> DataFrame:
 def client_directory(ctx, limit: int = 20) -> DataFrame:
     """Active clients entered by hand, by name, first ``limit``."""
     c = ctx["clientes"].filter((F.col("activo") == 1) & (F.col("origen") == "manual"))
-    return (c.select("id_cliente", "nombre", "correo", "direccion",
+    return (c.select("id_cliente", "nombre", "telefono", "correo", "direccion",
                      F.upper(F.substring("nombre", 1, 1)).alias("inicial"))
             .orderBy(F.asc_nulls_first("nombre"), F.asc("id_cliente"))
             .limit(limit))

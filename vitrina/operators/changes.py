@@ -24,7 +24,6 @@ SHIPPED = "Enviado"
 CARRIER_BY_TYPE = [("destino", "Cobro a Destino"), ("tienda", "Retiro en Tienda"),
                    ("agencia", "Retirar en Agencia")]
 CUSTOM_CATEGORY = "Personalizado"
-MAX_CART_QTY = 99
 
 
 # ---------------------------------------------------------------- carts
@@ -64,18 +63,19 @@ def replace_carts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def adjust_cart_quantities(cart: DataFrame, deltas: DataFrame, removals: DataFrame | None = None) -> DataFrame:
-    """Quantity + summed delta per (cart, product), kept in [1, 99];
-    lines of (cart, product) pairs in ``removals`` are dropped.
+    """Quantity + summed delta per (cart, product), at least 1; lines
+    without a delta stay as they are, lines of (cart, product) pairs in
+    ``removals`` are dropped.
 
-    Deltas are summed first and the bounds applied once (the page applies
-    them per click, so mixed signs across clicks may differ)."""
+    Deltas are summed first and the lower bound applied once (the page applies
+    it per click, so mixed signs across clicks may differ)."""
     key = ["id_carrito", "id_producto"]
     d = deltas.groupBy(*key).agg(F.sum("delta").alias("_delta"))
     out = cart.join(d, key, "left")
     if removals is not None:
         out = out.join(removals.select(*key).distinct(), key, "left_anti")
-    q = F.coalesce("cantidad", F.lit(1)) + F.coalesce("_delta", F.lit(0))
-    return out.withColumn("cantidad", F.greatest(F.lit(1), F.least(F.lit(MAX_CART_QTY), q)).cast("int")) \
+    q = F.greatest(F.lit(1), F.coalesce("cantidad", F.lit(1)) + F.col("_delta"))
+    return out.withColumn("cantidad", F.when(F.col("_delta").isNull(), F.col("cantidad")).otherwise(q).cast("int")) \
         .drop("_delta")
 
 

@@ -80,13 +80,13 @@ def admin_orders(ctx, limit: int = 50) -> DataFrame:
     e = ctx["envios"].join(keys, "id_pedido", "left_semi")
     ship = latest_per_key(e, "id_pedido", "id_envio").select(
         "id_pedido", "direccion_envio", "metodo_pago", "referencia_pago", "empresa_envio", "numero_guia")
-    clients = ctx["clientes"].select("id_cliente", F.col("nombre").alias("cliente"), "correo")
+    clients = ctx["clientes"].select("id_cliente", F.col("nombre").alias("cliente"), "telefono", "correo")
     rate = active_rate(ctx).select("tasa").scalar()
     j = (newest.join(clients, "id_cliente", "left")
          .join(_states(ctx), "id_estado", "left")
          .join(ship, "id_pedido", "left"))
     total = F.coalesce("total", F.lit(0).cast(DEC))
-    return (j.select(F.col("id_pedido").alias("id"), "cliente", "correo", "estado",
+    return (j.select(F.col("id_pedido").alias("id"), "cliente", "telefono", "correo", "estado",
                      to_money(total).alias("total"), "fecha",
                      "direccion_envio", "metodo_pago", "referencia_pago", "empresa_envio", "numero_guia",
                      next_action(F.col("estado")).alias("accion"),

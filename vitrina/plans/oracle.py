@@ -28,7 +28,7 @@ BINDINGS: dict[str, str] = {
           concat('img_', cast(l_suppkey as varchar), '.jpg') ruta_imagen
         from lineitem where l_returnflag = 'R' and l_partkey % 3 <> 0""",
     "clientes": """
-        select c_custkey id_cliente, c_name nombre, concat('c', cast(c_custkey as varchar), '@example.com') correo,
+        select c_custkey id_cliente, c_name nombre, '0414-' || cast(c_custkey as varchar) telefono, concat('c', cast(c_custkey as varchar), '@example.com') correo,
           c_mktsegment direccion, case when c_nationkey % 2 = 0 then 'manual' else 'auto' end origen,
           case when c_acctbal > 0 then 1 else 0 end activo
         from customer""",

@@ -81,7 +81,7 @@ select id_producto, nombre, stock, 'Stock bajo: ' || nombre mensaje from ({_INVE
 """)(lambda ctx: catalog.low_stock_items(ctx, 5))
 
 register("client_directory", "O16", """
-select id_cliente, nombre, correo, direccion, upper(substr(nombre, 1, 1)) inicial
+select id_cliente, nombre, telefono, correo, direccion, upper(substr(nombre, 1, 1)) inicial
 from clientes where activo = 1 and origen = 'manual'
 order by nombre nulls first, id_cliente limit 20
 """)(lambda ctx: catalog.client_directory(ctx, 20))

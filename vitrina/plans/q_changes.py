@@ -228,7 +228,7 @@ select * from inventario where id_producto not in (select id_producto from produ
 """)(lambda ctx: ch.delete_products(ctx, ctx["productos"].filter("activo = 0"))[2])
 
 register("soft_delete_clients", "O80", """
-select c.id_cliente, c.nombre, c.correo, c.direccion, c.origen,
+select c.id_cliente, c.nombre, c.telefono, c.correo, c.direccion, c.origen,
   case when not exists (select 1 from ventas v where v.id_cliente = c.id_cliente) then 0 else c.activo end activo
 from clientes c
 """)(lambda ctx: ch.soft_delete_clients(
@@ -280,7 +280,7 @@ with d as (
   select id_carrito, id_producto, sum(case when id_detalle % 2 = 0 then cantidad else -cantidad end) delta
   from carrito_invitado group by id_carrito, id_producto)
 select s.id_detalle, s.id_carrito, s.id_producto,
-  cast(greatest(1, least(99, coalesce(s.cantidad, 1) + coalesce(d.delta, 0))) as integer) cantidad,
+  cast(case when d.delta is null then s.cantidad else greatest(1, coalesce(s.cantidad, 1) + d.delta) end as integer) cantidad,
   cast(s.precio_unitario as double) precio_unitario, s.fecha
 from detalle_carrito s left join d on d.id_carrito = s.id_carrito and d.id_producto = s.id_producto
 where not exists (select 1 from carrito_quitar q where q.id_carrito = s.id_carrito and q.id_producto = s.id_producto)

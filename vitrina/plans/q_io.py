@@ -29,15 +29,17 @@ select arg_max(usd, ts) usd, arg_max(eur, ts) eur, max(ts) ts from docs where us
 
 register("parse_cart_payload", "O05", """
 with e as (select *, id_detalle x from cart_events)
-select id_detalle, cast(0 as integer) pos, cast(id_producto as bigint) id,
+select id_detalle, cast(case when x % 61 = 0 then 2 else 0 end as integer) pos, cast(id_producto as bigint) id,
   cast(case when x % 19 = 0 or x % 23 = 0 then 1 when x % 37 = 0 then 3 when x % 41 = 0 then 4
        else greatest(1, cantidad) end as bigint) quantity,
-  case when x % 47 = 0 then 12.5 else cast(precio_unitario as double) end price,
-  'p' || cast(id_producto as varchar) name
+  case when x % 71 = 0 then cast('inf' as double) when x % 47 = 0 then 12.5 else cast(precio_unitario as double) end price,
+  'p' || cast(id_producto as varchar) name, case when x % 7 = 0 then 'rojo' else '' end details
 from e
 where not ((x % 11 = 0 or x % 29 = 0 or id_producto = 0) and x % 31 = 0)
   and not (x % 13 = 0 or (x % 17 = 0))
-  and not (x % 43 = 0)
+  and not (x % 53 = 0 or x % 59 = 0)
+  and not (x % 67 = 0 and x % 19 <> 0 and x % 23 <> 0)
+  and (x % 43 <> 0 or x % 71 = 0)
 """)(lambda ctx: files.parse_cart_payload(files.cart_payloads_from_events(ctx["cart_events"]),
                                           owner="id_detalle"))
 
@@ -118,14 +120,12 @@ with it as (
     d.cantidad quantity, cast(coalesce(d.precio_unitario, 0) as double) price,
     cast(coalesce(d.precio_unitario, 0) * case when d.cantidad is null or d.cantidad = 0 then 1
          else d.cantidad end as double) total
-  from detalle_pedidos d left join productos p on p.id_producto = d.id_producto),
-n as (select *, cast(floor((row_number() over (partition by id_pedido
-        order by id, product_id, name, quantity, price, total) - 1) / 1000) as integer) pieza from it)
-select id_pedido, pieza,
-  cast(to_json(list(struct_pack(id := id, product_id := product_id, name := name, quantity := quantity,
-                           price := price, total := total) order by id, product_id, name, quantity, price, total))
-    as varchar) items_json
-from n group by id_pedido, pieza
+  from detalle_pedidos d left join productos p on p.id_producto = d.id_producto)
+select id_pedido,
+  row_number() over (partition by id_pedido order by id, product_id, name, quantity, price, total) - 1 posicion,
+  cast(to_json(struct_pack(id := id, product_id := product_id, name := name, quantity := quantity,
+                           price := price, total := total)) as varchar) item_json
+from it
 """)(lambda ctx: sinks.order_documents(orders.order_items(ctx)))
 
 register("vat_breakdown", "O50", """

@@ -22,7 +22,7 @@ order by p.id_cliente nulls first, p.fecha desc nulls last, p.id_pedido
 register("admin_orders", "O22", f"""
 with newest as (select * from pedidos order by fecha desc nulls last, id_pedido limit 50),
 rate as (select coalesce(max(case when tasa_usd > 0 then tasa_usd end), 40) tasa from configuracion)
-select n.id_pedido id, c.nombre cliente, c.correo, e.nombre estado, cast(coalesce(n.total, 0) as double) total,
+select n.id_pedido id, c.nombre cliente, c.telefono, c.correo, e.nombre estado, cast(coalesce(n.total, 0) as double) total,
   n.fecha, s.direccion_envio, s.metodo_pago, s.referencia_pago, s.empresa_envio, s.numero_guia,
   case e.nombre when 'Pendiente de Verificación' then 'verificar' when 'Procesando' then 'enviar'
     when 'Enviado' then 'entregar' else 'ninguna' end accion,

@@ -9,6 +9,7 @@ cluster the caller passes a number sized to the data (see README).
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -68,15 +69,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/vitrina-checkpoints") -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as is;
-    the fallback is only used when nothing is configured (local tests).
+    Without the setting a session with executors of its own raises an error,
+    since a machine-local folder would lose data there; a ``local`` master (one
+    process, as in tests) gets a new temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = fallback
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="vitrina-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:  # Spark may already use the setting
         spark.sparkContext.setCheckpointDir(path)

@@ -20,9 +20,6 @@ from vitrina.sources.schema import DRIVER_SCHEMAS
 DEC = "decimal(18,2)"
 RATE = "decimal(12,4)"
 
-DIM_BROADCAST_ROWS = 1_000_000  # size bound for broadcasting a dimension
-_DIM_ROWS: dict[tuple, int] = {}  # row counts of dimensions, per (application, input dir, table)
-
 # The four order states, ids 1..4 (in this order).
 ORDER_STATES = ["Pendiente de Verificación", "Procesando", "Enviado", "Entregado"]
 # The category that the shop adds for custom products.
@@ -67,22 +64,9 @@ class ShopTables:
         return hasattr(self, "_t_" + name)
 
     def dim(self, name: str) -> DataFrame:
-        """A dimension table for joins, broadcast only behind a size check.
-
-        The table is counted once (a small job); if it has at most
-        ``DIM_BROADCAST_ROWS`` rows it is cached and marked for broadcast, so
-        the fact side is never shuffled on a low-cardinality key. Beyond the
-        bound it is returned as is and joins stay sort-merge (AQE may still
-        broadcast it from runtime sizes)."""
-        key = "dim:" + name
-        if key not in self._memo:
-            df = self[name]
-            size_key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-            if size_key not in _DIM_ROWS:  # the count only steers the join strategy
-                _DIM_ROWS[size_key] = df.count()
-            small = _DIM_ROWS[size_key] <= DIM_BROADCAST_ROWS
-            self._memo[key] = F.broadcast(df.cache()) if small else df
-        return self._memo[key]
+        """A dimension table for joins. Spark's own size check decides whether
+        it is broadcast."""
+        return self[name]
 
     # ---- catalogue -------------------------------------------------------
     def _t_categorias(self) -> DataFrame:
@@ -130,6 +114,7 @@ class ShopTables:
         return c.select(
             F.col("c_custkey").alias("id_cliente"),
             F.col("c_name").alias("nombre"),
+            F.concat(F.lit("0414-"), F.col("c_custkey").cast("string")).alias("telefono"),
             F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("correo"),
             F.col("c_mktsegment").alias("direccion"),
             F.when(_mod(F.col("c_nationkey"), 2) == 0, F.lit("manual")).otherwise(F.lit("auto")).alias("origen"),

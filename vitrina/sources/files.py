@@ -68,9 +68,9 @@ class _JsonField:
 
     def __init__(self, item: Column, name: str):
         path = f"$.{name}"
-        self.v = F.variant_get(item, path, "variant")
+        self.v = F.try_variant_get(item, path, "variant")
         self.kind = F.schema_of_variant(self.v)
-        self.text = F.variant_get(item, path, "string")
+        self.text = F.try_variant_get(item, path, "string")
         self.missing = self.v.isNull()
         self.null = F.is_variant_null(self.v)
         self.is_str = self.kind == "STRING"
@@ -79,7 +79,7 @@ class _JsonField:
 
     def truthy(self) -> Column:
         """Python ``bool(v)``: None, 0, 0.0, False and '' are falsy."""
-        num = F.variant_get(self.v, "$", "double")
+        num = F.try_variant_get(self.v, "$", "double")
         return (~self.missing & ~self.null
                 & F.when(self.is_str, self.text != "")
                    .when(self.is_bool, self.text == "true")
@@ -90,14 +90,14 @@ class _JsonField:
         truncated toward zero, a bool as 0/1; anything else -> NULL (drop)."""
         return (F.when(self.is_str, F.when(self.text.rlike(_INT_TEXT), F.trim(self.text).try_cast("long")))
                 .when(self.is_bool, F.when(self.text == "true", F.lit(1)).otherwise(F.lit(0)).cast("long"))
-                .when(self.is_int, F.variant_get(self.v, "$", "long"))
-                .when(~self.null, F.variant_get(self.v, "$", "double").cast("long")))
+                .when(self.is_int, F.try_variant_get(self.v, "$", "long"))
+                .when(~self.null, F.try_variant_get(self.v, "$", "double").try_cast("long")))
 
     def as_float(self) -> Column:
         """Python ``float(v)``: numeric text in a string, a number, a bool."""
         return (F.when(self.is_str, F.trim(self.text).try_cast("double"))
                 .when(self.is_bool, F.when(self.text == "true", F.lit(1.0)).otherwise(F.lit(0.0)))
-                .when(~self.null, F.variant_get(self.v, "$", "double")))
+                .when(~self.null, F.try_variant_get(self.v, "$", "double")))
 
 
 def parse_cart_payload(payloads: DataFrame, text: str = "payload", owner: str = "id_carrito") -> DataFrame:
@@ -107,11 +107,14 @@ def parse_cart_payload(payloads: DataFrame, text: str = "payload", owner: str =
     or null), as int; quantity = max(1, int(quantity)) with 1 when the key is
     missing; price = float(price) with 0 when missing; rows whose numbers do
     not convert (as Python ``int('3.7')`` or ``float('')`` would fail) are
-    dropped, as the reference's ``try``/``continue`` does. Each payload is
+    dropped, as the reference's ``try``/``continue`` does. Items that are not
+    objects, and payloads that are not a JSON array, give no row; ``details`` is
+    kept as text (JSON for a nested value). Each payload is
     parsed once into a VARIANT, which keeps JSON strings and numbers apart.
     """
     items = payloads.select(owner, F.posexplode(
-        F.variant_get(F.parse_json(F.col(text)), "$", "array<variant>")).alias("pos", "item"))
+        F.try_variant_get(F.try_parse_json(F.col(text)), "$", "array<variant>")).alias("pos", "item"))
+    items = items.filter(F.schema_of_variant("item").startswith("OBJECT"))
     item = F.col("item")
     fid, fidp = _JsonField(item, "id"), _JsonField(item, "id_producto")
     fq, fp = _JsonField(item, "quantity"), _JsonField(item, "price")
@@ -120,17 +123,20 @@ def parse_cart_payload(payloads: DataFrame, text: str = "payload", owner: str =
     pid_given = F.when(use_id, F.lit(True)).otherwise(~fidp.missing & ~fidp.null)
     qty = F.when(fq.missing, F.lit(1).cast("long")).otherwise(fq.as_int())
     price = F.when(fp.missing, F.lit(0.0)).otherwise(fp.as_float())
-    name = F.coalesce(F.variant_get(item, "$.name", "string"), F.lit(""))
+    name = F.coalesce(F.try_variant_get(item, "$.name", "string"), F.lit(""))
+    nested = F.try_variant_get(item, "$.details", "variant")
+    details = F.coalesce(F.try_variant_get(item, "$.details", "string"), F.when(~F.is_variant_null(nested), F.to_json(nested)), F.lit(""))
     out = items.select(owner, "pos", pid.alias("id"), pid_given.alias("_given"),
                        F.greatest(F.lit(1).cast("long"), qty).alias("quantity"), qty.isNotNull().alias("_q_ok"),
-                       price.alias("price"), name.alias("name"))
+                       price.alias("price"), name.alias("name"), details.alias("details"))
     return out.filter(F.col("_given") & F.col("id").isNotNull() & F.col("_q_ok") & F.col("price").isNotNull()) \
         .drop("_given", "_q_ok")
 
 
 def cart_payloads_from_events(events: DataFrame) -> DataFrame:
-    """One single-item payload per cart event with the edge cases of the cart
-    API made on purpose: id 0 or null (id_producto used), both ids missing,
+    """One payload per cart event with the edge cases of the cart API made on
+    purpose: truncated text, a payload that is no array, an item that is no
+    object, a list as quantity, a huge price, id 0 or null (id_producto used), both ids missing,
     quantities 'x', '3.7', -2, 0, 3.7 and "4", prices '' and "12.50"."""
     e = F.col("id_detalle")
     k = F.col("id_producto").cast("string")
@@ -140,13 +146,15 @@ def cart_payloads_from_events(events: DataFrame) -> DataFrame:
     idt = F.when(mod(11), F.lit("0")).when(mod(29), F.lit("null")).otherwise(k)
     idpt = F.when(mod(31), F.lit("null")).otherwise(k)
     qt = (F.when(mod(13), F.lit('"x"')).when(mod(17), F.lit('"3.7"')).when(mod(19), F.lit("-2"))
-          .when(mod(23), F.lit("0")).when(mod(37), F.lit("3.7")).when(mod(41), F.lit('"4"'))
+          .when(mod(23), F.lit("0")).when(mod(67), F.lit("[2]")).when(mod(37), F.lit("3.7")).when(mod(41), F.lit('"4"'))
           .otherwise(F.col("cantidad").cast("string")))
-    pt = (F.when(mod(43), F.lit('""')).when(mod(47), F.lit('"12.50"'))
+    pt = (F.when(mod(71), F.lit("1e400")).when(mod(43), F.lit('""')).when(mod(47), F.lit('"12.50"'))
           .otherwise(F.col("precio_unitario").cast("string")))
     item = F.concat(F.lit('{"id": '), idt, F.lit(', "id_producto": '), idpt, F.lit(', "name": "p'),
-                    F.coalesce(k, F.lit("")), F.lit('", "price": '), pt, F.lit(', "quantity": '), qt, F.lit("}"))
-    return events.select("id_carrito", "id_detalle", F.concat(F.lit("["), item, F.lit("]")).alias("payload"))
+                    F.coalesce(k, F.lit("")), F.lit('", "price": '), pt, F.lit(', "quantity": '), qt, F.when(mod(7), F.lit(', "details": "rojo"')).otherwise(F.lit("")), F.lit("}"))
+    payload = (F.when(mod(53), F.concat(F.lit("["), F.expr("left(_item, 9)"))).when(mod(59), F.col("_item"))
+               .when(mod(61), F.concat(F.lit('[7, "x", '), F.col("_item"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("_item"), F.lit("]"))))
+    return events.withColumn("_item", item).select("id_carrito", "id_detalle", payload.alias("payload"))
 
 
 # ---------------------------------------------------------------- O06

@@ -61,25 +61,20 @@ def top_products_sheet(top: DataFrame, income) -> DataFrame:
     return rows.unionByName(total)
 
 
-PIECE_ITEMS = 1000  # items per document piece
+ITEM_BUCKET = 1024  # line ids in one bucket of the running count
 
 
-def order_documents(items: DataFrame, piece_items: int = PIECE_ITEMS) -> DataFrame:
-    """The JSON items document of every order (the declared items column).
-
-    An order's items are numbered in line order with a bucketed running count
-    and cut into pieces of at most ``piece_items``; each piece is one JSON
-    array (sorted by line), so no order, however large, is gathered into one
-    array. Most orders are a single piece (``pieza`` 0); a reader joins the
-    pieces of an order in ``pieza`` order."""
+def order_documents(items: DataFrame) -> DataFrame:
+    """The items document of every order (the declared items column), as
+    one JSON object per line with its position in the order, from 0. Nothing is
+    gathered, so an order of any size has the same form; a reader sorts by
+    ``posicion``."""
     from vitrina.functions.scan import running_sum
     cols = ["id", "product_id", "name", "quantity", "price", "total"]
     one = items.withColumn("_one", F.lit(1))
-    numbered = running_sum(one, ["id_pedido"], cols, "_one", F.floor(F.col("id") / piece_items), "_pos")
-    numbered = numbered.withColumn("pieza", F.floor((F.col("_pos") - 1) / piece_items).cast("int"))
-    g = numbered.groupBy("id_pedido", "pieza").agg(
-        F.sort_array(F.collect_list(F.struct(*cols))).alias("items"))
-    return g.select("id_pedido", "pieza", F.to_json("items").alias("items_json"))
+    numbered = running_sum(one, ["id_pedido"], cols, "_one", F.floor(F.col("id") / ITEM_BUCKET), "_pos")
+    return numbered.select("id_pedido", (F.col("_pos") - 1).cast("long").alias("posicion"),
+                           F.to_json(F.struct(*cols)).alias("item_json"))
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LIFE_SECONDS = 24 * 3600  # Fixed value: cart life, inclusive boundary.
 
@@ -46,7 +47,9 @@ def _fold_carts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 starts[i:j] = start
                 numbers[i:j] = number
                 i = j
-        yield pd.DataFrame({"_k": pdf["_k"].to_numpy(), "_start": starts, "carrito_n": numbers})
+        out = pdf.drop(columns=["_client", "_t", "_k"])
+        out["_start"], out["carrito_n"] = starts, numbers
+        yield out
 
 
 HOT_CLIENT_ROWS = 5_000_000  # clients above this many events take the parallel path
@@ -110,7 +113,7 @@ def _assign_to_starts(e: DataFrame, starts: DataFrame) -> DataFrame:
     ev = e.withColumn("_d", F.floor(F.col("_t") / _LIFE))
     j = ev.join(st, ["_client", "_d"], "inner").filter(
         (F.col("_t") >= F.col("_s")) & (F.col("_t") <= F.col("_s") + _LIFE))
-    return j.select("_k", F.col("_s").alias("_start"), "carrito_n")
+    return j.select(*[c for c in e.columns if c not in ("_client", "_t", "_k")], F.col("_s").alias("_start"), "carrito_n")
 
 
 def active_carts(events: DataFrame, client: str = "id_carrito", ts: str = "fecha",
@@ -122,19 +125,19 @@ def active_carts(events: DataFrame, client: str = "id_carrito", ts: str = "fecha
     path (next-start scan, pointer doubling, bucketed range join). Both are
     exact; tests compare both with a sequential replay."""
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = events.select(F.col(event_id).alias("_k"), F.col(client).alias("_client"),
+    e = events.select("*", F.col(event_id).alias("_k"), F.col(client).alias("_client"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    carried = T.StructType([*events.schema.fields, T.StructField("_start", T.LongType()), T.StructField("carrito_n", T.LongType())])
     sizes = e.groupBy("_client").agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.filter(F.col("_rows") > hot_rows).select("_client")
     cool = e.join(hot, "_client", "left_anti")
     # keyed by xxhash64(client): a shuffle the planner cannot drop as
     # redundant (see ledger.oversell_guard), so each client stays whole
     folded = (cool.repartition(n, F.xxhash64("_client")).sortWithinPartitions("_client", "_t", "_k")
-              .mapInPandas(_fold_carts, "_k long, _start long, carrito_n long"))
+              .mapInPandas(_fold_carts, carried))
     if not hot.isEmpty():
         he = e.join(hot, "_client", "left_semi")
         starts = _cart_starts_parallel(he.select("_client", "_t").distinct())
         folded = folded.unionByName(_assign_to_starts(he, starts))
-    out = events.join(folded.withColumnRenamed("_k", event_id), event_id, "inner")
-    return out.withColumn("creacion_carrito",
-                          F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")
+    return folded.withColumn("creacion_carrito",
+                             F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")
