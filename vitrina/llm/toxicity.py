@@ -34,7 +34,8 @@ QUOTES = "\"“”„«»"
 
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 12000, 4000
 CACHE = 200_000
-FEATURES = ("plain", "terms", "quoted", "misspelt", "directed", "density")
+FEATURES = ("plain", "types", "quoted", "misspelt", "directed", "density", "length")
+WORD_PRECISION, STEM_PRECISION = 0.85, 0.6  # least toxic share of the texts that hold a term
 
 
 def allowed_edits(length: int) -> int:
@@ -153,8 +154,9 @@ def features(text: str, automaton: LexiconAutomaton) -> list[float] | None:
             directed += any(x in SECOND_PERSON for x in near)
     exact = {h[0] for h in hits.values() if not h[1]}
     misspelt = {h[0] for h in hits.values() if h[1]} - exact
-    return [math.log1p(plain), math.log1p(len(exact)), math.log1p(quoted), math.log1p(len(misspelt)), math.log1p(directed),
-            math.log1p(100 * (plain + quoted) / len(words))]
+    types = sum(not h[1] for h in hits.values())
+    return [math.log1p(plain), math.log1p(types), math.log1p(quoted), math.log1p(len(misspelt)), math.log1p(directed),
+            math.log1p(100 * (plain + quoted) / len(words)), math.log1p(len(words))]
 
 
 @dataclass
@@ -207,19 +209,21 @@ def choose_terms(words: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str
 
     A stem is the beginning of at least three toxic words, none of them with
     more than 70 % of its occurrences; the shortest one that is as precise as
-    the longer stands for all.
+    the longer stands for all. Stems may be less precise than words: several
+    words of one stem in a text say more than one does, and the regression
+    weighs their number against the text's length.
     """
     least = max(4, round(0.002 * n_toxic))
-    keep = lambda df: (df.where((F.col("toxic") >= least) & (F.col("toxic") >= 0.85 * (F.col("toxic") + F.col("clean"))))
+    keep = lambda df, share: (df.where((F.col("toxic") >= least) & (F.col("toxic") >= share * (F.col("toxic") + F.col("clean"))))
                        .withColumn("g", surprise(F.col("toxic"), F.col("clean"), n_toxic, n_clean)).where("g > 28")
                        .orderBy(F.desc("g"), "term").limit(MAX_TERMS))
-    whole = keep(words.where(F.length("word") >= 3).withColumnRenamed("word", "term")).collect()
+    whole = keep(words.where(F.length("word") >= 3).withColumnRenamed("word", "term"), WORD_PRECISION).collect()
     stems = (words.where(F.length("word") >= 4).select("*", F.explode(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(8)))).alias("n"))
              .groupBy(F.expr("left(word, n)").alias("term"))
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("top"), F.count(F.when(F.col("toxic") > 0, 1)).alias("types"))
              .where("types >= 3 and top <= 0.7 * toxic"))
     chosen: list[tuple[str, float]] = []
-    for r in sorted(keep(stems).collect(), key=lambda r: (len(r["term"]), r["term"])):
+    for r in sorted(keep(stems, STEM_PRECISION).collect(), key=lambda r: (len(r["term"]), r["term"])):
         p = r["toxic"] / (r["toxic"] + r["clean"])
         if not any(r["term"].startswith(t) and q >= p - 0.02 for t, q in chosen):
             chosen.append((r["term"], p))
