@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.functions import money
+from vitrina.functions import money, text
 from vitrina.functions.ids import dense_ids, next_id_base
 from vitrina.functions.money import DEC, to_money
+from vitrina.functions.scan import running_sum
+from vitrina.session import ensure_checkpoint_dir
 
 # Names the jobs set or look for.
 PENDING_STATE = "Pendiente de Verificación"
@@ -24,6 +26,7 @@ SHIPPED = "Enviado"
 CARRIER_BY_TYPE = [("destino", "Cobro a Destino"), ("tienda", "Retiro en Tienda"),
                    ("agencia", "Retirar en Agencia")]
 CUSTOM_CATEGORY = "Personalizado"
+CUSTOM_NAME, CUSTOM_TEXT, CUSTOM_PRICE = "Producto Personalizado", "Producto personalizado", "30.00"
 
 
 # ---------------------------------------------------------------- carts
@@ -314,18 +317,22 @@ def config_changes_from_rates(ctx) -> DataFrame:
 # ---------------------------------------------------------------- products
 def upsert_products(ctx, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Create / update products from admin form rows
-    (id_producto or NULL, nombre, categoria name, precio, stock, imagen, descripcion).
+    (id_producto or NULL, nombre, categoria name, precio, stock, imagen, descripcion, ts).
 
     The category is found by name or created (new ids after the maximum);
     updates set name, description, price and category, stock is set (or the
     row inserted) and an image replaces the product's images; creations get
     cost = price, a stock row and the image if given. Rows missing name,
-    category or price are ignored (the form rejects them).
+    category or price, and updates without stock, are ignored (the form
+    rejects them). Of several valid updates of a product the latest by ``ts``
+    wins (then the largest row, so ties are settled); its image is that of the
+    latest valid update that has one.
     Returns (products changed/created, new categories, stock rows, image rows).
     """
     valid = changes.filter(F.col("nombre").isNotNull() & (F.col("nombre") != "")
                            & F.col("categoria").isNotNull() & (F.col("categoria") != "")
-                           & F.col("precio").isNotNull())
+                           & F.col("precio").isNotNull()
+                           & (F.col("id_producto").isNull() | F.col("stock").isNotNull()))
     cats = ctx["categorias"]
     from vitrina.operators.catalog import missing_reference_rows
     new_cats = missing_reference_rows(valid.select(F.col("categoria").alias("nombre")), cats,
@@ -333,10 +340,14 @@ def upsert_products(ctx, changes: DataFrame) -> tuple[DataFrame, DataFrame, Data
     all_cats = cats.unionByName(new_cats).select(F.col("nombre").alias("categoria"), "id_categoria")
     v = valid.join(all_cats, "categoria", "left")
     prods = ctx["productos"]
-    upd = v.filter(F.col("id_producto").isNotNull()).join(
+    fields = F.struct("ts", "nombre", "precio", "stock", "descripcion", "id_categoria")
+    image = F.when(F.col("imagen") != "", F.struct("ts", "imagen"))
+    upd = v.filter(F.col("id_producto").isNotNull()).groupBy("id_producto").agg(
+        F.max(fields).alias("u"), F.max(image).alias("i"))
+    upd = upd.select("id_producto", "u.*", F.col("i.imagen").alias("imagen")).join(
         prods.select("id_producto", "costo", "activo"), "id_producto", "inner")
     ins = v.filter(F.col("id_producto").isNull()).drop("id_producto")
-    ins = dense_ids(ins, ["nombre", "precio"], next_id_base(prods, "id_producto"), "id_producto")
+    ins = dense_ids(ins, ["ts", "nombre", "precio"], next_id_base(prods, "id_producto"), "id_producto")
     price = F.col("precio").cast(DEC)
     updated = upd.select("id_producto", "nombre", F.coalesce("descripcion", F.lit("")).alias("descripcion"),
                          "costo", price.alias("precio_venta"), "id_categoria", "activo",
@@ -356,8 +367,9 @@ def upsert_products(ctx, changes: DataFrame) -> tuple[DataFrame, DataFrame, Data
 def product_changes_from_data(ctx) -> DataFrame:
     """Admin form rows derived from the tables: every product is edited (price
     +5 %, stock = size + 10, category renamed to lower case so new categories
-    appear, image set for every 4th), and every supplier becomes a new custom
-    product."""
+    appear, image set for every 4th), every 5th is edited again a day later
+    (price +10 %, no image; every 35th of these without stock, which is
+    rejected), and every supplier becomes a new custom product."""
     p = ctx["productos"].join(ctx["categorias"].select("id_categoria", F.col("nombre").alias("cat")),
                               "id_categoria", "left").join(
         ctx["inventario"].select("id_producto", "stock_actual"), "id_producto", "left")
@@ -366,15 +378,22 @@ def product_changes_from_data(ctx) -> DataFrame:
                      (F.coalesce("stock_actual", F.lit(0)) + 10).alias("stock"),
                      F.when(F.pmod("id_producto", F.lit(4)) == 0,
                             F.concat(F.lit("nuevo_"), F.col("id_producto").cast("string"), F.lit(".png")))
-                     .alias("imagen"), "descripcion")
+                     .alias("imagen"), "descripcion", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    again = p.filter(F.pmod("id_producto", F.lit(5)) == 0).select(
+        "id_producto", F.concat("nombre", F.lit(" II")).alias("nombre"), F.lit("varios").alias("categoria"),
+        F.round(F.col("precio_venta") * F.lit("1.10").cast("decimal(3,2)"), 2).cast(DEC).alias("precio"),
+        F.when(F.pmod("id_producto", F.lit(35)) != 0, F.lit(3)).alias("stock"),
+        F.lit(None).cast("string").alias("imagen"), "descripcion",
+        F.lit("1998-01-02 00:00:00").cast("timestamp_ntz").alias("ts"))
     s = ctx.raw("supplier")
     news = s.select(F.lit(None).cast("long").alias("id_producto"),
                     F.concat(F.lit("Producto "), F.col("s_name")).alias("nombre"),
                     F.lit(CUSTOM_CATEGORY).alias("categoria"),
                     F.abs(F.col("s_acctbal")).cast(DEC).alias("precio"),
                     F.lit(None).cast("int").alias("stock"), F.lit(None).cast("string").alias("imagen"),
-                    F.lit("Producto personalizado").alias("descripcion"))
-    return edits.unionByName(news)
+                    F.lit("Producto personalizado").alias("descripcion"),
+                    F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    return edits.unionByName(again).unionByName(news)
 
 
 # ---------------------------------------------------------------- sales paths
@@ -387,67 +406,160 @@ def _cart_headers(lines: DataFrame, rate: Column) -> DataFrame:
     return h.withColumn("total", F.round(F.col("subtotal") + F.col("impuesto"), 2).cast(DEC))
 
 
-def checkout(ctx, carts: DataFrame, vat: Column | None = None) -> dict[str, DataFrame]:
-    """Carts -> order, order lines, shipment, sale, sale lines, invoice.
-
-    A cart with any short line (O63, per line) is rejected as a whole.
-    Accepted carts get order and sale ids after the current maxima, in cart
-    order. Lines: max(1, quantity), price or 0. The client is the cart
-    owner's client row (by e-mail); the shipment is home delivery.
-    Custom lines (no product id) create one custom product each.
+def _custom_category(ctx) -> tuple[Column, DataFrame]:
+    """Id of the category of custom products, and the row to insert if the
+    category is missing (no row otherwise)."""
+    row = ctx["categorias"].agg(F.min(F.when(F.col("nombre") == CUSTOM_CATEGORY, F.col("id_categoria"))).alias("f"),
+                                (F.coalesce(F.max("id_categoria"), F.lit(0)) + 1).alias("n"))
+    new = row.filter(F.col("f").isNull()).select(F.col("n").alias("id_categoria"), F.lit(CUSTOM_CATEGORY).alias("nombre"))
+    return row.select(F.coalesce("f", "n")).scalar(), new
+
+
+def checkout_forms_from_users(ctx) -> DataFrame:
+    """A checkout form per user: the three shipment types in turn, every 4th
+    user with an e-mail no client has, every 9th without a name (rejected)."""
+    u = ctx["usuarios"]
+    k = F.col("id_usuario")
+    text = k.cast("string")
+    return u.select(
+        k.alias("id_carrito"), F.when(F.pmod(k, F.lit(9)) != 0, F.col("nombre")).otherwise(F.lit("")).alias("nombre"),
+        F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit("web"), text, F.lit("@mail.com"))).otherwise(F.col("correo")).alias("correo"),
+        F.concat(F.lit("0416-"), text).alias("telefono"), F.concat(F.lit("V-"), text).alias("cedula"),
+        F.element_at(F.array(*map(F.lit, ("destino", "tienda", "agencia"))), (F.pmod(k, F.lit(3)) + 1).cast("int")).alias("tipo_envio"),
+        F.when(F.pmod(k, F.lit(2)) == 0, F.lit("MRW")).otherwise(F.lit("")).alias("empresa_envio"),
+        F.concat(F.lit("A"), text).alias("codigo_agencia"), F.lit("Caracas").alias("ciudad"), F.lit("").alias("estado"),
+        F.lit("Zelle").alias("metodo_pago"), F.concat(F.lit("R"), text).alias("referencia"))
+
+
+def checkout(ctx, carts: DataFrame, forms: DataFrame, vat: Column | None = None,
+             as_of: str = "1998-08-02 00:00:00") -> dict[str, DataFrame]:
+    """Carts and their checkout forms -> all rows the shop writes.
+
+    ``forms`` holds one row per cart: (id_carrito, nombre, correo, telefono,
+    cedula, tipo_envio, empresa_envio, codigo_agencia, ciudad, estado,
+    metodo_pago, referencia). A cart with any short line (O63, per line), or
+    without a form that names the buyer, is rejected as a whole. Accepted
+    carts are taken in cart order: order and sale ids follow the current
+    maxima, and clients are matched or created as O29 does.
+
+    Totals follow the shop's API route: header amounts use the quantity as
+    given (NULL counts as 1, 0 as 0), lines store max(1, quantity). Every
+    custom line (no product id) creates one product, named after its id so
+    that names stay unique, and used by the order line and the sale line (the
+    reference creates one for each).
+
+    Frames: orders, order_lines, shipments, sales, sale_lines, invoices,
+    clients (new and updated rows), products, categories (new rows), summary,
+    rejected.
     """
+    from vitrina.operators.orders import client_writes, match_or_create_clients
     from vitrina.operators.sales import current_vat
     rate = current_vat(ctx) if vat is None else vat
     chk = stock_check(carts, ctx["inventario"], ctx["productos"])
-    bad = chk.filter(~F.col("ok")).select("id_carrito").distinct()
-    good = carts.join(bad, "id_carrito", "left_anti")
+    short = chk.filter(~F.col("ok")).select("id_carrito")
+    named = forms.filter(F.col("nombre") != "")
+    good = carts.join(short.distinct(), "id_carrito", "left_anti").join(named.select("id_carrito"), "id_carrito", "left_semi")
     heads = _cart_headers(good, rate)
-    heads = dense_ids(heads, ["id_carrito"], next_id_base(ctx["pedidos"], "id_pedido"), "id_pedido")
-    sale_base = next_id_base(ctx["ventas"], "id_venta")
     order_base = next_id_base(ctx["pedidos"], "id_pedido")
-    heads = heads.withColumn("id_venta", sale_base + (F.col("id_pedido") - order_base))
-    owner = ctx["usuarios"].select(F.col("id_usuario").alias("id_carrito"), "correo").join(
-        ctx["clientes"].select("correo", "id_cliente"), "correo", "left").drop("correo")
-    heads = heads.join(owner, "id_carrito", "left")
+    heads = dense_ids(heads, ["id_carrito"], order_base, "id_pedido")
+    heads = heads.withColumn("id_venta", next_id_base(ctx["ventas"], "id_venta") + (F.col("id_pedido") - order_base))
+    address = text.shipping_address("tipo_envio", "empresa_envio", "codigo_agencia", "ciudad", "estado")
+    form = named.join(heads.select("id_carrito"), "id_carrito", "left_semi").withColumn("direccion", address)
+    incoming = form.select(F.col("id_carrito").alias("key"), "nombre", "correo", "direccion", "telefono", "cedula")
+    matched = match_or_create_clients(incoming, ctx["clientes"]).checkpoint(eager=True)
+    clients = client_writes(incoming, matched, ctx["clientes"])
+    heads = heads.join(matched.select(F.col("key").alias("id_carrito"), "id_cliente"), "id_carrito", "left")
+
     custom = good.filter(F.col("id_producto").isNull() | (F.col("id_producto") == 0))
     custom = dense_ids(custom.select("id_carrito", "id_detalle"), ["id_carrito", "id_detalle"],
                        next_id_base(ctx["productos"], "id_producto"), "_custom_id")
+    category, new_categories = _custom_category(ctx)
+    price = F.lit(CUSTOM_PRICE).cast(DEC)
+    products = custom.select(
+        F.col("_custom_id").alias("id_producto"),
+        F.concat(F.lit(f"{CUSTOM_NAME} - "), F.col("_custom_id").cast("string")).alias("nombre"),
+        F.lit(CUSTOM_TEXT).alias("descripcion"), price.alias("costo"), price.alias("precio_venta"),
+        category.alias("id_categoria"), F.lit(1).alias("activo"))
     lines = good.join(custom, ["id_carrito", "id_detalle"], "left").join(
         heads.select("id_carrito", "id_pedido", "id_venta"), "id_carrito", "inner")
     lines = lines.select(
-        "id_pedido", "id_venta", F.coalesce("_custom_id", "id_producto").alias("id_producto"),
+        "id_pedido", "id_venta", "id_detalle", F.coalesce("_custom_id", "id_producto").alias("id_producto"),
         F.greatest(F.lit(1), F.coalesce("cantidad", F.lit(1))).alias("cantidad"),
         F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
     state = ctx["estados_pedido"].filter(F.col("nombre") == PENDING_STATE).select(F.min("id_estado")).scalar()
-    orders = heads.select("id_pedido", "id_cliente", F.coalesce(state, F.lit(1)).cast("long").alias("id_estado"),
-                          F.col("total"))
-    shipments = heads.select("id_pedido", F.lit("Cobro a Destino").alias("empresa_envio"),
-                             F.lit("Pendiente").alias("estado_envio"), F.lit("destino").alias("tipo_envio"))
-    sales = heads.select("id_venta", "id_cliente", "total")
-    invoices = heads.select("id_venta", "subtotal", F.col("iva_pct").alias("porcentaje_iva"), "impuesto",
-                            F.col("total").alias("total_usd"))
+    orders = heads.select("id_pedido", "id_cliente", F.coalesce(state, F.lit(1)).cast("long").alias("id_estado"), "total")
+    shipments = heads.select("id_carrito", "id_pedido").join(form, "id_carrito", "inner").select(
+        "id_pedido", F.col("direccion").alias("direccion_envio"),
+        text.shipping_label("tipo_envio", "empresa_envio").alias("empresa_envio"), F.lit("").alias("numero_guia"),
+        F.lit("Pendiente").alias("estado_envio"), F.lit(as_of).cast("timestamp_ntz").alias("fecha_envio"),
+        "metodo_pago", F.coalesce("referencia", F.lit("")).alias("referencia_pago"), "tipo_envio")
     summary = heads.select("id_carrito", "id_pedido", "id_venta", "id_cliente", "lineas",
                            to_money("subtotal").alias("subtotal"), to_money("impuesto").alias("impuesto"),
                            to_money("total").alias("total"))
-    rejected = bad.select("id_carrito")
     return {"orders": orders, "order_lines": lines.drop("id_venta"), "shipments": shipments,
-            "sales": sales, "sale_lines": lines.drop("id_pedido"), "invoices": invoices,
-            "summary": summary, "rejected": rejected}
+            "sales": heads.select("id_venta", "id_cliente", "total"), "sale_lines": lines.drop("id_pedido"),
+            "invoices": _invoices(heads), "clients": clients, "products": products, "categories": new_categories,
+            "summary": summary,
+            "rejected": carts.select("id_carrito").distinct().join(heads.select("id_carrito"), "id_carrito", "left_anti")}
+
+
+def _invoices(heads: DataFrame) -> DataFrame:
+    return heads.select("id_venta", "subtotal", F.col("iva_pct").alias("porcentaje_iva"), "impuesto",
+                        F.col("total").alias("total_usd"))
+
+
+def _counter_rejections(carts: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Carts that a counter refuses when it serves them in cart order: a cart is
+    refused if one of its lines needs more than earlier accepted carts left.
+
+    Rounds over the undecided carts, with bounds from running sums per product:
+    the stock left if only the carts accepted so far were served, and if all
+    undecided ones were as well. A cart that passes with the lower bound is
+    accepted, one that fails with the upper bound is refused. The first
+    undecided cart is decided in every round, and a product that runs out
+    decides all its later carts at once, so few rounds are usual. Quantities
+    below 0 take nothing from the stock."""
+    q = F.coalesce("cantidad", F.lit(1)).cast("long")
+    first = carts.filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).groupBy("id_carrito", "id_producto").agg(
+        F.max(q).alias("need"), F.sum(F.greatest(q, F.lit(0))).alias("used"))
+    stock = inventory.select("id_producto", F.coalesce("stock_actual", F.lit(0)).alias("stock"))
+    rows = first.join(stock, "id_producto", "left").withColumn("stock", F.coalesce("stock", F.lit(0))) \
+        .withColumn("sure", F.lit(False)).checkpoint(eager=True)
+    served = rows.select("id_carrito").distinct()
+    bucket = F.floor(F.col("id_carrito") / 1000)
+    while not rows.filter(~F.col("sure")).isEmpty():
+        both = rows.withColumn("_taken", F.when(F.col("sure"), F.col("used")).otherwise(0))
+        both = running_sum(both, ["id_producto"], ["id_carrito"], "_taken", bucket, "_low")
+        both = running_sum(both, ["id_producto"], ["id_carrito"], "used", bucket, "_high")
+        most = F.greatest(F.lit(0), F.col("stock") - F.col("_low"))  # undecided rows take nothing here
+        least = F.greatest(F.lit(0), F.col("stock") - (F.col("_high") - F.col("used")))
+        fate = both.filter(~F.col("sure")).groupBy("id_carrito").agg(
+            F.bool_and(F.col("need") <= least).alias("_yes"), F.bool_or(F.col("need") > most).alias("_no"))
+        rows = rows.join(fate, "id_carrito", "left").filter(~F.coalesce("_no", F.lit(False))) \
+            .withColumn("sure", F.col("sure") | F.coalesce("_yes", F.lit(False))).drop("_yes", "_no").checkpoint(eager=True)
+    return served.join(rows.select("id_carrito").distinct(), "id_carrito", "left_anti")
 
 
 def physical_sales(ctx, carts: DataFrame, vat: Column | None = None) -> dict[str, DataFrame]:
-    """Counter sale per cart: sale, lines, invoice and stock reduced at
-    once (clamped at 0). Carts with a short line are rejected."""
+    """Counter sale per cart, served in cart order: sale, lines, invoice
+    and stock reduced at once (clamped at 0). A cart with a line that needs
+    more than earlier sales left is refused as a whole. Lines are checked one
+    by one, so two lines of one cart may take a product to 0 together.
+
+    Frames: summary (one sale per row), sale_lines, invoices, stock, rejected."""
     from vitrina.operators.sales import current_vat
+    ensure_checkpoint_dir(carts.sparkSession)
     rate = current_vat(ctx) if vat is None else vat
-    chk = stock_check(carts, ctx["inventario"], ctx["productos"])
-    bad = chk.filter(~F.col("ok")).select("id_carrito").distinct()
+    bad = _counter_rejections(carts, ctx["inventario"])
     good = carts.join(bad, "id_carrito", "left_anti")
     heads = _cart_headers(good, rate)
     heads = dense_ids(heads, ["id_carrito"], next_id_base(ctx["ventas"], "id_venta"), "id_venta")
     used = good.filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).select(
-        "id_producto", F.coalesce("cantidad", F.lit(1)).alias("cantidad"))
+        "id_producto", F.greatest(F.lit(0), F.coalesce("cantidad", F.lit(1))).alias("cantidad"))
     stock = _clamped_deduction(ctx["inventario"], used)
+    lines = good.join(heads.select("id_carrito", "id_venta"), "id_carrito").select(
+        "id_venta", "id_detalle", "id_producto", F.coalesce("cantidad", F.lit(1)).alias("cantidad"),
+        F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
     summary = heads.select("id_carrito", "id_venta", "lineas", to_money("subtotal").alias("subtotal"),
                            to_money("impuesto").alias("impuesto"), to_money("total").alias("total"))
-    return {"summary": summary, "stock": stock, "rejected": bad}
+    return {"summary": summary, "sale_lines": lines, "invoices": _invoices(heads), "stock": stock, "rejected": bad}

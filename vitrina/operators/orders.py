@@ -201,8 +201,8 @@ def match_or_create_clients(incoming: DataFrame, clients: DataFrame) -> DataFram
     client with the same (name, address), existing first, else created
     earlier. Else the row creates a client (origin 'auto'), numbered after the
     current maximum in key order. Existing clients always have the lower ids,
-    so they win a tie within a tier (the reference's ``LIMIT 1``). E-mail
-    matches also carry the new phone and id card.
+    so they win a tie within a tier (the reference's ``LIMIT 1``).
+    ``client_writes`` gives the rows to insert and update.
     Returns one row per incoming key: (key, id_cliente, tier).
     """
     by_mail = (clients.filter(F.col("correo").isNotNull() & (F.col("correo") != ""))
@@ -236,6 +236,24 @@ def match_or_create_clients(incoming: DataFrame, clients: DataFrame) -> DataFram
          .otherwise(F.lit("nuevo")).alias("tier"))
 
 
+def client_writes(incoming: DataFrame, matched: DataFrame, clients: DataFrame) -> DataFrame:
+    """O29, the rows to write: new clients (origin 'auto') and clients found by
+    e-mail with the phone and id card of their last incoming row, by key.
+    ``matched`` is the result of ``match_or_create_clients``."""
+    m = matched.join(incoming, "key")
+    last = m.filter(F.col("tier") == "correo").groupBy("id_cliente").agg(
+        F.max_by(F.struct("telefono", "cedula"), "key").alias("u"))
+    base = m.filter(F.col("tier") == "nuevo").select(
+        "id_cliente", "nombre", "correo", "telefono", "direccion", "cedula", F.lit("auto").alias("origen"))
+    new = base.join(last, "id_cliente", "left").select(
+        "id_cliente", "nombre", "correo", F.coalesce("u.telefono", "telefono").alias("telefono"), "direccion",
+        F.coalesce("u.cedula", "cedula").alias("cedula"), "origen", F.lit("nuevo").alias("cambio"))
+    old = clients.join(last, "id_cliente").select(
+        "id_cliente", "nombre", "correo", F.col("u.telefono").alias("telefono"), "direccion",
+        F.col("u.cedula").alias("cedula"), "origen", F.lit("actualizado").alias("cambio"))
+    return new.unionByName(old)
+
+
 def incoming_from_customers(ctx) -> DataFrame:
     """Every customer presented as a checkout form: e-mail left empty for every
     4th key and the name changed for every 5th, so all three tiers occur."""

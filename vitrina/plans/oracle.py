@@ -109,6 +109,11 @@ BINDINGS: dict[str, str] = {
     "carrito_compra": """
         select id_detalle, id_carrito, id_producto, cantidad, precio_unitario, fecha
         from cart_events where event_type = 'purchase'""",
+    "carrito_pago": """
+        select id_detalle, id_carrito, case when id_detalle % 7 <> 0 then id_producto end id_producto,
+          case when id_detalle % 11 = 0 then 0 when id_detalle % 13 <> 0 then cantidad end cantidad,
+          precio_unitario, fecha
+        from carrito_compra""",
     "carrito_quitar": """
         select id_detalle, id_carrito, id_producto, cantidad, precio_unitario, fecha
         from cart_events where event_type = 'error'""",

@@ -118,36 +118,186 @@ from req r left join inventario i on i.id_producto = r.id_producto
     "id_carrito", "id_producto", F.col("cantidad_pedida").cast("long").alias("cantidad_pedida"),
     "disponible", "ok"))
 
+_CHECKOUT = f"""
+chk as (
+  select l.id_carrito, (l.id_producto is null or l.id_producto = 0
+    or coalesce(i.stock_actual, 0) >= greatest(1, coalesce(l.cantidad, 1))) ok
+  from carrito_pago l left join inventario i on i.id_producto = l.id_producto),
+form as (
+  select id_usuario id_carrito, nombre, 
+    case when id_usuario % 4 = 0 then 'web' || id_usuario || '@mail.com' else correo end correo,
+    '0416-' || id_usuario telefono, 'V-' || id_usuario cedula, (['destino', 'tienda', 'agencia'])[id_usuario % 3 + 1] tipo,
+    id_usuario % 2 = 0 mrw, 'R' || id_usuario referencia,
+    case when id_usuario % 3 = 1 then 'Retiro en Tienda — Av. Principal, Local 5, CC La Cascada, Caracas'
+      when id_usuario % 2 = 0 then 'MRW, Cód: A' || id_usuario || ', Caracas'
+      else 'Cód: A' || id_usuario || ', Caracas' end direccion
+  from usuarios where id_usuario % 9 <> 0),
+ok_carts as (
+  select id_carrito from chk group by id_carrito having bool_and(ok)
+  intersect select id_carrito from form),
+good as (select l.* from carrito_pago l where id_carrito in (select id_carrito from ok_carts)),
+amounts as (
+  select id_carrito, count(*) lineas,
+    cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal
+  from good group by id_carrito),
+buyers as (
+  select f.*, (select min(c.id_cliente) from clientes c where c.correo = f.correo) id_old
+  from form f where id_carrito in (select id_carrito from ok_carts)),
+fresh as (
+  select id_carrito, (select max(id_cliente) from clientes) + row_number() over (order by id_carrito) id_new
+  from buyers where id_old is null),
+head as (
+  select a.*, {_VAT} pct, round(a.subtotal * {_VAT} / 100, 2) impuesto, coalesce(b.id_old, f.id_new) id_cliente,
+    (select max(id_pedido) from pedidos) + row_number() over (order by a.id_carrito) id_pedido,
+    (select max(id_venta) from ventas) + row_number() over (order by a.id_carrito) id_venta
+  from amounts a join buyers b on b.id_carrito = a.id_carrito left join fresh f on f.id_carrito = a.id_carrito),
+custom as (
+  select id_carrito, id_detalle,
+    cast((select max(id_producto) from productos) + row_number() over (order by id_carrito, id_detalle) as bigint) id_custom
+  from good where id_producto is null or id_producto = 0),
+line as (
+  select h.id_pedido, h.id_venta, g.id_detalle, coalesce(c.id_custom, g.id_producto) id_producto,
+    greatest(1, coalesce(g.cantidad, 1)) cantidad, cast(coalesce(g.precio_unitario, 0) as double) precio_unitario
+  from good g join head h on h.id_carrito = g.id_carrito
+  left join custom c on c.id_carrito = g.id_carrito and c.id_detalle = g.id_detalle)"""
+
+
+def _checkout(frame, *money):
+    return lambda ctx: _money_cols(ch.checkout(ctx, ctx["carrito_pago"], ch.checkout_forms_from_users(ctx), as_of=AS_OF)[frame], *money)
+
+
 register("checkout", "O62", f"""
-with {_CHECK},
-h as (select id_carrito, cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal,
-        count(*) lineas from good group by id_carrito),
-n as (select *, round(subtotal * {_VAT} / 100, 2) impuesto, row_number() over (order by id_carrito) rn from h)
-select n.id_carrito, (select max(id_pedido) from pedidos) + rn id_pedido, (select max(id_venta) from ventas) + rn id_venta,
-  c.id_cliente, n.lineas, cast(subtotal as double) subtotal, cast(impuesto as double) impuesto,
-  cast(round(subtotal + impuesto, 2) as double) total
-from n left join usuarios u on u.id_usuario = n.id_carrito left join clientes c on c.correo = u.correo
-""")(lambda ctx: ch.checkout(ctx, ctx["carrito_compra"])["summary"])
+with {_CHECKOUT}
+select id_carrito, id_pedido, id_venta, id_cliente, lineas, cast(subtotal as double) subtotal,
+  cast(impuesto as double) impuesto, cast(round(subtotal + impuesto, 2) as double) total
+from head
+""")(_checkout("summary"))
+
+register("checkout_orders", "O62", f"""
+with {_CHECKOUT}
+select id_pedido, id_cliente, cast(1 as bigint) id_estado, cast(round(subtotal + impuesto, 2) as double) total from head
+""")(_checkout("orders", "total"))
+
+register("checkout_order_lines", "O62", f"""
+with {_CHECKOUT}
+select id_pedido, id_detalle, id_producto, cantidad, precio_unitario from line
+""")(_checkout("order_lines", "precio_unitario"))
+
+register("checkout_shipments", "O62", f"""
+with {_CHECKOUT},
+labels(tipo, txt) as (values ('destino', 'Cobro a Destino'), ('tienda', 'Retiro en Tienda'), ('agencia', 'Retirar en Agencia'))
+select h.id_pedido, b.direccion direccion_envio,
+  l.txt || case when b.mrw and b.tipo <> 'tienda' then ' - MRW' else '' end empresa_envio,
+  '' numero_guia, 'Pendiente' estado_envio, timestamp '{AS_OF}' fecha_envio, 'Zelle' metodo_pago,
+  b.referencia referencia_pago, b.tipo tipo_envio
+from head h join buyers b on b.id_carrito = h.id_carrito join labels l on l.tipo = b.tipo
+""")(_checkout("shipments"))
+
+register("checkout_sales", "O62", f"""
+with {_CHECKOUT}
+select id_venta, id_cliente, cast(round(subtotal + impuesto, 2) as double) total from head
+""")(_checkout("sales", "total"))
+
+register("checkout_sale_lines", "O62", f"""
+with {_CHECKOUT}
+select id_venta, id_detalle, id_producto, cantidad, precio_unitario from line
+""")(_checkout("sale_lines", "precio_unitario"))
+
+register("checkout_invoices", "O62", f"""
+with {_CHECKOUT}
+select id_venta, cast(subtotal as double) subtotal, cast(pct as double) porcentaje_iva, cast(impuesto as double) impuesto,
+  cast(round(subtotal + impuesto, 2) as double) total_usd
+from head
+""")(_checkout("invoices", "subtotal", "porcentaje_iva", "impuesto", "total_usd"))
+
+register("checkout_clients", "O62/O29", f"""
+with {_CHECKOUT}
+select f.id_new id_cliente, b.nombre, b.correo, b.telefono, b.direccion, b.cedula, 'auto' origen, 'nuevo' cambio
+from fresh f join buyers b on b.id_carrito = f.id_carrito
+union all
+select c.id_cliente, c.nombre, c.correo, b.telefono, c.direccion, b.cedula, c.origen, 'actualizado'
+from buyers b join clientes c on c.id_cliente = b.id_old
+""")(_checkout("clients"))
+
+register("checkout_products", "O62", f"""
+with {_CHECKOUT}
+select id_custom id_producto, 'Producto Personalizado - ' || id_custom nombre, 'Producto personalizado' descripcion,
+  cast(30 as double) costo, cast(30 as double) precio_venta,
+  (select min(id_categoria) from categorias where nombre = 'Personalizado') id_categoria, 1 activo
+from custom
+""")(_checkout("products", "costo", "precio_venta"))
+
+register("checkout_rejected", "O62", f"""
+with {_CHECKOUT}
+select distinct id_carrito from carrito_pago where id_carrito not in (select id_carrito from ok_carts)
+""")(_checkout("rejected"))
+
+# The counter serves one cart after another: a recursive step per cart with the
+# stock left of every product as a list.
+_COUNTER = f"""
+need as (
+  select id_carrito, id_producto, max(coalesce(cantidad, 1)) n, sum(greatest(0, coalesce(cantidad, 1))) u
+  from carrito_pago where id_producto is not null and id_producto <> 0 group by id_carrito, id_producto),
+prods as (
+  select d.id_producto, row_number() over (order by d.id_producto) pi, cast(coalesce(i.stock_actual, 0) as bigint) stock
+  from (select distinct id_producto from need) d left join inventario i on i.id_producto = d.id_producto),
+queue as (
+  select n.id_carrito, row_number() over (order by n.id_carrito) rn, list(p.pi order by p.pi) ps,
+    list(cast(n.n as bigint) order by p.pi) ns, list(cast(n.u as bigint) order by p.pi) us
+  from need n join prods p on p.id_producto = n.id_producto group by n.id_carrito),
+served(rn, id_carrito, quedan, ok) as (
+  select cast(0 as bigint), cast(null as bigint), (select list(stock order by pi) from prods), true
+  union all
+  select t.rn, t.id_carrito,
+    case when t.yes then list_transform(t.quedan, lambda x, p: greatest(0, x - coalesce(t.us[list_position(t.ps, p)], 0)))
+         else t.quedan end, t.yes
+  from (select q.*, s.quedan,
+          len(list_filter(q.ps, lambda p, k: s.quedan[p] < q.ns[k])) = 0 yes
+        from served s join queue q on q.rn = s.rn + 1) t),
+good as (select * from carrito_pago where id_carrito not in (select id_carrito from served where not ok)),
+h as (
+  select id_carrito, count(*) lineas,
+    cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal
+  from good group by id_carrito),
+head as (
+  select *, {_VAT} pct, round(subtotal * {_VAT} / 100, 2) impuesto,
+    (select max(id_venta) from ventas) + row_number() over (order by id_carrito) id_venta
+  from h)"""
+
+
+def _counter(frame, *money):
+    return lambda ctx: _money_cols(ch.physical_sales(ctx, ctx["carrito_pago"])[frame], *money)
+
 
 register("physical_sales", "O71", f"""
-with {_CHECK},
-h as (select id_carrito, cast(sum(coalesce(precio_unitario, 0) * coalesce(cantidad, 1)) as decimal(18,2)) subtotal,
-        count(*) lineas from good group by id_carrito),
-n as (select *, round(subtotal * {_VAT} / 100, 2) impuesto, row_number() over (order by id_carrito) rn from h)
-select id_carrito, (select max(id_venta) from ventas) + rn id_venta, lineas, cast(subtotal as double) subtotal,
+with recursive {_COUNTER}
+select id_carrito, id_venta, lineas, cast(subtotal as double) subtotal,
   cast(impuesto as double) impuesto, cast(round(subtotal + impuesto, 2) as double) total
-from n
-""")(lambda ctx: ch.physical_sales(ctx, ctx["carrito_compra"])["summary"])
+from head
+""")(_counter("summary"))
+
+register("physical_sales_lines", "O71", f"""
+with recursive {_COUNTER}
+select h.id_venta, g.id_detalle, g.id_producto, coalesce(g.cantidad, 1) cantidad,
+  cast(coalesce(g.precio_unitario, 0) as double) precio_unitario
+from good g join head h on h.id_carrito = g.id_carrito
+""")(_counter("sale_lines", "precio_unitario"))
+
+register("physical_sales_invoices", "O71", f"""
+with recursive {_COUNTER}
+select id_venta, cast(subtotal as double) subtotal, cast(pct as double) porcentaje_iva, cast(impuesto as double) impuesto,
+  cast(round(subtotal + impuesto, 2) as double) total_usd
+from head
+""")(_counter("invoices", "subtotal", "porcentaje_iva", "impuesto", "total_usd"))
 
 register("physical_sales_stock", "O71", f"""
-with {_CHECK},
-used as (select id_producto, sum(coalesce(cantidad, 1)) descontado from good
+with recursive {_COUNTER},
+used as (select id_producto, sum(greatest(0, coalesce(cantidad, 1))) descontado from good
          where id_producto is not null and id_producto <> 0 group by id_producto)
 select i.id_producto, i.stock_actual stock_antes, cast(u.descontado as bigint) descontado,
-  cast(case when i.stock_actual - u.descontado is null then null
-       else greatest(0, i.stock_actual - u.descontado) end as bigint) stock_despues
+  cast(greatest(0, i.stock_actual - u.descontado) as bigint) stock_despues
 from inventario i join used u on u.id_producto = i.id_producto
-""")(lambda ctx: ch.physical_sales(ctx, ctx["carrito_compra"])["stock"])
+""")(_counter("stock"))
 
 register("missing_shipments", "O64", f"""
 select p.id_pedido, '' direccion_envio, 'Pendiente' empresa_envio, '' numero_guia, 'Pendiente' estado_envio,
@@ -184,8 +334,16 @@ from pedidos p cross join o cross join n
 _PRODUCT_CHANGES = """
 edits as (
   select p.id_producto, p.nombre, lower(coalesce(c.nombre, 'varios')) categoria,
-    cast(round(p.precio_venta * 1.05, 2) as decimal(18,2)) precio, p.descripcion
-  from productos p left join categorias c on c.id_categoria = p.id_categoria),
+    cast(round(p.precio_venta * 1.05, 2) as decimal(18,2)) precio, p.descripcion, coalesce(i.stock_actual, 0) + 10 stock,
+    case when p.id_producto % 4 = 0 then 'nuevo_' || p.id_producto || '.png' end imagen, 1 seq
+  from productos p left join categorias c on c.id_categoria = p.id_categoria
+  left join inventario i on i.id_producto = p.id_producto
+  union all
+  select id_producto, nombre || ' II', 'varios', cast(round(precio_venta * 1.10, 2) as decimal(18,2)), descripcion, 3, null, 2
+  from productos where id_producto % 5 = 0 and id_producto % 35 <> 0),
+last_edit as (
+  select e.* exclude (imagen), (select max(x.imagen) from edits x where x.id_producto = e.id_producto) imagen
+  from edits e where e.seq = (select max(seq) from edits m where m.id_producto = e.id_producto)),
 news as (
   select 'Producto ' || s_name nombre, 'Personalizado' categoria, cast(abs(s_acctbal) as decimal(18,2)) precio,
     'Producto personalizado' descripcion
@@ -202,8 +360,7 @@ register("upsert_products", "O68", f"""
 with {_PRODUCT_CHANGES}
 select e.id_producto, e.nombre, coalesce(e.descripcion, '') descripcion, cast(p.costo as double) costo,
   cast(e.precio as double) precio_venta, a.id_categoria, p.activo, 'actualizado' cambio
-from edits e join productos p on p.id_producto = e.id_producto left join all_cats a on a.nombre = e.categoria
-where e.nombre is not null and e.nombre <> '' and e.precio is not null
+from last_edit e join productos p on p.id_producto = e.id_producto left join all_cats a on a.nombre = e.categoria
 union all
 select cast((select max(id_producto) from productos) + row_number() over (order by n.nombre, n.precio) as bigint),
   n.nombre, n.descripcion, cast(n.precio as double), cast(n.precio as double), a.id_categoria, 1, 'nuevo'
@@ -217,6 +374,18 @@ with {_PRODUCT_CHANGES}
 select * from new_cats
 """)(lambda ctx: ch.upsert_products(ctx, ch.product_changes_from_data(ctx))[1])
 
+register("upsert_products_stock", "O68", f"""
+with {_PRODUCT_CHANGES}
+select id_producto, cast(stock as integer) stock_actual from last_edit
+union all
+select cast((select max(id_producto) from productos) + row_number() over (order by nombre, precio) as bigint), 0 from news
+""")(lambda ctx: ch.upsert_products(ctx, ch.product_changes_from_data(ctx))[2])
+
+register("upsert_products_images", "O68", f"""
+with {_PRODUCT_CHANGES}
+select id_producto, imagen ruta_imagen from last_edit where imagen is not null
+""")(lambda ctx: ch.upsert_products(ctx, ch.product_changes_from_data(ctx))[3])
+
 register("delete_products", "O69", """
 select id_producto, nombre, cast(precio_venta as double) precio_venta, id_categoria, activo
 from productos where id_producto not in (select id_producto from productos where activo = 0)

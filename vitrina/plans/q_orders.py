@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from vitrina.operators import orders
 from vitrina.plans.registry import register
 
@@ -110,6 +112,44 @@ select f.key, n.id_nuevo,
 from fresh f join new_ids n on n.ident = f.ident join idents i on i.ident = f.ident
 """)(lambda ctx: orders.match_or_create_clients(orders.incoming_from_customers(ctx), ctx["clientes"]))
 
+
+
+def _client_writes(ctx):
+    incoming = orders.incoming_from_customers(ctx)
+    return orders.client_writes(incoming, orders.match_or_create_clients(incoming, ctx["clientes"]), ctx["clientes"])
+
+
+# every customer comes once, so a new client is never found again by e-mail
+register("client_writes", "O29", """
+with inc as (
+  select id_cliente key,
+    case when id_cliente % 5 = 0 then nombre || ' (nuevo)' else nombre end nombre,
+    case when id_cliente % 4 = 0 then '' else correo end correo, direccion
+  from clientes),
+by_mail as (select correo, min(id_cliente) id_mail from clientes
+            where correo is not null and correo <> '' group by correo),
+by_name as (select nombre, direccion, min(id_cliente) id_name from clientes group by nombre, direccion),
+m as (
+  select i.key, i.nombre, i.direccion, nullif(i.correo, '') mail, bm.id_mail, bn.id_name
+  from inc i left join by_mail bm on bm.correo = nullif(i.correo, '')
+  left join by_name bn on bn.nombre = i.nombre and bn.direccion = i.direccion),
+fresh as (
+  select key, case when mail is not null then 'm:' || mail
+    else 'n:' || coalesce(nombre, '') || '|' || coalesce(direccion, '') end ident
+  from m where id_mail is null and id_name is null),
+idents as (select ident, min(key) first_key from fresh group by ident),
+new_ids as (
+  select ident, (select max(id_cliente) from clientes) + row_number() over (order by first_key) id_nuevo
+  from idents)
+select n.id_nuevo id_cliente, m.nombre, coalesce(m.mail, '') correo, '0414-' || m.key telefono, m.direccion, 'V-' || m.key cedula,
+  'auto' origen, 'nuevo' cambio
+from fresh f join idents i on i.ident = f.ident and i.first_key = f.key join new_ids n on n.ident = f.ident
+join m on m.key = f.key
+union all
+select c.id_cliente, c.nombre, c.correo, '0414-' || m.key, c.direccion, 'V-' || m.key, c.origen, 'actualizado'
+from m join clientes c on c.id_cliente = m.id_mail
+""")(_client_writes)
+
 from vitrina.operators import accounts  # noqa: E402
 
 register("linked_accounts", "O38", """
@@ -121,27 +161,79 @@ select p.id_usuario, p.proveedor, p.proveedor_correo, cast(t.t - p.n as bigint)
 from per p join tot t on t.id_usuario = p.id_usuario left join usuarios u on u.id_usuario = p.id_usuario
 """)(lambda ctx: accounts.link_removal_rules(ctx["cuentas_vinculadas"], ctx["usuarios"]))
 
-register("resolve_linked_accounts", "O79", """
-with inc as (
-  select case when event_id % 2 = 0 then 'google' else 'facebook' end proveedor,
-    (case when event_id % 2 = 0 then 'google' else 'facebook' end) || '_' || json_extract_string(props, '$.k') proveedor_id,
-    case when event_id % 5 = 0 then 'nuevo' || cast(user_id as varchar) || '@mail.com'
-         else 'c' || cast(user_id as varchar) || '@example.com' end correo, ts
+register("linked_accounts_by_provider", "O38", """
+with per as (select id_usuario, proveedor, arg_max(proveedor_correo, id_cuenta) c
+             from cuentas_vinculadas group by id_usuario, proveedor)
+select id_usuario, max(case when proveedor = 'google' then c end) google,
+  max(case when proveedor = 'facebook' then c end) facebook
+from per group by id_usuario
+""")(lambda ctx: accounts.linked_accounts_map(ctx["cuentas_vinculadas"]).select(
+    "id_usuario", F.try_element_at("cuentas", F.lit("google")).alias("google"),
+    F.try_element_at("cuentas", F.lit("facebook")).alias("facebook")))
+
+# Sign-ins of all three tiers; users with an id divisible by 11 have been deleted.
+_SIGNIN = """
+inc as (
+  select case when event_id % 2 = 0 then 'google' else 'facebook' end prov, ts, 'user' || user_id nombre,
+    json_extract_string(props, '$.k') || case when event_id % 3 = 0 then '_u' || user_id else '' end k,
+    case when event_id % 7 = 0 then null when event_id % 5 = 0 then 'nuevo' || user_id || '@mail.com'
+         else 'c' || user_id || '@example.com' end correo
   from events where event_type = 'purchase'),
-first as (select proveedor, proveedor_id, arg_min(correo, (ts, correo)) correo, min(ts) ts
-          from inc group by proveedor, proveedor_id),
-vl as (select * from cuentas_vinculadas l where exists (select 1 from usuarios u where u.id_usuario = l.id_usuario)),
-bm as (select correo, min(id_usuario) u from usuarios where correo is not null group by correo),
-j as (select f.*, vl.id_usuario u_link, bm.u u_mail from first f
-      left join vl on vl.proveedor = f.proveedor and vl.proveedor_id = f.proveedor_id
-      left join bm on bm.correo = f.correo),
-fresh as (select * from j where u_link is null and u_mail is null),
-em as (select correo, min(ts) t0 from fresh group by correo),
-ids as (select correo, (select max(id_usuario) from usuarios) + row_number() over (order by t0, correo) id from em)
-select proveedor, proveedor_id, coalesce(u_link, u_mail) id_usuario,
-  case when u_link is not null then 'vinculo' else 'correo' end via
-from j where u_link is not null or u_mail is not null
-union all
-select f.proveedor, f.proveedor_id, i.id, 'nuevo' from fresh f join ids i on i.correo = f.correo
-""")(lambda ctx: accounts.resolve_linked_accounts(accounts.signins_from_events(ctx.raw("events")),
-                                                  ctx["cuentas_vinculadas"], ctx["usuarios"]))
+firsts as (
+  select * from (select *, prov || '_' || k pid, row_number() over (
+    partition by prov, k order by ts, correo nulls first, nombre) n from inc) t where n = 1),
+alive as (select * from usuarios where id_usuario % 11 <> 0),
+tiers as (
+  select f.*, coalesce('m:' || f.correo, 'p:' || f.prov || '|' || f.pid) node, l.id_usuario u_link, m.id_usuario u_mail
+  from firsts f
+  left join (select x.* from cuentas_vinculadas x join alive a on a.id_usuario = x.id_usuario) l
+    on l.proveedor = f.prov and l.proveedor_id = f.pid
+  left join alive m on m.correo = f.correo),
+born as (
+  select *, (select max(id_usuario) from alive) + row_number() over (order by ts, node) u_new
+  from (select node, ts, correo, nombre, row_number() over (partition by node order by ts, prov, pid) n
+        from tiers where u_link is null and u_mail is null) t where n = 1),
+answer as (
+  select t.prov, t.pid, t.correo, coalesce(t.u_link, t.u_mail, b.u_new) u,
+    case when t.u_link is not null then 'vinculo' when t.u_mail is not null then 'correo' else 'nuevo' end via
+  from tiers t left join born b on b.node = t.node and t.u_link is null and t.u_mail is null)"""
+
+
+def _signins(frame):
+    return lambda ctx: accounts.linked_account_writes(
+        accounts.signins_from_events(ctx.raw("events")), ctx["cuentas_vinculadas"],
+        ctx["usuarios"].filter(F.pmod("id_usuario", F.lit(11)) != 0))[frame]
+
+
+register("resolve_linked_accounts", "O79", f"""
+with {_SIGNIN}
+select prov proveedor, pid proveedor_id, u id_usuario, via from answer
+""")(_signins("resolved"))
+
+register("linked_accounts_new_users", "O79", f"""
+with {_SIGNIN}
+select u_new id_usuario, nombre, correo, cast(2 as bigint) id_rol from born
+""")(_signins("new_users"))
+
+register("linked_accounts_new_links", "O79", f"""
+with {_SIGNIN}
+select u id_usuario, prov proveedor, pid proveedor_id, coalesce(correo, '') proveedor_correo,
+  (select max(id_cuenta) from cuentas_vinculadas) + row_number() over (order by prov, pid) id_cuenta
+from answer where via <> 'vinculo'
+""")(_signins("new_links"))
+
+register("linked_accounts_stale_links", "O79", f"""
+with {_SIGNIN}
+select l.* from cuentas_vinculadas l left join alive a on a.id_usuario = l.id_usuario where a.id_usuario is null
+""")(_signins("stale_links"))
+
+register("unlink_accounts", "O79", """
+with counted as (
+  select id_usuario, proveedor, count(*) n, sum(count(*)) over (partition by id_usuario) t
+  from cuentas_vinculadas group by id_usuario, proveedor)
+select l.* from cuentas_vinculadas l
+join counted c on c.id_usuario = l.id_usuario and c.proveedor = l.proveedor
+left join usuarios u on u.id_usuario = l.id_usuario
+where l.proveedor = 'google' and (coalesce(u.has_password, false) or c.t > c.n)
+""")(lambda ctx: accounts.unlink_accounts(
+    ctx["cuentas_vinculadas"].filter("proveedor = 'google'"), ctx["cuentas_vinculadas"], ctx["usuarios"]))

@@ -282,6 +282,14 @@ class ShopTables:
         """Carts sent to checkout / the counter: the purchase events."""
         return self["cart_events"].filter(F.col("event_type") == "purchase").drop("event_type")
 
+    def _t_carrito_pago(self) -> DataFrame:
+        """Carts sent to checkout with gaps: every 11th line has quantity 0, every
+        13th none, every 7th is a custom line without product id."""
+        k = F.col("id_detalle")
+        c = self["carrito_compra"]
+        return c.withColumn("cantidad", F.when(_mod(k, 11) == 0, F.lit(0)).when(_mod(k, 13) != 0, F.col("cantidad"))) \
+            .withColumn("id_producto", F.when(_mod(k, 7) != 0, F.col("id_producto")))
+
     def _t_carrito_quitar(self) -> DataFrame:
         """Lines removed from saved carts: the error events."""
         return self["cart_events"].filter(F.col("event_type") == "error").drop("event_type")
