@@ -151,3 +151,110 @@ def test_active_rate_sources(spark):
     assert (float(manual.tasa), manual.fuente) == (41.5, "manual")
     assert (float(bcv.tasa), bcv.fuente) == (36.6, "bcv")
     assert (float(default.tasa), default.fuente) == (40.0, "bcv")
+
+
+def test_physical_sales_replay(spark):
+    """Carts served one by one against the stock left; hot product 1 has a third
+    of the lines; custom lines, NULL, 0 and negative quantities, a product
+    without a stock row."""
+    import random
+    rnd = random.Random(5)
+    rows, k = [], 0
+    for cart in range(1, 61):
+        for _ in range(rnd.randint(1, 4)):
+            k += 1
+            product = 1 if rnd.random() < 0.33 else rnd.choice([2, 3, 4, 5, 6, 0, None, 99] if cart % 10 == 0 else [2, 3, 4, 5, 6, None])
+            rows.append((cart, k, product, rnd.choice([None, 0, 1, 1, 2, 3, 5, -1]), Decimal("2.50")))
+    stock0 = {1: 40, 2: 12, 3: 9, 4: 6, 5: 3, 6: 0}
+    lines = spark.createDataFrame(rows, f"id_carrito long, id_detalle long, id_producto long, cantidad int, precio_unitario {D}")
+    ctx = Ctx(spark, inventario=spark.createDataFrame(list(stock0.items()), "id_producto long, stock_actual int"),
+              ventas=spark.createDataFrame([(7,)], "id_venta long"))
+    got = changes.physical_sales(ctx, lines, F.lit(16).cast("decimal(5,2)"))
+    left, accepted = dict(stock0), []
+    for cart in range(1, 61):
+        mine = [(p, 1 if q is None else q) for c, _, p, q, _ in rows if c == cart]
+        if all(left.get(p, 0) >= q for p, q in mine if p):
+            accepted.append(cart)
+            for p, q in mine:
+                if p in left:
+                    left[p] = max(0, left[p] - max(0, q))
+    head = {r.id_carrito: r.id_venta for r in got["summary"].collect()}
+    assert sorted(head) == accepted and 0 < len(accepted) < 60
+    assert [head[c] for c in accepted] == list(range(8, 8 + len(accepted)))
+    assert {r.id_carrito for r in got["rejected"].collect()} == set(range(1, 61)) - set(accepted)
+    after = {r.id_producto: r.stock_despues for r in got["stock"].collect()}
+    assert all(left[p] == v for p, v in after.items())
+    assert got["sale_lines"].count() == sum(c in head for c, *_ in rows)
+    assert got["invoices"].count() == len(accepted)
+
+
+def test_checkout_writes_clients_products_and_shipments(spark):
+    ctx = Ctx(spark, estados_pedido=_states(spark),
+              inventario=spark.createDataFrame([(1, 5)], "id_producto long, stock_actual int"),
+              productos=spark.createDataFrame([(1, "P")], "id_producto long, nombre string"),
+              categorias=spark.createDataFrame([(3, "PROMO")], "id_categoria long, nombre string"),
+              pedidos=spark.createDataFrame([(10,)], "id_pedido long"), ventas=spark.createDataFrame([(20,)], "id_venta long"),
+              clientes=spark.createDataFrame([(4, "Ana", "ana@x.com", "0", "Coro", "manual")],
+                                             "id_cliente long, nombre string, correo string, telefono string, direccion string, origen string"))
+    carts = spark.createDataFrame(
+        [(1, 1, 1, 0, Decimal("3.00")), (1, 2, None, 1, Decimal("9.00")), (2, 3, None, None, Decimal("4.00")),
+         (3, 4, 1, 6, Decimal("3.00")), (4, 5, 1, 1, Decimal("3.00")), (5, 6, 1, 1, None)],
+        f"id_carrito long, id_detalle long, id_producto long, cantidad int, precio_unitario {D}")
+    form = lambda k, name, mail, kind, firm: (k, name, mail, f"t{k}", f"V{k}", kind, firm, "7", "Coro", "", "Zelle", None)
+    forms = spark.createDataFrame(
+        [form(1, "Ana", "ana@x.com", "destino", "MRW"), form(2, "Eva", "eva@x.com", "tienda", ""),
+         form(3, "Leo", "leo@x.com", "destino", ""), form(4, "", "no@x.com", "destino", ""), form(5, "Eva B", "eva@x.com", "agencia", "")],
+        "id_carrito long, nombre string, correo string, telefono string, cedula string, tipo_envio string, empresa_envio string, "
+        "codigo_agencia string, ciudad string, estado string, metodo_pago string, referencia string")
+    got = changes.checkout(ctx, carts, forms, F.lit(16).cast("decimal(5,2)"))
+    assert {r.id_carrito for r in got["rejected"].collect()} == {3, 4}  # short line; no name
+    assert {r.id_pedido: r.id_cliente for r in got["orders"].collect()} == {11: 4, 12: 5, 13: 5}
+    clients = {r.id_cliente: (r.nombre, r.telefono, r.cambio) for r in got["clients"].collect()}
+    assert clients == {4: ("Ana", "t1", "actualizado"), 5: ("Eva", "t5", "nuevo")}
+    # header: quantity as given (0 x 3 + 9); lines: at least 1
+    assert {r.id_venta: float(r.subtotal) for r in got["invoices"].collect()} == {21: 9.0, 22: 4.0, 23: 0.0}
+    lines = {r.id_detalle: (r.id_producto, r.cantidad) for r in got["order_lines"].collect()}
+    assert lines == {1: (1, 1), 2: (2, 1), 3: (3, 1), 6: (1, 1)}
+    made = {r.id_producto: (r.nombre, r.id_categoria) for r in got["products"].collect()}
+    assert made == {2: ("Producto Personalizado - 2", 4), 3: ("Producto Personalizado - 3", 4)}
+    assert [(r.id_categoria, r.nombre) for r in got["categories"].collect()] == [(4, "Personalizado")]
+    ships = {r.id_pedido: (r.empresa_envio, r.direccion_envio) for r in got["shipments"].collect()}
+    assert ships[11] == ("Cobro a Destino - MRW", "MRW, Cód: 7, Coro") and ships[12][0] == "Retiro en Tienda"
+    assert ships[13] == ("Retirar en Agencia", "Cód: 7, Coro")
+
+
+def test_upsert_products_latest_valid_edit(spark):
+    ctx = Ctx(spark, categorias=spark.createDataFrame([(1, "A")], "id_categoria long, nombre string"),
+              productos=spark.createDataFrame([(1, Decimal("1.00"), 1), (2, Decimal("1.00"), 1)], f"id_producto long, costo {D}, activo int"))
+    t = dt.datetime
+    rows = [(1, "x", "A", Decimal("2.00"), 4, "a.png", "d", t(2024, 1, 1)), (1, "y", "A", Decimal("3.00"), 5, None, "d", t(2024, 1, 2)),
+            (1, "z", "A", Decimal("9.00"), None, "z.png", "d", t(2024, 1, 3)), (2, "w", "A", Decimal("3.00"), None, None, "d", t(2024, 1, 1)),
+            (None, "n", "B", Decimal("3.00"), None, None, "d", t(2024, 1, 1))]
+    ch = spark.createDataFrame(rows, f"id_producto long, nombre string, categoria string, precio {D}, stock int, imagen string, descripcion string, ts timestamp_ntz")
+    products, cats, stock, images = changes.upsert_products(ctx, ch)
+    assert {r.id_producto: (r.nombre, r.cambio) for r in products.collect()} == {1: ("y", "actualizado"), 3: ("n", "nuevo")}
+    assert {r.id_producto: r.stock_actual for r in stock.collect()} == {1: 5, 3: 0}
+    assert [(r.id_producto, r.ruta_imagen) for r in images.collect()] == [(1, "a.png")] and cats.count() == 1
+
+
+def test_sign_ins_without_mail_and_stale_links(spark):
+    users = spark.createDataFrame([(1, "a@x.com"), (2, "")], "id_usuario long, correo string")
+    links = spark.createDataFrame([(5, 9, "google", "g9", "z@x.com")],
+                                  "id_cuenta long, id_usuario long, proveedor string, proveedor_id string, proveedor_correo string")
+    t = lambda d: dt.datetime(2024, 1, d)
+    inc = spark.createDataFrame([("google", "g1", None, "u1", t(1)), ("google", "g2", "", "u2", t(2)), ("google", "g9", "a@x.com", "u", t(3)),
+                                 ("google", "g1", "a@x.com", "u1", t(4))],
+                                "proveedor string, proveedor_id string, correo string, nombre string, ts timestamp_ntz")
+    w = accounts.linked_account_writes(inc, links, users)
+    assert {r.proveedor_id: (r.id_usuario, r.via) for r in w["resolved"].collect()} == {"g1": (3, "nuevo"), "g2": (4, "nuevo"), "g9": (1, "correo")}
+    assert {r.id_usuario: (r.nombre, r.correo, r.id_rol) for r in w["new_users"].collect()} == {3: ("u1", None, 2), 4: ("u2", None, 2)}
+    assert {r.proveedor_id: r.id_cuenta for r in w["new_links"].collect()} == {"g1": 6, "g2": 7, "g9": 8}
+    assert [r.id_cuenta for r in w["stale_links"].collect()] == [5]
+
+
+def test_new_ids_need_one_shuffle(spark):
+    from vitrina.functions.ids import dense_ids
+    rows = spark.range(0, 1000, 1, 8).selectExpr("(id * 7919) % 1000 as k")
+    got = dense_ids(rows, ["k"], 10, "n")
+    assert all(r.n == r.k + 11 for r in got.collect())
+    assert rows.sparkSession.range(0).count() == 0 and dense_ids(rows.filter("k < 0"), ["k"], 1, "n").count() == 0

@@ -162,3 +162,27 @@ def test_asof_rate_many_rates_in_a_month(spark):
                                (5, t(2024, 6, 9))], "k long, fecha timestamp_ntz")
     got = {x.k: x.tasa for x in rates.asof_rate(f, r).collect()}
     assert got == {1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 4.0}
+
+
+def test_asof_rate_every_minute_inactive_rates_and_a_hot_day(spark):
+    import bisect
+    from vitrina.streaming import rates
+    start = dt.datetime(2024, 3, 5)
+    r = [(start + dt.timedelta(minutes=m), float(m), int(m % 5 != 0)) for m in range(1, 1440)] + [(dt.datetime(2024, 2, 1), -1.0, 1), (None, 5.0, 1)]
+    f = [(k, start + dt.timedelta(seconds=(k * 7919) % 86400)) for k in range(1500)]
+    f += [(2000, dt.datetime(2024, 4, 1)), (2001, dt.datetime(2024, 1, 1)), (2002, None)]
+    got = {x.k: x.tasa for x in rates.asof_rate(spark.createDataFrame(f, "k long, fecha timestamp_ntz"),
+                                                spark.createDataFrame(r, "fecha timestamp_ntz, tasa double, activa int")).collect()}
+    live = sorted((d, v) for d, v, a in r if a and d)
+    for k, d in f:
+        i = bisect.bisect_right(live, (d, float("inf"))) if d else 0
+        assert got[k] == (live[i - 1][1] if i else None), k
+
+
+def test_shop_limits_count_their_own_route(spark):
+    from vitrina.streaming import limits
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t + dt.timedelta(seconds=i), "login") for i in range(11)] + [("b", t + dt.timedelta(seconds=i), "shop") for i in range(40)]
+    rows += [("b", t, "register")] * 6
+    got = limits.shop_limit_flags(spark.createDataFrame(rows, "direccion string, ts timestamp_ntz, ruta string")).collect()
+    assert {(r.direccion, r.ruta, r.solicitudes, r.limite) for r in got} == {("a", "login", 11, 10), ("b", "register", 6, 5)}

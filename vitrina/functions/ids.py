@@ -2,8 +2,9 @@
 
 A plain ``row_number().over(Window.orderBy(key))`` moves every row into one
 task. Here the rows are range-partitioned by the key (Spark samples the
-boundaries), numbered inside each range partition, and shifted by the row
-counts of the partitions before them. The offsets table has one row per
+boundaries), sorted and numbered by their place inside each range partition
+(one shuffle in all), and shifted by the row counts of the partitions before
+them. The offsets table has one row per
 partition, so broadcasting it is bounded by ``spark.sql.shuffle.partitions``.
 The numbered rows are checkpointed to the shared checkpoint folder, so the
 count pass and the join pass read identical data even if a task is re-run.
@@ -16,19 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.session import ensure_checkpoint_dir
 
-def dense_ids(df: DataFrame, order_cols: list[str], base: Column | int, id_col: str,
-              checkpoint: bool = True) -> DataFrame:
+
+def dense_ids(df: DataFrame, order_cols: list[str], base: Column | int, id_col: str) -> DataFrame:
     spark = df.sparkSession
-    if checkpoint:
-        from vitrina.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    numbered = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    if checkpoint:
-        numbered = numbered.checkpoint(eager=True)
+    place = F.monotonically_increasing_id()  # partition number above 33 bits of the row's place in it
+    numbered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_m", place)
+    numbered = numbered.select(*df.columns, F.shiftright("_m", 33).cast("int").alias("_pid"),
+                               (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_rn")).checkpoint(eager=True)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -3,7 +3,7 @@ annual and custom ranges, as Column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERIODS = ("daily", "weekly", "monthly", "annual")
@@ -41,3 +41,14 @@ def report_period(period: str, as_of: Column, date_from: Column | None = None,
         return date_from.cast("date"), date_to.cast("date")
     start, _ = period_bounds(as_of, period)
     return start, as_of
+
+
+def report_periods_of_sales(ctx) -> DataFrame:
+    """O47 for every day with sales: the range of each report type as asked for
+    on that day; the custom range is ten days before to three days after."""
+    days = ctx["ventas"].select(F.to_date("fecha").alias("as_of")).distinct()
+    day = F.col("as_of")
+    ends = [(p, *report_period(p, day)) for p in PERIODS]
+    ends.append(("custom", *report_period("custom", day, F.date_sub(day, 10), F.date_add(day, 3))))
+    rows = F.array(*[F.struct(F.lit(p).alias("periodo"), a.alias("desde"), b.alias("hasta")) for p, a, b in ends])
+    return days.select("as_of", F.explode(rows).alias("p")).select("as_of", "p.*")

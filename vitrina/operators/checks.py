@@ -53,32 +53,42 @@ RULES = [
     ("clientes", "not_null", "nombre", None, None),
     ("pedidos", "not_null", "id_cliente", None, None),
     ("detalle_ventas", "not_null", "id_producto", None, None),
+    ("cuentas_vinculadas", "unique", ("proveedor", "proveedor_id"), None, None),
+    ("cuentas_vinculadas", "unique", ("id_usuario", "proveedor"), None, None),
+    ("roles", "unique", "nombre", None, None),
 ]
 
 
 def constraint_violations(ctx, rules=RULES) -> DataFrame:
     """One row per violation (tabla, regla, columna, clave, filas).
 
-    UNIQUE: one row per duplicated non-NULL value (NULLs never collide, as in
-    SQLite) with its count; FOREIGN KEY: one row per non-NULL value without a
-    referenced row, with the number of rows using it; NOT NULL: one row with
-    the number of NULL rows. Every check is an aggregate or an anti join, so
-    the output is small even when the tables are not."""
-    parts = []
+    UNIQUE: one row per duplicated key without NULLs (NULLs never collide, as
+    in SQLite) with its count, a composite key (a tuple of columns) joined by
+    '|'; FOREIGN KEY: one row per non-NULL value without a referenced row, with
+    the number of rows using it; NOT NULL: one row with the number of NULL rows,
+    all columns of a table in one pass. Every check is an aggregate or an anti
+    join, so the output is small even when the tables are not."""
+    parts, required = [], {}
     for table, kind, col, ref, ref_col in rules:
         t = ctx[table]
+        if kind == "not_null":
+            required.setdefault(table, []).append(col)
+            continue
+        cols = [col] if isinstance(col, str) else list(col)
+        counts = t.select(*cols).dropna().groupBy(*cols).agg(F.count(F.lit(1)).alias("filas"))
         if kind == "unique":
-            v = (t.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("filas"))
-                 .filter(F.col("filas") > 1))
-        elif kind == "foreign":
-            keys = ctx[ref].select(F.col(ref_col).alias(col))
-            v = (t.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("filas"))
-                 .join(keys, col, "left_anti"))
+            v = counts.filter(F.col("filas") > 1)
         else:
-            v = t.filter(F.col(col).isNull()).agg(F.count(F.lit(1)).alias("filas")).filter("filas > 0") \
-                .select(F.lit(None).cast("string").alias(col), "filas")
-        parts.append(v.select(F.lit(table).alias("tabla"), F.lit(kind).alias("regla"), F.lit(col).alias("columna"),
-                              F.col(col).cast("string").alias("clave"), F.col("filas").cast("long").alias("filas")))
+            v = counts.join(ctx[ref].select(F.col(ref_col).alias(col)), col, "left_anti")
+        parts.append(v.select(F.lit(table).alias("tabla"), F.lit(kind).alias("regla"), F.lit(",".join(cols)).alias("columna"),
+                              F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("clave"),
+                              F.col("filas").cast("long").alias("filas")))
+    for table, cols in required.items():
+        counts = ctx[table].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
+        each = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).alias("filas")) for c in cols])).alias("x"))
+        parts.append(each.filter("x.filas > 0").select(
+            F.lit(table).alias("tabla"), F.lit("not_null").alias("regla"), "x.columna",
+            F.lit(None).cast("string").alias("clave"), "x.filas"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -86,6 +96,11 @@ def constraint_violations_sql(rules=RULES) -> str:
     """The same checks stated in SQL (for the DuckDB oracle)."""
     parts = []
     for table, kind, col, ref, ref_col in rules:
+        if not isinstance(col, str):
+            key = " || '|' || ".join(f"cast({c} as varchar)" for c in col)
+            parts.append(f"select '{table}' tabla, '{kind}' regla, '{','.join(col)}' columna, {key} clave, count(*) filas "
+                         f"from {table} where {key} is not null group by {', '.join(col)} having count(*) > 1")
+            continue
         head = f"select '{table}' tabla, '{kind}' regla, '{col}' columna"
         if kind == "unique":
             parts.append(f"{head}, cast({col} as varchar) clave, count(*) filas from {table} "

@@ -217,7 +217,7 @@ def match_or_create_clients(incoming: DataFrame, clients: DataFrame) -> DataFram
     j = inc.join(by_mail, "_mail", "left").join(by_name, ["nombre", "direccion"], "left")
     cand = j.filter(F.col("id_mail").isNull() & F.col("id_name").isNull())
     creators = _first_creators(cand)
-    creators = dense_ids(creators, ["key"], next_id_base(clients, "id_cliente"), "id_nuevo", checkpoint=False)
+    creators = dense_ids(creators, ["key"], next_id_base(clients, "id_cliente"), "id_nuevo")
     by_new_mail = creators.filter(F.col("_mail_node").startswith("m:")).select(
         F.col("_mail_node"), F.col("key").alias("_ck_m"), F.col("id_nuevo").alias("id_new_mail"))
     by_new_name = creators.select("_name_node", F.col("key").alias("_ck_n"), F.col("id_nuevo").alias("id_new_name"))

@@ -89,7 +89,8 @@ BINDINGS: dict[str, str] = {
           cast(round(total * 16 / 100, 2) as decimal(18,2)) impuesto
         from ventas where id_venta % 11 <> 0""",
     "tasas_cambio": """
-        select fecha, cast((200 + (year(fecha) - 1995) * 20 + month(fecha)) * 0.1 as decimal(12,4)) tasa
+        select fecha, cast((200 + (year(fecha) - 1995) * 20 + month(fecha)) * 0.1 as decimal(12,4)) tasa,
+          case when month(fecha) = 7 then 0 else 1 end activa
         from (select distinct cast(date_trunc('month', o_orderdate) as timestamp) fecha from orders) t
         where month(fecha) % 2 = 1""",
     "configuracion": """

@@ -6,6 +6,8 @@ O73 and O76 are ordered folds; their SQL statements are recursive CTEs, and
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from vitrina.streaming import carts, ledger, limits, rates
 from vitrina.plans.registry import register
 
@@ -46,7 +48,7 @@ select x.id_venta, x.fecha, cast(x.usd as double) total_usd, cast(r.tasa as doub
   cast(round(x.usd * r.tasa, 2) as double) total_bs
 from (select f.id_venta, v.fecha, f.subtotal + f.impuesto usd
       from facturas f join ventas v on v.id_venta = f.id_venta) x
-asof left join tasas_cambio r on x.fecha >= r.fecha
+asof left join (select * from tasas_cambio where activa = 1) r on x.fecha >= r.fecha
 """)(rates.invoice_local_total)
 
 register("rate_limit_flags", "O75", f"""
@@ -92,10 +94,27 @@ select c.*, cast(st.n as bigint) carrito_n, st.s creacion_carrito
 from cart_events c asof join starts st on c.id_carrito = st.id_carrito and c.fecha >= st.s
 """)(lambda ctx: carts.active_carts(ctx["cart_events"]))
 
-_SHOP_LIMIT_SQL = "\nunion all\n".join(
-    f"""select user_id, date_trunc('{unit}', ts) ventana_inicio, date_trunc('{unit}', ts) + interval 1 {unit} ventana_fin,
-  count(*) solicitudes, {n} limite, '1 {unit}' ventana
-from events group by user_id, date_trunc('{unit}', ts) having count(*) > {n}"""
-    for n, unit in [(200, "day"), (50, "hour"), (10, "minute"), (5, "minute")])
-
-register("shop_limit_flags", "O75", _SHOP_LIMIT_SQL)(lambda ctx: limits.shop_limit_flags(ctx.raw("events")))
+# Requests: the events 240 times as fast, from two addresses; clicks are logins
+# and signups are registrations.
+_REQUESTS = """
+req as (
+  select case when user_id % 3 = 0 then 'a' else 'b' end direccion, make_timestamp(epoch_us(ts) // 240) ts,
+    case event_type when 'click' then 'login' when 'signup' then 'register' else 'shop' end ruta
+  from events)"""
+_LIMITS_SQL = "\nunion all\n".join(
+    f"""select direccion, date_trunc('{unit}', ts) ventana_inicio, date_trunc('{unit}', ts) + interval 1 {unit} ventana_fin,
+  count(*) solicitudes, {n} limite, '1 {unit}' ventana, '{route or "todas"}' ruta
+from req {f"where ruta = '{route}'" if route else ""} group by direccion, date_trunc('{unit}', ts) having count(*) > {n}"""
+    for n, unit, route in [(200, "day", None), (50, "hour", None), (10, "minute", "login"), (5, "minute", "register")])
+
+
+def _requests(ctx):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    route = F.when(F.col("event_type") == "click", "login").when(F.col("event_type") == "signup", "register").otherwise("shop")
+    return ctx.raw("events").select(
+        F.when(F.pmod("user_id", F.lit(3)) == 0, "a").otherwise("b").alias("direccion"),
+        F.timestamp_micros(F.floor(micros / 240)).cast("timestamp_ntz").alias("ts"), route.alias("ruta"))
+
+
+register("shop_limit_flags", "O75", f"with {_REQUESTS}\n{_LIMITS_SQL}")(
+    lambda ctx: limits.shop_limit_flags(_requests(ctx), key="direccion"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vitrina.functions import periods
 from vitrina.operators import sales
 from vitrina.plans.registry import register
 
@@ -151,3 +152,12 @@ register("vat_rate", "O49", """
 select cast(coalesce(case when max(iva_default) > 0 then max(iva_default) end, 16) as double) iva
 from configuracion
 """)(sales.vat_rate_table)
+
+register("report_period", "O47", """
+with days as (select distinct cast(fecha as date) as_of from ventas)
+select as_of, 'daily' periodo, as_of desde, as_of hasta from days
+union all select as_of, 'weekly', as_of - cast(dayofweek(as_of) as integer), as_of from days
+union all select as_of, 'monthly', cast(date_trunc('month', as_of) as date), as_of from days
+union all select as_of, 'annual', cast(date_trunc('year', as_of) as date), as_of from days
+union all select as_of, 'custom', as_of - 10, as_of + 3 from days
+""")(periods.report_periods_of_sales)

@@ -245,7 +245,8 @@ class ShopTables:
                   .distinct())
         months = months.filter(_mod(F.month("fecha"), 2) == 1)
         tasa = ((F.lit(200) + (F.year("fecha") - 1995) * 20 + F.month("fecha")) * F.lit(0.1).cast("decimal(2,1)"))
-        return months.select("fecha", tasa.cast(RATE).alias("tasa"))
+        return months.select("fecha", tasa.cast(RATE).alias("tasa"),
+                             F.when(F.month("fecha") == 7, 0).otherwise(1).alias("activa"))
 
     def _t_configuracion(self) -> DataFrame:
         # one row: default VAT, the latest bound rate as USD rate, no EUR rate

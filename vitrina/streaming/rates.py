@@ -1,10 +1,11 @@
 """As-of join of invoices with the exchange rate valid at their date.
 
-Validity intervals [from, to) are built per month (see ``rate_intervals``);
-each interval is exploded into the months it covers, and facts join on
-(month) as an equi key plus the interval test.
-No window runs over the facts and no side has to be broadcast (AQE still
-broadcasts the interval table when its measured size allows).
+Facts and rates form one ordered stream per day. Inside a day the last rate is
+carried forward by a window; a fact before the day's first rate takes the last
+rate of an earlier day, found over one row per calendar day. A day's facts are
+spread over ``SALTS`` groups, each with a copy of the day's rates, so a day that
+holds a third of all facts is not one task. Work is linear in facts and rates,
+however often rates arrive.
 """
 
 from __future__ import annotations
@@ -14,41 +15,35 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.money import DEC, to_money
 
-
-def rate_intervals(rates: DataFrame, until) -> DataFrame:
-    """[valid_from, valid_to) per rate; the last interval ends at ``until``.
-
-    The next rate date is found inside each month (a window per month), and
-    for a month's last rate it is the first rate of the next month with one:
-    a lead over one row per month, so no window spans the whole rate table
-    even if rates arrive every second."""
-    r = rates.select(F.col("fecha").alias("valid_from"), "tasa",
-                     F.trunc(F.to_date("fecha"), "month").alias("_m"))
-    in_month = F.lead("valid_from").over(Window.partitionBy("_m").orderBy("valid_from"))
-    months = r.groupBy("_m").agg(F.min("valid_from").alias("_first"))
-    months = months.select("_m", F.lead("_first").over(Window.orderBy("_m")).alias("_next_month"))
-    iv = (r.withColumn("_in", in_month).join(months, "_m", "left")
-          .select("valid_from", "tasa", F.coalesce("_in", "_next_month").alias("valid_to")))
-    # an open last interval ends at the last fact; never before its own start
-    end = F.greatest(F.coalesce(F.col("valid_to"), until), F.col("valid_from"))
-    months = F.sequence(F.trunc(F.to_date("valid_from"), "month"),
-                        F.trunc(F.to_date(end), "month"), F.expr("interval 1 month"))
-    return iv.withColumn("_month", F.explode(months))
+SALTS = 16
 
 
 def asof_rate(facts: DataFrame, rates: DataFrame, ts: str = "fecha") -> DataFrame:
-    """Left as-of join: each fact row gets the latest rate whose date <= ``ts``."""
-    until = facts.select(F.max(ts)).scalar()
-    iv = rate_intervals(rates, until)
-    f = facts.withColumn("_month", F.trunc(F.to_date(ts), "month"))
-    cond = ((f["_month"] == iv["_month"]) & (f[ts] >= iv["valid_from"])
-            & (iv["valid_to"].isNull() | (f[ts] < iv["valid_to"])))
-    return f.join(iv, cond, "left").drop(iv["_month"]).drop(f["_month"]).drop("valid_from", "valid_to")
+    """Left as-of join: each fact row gets the latest rate whose date <= ``ts``
+    (of rates with one date the largest); NULL before the first rate or without
+    a date. Rates marked inactive (``activa`` 0) and without a date are skipped."""
+    if "activa" in rates.columns:
+        rates = rates.filter(F.col("activa") == 1)
+    rates = rates.filter(F.col("fecha").isNotNull()).select(
+        F.to_date("fecha").alias("_day"), F.col("fecha").alias("_ts"), F.col("tasa").alias("_rate"))
+    rows = facts.select(F.to_date(ts).alias("_day"), F.col(ts).alias("_ts"),
+                        F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int").alias("_salt"),
+                        F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_row"))
+    spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_kind", F.lit(0))
+    both = rows.unionByName(spread, allowMissingColumns=True)
+    inside = Window.partitionBy("_day", "_salt").orderBy("_ts", "_kind", "_rate")
+    both = both.withColumn("_near", F.last("_rate", ignorenulls=True).over(inside)).filter(F.col("_kind") == 1)
+    # one row per calendar day from here on
+    last = rates.groupBy("_day").agg(F.max(F.struct("_ts", "_rate")).alias("l")).select("_day", F.col("l._rate").alias("_last"))
+    days = last.unionByName(rows.select("_day").distinct(), allowMissingColumns=True).groupBy("_day").agg(F.max("_last").alias("_last"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    return both.join(days, "_day", "left").select("_row.*", F.coalesce("_near", "_carried").alias("tasa"))
 
 
 def invoice_local_total(ctx) -> DataFrame:
-    """Invoice total (subtotal + VAT) in local currency at the rate valid
-    on the invoice date; NULL before the first rate."""
+    """Invoice total (subtotal + VAT) in local currency at the active rate
+    valid on the invoice date; NULL before the first rate."""
     inv = ctx["facturas"].join(ctx["ventas"].select("id_venta", "fecha"), "id_venta", "inner")
     inv = inv.select("id_venta", "fecha", (F.col("subtotal") + F.col("impuesto")).cast(DEC).alias("_usd"))
     j = asof_rate(inv, ctx["tasas_cambio"], "fecha")
