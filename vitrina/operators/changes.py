@@ -431,13 +431,14 @@ def checkout_forms_from_users(ctx) -> DataFrame:
         F.lit("Zelle").alias("metodo_pago"), F.concat(F.lit("R"), text).alias("referencia"))
 
 
-def checkout(ctx, carts: DataFrame, forms: DataFrame, vat: Column | None = None,
+def checkout(ctx, carts: DataFrame, forms: DataFrame | None = None, vat: Column | None = None,
              as_of: str = "1998-08-02 00:00:00") -> dict[str, DataFrame]:
     """Carts and their checkout forms -> all rows the shop writes.
 
     ``forms`` holds one row per cart: (id_carrito, nombre, correo, telefono,
     cedula, tipo_envio, empresa_envio, codigo_agencia, ciudad, estado,
-    metodo_pago, referencia). A cart with any short line (O63, per line), or
+    metodo_pago, referencia); without it the cart owner's name and e-mail and
+    home delivery are used. A cart with any short line (O63, per line), or
     without a form that names the buyer, is rejected as a whole. Accepted
     carts are taken in cart order: order and sale ids follow the current
     maxima, and clients are matched or created as O29 does.
@@ -455,6 +456,10 @@ def checkout(ctx, carts: DataFrame, forms: DataFrame, vat: Column | None = None,
     from vitrina.operators.orders import client_writes, match_or_create_clients
     from vitrina.operators.sales import current_vat
     rate = current_vat(ctx) if vat is None else vat
+    if forms is None:
+        blank = {c: F.lit("") for c in ("telefono", "cedula", "empresa_envio", "codigo_agencia", "ciudad", "estado", "referencia")}
+        forms = ctx["usuarios"].select(F.col("id_usuario").alias("id_carrito"), "nombre", "correo").withColumns(
+            blank | {"tipo_envio": F.lit("destino"), "metodo_pago": F.lit("Pendiente")})
     chk = stock_check(carts, ctx["inventario"], ctx["productos"])
     short = chk.filter(~F.col("ok")).select("id_carrito")
     named = forms.filter(F.col("nombre") != "")
