@@ -79,3 +79,43 @@ def test_rate_limit_stream_final_counts_equal_batch(spark, ctx):
     cols = ["user_id", "ventana_inicio", "solicitudes"]
     assert _rows(got, cols) == _rows(want, cols)
     assert got.count() > 0
+
+
+class _State:
+    """The part of a group state that the folds use."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_state_functions_take_missing_quantities_like_the_batch_jobs(spark):
+    import pandas as pd
+    from vitrina.streaming import ledger, streams
+    days = pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"])
+    qty = [None, 4, 3, None]
+    lines = spark.createDataFrame([(i, i, 7, d.to_pydatetime(), q) for i, (d, q) in enumerate(zip(days, qty))],
+                                  "id_venta long, id_detalle int, id_producto long, fecha timestamp_ntz, cantidad int")
+    stock = spark.createDataFrame([(7, 5, 2)], "id_producto long, stock_actual int, stock_minimo int")
+    batch = {r.id_venta: r.aceptada for r in ledger.oversell_guard(lines, stock).collect()}
+    pdf = pd.DataFrame({"id_venta": range(4), "id_detalle": range(4), "id_producto": 7, "fecha": days, "cantidad": qty, "_open": 5})
+    state, got = _State(), {}
+    for lo in (0, 2):  # two micro-batches
+        for out in streams._guard_state((7,), iter([pdf.iloc[lo : lo + 2].copy()]), state):
+            got |= dict(zip(out["id_venta"], map(bool, out["aceptada"])))
+    assert got == batch == {0: True, 1: True, 2: False, 3: True}
+    sales_ = lines.withColumn("precio_unitario", lines.id_venta * 0)
+    buys = spark.createDataFrame([], "id_proveedor long, id_producto long, cantidad int, fecha timestamp_ntz")
+    want = {r.ref: r.stock_despues for r in ledger.stock_ledger(sales_, buys, stock).collect()}
+    move = pd.DataFrame({"id_producto": 7, "fecha": days, "tipo": "salida", "cantidad": qty, "descripcion": "Venta realizada",
+                         "ref": range(4), "linea": range(4), "_signed": [None if q is None else -q for q in qty], "_open": 5, "stock_minimo": 2})
+    state, got = _State(), {}
+    for lo in (0, 2):
+        for out in streams._ledger_state((7,), iter([move.iloc[lo : lo + 2].copy()]), state):
+            got |= dict(zip(out["ref"], out["stock_despues"]))
+    assert got == want == {0: 5, 1: 1, 2: -2, 3: -2}

@@ -18,7 +18,8 @@ def running_sum(df: DataFrame, key: list[str], order: list, value: str, bucket:
                 out: str) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``key`` up to and
     including this row, in ``order``. ``bucket`` must be non-decreasing
-    along ``order`` (it is usually the leading order column, truncated)."""
+    along ``order`` (it is usually the leading order column, truncated). NULL
+    values add nothing."""
     d = df.withColumn("_b", bucket)
     totals = d.groupBy(*key, "_b").agg(F.sum(value).alias("_bt"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,4 +29,4 @@ def running_sum(df: DataFrame, key: list[str], order: list, value: str, bucket:
     offsets = offsets.select(*[F.col(c).alias("_o_" + c) for c in cols], "_off")
     cond = [d[c].eqNullSafe(offsets["_o_" + c]) for c in cols]  # NULL keys keep their rows
     j = d.join(offsets, cond, "inner").drop(*["_o_" + c for c in cols])
-    return j.withColumn(out, F.col("_off") + F.sum(value).over(inside)).drop("_b", "_off")
+    return j.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_b", "_off")

@@ -23,7 +23,7 @@ mov as (
   from detalle_compras),
 led as (
   select m.id_producto, m.fecha, m.tipo, m.cantidad, m.descripcion, m.ref, m.linea,
-    cast(i.stock_actual + sum(m.signed) over (partition by m.id_producto
+    cast(i.stock_actual + sum(coalesce(m.signed, 0)) over (partition by m.id_producto
       order by m.fecha, m.tipo, m.ref, m.linea, m.cantidad
       rows between unbounded preceding and current row) as bigint) stock_despues
   from mov m left join inventario i on i.id_producto = m.id_producto)"""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ def _ledger_state(key, pdfs: Iterator[pd.DataFrame], state):
         opening = pdf["_open"].iloc[0]
         has_row = not pd.isna(opening)
         stock = int(opening) if has_row else 0
-    run = stock + pdf["_signed"].cumsum().to_numpy()
+    run = stock + pdf["_signed"].fillna(0).astype("int64").cumsum().to_numpy()  # no quantity moves nothing
+    pdf["cantidad"] = pdf["cantidad"].astype("Int64")
     state.update((int(run[-1]), bool(has_row)))
     pdf["stock_despues"] = pd.array(run, dtype="Int64") if has_row else pd.array([None] * len(pdf), dtype="Int64")
     yield pdf[["id_producto", "fecha", "tipo", "cantidad", "descripcion", "ref", "linea",
@@ -67,7 +69,10 @@ def _guard_state(key, pdfs: Iterator[pd.DataFrame], state):
     else:
         o = pdf["_open"].iloc[0]
         left = None if pd.isna(o) else int(o)
-    ok, left = ledger_mod.guard_scan(pdf["cantidad"].to_numpy(), left)
+    missing = pdf["cantidad"].isna().to_numpy()
+    ok, left = ledger_mod.guard_scan(pdf["cantidad"].fillna(0).astype("int64").to_numpy(), left)
+    ok = np.asarray(ok, bool) | missing  # a line without quantity takes nothing and passes, as in the batch job
+    pdf["cantidad"] = pdf["cantidad"].astype("Int64")
     state.update((None if left is None else int(left),))
     pdf["aceptada"] = ok
     yield pdf[["id_venta", "id_detalle", "id_producto", "fecha", "cantidad", "aceptada"]]
