@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm.shared import id_or_last, scratch_path, written
+from vitrina.llm.shared import NULL_ID, id_or_last, scratch_path, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -99,7 +99,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = docs.select(F.struct("*").alias("row"), id_or_last(id_col).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    cuts = sorted({int(x) for x in docs.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)})
+    # quantiles are doubles: 2^63 - 1, a missing id, comes back as 2^63
+    cuts = sorted({min(int(x), NULL_ID) for x in docs.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)})
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("id") > F.lit(c)).cast("int")
