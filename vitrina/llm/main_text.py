@@ -24,9 +24,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
 NOISE_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline comment comments
- consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation
- newsletter notice overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar
+NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adbox alert banner breadcrumb breadcrumbs byline comment commentlist
+ comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu menus modal nav navbar
+ navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar
  signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry maincontent post postbody story text".split())
 WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
@@ -45,7 +45,7 @@ class Element:
         up = parent
         self.content = bool(up and up.content) or tag in ("article", "main") or attrs.get("role") == "main" or bool(names & CONTENT_WORDS)
         style = (attrs.get("style") or "").replace(" ", "").lower()
-        own = (tag in NOISE_TAGS or tag == "header" and not (up and up.content) or attrs.get("role") in NOISE_ROLES
+        own = (tag in NOISE_TAGS or (tag == "header" or "header" in names) and not (up and up.content or self.content) or attrs.get("role") in NOISE_ROLES
                or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style
                or bool(names & NOISE_WORDS) and tag not in ("html", "body"))
         self.noise = bool(up and up.noise) or own
