@@ -67,6 +67,15 @@ def test_line_dedup_edge_cases(odd_docs, no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
 
 
+def test_line_dedup_without_ids(spark):
+    """Rows without id are one document, also if they are most of the table."""
+    line = "a line that every row of the table holds"
+    rows = [(None, line)] * 6 + [(None, None), (2**63 - 2, line), (3, line + "\nand one more line here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.line_dedup(docs).select("row.*", "*").collect())
+    assert got == {(None, 1, 1, ""): 6, (None, 1, 0, ""): 1, (2**63 - 2, 1, 1, ""): 1, (3, 2, 0, line + "\nand one more line here"): 1}
+
+
 def test_line_runs_are_merged_by_level(spark):
     index = line_dedup.LineRuns(spark, buckets=2)
     batches = [[(1, 1, 10), (2, 2, 10)], [(1, 1, 20), (3, 3, 20), (3, 3, 21)], [(2, 2, 30)], [(4, 4, 40), (3, 3, 41)]]
@@ -389,6 +398,13 @@ def test_main_text_of_a_page():
     assert main_blocks(page) == ["Head & line", "First paragraph with enough words to be called a sentence. It goes on.", "Second paragraph without end tag.", "item one", "item two"]
 
 
+def test_notices_and_headers_by_class():
+    words = "a sentence with more than ten words that could well be content."
+    page = (f"<body><div id=header><p>Header, {words}</div><div class='site-notices'><p>Notice, {words}</div><article><div class=entry-header><h1>Title</h1></div>"
+            f"<p>Text, {words}</p></article><ol class=commentlist><li>Comment, {words}</ol></body>")
+    assert main_blocks(page) == ["Title", f"Text, {words}"]
+
+
 def test_minimum_cut_matches_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):
