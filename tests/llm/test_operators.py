@@ -507,6 +507,31 @@ def test_neighbours_edge_cases(spark):
     assert hilbert_ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-4])
+def test_neighbours_recall_in_a_group(spark, noise):
+    """A third of the rows are equal vectors, or near copies that share a cell."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 16))
+    x[::3] = x[0] + noise * rng.standard_normal((1000, 16))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if not noise:
+        x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hilbert_ann.nearest_neighbours(df, F.col("vec_id") % 60 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    recall = []
+    for q in range(0, 3000, 60):
+        near = np.cumsum(x * x[q], axis=1)[:, -1]
+        near[q] = -9
+        mine = [v for _, v in sorted(got[q])]
+        if not noise:
+            assert mine == [i for i in range(0, 66, 3) if i != q][:20]
+        assert len(mine) == 20
+        recall.append(len(set(np.argsort(-near, kind="stable")[:20].tolist()) & set(mine)) / 20)
+    assert len(recall) == 50 and np.mean(recall) >= 0.97
+
+
 # pipeline
 
 def test_pipeline_stages(spark, small_docs):
