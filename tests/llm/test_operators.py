@@ -196,6 +196,18 @@ def test_verbatim_passages_are_found(spark, small_docs):
     assert want <= got
 
 
+def test_passages_of_long_items_are_found(spark):
+    """A run of 13 tokens is a leak whatever the item's length; the share stays a column."""
+    words = [f"word{i}x" for i in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"item{i}y" for i in range(59)))], "item_id long, text string")
+    own = lambda k: " ".join(f"own{k}z{i}" for i in range(30))
+    cut = lambda k, lo, n: f"{own(k)} {' '.join(words[lo:lo + n])} {own(-k)}"
+    docs = [(1, cut(1, 100, 100)), (2, cut(2, 0, 13)), (3, cut(3, 287, 13)), (4, cut(4, 50, 12)), (5, f"{own(5)} {' '.join(f'item{i}y' for i in range(20, 40))}"),
+            (6, f"{own(6)} {' '.join(words[10:19])} {own(-6)} {' '.join(words[40:49])}")]  # two runs of 9
+    got = {r["id"]: (r["item_id"], r["n_windows"], r["coverage"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (1, 93, 93 / 293), 2: (1, 6, 6 / 293), 3: (1, 6, 6 / 293), 5: (2, 13, 13 / 52)}
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -27,6 +27,7 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset("% $ € £ ° km m cm mm kg g mg lb lbs oz mph kmh l ml km² m² s ms min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ton tons liter liters litre litres gallon gallons dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit".split())
 WINDOW = 8
 SHORTEST = 4  # windows need this many literal tokens
+RUN = 13  # so many tokens in a row are a leak whatever the item's length
 FILTER_BITS = 24  # the filter has 2^24 bits (2 MB) whatever the benchmark's size
 CACHE = 200_000
 LITERAL, NUMBER, UNIT, TITLE, END = range(5)
@@ -130,6 +131,33 @@ def _document_windows(sizes: list[int], bits: np.ndarray):
     return run
 
 
+def _alignments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every alignment of a document with an item whose slots are consistent:
+    the places of its windows in the item, the most tokens in a row they cover,
+    and how many slots it has and changes."""
+    for frame in frames:
+        out = []
+        for row, hits in enumerate(frame["hits"]):
+            pairs, found = set(), []
+            for w in hits:
+                w = w.tolist()
+                half = len(w) // 2 + 1
+                pairs.update(zip(w[2:half], w[half:]))
+                found.append((w[0], w[1]))
+            if len({x for x, _ in pairs}) < len(pairs) or len({y for _, y in pairs}) < len(pairs):
+                continue
+            run = begin = end = 0
+            for b, size in sorted(found):
+                if b > end:
+                    begin = b
+                end = b + size
+                run = max(run, end - begin)
+            out.append((row, sorted({b for b, _ in found}), run, len(pairs), sum(x != y for x, y in pairs)))
+        got = pd.DataFrame(out, columns=["row", "found", "run", "slots", "changed"])
+        keys = frame[["id", "th", "item_id", "n"]].iloc[got["row"].to_numpy(np.int64)].reset_index(drop=True)
+        yield pd.concat([keys, got.drop(columns="row")], axis=1)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = 0.4) -> DataFrame:
     """Pairs of document and benchmark item whose template windows meet.
 
@@ -138,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the document on alignments whose slots are consistent (a value always meets
     the same value, both ways); ``n_changed`` the slots whose value differs: 0
     means a verbatim leak, more a re-parameterised one. Pairs below
-    ``min_coverage`` are no leak. Items of fewer than 8 tokens are one window;
+    ``min_coverage`` are a leak only if one such alignment covers RUN tokens in a
+    row: a passage of a long item. Items of fewer than 8 tokens are one window;
     items with fewer than 4 literal tokens, NULL and empty items match nothing,
     as do NULL and empty texts. Repeated documents are one row; equal items
     each have theirs. A NULL document id counts as 2^63-1, NULL item ids stay.
@@ -157,18 +186,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = docs.sparkSession.createDataFrame([], schema)
     else:
         hits = src.select("id", "th", "t").mapInPandas(_document_windows(sorted(sizes), bits), schema)
-    pairs = written(hits.join(items, "h").select("id", "th", "item_id", "n", "b", (F.col("p") - F.col("b")).alias("diagonal"), "b_slots", "d_slots"), "bench_hits")
-    slots = pairs.where(F.size("b_slots") > 0).select("id", "th", "item_id", "diagonal", F.explode(F.arrays_zip("b_slots", "d_slots")).alias("s"))
-    slots = slots.select("id", "th", "item_id", "diagonal", F.col("s.b_slots").alias("x"), F.col("s.d_slots").alias("y")).distinct()
     line = ["id", "th", "item_id", "diagonal"]
-    wrong = slots.groupBy(*line, "x").count().where("count > 1").select(*line).union(slots.groupBy(*line, "y").count().where("count > 1").select(*line)).distinct()
-    on = lambda a, b: (a["id"] == b["id"]) & (a["th"] == b["th"]) & a["item_id"].eqNullSafe(b["item_id"]) & (a["diagonal"] == b["diagonal"])
-    good = pairs.join(wrong, on(pairs, wrong), "left_anti")
-    fine = slots.join(wrong, on(slots, wrong), "left_anti")
+    hit = F.concat(F.array(F.col("b").cast("long"), F.col("size").cast("long")), "b_slots", "d_slots").alias("hit")
+    pairs = hits.join(items, "h").select("id", "th", "item_id", (F.col("p") - F.col("b")).alias("diagonal"), "n", hit)
+    lines = pairs.groupBy(*line).agg(F.max("n").alias("n"), F.collect_set("hit").alias("hits")).drop("diagonal")
+    lines = written(lines.mapInPandas(_alignments, "id long, th long, item_id long, n int, found array<int>, run int, slots long, changed long"), "bench_lines")
     pair = ["id", "th", "item_id"]
-    cover = good.groupBy(*pair).agg(F.max("n").alias("n"), F.count_distinct("b").cast("int").alias("n_windows"))
-    cover = cover.withColumn("coverage", F.col("n_windows") / F.col("n")).where(F.col("coverage") >= min_coverage)
-    marks = fine.groupBy(*pair).agg(F.count("*").alias("slots"), F.count(F.when(F.col("x") != F.col("y"), 1)).alias("changed"))
+    cover = lines.select(*pair, "n", "run", F.explode("found").alias("b")).groupBy(*pair).agg(
+        F.max("n").alias("n"), F.max("run").alias("run"), F.count_distinct("b").cast("int").alias("n_windows"))
+    cover = cover.withColumn("coverage", F.col("n_windows") / F.col("n")).where((F.col("coverage") >= min_coverage) | (F.col("run") >= RUN))
+    marks = lines.groupBy(*pair).agg(F.sum("slots").alias("slots"), F.sum("changed").alias("changed"))
     same = (cover["id"] == marks["id"]) & (cover["th"] == marks["th"]) & cover["item_id"].eqNullSafe(marks["item_id"])
     return cover.join(marks, same, "left").select(
         cover["id"], cover["th"], cover["item_id"], "coverage", "n_windows",
