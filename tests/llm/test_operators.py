@@ -208,6 +208,21 @@ def test_passages_of_long_items_are_found(spark):
     assert got == {1: (1, 93, 93 / 293), 2: (1, 6, 6 / 293), 3: (1, 6, 6 / 293), 5: (2, 13, 13 / 52)}
 
 
+def test_clashing_slots_drop_only_their_windows(spark):
+    long = lambda k: " ".join(f"w{c}{k}" for c in "abcdefghijklmnop")
+    bench = [(1, f"Every day 2 boxes are filled by hand while {long(1)} and then after 2 hours they close"),
+             (2, f"On one day a man buys 3 apples and 5 pears while {long(2)} and asks for more"),
+             (3, f"So here comes Karl with his dog while {long(3)} and then Karl goes home with his small dog"),
+             (4, "What does Maria give to her friend Paul"), (5, "What does a Hund cost in the town of Bremen when the Markt is open")]
+    docs = [(1, bench[0][1].replace("2 boxes", "3 boxes").replace("2 hours", "4 hours")), (2, bench[1][1].replace("3", "4").replace("5", "4")),
+            (3, bench[2][1].replace("Karl goes", "Kral goes")), (4, bench[3][1].lower()), (5, bench[4][1].lower()),
+            (6, "Question: " + bench[3][1]), (7, "QUESTION: " + bench[4][1].upper()), (8, bench[4][1].replace("Bremen", "Trier"))]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {r["id"]: (r["item_id"], r["n_changed"]) for r in decontam.contaminated(frame(docs, "doc_id"), frame(bench, "item_id")).collect()}
+    assert {d: i for d, (i, _) in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 4, 7: 5, 8: 5}
+    assert got[1][1] == 2 and got[3][1] == 1 and got[4][1] == got[5][1] == got[6][1] == got[7][1] == 0 and got[8][1] == 1
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
