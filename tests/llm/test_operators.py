@@ -432,6 +432,32 @@ def test_notices_and_headers_by_class():
     assert main_blocks(page) == ["Title", f"Text, {words}"]
 
 
+@pytest.mark.parametrize("opening, closing", [
+    ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='no-sidebar'>", "</div>"), ("<div class='with-comments'>", "</div>"),
+    ("<div class='social-story'><div>", "</div></div>"), ("<div class='page widget'><article>", "</article></div>"), ("<form id=aspnetForm><div>", "</div></form>"),
+    ("<form><div class='sidebar-layout'><main>", "</main></div></form>")])
+def test_marked_wrappers_do_not_hide_the_article(opening, closing):
+    a, b, c = (f"Sentence number {k} of the article has more than ten plain words in it." for k in "abc")
+    page = (f"<body><nav><a href=/>Home</a></nav>{opening}<h1>Title</h1><p>{a}<p>{b}<p>{c}<div id=comments><p>A comment that has more than ten words, but is no part of it.</p></div>"
+            f"{closing}<footer><p>All rights of this page are reserved by the owner of the whole shop.</p></footer></body>")
+    assert main_blocks(page) == ["Title", a, b, c]
+
+
+def test_comments_longer_than_the_article_stay_out():
+    words = "has more than ten plain words in it as sentences often do."
+    page = f"<body><article><p>The article {words}</article><div id=comments>{f'<p>A comment {words}' * 9}</div></body>"
+    assert main_blocks(page) == [f"The article {words}"]
+
+
+@pytest.mark.parametrize("head", [
+    "<body><svg class='i'/>", "<head><title>T</title><meta charset=x>", "<head><title>T</title><body>", "<body><div><svg class=i></div>", "<body><div><svg class=i><svg></svg></div>",
+    "<body><select><option>one<option>two</select>", "<body><button>Go", "<head><noscript><img src=x></noscript><link href=x>", "<body><template><div>not shown</div></template>",
+    "<body><iframe src=x/>", "<body><button>Go<div><button>On</button></div>"])
+def test_unclosed_dropped_elements_do_not_hide_the_page(head):
+    text = "This sentence of the page has more than ten plain words in it."
+    assert main_blocks(f"<html>{head}<p>{text}</p><p>{text}</p></html>") == [text, text]
+
+
 def test_minimum_cut_matches_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(60):

@@ -28,29 +28,56 @@ NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising a
  comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu menus modal nav navbar
  navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar
  signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
+MODIFIERS = frozenset("has have no not with without".split())  # "has-sidebar" names what is elsewhere in the box
+GUESSED_TAGS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry maincontent post postbody story text".split())
 WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+DROPPED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})\b", re.I)
 
 NOISE, CONTENT_PLACE, LONG_TEXT, SENTENCE, LINKS, BARE = -8.0, 3.0, 2.0, 1.0, -3.0, -1.0
 NEXT, SAME_PARENT, SAME_CONTAINER = 0.3, 0.6, 0.4
 
 
 class Element:
-    __slots__ = ("tag", "parent", "noise", "content", "block")
+    """``hidden``: in navigation, a footer or the like, or not shown. ``mark``: the
+    nearest element whose class, id or form tag only suggests boilerplate."""
+
+    __slots__ = ("tag", "parent", "hidden", "mark", "outer", "void", "content", "block")
 
     def __init__(self, tag: str, parent: Element | None, attrs: dict[str, str | None]):
         self.tag, self.parent = tag, parent
-        names = {w.lower() for key in ("class", "id") for w in WORD.findall(attrs.get(key) or "")}
-        names |= {w.lower() for key in ("class", "id") for w in (attrs.get(key) or "").split()}
+        tokens = [t for key in ("class", "id") for t in (attrs.get(key) or "").split()]
+        names, plain = set(), set()
+        for t in tokens:
+            words = [w.lower() for w in WORD.findall(t)]
+            names.update(words, (t.lower(),))
+            if not (len(words) > 1 and words[0] in MODIFIERS):
+                plain.update(words, (t.lower(),))
         up = parent
         self.content = bool(up and up.content) or tag in ("article", "main") or attrs.get("role") == "main" or bool(names & CONTENT_WORDS)
         style = (attrs.get("style") or "").replace(" ", "").lower()
-        own = (tag in NOISE_TAGS or (tag == "header" or "header" in names) and not (up and up.content or self.content) or attrs.get("role") in NOISE_ROLES
-               or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style
-               or bool(names & NOISE_WORDS) and tag not in ("html", "body"))
-        self.noise = bool(up and up.noise) or own
+        own = (tag in NOISE_TAGS and tag not in GUESSED_TAGS or tag == "header" and not self.content
+               or attrs.get("role") in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style)
+        guess = (tag in GUESSED_TAGS or "header" in plain and not self.content
+                 or bool(plain & NOISE_WORDS) and tag not in ("html", "body"))
+        self.hidden = bool(up and up.hidden) or own
+        self.outer, self.void = up.mark if up else None, False
+        self.mark: Element | None = self if guess else self.outer
         self.block = tag in BLOCKS
 
+    def boilerplate(self) -> Element | None:
+        """The nearest mark that stands."""
+        mark = self.mark
+        while mark is not None and mark.void:
+            mark = mark.outer
+        return mark
+
+    @property
+    def noise(self) -> bool:
+        return self.hidden or self.boilerplate() is not None
+
 
 class Block:
     __slots__ = ("parts", "element", "link_chars")
@@ -60,11 +87,50 @@ class Block:
         self.element, self.link_chars = element, 0
 
 
-class PageBlocks(HTMLParser):
-    """Text blocks in page order; tolerates missing and crossed end tags."""
+class OpenDropped(HTMLParser):
+    """Which start tags of dropped elements, in page order, have no end tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.n = 0
+        self.unclosed: dict[str, list[int]] = {t: [] for t in DROPPED}
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in DROPPED:
+            self.unclosed[tag].append(self.n)
+            self.n += 1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.unclosed.get(tag):
+            self.unclosed[tag].pop()
+
+
+def unclosed_dropped(html: str) -> frozenset[int]:
+    count: dict[tuple[str, str], int] = {}
+    for end, tag in DROPPED_TAG.findall(html):
+        count[end, tag.lower()] = count.get((end, tag.lower()), 0) + 1
+    if all(count.get(("/", t), 0) == n for (end, t), n in count.items() if not end):
+        return frozenset()
+    page = OpenDropped()
+    page.feed(html)
+    page.close()
+    return frozenset(n for ns in page.unclosed.values() for n in ns)
+
+
+class PageBlocks(HTMLParser):
+    """Text blocks in page order; tolerates missing and crossed end tags.
+
+    A dropped element without end tag (``unclosed``) ends at the next block's
+    start tag or at the end tag of a block around it; the head ends at the first
+    tag or text that belongs to the body.
+    """
+
+    def __init__(self, unclosed: frozenset[int] = frozenset()) -> None:
+        super().__init__(convert_charrefs=True)
+        self.unclosed, self.n, self.loose = unclosed, 0, False
         self.stack: list[Element] = [Element("html", None, {})]
         self.blocks: list[Block] = []
         self.open: Block | None = None
@@ -80,13 +146,16 @@ class PageBlocks(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        number = self.n
+        self.n += tag in DROPPED
+        if self.dropped == ["head"] and tag not in HEAD_TAGS and tag != "head" or self.loose and (tag in BLOCKS or tag == "body"):
+            self._end_dropped()
         if self.dropped:
-            if tag == self.dropped[-1]:
+            # an unclosed tag of the same name has no end of its own to wait for
+            if tag == self.dropped[-1] and number not in self.unclosed and tag != "head" or self.dropped == ["head"] and tag in DROPPED and tag != "head":
+                self.loose = self.loose or number in self.unclosed
                 self.dropped.append(tag)
-            elif not (self.dropped == ["head"] and tag == "body"):
-                return
-            else:
-                self.dropped.clear()
+            return
         if tag in VOID:
             if tag == "br" and self.open:
                 self.open.parts.append(" ")
@@ -94,8 +163,8 @@ class PageBlocks(HTMLParser):
                 self.open = None
             return
         if tag in DROPPED:
-            if not self.dropped:
-                self.dropped.append(tag)
+            self.dropped.append(tag)
+            self.loose = tag != "head" and number in self.unclosed
             return
         if tag in BLOCKS:
             self.open = None
@@ -106,16 +175,26 @@ class PageBlocks(HTMLParser):
             self.links += 1
         self.stack.append(Element(tag, self.stack[-1], dict(attrs)))
 
+    def _end_dropped(self) -> None:
+        self.dropped.clear()
+        self.loose = False
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in DROPPED:
+            return
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in DROPPED and tag not in BLOCKS:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.dropped:
-            if tag == self.dropped[-1]:
-                self.dropped.pop()
-            return
+            if tag in self.dropped:
+                del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
+                self.loose = self.loose and bool(self.dropped)
+                return
+            if not (self.loose and tag in BLOCKS and any(e.tag == tag for e in self.stack[1:])):
+                return
+            self._end_dropped()
         if tag in BLOCKS:
             self.open = None
         if tag == "a" and self.links:
@@ -124,6 +203,8 @@ class PageBlocks(HTMLParser):
             self._close_to((tag,), () if tag in BLOCKS else tuple(BLOCKS))
 
     def handle_data(self, data: str) -> None:
+        if self.dropped == ["head"] and data.strip():
+            self._end_dropped()
         if self.dropped:
             return
         if self.open is None:
@@ -142,13 +223,42 @@ class PageBlocks(HTMLParser):
             self.open.link_chars += len(data)
 
 
+def lift_marks(texts: list[str], elements: list[Element]) -> None:
+    """Voids marks that cannot be right: below a marked container lies most of
+    the page's sentence text (what deeper marks hold not counted), the text
+    without any mark is less than half of it, and no more than headings of it
+    are in a content place."""
+    size = [len(t) if t.count(" ") >= 9 and not e.hidden else 0 for t, e in zip(texts, elements)]
+    total = sum(size)
+    while True:
+        free, own, below = 0, {}, {}
+        for n, e in zip(size, elements):
+            mark = e.boilerplate()
+            if mark is None:
+                if e.content and not e.hidden and e.tag not in HEADINGS:
+                    return
+                free += n
+            elif n:
+                own[mark] = own.get(mark, 0) + n
+        for mark, n in own.items():
+            up = mark.outer
+            while up is not None:
+                below[up] = below.get(up, 0) + n
+                up = up.outer
+        fit = [m for m, n in own.items() if 2 * n > total - below.get(m, 0) and 2 * free < n]
+        if not fit:
+            return
+        # the outermost first: what it holds may make the others needless
+        next((m for m in fit if m in below), fit[0]).void = True
+
+
 def block_score(text: str, element: Element, link_share: float) -> float:
     """Classifier score: above 0 speaks for content."""
     words = text.count(" ") + 1
     score = (NOISE if element.noise else 0.0) + (CONTENT_PLACE if element.content else BARE)
     if words >= 10:
         score += LONG_TEXT
-    if text[-1] in ".!?…:;\"”»)" or element.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if text[-1] in ".!?…:;\"”»)" or element.tag in HEADINGS:
         score += SENTENCE
     if link_share > 0.5:
         score += LINKS
@@ -222,17 +332,19 @@ def minimum_cut(capacity: list[float], edges: list[tuple[int, int, float]]) -> l
 
 def main_blocks(html: str) -> list[str]:
     """The page's content blocks, white space as single spaces."""
-    page = PageBlocks()
+    page = PageBlocks(unclosed_dropped(html))
     page.feed(html)
     page.close()
-    texts, elements, capacity = [], [], []
+    texts, elements, links = [], [], []
     for b in page.blocks:
         raw = "".join(b.parts)
         text = " ".join(raw.split())
         if text:
             texts.append(text)
             elements.append(b.element)
-            capacity.append(block_score(text, b.element, b.link_chars / max(1, len(raw))))
+            links.append(b.link_chars / max(1, len(raw)))
+    lift_marks(texts, elements)
+    capacity = [block_score(t, e, share) for t, e, share in zip(texts, elements, links)]
     edges, last = [], {}
     for i, e in enumerate(elements):
         if i:
