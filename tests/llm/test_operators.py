@@ -338,6 +338,18 @@ def test_automaton_matches_edit_distance():
         assert (a.find(w) or (0, None))[1] == min(near, default=None), w
 
 
+def test_first_letters_signs_and_quoted_misspellings():
+    terms = [("stupid", False), ("worthless", False), ("scum", False), ("idiot", False)]
+    a = toxicity.LexiconAutomaton(terms, any_start=True)
+    assert [a.find(w) for w in ("xtupid", "tupid", "astupid", "orthles", "zworthless", "scun")] == [(0, 1), (0, 1), (0, 1), (1, 2), (1, 1), None]
+    of = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, a) or [0.0] * len(toxicity.FEATURES)))
+    for t in ("what a $tupid one", "a stup!d one", "these sc*m here", "an id!ot, he", "such w@rthless things", "an xdiot here"):
+        assert of(t)["misspelt"] == math.log1p(1) and of(t)["misspelt_quoted"] == of(t)["plain"] == 0, t
+    assert of("go!idiot and stop")["plain"] == math.log1p(1)  # signs without a space hide no word
+    quoted = of("they said the word stuppid here")
+    assert quoted["misspelt"] == 0 and quoted["misspelt_quoted"] == math.log1p(1)
+
+
 def test_toxicity_held_out(spark):
     sf = SF_SMALL.replace("0.001", "0.1")
     got = {r["doc_id"]: (r["held_out"], r["predicted"], r["score"]) for r in queries.op5_toxicity(spark, sf).collect()}

@@ -3,7 +3,7 @@
 The lexicon (words and word stems) is learned from labelled documents. Matching
 walks each distinct word of a text through the product of the lexicon's trie and
 the Levenshtein automata of its terms, made deterministic state by state as words
-need it; most words leave it after two or three letters. Only texts with matches
+need it, from the first letter on with all edits. Only texts with matches
 are looked at again: windows around the matches tell quotation from abuse. A
 logistic regression turns the counts into a probability.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,16 +26,18 @@ from vitrina.llm.near_dup import WordHash, shingles, word_hashes
 from vitrina.llm.shared import written
 
 WORD = re.compile(r"\w+")
+SIGNED = re.compile(r"(?<!\w)(?:[@$]\w+|\w+(?=[@$!*]+\w))(?:[@$!*]+\w+)*")  # words with signs between letters or before them
 # Words that introduce a quotation, words of the second person,
 # digits and signs written for letters.
 REPORTING = frozenset("called dijo dit gesagt insult insulto insulte mot palabra quote quoted said says slur term word words wort wrote".split())
 SECOND_PERSON = frozenset("du dich dir euch ihr te tu tus tú toi usted vous you your yours yourself".split())
-LOOKALIKES = str.maketrans("013457", "oieast")
+LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
+VOWELS = "aeiou"  # what a "*" mostly stands for
 QUOTES = "\"“”„«»"
 
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 12000, 4000
 CACHE = 200_000
-FEATURES = ("plain", "types", "quoted", "misspelt", "directed", "density", "length")
+FEATURES = ("plain", "types", "quoted", "misspelt", "misspelt_quoted", "directed", "density", "length")
 WORD_PRECISION, STEM_PRECISION = 0.85, 0.6  # least toxic share of the texts that hold a term
 
 
@@ -45,11 +48,13 @@ def allowed_edits(length: int) -> int:
 class LexiconAutomaton:
     """Trie of (term, is_stem) intersected with Levenshtein automata.
 
-    The first letter must agree. ``find(word)`` gives (term, edits) of the
-    nearest term, or None. A stem also matches words that go on after it.
+    The first letter must agree unless ``any_start``. ``find(word)`` gives (term,
+    edits) of the nearest term, or None. A stem also matches words that go on
+    after it.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], any_start: bool = False):
+        self.any_start = any_start
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # (term, is_stem, edits allowed)
         self.reach = [0]  # most edits allowed below a node
@@ -64,6 +69,7 @@ class LexiconAutomaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], k)
             self.ends[node].append((i, stem, k))
+            self.reach[0] = max(self.reach[0], k)
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -77,10 +83,10 @@ class LexiconAutomaton:
         todo = list(pairs)
         while todo:  # a letter of the term is missing in the word
             node, e = todo.pop()
-            if e > self.reach[node] and node or best.get(node, 9) <= e:
+            if e > self.reach[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
-            if node:
+            if node or self.any_start:
                 todo += [(child, e + 1) for child in self.children[node].values()]
         key = frozenset(best.items())
         if not key:
@@ -99,7 +105,7 @@ class LexiconAutomaton:
         for node, e in self.sets[state]:
             if c in self.children[node]:
                 out.add((self.children[node][c], e))
-            if node:
+            if node or self.any_start:
                 out.add((node, e + 1))
                 out.update((child, e + 1) for child in self.children[node].values())
         self.steps[state][c] = to = self._state(out)
@@ -129,34 +135,45 @@ class LexiconAutomaton:
             self.known[word] = hit
         return hit
 
+    def find_signed(self, word: str) -> tuple[int, int] | None:
+        """``find`` of a word in which signs stand for letters: always an edit."""
+        plain = word.translate(LOOKALIKES)
+        hits = [h for w in ([plain.replace("*", v) for v in VOWELS] if "*" in plain else [plain]) if (h := self.find(w))]
+        return min(((i, max(1, e)) for i, e in hits), key=lambda h: (h[1], h[0]), default=None)
+
 
 def features(text: str, automaton: LexiconAutomaton) -> list[float] | None:
     """The match counts of a text by context, or None without a match."""
     low = text.lower()
     words = WORD.findall(low)
     hits = {w: h for w in set(words) if (h := automaton.find(w))}
-    if not hits:
+    signed = [(m.start(), m.end(), h) for m in SIGNED.finditer(low) if any(map(str.isalpha, m.group())) and (h := automaton.find_signed(m.group()))]
+    if not hits and not signed:
         return None
     plain = quoted = directed = 0
-    near: list[str] = []
+    misspelt: tuple[set[int], set[int]] = (set(), set())  # terms by context
     places = [(m.group(), m.start()) for m in WORD.finditer(low)]
-    for i, (w, at) in enumerate(places):
-        if w not in hits or hits[w][1]:
-            continue
+    found = [(i, at, hits[w]) for i, (w, at) in enumerate(places) if w in hits]
+    exact_at = [at for _, at, h in found if not h[1]]
+    starts = [at for _, at in places]
+    found += [(bisect_left(starts, lo), lo, h) for lo, hi, h in signed if not any(lo <= at < hi for at in exact_at)]
+    for i, at, (term, edits) in found:
         near = [x for x, _ in places[max(0, i - 4) : i + 5]]
         before = low[max(0, at - 80) : at]
         after = low[at : at + 80]
         in_quotes = sum(map(before.count, QUOTES)) % 2 == 1 and any(q in after for q in QUOTES)
-        if in_quotes or any(x in REPORTING for x in near[: min(i, 4)]):
+        is_quoted = in_quotes or any(x in REPORTING for x in near[: min(i, 4)])
+        if edits:
+            misspelt[is_quoted].add(term)
+        elif is_quoted:
             quoted += 1
         else:
             plain += 1
             directed += any(x in SECOND_PERSON for x in near)
     exact = {h[0] for h in hits.values() if not h[1]}
-    misspelt = {h[0] for h in hits.values() if h[1]} - exact
     types = sum(not h[1] for h in hits.values())
-    return [math.log1p(plain), math.log1p(types), math.log1p(quoted), math.log1p(len(misspelt)), math.log1p(directed),
-            math.log1p(100 * (plain + quoted) / len(words)), math.log1p(len(words))]
+    return [math.log1p(plain), math.log1p(types), math.log1p(quoted), math.log1p(len(misspelt[0] - exact)),
+            math.log1p(len(misspelt[1] - misspelt[0] - exact)), math.log1p(directed), math.log1p(100 * (plain + quoted) / len(words)), math.log1p(len(words))]
 
 
 @dataclass
@@ -233,7 +250,7 @@ def choose_terms(words: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str
 
 def _feature_rows(terms: list[tuple[str, bool]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = LexiconAutomaton(terms)
+        automaton = LexiconAutomaton(terms, any_start=True)
         for frame in frames:
             yield pd.DataFrame({"y": frame["y"], "x": [features(t, automaton) or [0.0] * len(FEATURES) for t in frame["t"]]})
 
@@ -302,7 +319,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not automata:
-            automata[0] = LexiconAutomaton(terms)
+            automata[0] = LexiconAutomaton(terms, any_start=True)
         return texts.map(lambda t: model_.score(features(t, automata[0]))).astype(float)
 
     return docs.select(F.struct("*").alias("row"), score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("score"))
