@@ -145,6 +145,10 @@ ODD_TEXTS = ["", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  \n\n c'll 'S "
              "🙂👩‍👩‍👧 é é ﬁ", "\U000323b0x ՘y", "aaaaaaa bbbbbbbbb", "\x1c\x85　a"]
 
 
+def decode(ids):
+    return bpe_index.decode_ids(ids, bpe_index.token_bytes(BYTE_BPE))
+
+
 def random_texts(n):
     rnd = random.Random(7)
     some = ["a", "b", " ", "'s", "1", "\n", "é", "中", "<|endoftext|>", "the", "  "]
@@ -162,14 +166,21 @@ def test_pair_index_equals_the_library(specials):
         for text, ids in zip(texts, encoder.encode(texts)):
             expected = library.encode(text, add_special_tokens=False).ids
             assert ids == array("I", expected).tobytes()
-            assert encoder.decode(ids) == library.decode(expected, skip_special_tokens=False) == text
+            assert decode(ids) == library.decode(expected, skip_special_tokens=False) == text
 
 
 def test_decoding_any_ids_equals_the_library():
-    library, encoder, rnd = Tokenizer.from_file(BYTE_BPE), bpe_index.PairIndexBPE(BYTE_BPE), random.Random(3)
+    library, rnd = Tokenizer.from_file(BYTE_BPE), random.Random(3)
     for _ in range(300):
         ids = [rnd.randrange(50_300) for _ in range(rnd.randrange(12))]
-        assert encoder.decode(array("I", ids).tobytes()) == library.decode(ids, skip_special_tokens=False)
+        assert decode(array("I", ids).tobytes()) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_word_patterns_agree():
+    encoder = bpe_index.PairIndexBPE(BYTE_BPE)
+    chars = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2100), *range(0x550, 0x5A0), *range(0xC50, 0xC60)]]
+    for text in [x + c + y for c in chars for x, y in (("a", "1"), ("1", "a"), (" ", "!"), ("\t", "\t a"))]:
+        assert encoder.words(text) == encoder.library_words(text)
 
 
 def test_known_words_stay_bounded(monkeypatch):
@@ -251,16 +262,16 @@ def test_alignment_query_matches_brute_force(spark, small_docs):
 
 
 def test_alignment_edge_cases(spark, odd_docs, monkeypatch):
-    size = token_align.pieces_at(PIECE_BPE).size
+    sizes = len(bpe_index.token_bytes(BYTE_BPE)), token_align.pieces_at(PIECE_BPE).size
     source = odd_docs.where("length(coalesce(text, '')) < 1000")
     texts = [(r["doc_id"], r["text"] or "") for r in source.collect()] + [(100 + k, t) for k, t in enumerate(ODD_TEXTS[1:3] + ODD_TEXTS[5:])]
     docs = source.select("doc_id", "text").union(spark.createDataFrame(texts[source.count():], "doc_id long, text string"))
-    rows = token_align.link_scores(token_align.align_tokens(docs.repartition(4), BYTE_BPE, PIECE_BPE), size).collect()
+    rows = token_align.link_scores(token_align.align_tokens(docs.repartition(4), BYTE_BPE, PIECE_BPE), *sizes).collect()
     assert Counter(map(tuple, rows)) == Counter((i, *s) for (i, _), s in zip(texts, brute_scores([t for _, t in texts])))
     assert all(r["n_a"] == 0 and r["groups"] == "" for r in rows if r["id"] in (3, 4))
-    long = token_align.link_scores(token_align.align_tokens(odd_docs.where("doc_id in (5, 8)"), BYTE_BPE, PIECE_BPE), size).collect()
+    long = token_align.link_scores(token_align.align_tokens(odd_docs.where("doc_id in (5, 8)"), BYTE_BPE, PIECE_BPE), *sizes).collect()
     assert len(long) == 2 and all(r["n_links"] >= max(r["n_a"], r["n_b"]) > 0 for r in long)
-    assert token_align.link_scores(token_align.align_tokens(odd_docs.limit(0), BYTE_BPE, PIECE_BPE), size).count() == 0
+    assert token_align.link_scores(token_align.align_tokens(odd_docs.limit(0), BYTE_BPE, PIECE_BPE), *sizes).count() == 0
 
 
 def test_lanes_of_any_length_give_the_same_links():

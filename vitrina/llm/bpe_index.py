@@ -14,6 +14,7 @@ import functools
 import heapq
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -25,14 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-BLOCK_CHARS = 2_000_000  # of text encoded at once; a longer text is a block of its own
+BLOCK_CHARS = 4_000_000  # of text encoded at once; a longer text is a block of its own
 KNOWN_WORDS = 300_000  # words a worker remembers between blocks
 KNOWN_LENGTH = 64  # characters; longer words are encoded again in every block
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The same over characters up to U+024F, for the faster of the two libraries.
+LETTERS, DIGITS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+PLAIN_WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+NOT_PLAIN = re.compile("[^\0-\u024f]")
 # Outside these ranges Unicode has gained letters and digits lately, so that two
 # libraries may class a character differently; such texts are cut into words by
 # the tokenizer file's own library.
-UNSETTLED = regex.compile("[^\u0000-՗֐-ࢎऀ-౛ೠ-₎₠-ꟍ가-힣豈-�\U0001f000-\U0001faff]")
+UNSETTLED = re.compile("[^\u0000-\u0557\u0590-\u088e\u0900-\u0c5b\u0ce0-\u208e\u20a0-\ua7cd\uac00-\ud7a3\uf900-\ufffd\U0001f000-\U0001faff]")
 GAP, GONE = -1, -2  # symbols between two words, and of a place merged into its left neighbour
 
 
@@ -44,8 +49,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of every token of a byte-level vocabulary, by id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    value = {c: b for b, c in enumerate(byte_letters())}
+    entries = {i: bytes(value[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    entries |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [entries.get(i, b"") for i in range(max(entries) + 1)]
+
+
+def decode_ids(ids: bytes, entry: list[bytes]) -> str:
+    """Text of ids; ids outside the vocabulary stand for nothing, and bytes that
+    are no UTF-8 become U+FFFD."""
+    n = len(entry)
+    return b"".join([entry[i] for i in np.frombuffer(ids, "<u4").tolist() if i < n]).decode("utf-8", "replace")
+
+
 class PairIndexBPE:
-    """Encoder and decoder for a byte-level BPE file of the ``tokenizers`` library.
+    """Encoder for a byte-level BPE file of the ``tokenizers`` library.
 
     ``specials``: whether the strings of added tokens inside texts become those
     tokens (as the library does by default) or stay ordinary text. Files with a
@@ -65,18 +88,16 @@ class PairIndexBPE:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        self.rank = {a * self.size + b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
+        rank = {a * self.size + b: r for r, (a, b, _) in reversed([*enumerate(self.merges)])}
+        self.pairs = np.array(sorted(rank) or [-2])
+        self.pair_ranks = np.array([rank.get(p, -1) for p in self.pairs.tolist()])
         made = {c: r for r, (_, _, c) in reversed([*enumerate(self.merges)])}
         if any(max(made.get(a, -1), made.get(b, -1)) >= r for r, (a, b, _) in enumerate(self.merges)) or len(made) < len(merges):
             raise ValueError(f"{path}: merges are not in the order of their parts")
-        self.byte_id = [vocab[c] for c in letters]
-        value = {c: b for b, c in enumerate(letters)}
+        self.byte_id = np.array([vocab[c] for c in letters])
+        self.byte_pairs = np.array([[rank.get(a * self.size + b, -1) for b in self.byte_id.tolist()] for a in self.byte_id.tolist()])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.entry = [b""] * self.size
-        for token, i in vocab.items():
-            self.entry[i] = bytes(value[c] for c in token)
-        for token, i in self.added.items():
-            self.entry[i] = token.encode()
+        self.entry = token_bytes(path)
         self.entry_length = np.array([len(e) for e in self.entry], np.int64)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if specials and self.added else None
         self.path, self.known = path, {}
@@ -91,56 +112,62 @@ class PairIndexBPE:
         return lambda text: [bytes(letters[c] for c in w).decode() for w, _ in cut(text)]
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not UNSETTLED.search(text):
+        if not NOT_PLAIN.search(text):
+            return PLAIN_WORD.findall(text)
+        if not UNSETTLED.search(text):
             return WORD.findall(text)
         return self.library_words(text)
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (native unsigned 32-bit), all words at once."""
-        byte_id, size, rank_of, merges = self.byte_id, self.size, self.rank.get, self.merges
-        symbol = [GAP]
-        for w in words:
-            symbol += [byte_id[b] for b in w]
-            symbol.append(GAP)
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        left = symbol[0]
-        for i in range(1, n):
-            right = symbol[i]
-            if left >= 0 and right >= 0:
-                r = rank_of(left * size + right)
-                if r is not None:
-                    places.setdefault(r, []).append(i - 1)
-            left = right
+        data = b"\0".join([b"", *words, b""])
+        value = np.frombuffer(data, np.uint8)
+        gaps = np.append(0, np.cumsum(np.array([len(w) for w in words], np.int64) + 1))
+        symbol = self.byte_id[value]
+        symbol[gaps] = GAP
+        ranks = self.byte_pairs[value[:-1], value[1:]]
+        ranks[(symbol[:-1] < 0) | (symbol[1:] < 0)] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        firsts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        places = {int(ranks[at[0]]): at.tolist() for at in np.split(order, firsts[1:]) if len(at)}
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
         active = list(places)
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
-            a, b, new = merges[r]
-            here = places.pop(r)
-            here.sort()
-            for i in here:
-                j = after[i]
-                if symbol[i] != a or symbol[j] != b:
-                    continue  # an earlier merge took one of the two
-                symbol[i], symbol[j] = new, GONE
-                after[i] = k = after[j]
-                before[k] = i
-                p = before[i]
-                for place, pair in ((p, (symbol[p], new)), (i, (new, symbol[k]))):
-                    if pair[0] >= 0 and pair[1] >= 0:
-                        later = rank_of(pair[0] * size + pair[1])
-                        if later is not None:
-                            if later not in places:
-                                places[later] = []
-                                heapq.heappush(active, later)
-                            places[later].append(place)
-        out, at = [], 1
-        for w in words:
-            out.append(array("I", [s for s in symbol[at : at + len(w)] if s >= 0]).tobytes())
-            at += len(w) + 1
-        return out
+            a, b, new = self.merges[r]
+            here = np.array(places.pop(r))
+            there = after[here]
+            live = (symbol[here] == a) & (symbol[there] == b)  # others went to an earlier merge
+            here, there = here[live], there[live]
+            if len(here) > 1:
+                order = np.argsort(here)
+                order = order[np.diff(here[order], prepend=-1) > 0]
+                here, there = here[order], there[order]
+                if a == b:  # of places in a row every second one is left to its left neighbour
+                    row = np.arange(len(here))
+                    row -= np.maximum.accumulate(np.where(np.append(True, there[:-1] != here[1:]), row, 0))
+                    here, there = here[row % 2 == 0], there[row % 2 == 0]
+            symbol[here], symbol[there] = new, GONE
+            right = after[there]
+            after[here] = right
+            before[right] = here
+            left = before[here]
+            place = np.concatenate([left, here])
+            first, second = symbol[place], symbol[np.concatenate([here, right])]
+            pair = np.where((first >= 0) & (second >= 0), first * self.size + second, -1)
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            known = self.pairs[at] == pair
+            for later, i in zip(self.pair_ranks[at[known]].tolist(), place[known].tolist()):
+                if later in places:
+                    places[later].append(i)
+                else:
+                    places[later] = [i]
+                    heapq.heappush(active, later)
+        bounds = (4 * np.append(0, np.cumsum(symbol >= 0))[gaps]).tolist()
+        ids = symbol[symbol >= 0].astype("<u4").tobytes()
+        return [ids[x:y] for x, y in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native (little-endian) unsigned 32-bit numbers."""
@@ -154,14 +181,12 @@ class PairIndexBPE:
                 row += [*self.words(t[at : m.start()]), self.added[m.group()]]
                 at = m.end()
             parts.append(row + self.words(t[at:]))
-        new = set().union(*parts).difference(self.known)
-        new = [w for w in new if isinstance(w, str)]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = [w for w in set().union(*parts) if isinstance(w, str)]
-        ids = dict(zip(new, self.merge_words([w.encode() for w in new])))
-        ids |= {i: array("I", [i]).tobytes() for i in self.added.values()}
-        self.known |= ids
+        used = {w for w in set().union(*parts) if isinstance(w, str)}
+        new = list(used.difference(self.known))
+        if len(self.known) + len(new) > KNOWN_WORDS:  # what this block uses stays
+            self.known = {w: ids for w, ids in self.known.items() if w in used}
+        self.known |= zip(new, self.merge_words([w.encode() for w in new]))
+        self.known |= {i: array("I", [i]).tobytes() for i in self.added.values()}
         of = self.known.__getitem__
         out = [b"".join(map(of, row)) for row in parts]
         for w in new:
@@ -169,12 +194,6 @@ class PairIndexBPE:
                 del self.known[w]
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """Text of ids; ids outside the vocabulary stand for nothing, and bytes
-        that are no UTF-8 become U+FFFD."""
-        entry = self.entry
-        return b"".join([entry[i] for i in np.frombuffer(ids, "<u4").tolist() if i < self.size]).decode("utf-8", "replace")
-
 
 @functools.cache
 def encoder_at(path: str, specials: bool = True) -> PairIndexBPE:
@@ -225,7 +244,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
-        decode = encoder_at(path).decode
-        return pd.Series([None if v is None else decode(v) for v in column], dtype=object)
+        entry = token_bytes(path)
+        return pd.Series([None if v is None else decode_ids(v, entry) for v in column], dtype=object)
 
     return text(ids)

@@ -117,7 +117,7 @@ def op12_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path_a, path_b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
     aligned = token_align.align_tokens(table(spark, sf_dir, "documents"), path_a, path_b)
-    rows = token_align.link_scores(aligned, token_align.pieces_at(path_b).size)
+    rows = token_align.link_scores(aligned, len(bpe_index.token_bytes(path_a)), token_align.pieces_at(path_b).size)
     return rows.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                        F.when(F.col("groups") == "", "").otherwise(sha256(F.col("groups"))).alias("groups_sha256"))
 

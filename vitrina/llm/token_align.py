@@ -108,10 +108,16 @@ def group_links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarr
     return np.concatenate(groups), np.concatenate(keys), np.concatenate(counts)
 
 
+def id_type(size: int) -> str:
+    """How ids of a vocabulary of this size are stored: two or four bytes."""
+    return "<u2" if size <= 2**16 else "<u4"
+
+
 class Block:
     """Aligned documents of one block, as flat arrays."""
 
     def __init__(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], cut_a: np.ndarray, cut_b: np.ndarray, size_b: int):
+        self.key_span = (int(max((x.max(initial=0) for x in ids_a), default=0)) + 1) * size_b
         self.n_a = np.array([len(x) for x in ids_a], np.int64)
         self.n_b = np.array([len(x) for x in ids_b], np.int64)
         a = np.concatenate([*ids_a, np.zeros(0, np.int64)]).astype(np.int64)
@@ -132,9 +138,9 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs and how many of the block's documents hold each."""
-        kinds, key = np.unique(self.key, return_inverse=True)
-        seen = np.unique(self.doc * max(1, len(kinds)) + key)
-        return kinds, np.bincount(seen % max(1, len(kinds)), minlength=len(kinds))
+        held = np.sort(self.doc * self.key_span + self.key)
+        held = held[np.diff(held, prepend=-1) > 0]
+        return np.unique(held % self.key_span, return_counts=True)
 
 
 def align_texts(texts: list[str], path_a: str, path_b: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -145,7 +151,8 @@ def align_texts(texts: list[str], path_a: str, path_b: str) -> tuple[list[np.nda
     nothing = np.zeros(0, np.int64)
     for k, t in enumerate(texts):
         data = b" " + t.encode()
-        if not t or any(b"".join([entry[i] for i in ids[k].tolist()]) != data for entry, ids in ((one.entry, ids_a), (two.entry, ids_b))):
+        # a byte-level vocabulary has all bytes, so A gives every text back
+        if not t or b"".join([two.entry[i] for i in ids_b[k].tolist()]) != data:
             ids_a[k] = ids_b[k] = nothing
     flat_a, flat_b = (np.concatenate([*ids, nothing]) for ids in (ids_a, ids_b))
     return ids_a, ids_b, *token_groups(np.cumsum(one.entry_length[flat_a]), np.cumsum(two.entry_length[flat_b]))
@@ -153,15 +160,17 @@ def align_texts(texts: list[str], path_a: str, path_b: str) -> tuple[list[np.nda
 
 def _aligned(path_a: str, path_b: str, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size_a, size_b = encoder_at(path_a, False).size, pieces_at(path_b).size
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for lo, hi in blocks(texts, BLOCK_CHARS):
                 ids_a, ids_b, cut_a, cut_b = align_texts(texts[lo:hi], path_a, path_b)
-                kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, pieces_at(path_b).size).pairs()
+                kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, size_b).pairs()
                 bits = [[np.packbits(c).tobytes() for c in np.split(cut, np.cumsum([len(x) for x in ids])[:-1])] for cut, ids in ((cut_a, ids_a), (cut_b, ids_b))]
                 rest = [None] * (hi - lo - 1)
-                columns = [[number] * (hi - lo), [x.astype("<u4").tobytes() for x in ids_a], [x.astype("<u4").tobytes() for x in ids_b], *bits,
+                ids = [[x.astype(id_type(size)).tobytes() for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
+                columns = [[number] * (hi - lo), *ids, *bits,
                            [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<i8").tobytes(), *rest]]
                 arrays = [batch.column("id").slice(lo, hi - lo), *(pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
@@ -190,7 +199,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     binary = [StructField(n, BinaryType()) for n in ("a", "b", "a_cut", "b_cut", "pairs", "pair_docs")]
     out = StructType([src.schema["id"], StructField("block", LongType()), *binary])
-    return written(src.mapInArrow(_aligned(path_a, path_b, to_arrow_schema(out)), out), "aligned")
+    return written(src.mapInArrow(_aligned(path_a, path_b, to_arrow_schema(out)), out), "aligned", compression="zstd")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +226,9 @@ def _groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b:
     return ";".join([f"{x}|{y}" for x, y in zip(*sides)]) if len(ids_a) else ""
 
 
-def _scored(size_b: int, out: pa.Schema):
+def _scored(size_a: int, size_b: int, out: pa.Schema):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        ids_a, ids_b = ([np.frombuffer(x, "<u4").astype(np.int64) for x in docs.column(c).to_pylist()] for c in "ab")
+        ids_a, ids_b = ([np.frombuffer(x, id_type(n)).astype(np.int64) for x in docs.column(c).to_pylist()] for c, n in (("a", size_a), ("b", size_b)))
         cuts = [[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(x)).astype(bool) for bits, x in zip(docs.column(c).to_pylist(), ids)] for c, ids in (("a_cut", ids_a), ("b_cut", ids_b))]
         block = Block(ids_a, ids_b, *(np.concatenate([*c, np.zeros(0, bool)]) for c in cuts), size_b)
         key, n_docs, best = (counts.column(c).to_numpy() for c in ("pair", "n_docs", "best"))
@@ -235,7 +244,7 @@ def _scored(size_b: int, out: pa.Schema):
     return run
 
 
-def link_scores(aligned: DataFrame, size_b: int) -> DataFrame:
+def link_scores(aligned: DataFrame, size_a: int, size_b: int) -> DataFrame:
     """Rows (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of the
     documents of ``align_tokens``: their numbers of tokens, groups and links, the
     links whose pair no other pair of the A id outnumbers in the corpus, the sum of
@@ -246,4 +255,4 @@ def link_scores(aligned: DataFrame, size_b: int) -> DataFrame:
     longs = [StructField(n, LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     out = StructType([aligned.schema["id"], *longs, StructField("groups", StringType())])
     docs = aligned.select("id", "block", "a", "b", "a_cut", "b_cut")
-    return docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scored(size_b, to_arrow_schema(out)), out)
+    return docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scored(size_a, size_b, to_arrow_schema(out)), out)
