@@ -274,6 +274,13 @@ def test_alignment_edge_cases(spark, odd_docs, monkeypatch):
     assert token_align.link_scores(token_align.align_tokens(odd_docs.limit(0), BYTE_BPE, PIECE_BPE), *sizes).count() == 0
 
 
+def test_words_of_pieces_stand_alone():
+    whole = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    texts = [t for t in ODD_TEXTS + random_texts(800) + ["  a  b ", "\n x", " ", "a " * 40] if t]
+    for text, ids in zip(texts, token_align.PieceTokens(PIECE_BPE).encode(texts)):
+        assert ids.tolist() == whole.encode(text)
+
+
 def test_lanes_of_any_length_give_the_same_links():
     rnd = np.random.default_rng(2)
     for n in (1, 2, 30, 400):

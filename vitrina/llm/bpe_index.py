@@ -21,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-BLOCK_CHARS = 4_000_000  # of text encoded at once; a longer text is a block of its own
-KNOWN_WORDS = 300_000  # words a worker remembers between blocks
+BLOCK_BYTES = 1_500_000  # of text encoded at once; a longer text is a block of its own
+KNOWN_WORDS = 200_000  # words a worker remembers between blocks
 KNOWN_LENGTH = 64  # characters; longer words are encoded again in every block
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # The same over characters up to U+024F, for the faster of the two libraries.
@@ -201,14 +202,14 @@ def encoder_at(path: str, specials: bool = True) -> PairIndexBPE:
     return PairIndexBPE(path, specials)
 
 
-def blocks(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of neighbouring texts of about ``most`` characters together."""
+def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of about ``most`` bytes together."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += n
     if start < len(texts):
         yield start, len(texts)
 
@@ -217,9 +218,8 @@ def _encoded(path: str, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_at(path, specials)
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for lo, hi in blocks(texts):
-                ids = pa.array(encoder.encode(texts[lo:hi]), pa.binary())
+            for lo, hi in blocks(batch.column("t")):
+                ids = pa.array(encoder.encode(batch.column("t").slice(lo, hi - lo).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), ids], ["id", "ids"])
 
     return run

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from vitrina.llm.bpe_index import blocks
 
 LEAST_LENGTH, LEAST_REPEATS = 12, 2
-BLOCK_CHARS = 1_500_000  # of text searched at once; a longer text is a block of its own
+BLOCK_BYTES = 1_500_000  # of text searched at once; a longer text is a block of its own
 PRIMES = (2147483629, 2147483587)  # moduli of the two word hashes
 BASES = (911382323, 972663749)
 
@@ -168,9 +168,8 @@ def periodic_runs(word: np.ndarray, doc: np.ndarray, least_length: int = LEAST_L
 
 def _runs_of(frames: Iterator[pa.RecordBatch], least_length: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in frames:
-        texts = batch.column("t").to_pylist()
-        for lo, hi in blocks(texts, BLOCK_CHARS):
-            lists = [t.encode("utf-8", "surrogatepass").split() for t in texts[lo:hi]]  # bytes split at [\x20\x09-\x0D] only
+        for lo, hi in blocks(batch.column("t"), BLOCK_BYTES):
+            lists = [t.encode("utf-8", "surrogatepass").split() for t in batch.column("t").slice(lo, hi - lo).to_pylist()]  # bytes split at [\x20\x09-\x0D] only
             numbers: dict[bytes, int] = {}
             flat, starts = [], []
             for k, words in enumerate(lists):

@@ -16,6 +16,8 @@ and each block looks its own links up.
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,21 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from vitrina.llm.bpe_index import blocks, encoder_at
 from vitrina.llm.shared import written
 
-BLOCK_CHARS = 2_000_000  # of text aligned at once; a longer text is a block of its own
+BLOCK_BYTES = 3_000_000  # of text aligned at once; a longer text is a block of its own
 LANE_BYTES = 1_024
 
 
+KNOWN_WORDS = 200_000  # of B that a worker remembers between blocks
+SPACED = re.compile(" +[^ ]*")
+
+
 class PieceTokens:
-    """Ids and bytes of a sentencepiece model's tokens."""
+    """Ids and bytes of a sentencepiece BPE model's tokens.
+
+    No piece of the model may hold a space after another character (checked), so
+    merges never pass from a word into the blanks behind it, and a text's ids are
+    those of its stretches of blanks with the word after them, in a row.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -42,11 +53,23 @@ class PieceTokens:
         self.model = SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(self.size)]
+        if any(re.search("[^▁]▁", p) for p in pieces):
+            raise ValueError(f"{path}: not a model whose words stand alone")
         self.entry = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.entry_length = np.array([len(e) for e in self.entry], np.int64)
+        self.blank = {" ": array("I", [self.model.piece_to_id("▁")]).tobytes()}  # the model gives an empty text no ids
+        self.known: dict[str, bytes] = dict(self.blank)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)] if texts else []
+        parts = [SPACED.findall(" " + t) if t else [] for t in texts]
+        used = set().union(*parts)
+        new = list(used.difference(self.known))
+        if len(self.known) + len(new) > KNOWN_WORDS:  # what this block uses stays
+            self.known = {w: ids for w, ids in self.known.items() if w in used} | self.blank
+        # the model puts one blank before every text itself
+        self.known |= {w: array("I", ids).tobytes() for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1) if new else [])}
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, row)), "<u4").astype(np.int64) for row in parts]
 
 
 @functools.cache
@@ -85,7 +108,7 @@ def token_groups(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def group_links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, key, times) of all links: ``key`` is A id * size_b + B id. A group
+    """(group, key, times) of all links, by group: ``key`` is A id * size_b + B id. A group
     with many tokens on both sides is multiplied out over its distinct ids only."""
     last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
     first_a, first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
@@ -105,7 +128,11 @@ def group_links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarr
         keys.append((ids_a[:, None] * size_b + ids_b).ravel())
         counts.append((of_a[:, None] * of_b).ravel())
         groups.append(np.full(len(keys[-1]), g))
-    return np.concatenate(groups), np.concatenate(keys), np.concatenate(counts)
+    group, key, times = np.concatenate(groups), np.concatenate(keys), np.concatenate(counts)
+    if len(groups) > 1:
+        order = np.argsort(group, kind="stable")
+        group, key, times = group[order], key[order], times[order]
+    return group, key, times
 
 
 def id_type(size: int) -> str:
@@ -131,10 +158,8 @@ class Block:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Exact sums of a value per link, by document."""
-        order = np.argsort(self.doc, kind="stable")
-        total = np.append(0, np.cumsum(values[order]))
-        ends = np.searchsorted(self.doc[order], np.arange(len(self.n_a)), "right")
-        return np.diff(np.append(0, total[ends]))
+        total = np.append(0, np.cumsum(values))
+        return np.diff(np.append(0, total[np.searchsorted(self.doc, np.arange(len(self.n_a)), "right")]))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs and how many of the block's documents hold each."""
@@ -163,15 +188,14 @@ def _aligned(path_a: str, path_b: str, out: pa.Schema):
         size_a, size_b = encoder_at(path_a, False).size, pieces_at(path_b).size
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for lo, hi in blocks(texts, BLOCK_CHARS):
-                ids_a, ids_b, cut_a, cut_b = align_texts(texts[lo:hi], path_a, path_b)
+            for lo, hi in blocks(batch.column("t"), BLOCK_BYTES):
+                ids_a, ids_b, cut_a, cut_b = align_texts(batch.column("t").slice(lo, hi - lo).to_pylist(), path_a, path_b)
                 kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, size_b).pairs()
                 bits = [[np.packbits(c).tobytes() for c in np.split(cut, np.cumsum([len(x) for x in ids])[:-1])] for cut, ids in ((cut_a, ids_a), (cut_b, ids_b))]
                 rest = [None] * (hi - lo - 1)
                 ids = [[x.astype(id_type(size)).tobytes() for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
                 columns = [[number] * (hi - lo), *ids, *bits,
-                           [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<i8").tobytes(), *rest]]
+                           [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<u4").tobytes(), *rest]]
                 arrays = [batch.column("id").slice(lo, hi - lo), *(pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
                 number += 1
@@ -185,9 +209,9 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     ``a`` and ``b`` are the token ids of space + text by the byte-level BPE file
     and of text by the sentencepiece model, little-endian unsigned 32-bit;
     ``a_cut`` and ``b_cut`` one bit a token (the first in the highest bit): whether
-    a group ends with it. ``pairs`` and ``pair_docs`` (64-bit; on the first row of a
-    block only) are the block's distinct linked pairs, A id * B's size + B id, and how
-    many of its documents hold each. A block is about two million characters of
+    a group ends with it. ``pairs`` and ``pair_docs`` (64 and 32 bits; on the
+    first row of a block only) are the block's distinct linked pairs, A id * B's size + B id, and how
+    many of its documents hold each. A block is about three million bytes of
     neighbouring rows. The rows are written to the shared folder, so block
     numbers stay.
 
@@ -206,7 +230,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, pairs, docs in zip(*(batch.column(c).to_pylist() for c in ("block", "pairs", "pair_docs"))):
             key = np.frombuffer(pairs, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), pa.array(np.frombuffer(docs, "<i8"))], ["block", "pair", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), pa.array(np.frombuffer(docs, "<u4").astype(np.int64))], ["block", "pair", "docs"])
 
 
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
@@ -218,12 +242,23 @@ def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
     return counts.join(F.broadcast(most), "a").select("pair", "a", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
-def _groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-    sides = []
-    for ids, cut in ((ids_a, cut_a), (ids_b, cut_b)):
-        marks = np.where(cut, ";", ",").tolist()
-        sides.append("".join([f"{i}{m}" for i, m in zip(ids.tolist(), marks)])[:-1].split(";"))
-    return ";".join([f"{x}|{y}" for x, y in zip(*sides)]) if len(ids_a) else ""
+@functools.cache
+def _marked(size_a: int, size_b: int) -> list[str]:
+    """Texts of tokens: A inside a group and at its end, then B."""
+    return [f"{i}{mark}" for size, marks in ((size_a, ",|"), (size_b, ",;")) for mark in marks for i in range(size)]
+
+
+def group_texts(ids_a: list[np.ndarray], ids_b: list[np.ndarray], cuts_a: list[np.ndarray], cuts_b: list[np.ndarray], size_a: int, size_b: int) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` of every document."""
+    table, out = _marked(size_a, size_b).__getitem__, []
+    for a, b, cut_a, cut_b in zip(ids_a, ids_b, cuts_a, cuts_b):
+        last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
+        mixed = np.empty(len(a) + len(b), np.int64)
+        # an A token comes after the B tokens of earlier groups, a B token after the A tokens of its own
+        mixed[np.arange(len(a)) + np.append(0, last_b + 1)[np.cumsum(cut_a) - cut_a]] = a + size_a * cut_a
+        mixed[np.arange(len(b)) + np.append(last_a + 1, 0)[np.cumsum(cut_b) - cut_b]] = b + 2 * size_a + size_b * cut_b
+        out.append("".join(map(table, mixed.tolist()))[:-1])
+    return out
 
 
 def _scored(size_a: int, size_b: int, out: pa.Schema):
@@ -231,13 +266,13 @@ def _scored(size_a: int, size_b: int, out: pa.Schema):
         ids_a, ids_b = ([np.frombuffer(x, id_type(n)).astype(np.int64) for x in docs.column(c).to_pylist()] for c, n in (("a", size_a), ("b", size_b)))
         cuts = [[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(x)).astype(bool) for bits, x in zip(docs.column(c).to_pylist(), ids)] for c, ids in (("a_cut", ids_a), ("b_cut", ids_b))]
         block = Block(ids_a, ids_b, *(np.concatenate([*c, np.zeros(0, bool)]) for c in cuts), size_b)
-        key, n_docs, best = (counts.column(c).to_numpy() for c in ("pair", "n_docs", "best"))
+        key, signed = (counts.column(c).to_numpy() for c in ("pair", "signed"))  # negative: the best of its A id
         n_best = count_sum = np.zeros(len(ids_a), np.int64)
         if len(block.key):
             order = np.argsort(key)
             at = order[np.searchsorted(key, block.key, sorter=order)]
-            n_best, count_sum = block.sums(best[at] * block.times), block.sums(n_docs[at] * block.times)
-        groups = [_groups_text(*x) for x in zip(ids_a, ids_b, *cuts)]
+            n_best, count_sum = block.sums((signed[at] < 0) * block.times), block.sums(abs(signed[at]) * block.times)
+        groups = group_texts(ids_a, ids_b, *cuts, size_a, size_b)
         values = [block.n_a, block.n_b, block.n_groups, block.n_links, n_best, count_sum, groups]
         return pa.Table.from_arrays([docs.column("id").combine_chunks(), *(pa.array(v, out.field(i + 1).type) for i, v in enumerate(values))], schema=out)
 
@@ -251,7 +286,7 @@ def link_scores(aligned: DataFrame, size_a: int, size_b: int) -> DataFrame:
     the pairs' document counts over the links, and the groups as text
     (``a1,a2|b1;a3|b2,b3``; '' without tokens)."""
     wanted = aligned.where("pairs is not null").select("block", "pairs", "pair_docs").mapInArrow(_unpacked, "block long, pair long, docs long")
-    counts = wanted.select("block", "pair").join(pair_counts(aligned, size_b), "pair").select("block", "pair", "n_docs", "best")
+    counts = wanted.select("block", "pair").join(pair_counts(aligned, size_b), "pair").select("block", "pair", F.when(F.col("best"), -F.col("n_docs")).otherwise(F.col("n_docs")).alias("signed"))
     longs = [StructField(n, LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     out = StructType([aligned.schema["id"], *longs, StructField("groups", StringType())])
     docs = aligned.select("id", "block", "a", "b", "a_cut", "b_cut")
