@@ -3,7 +3,9 @@ properties (O70)."""
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from vitrina.streaming import carts, ledger
@@ -95,25 +97,51 @@ def test_ledger_balance(spark, ctx):
     assert chk.count() > 0 and bad == 0
 
 
-def test_hot_product_is_exact_and_spread(spark):
-    """One product holds a third of all lines: results stay exact, and its
-    rows are spread over many (product, day) partitions of the running sum."""
-    n = 9000
-    base = spark.range(n).select(
+def _as_decisions(rows: pd.DataFrame) -> dict:
+    got = {}
+    for r in rows.itertuples():
+        got.setdefault((r.id_venta, r.id_detalle, r.id_producto, r.fecha, r.cantidad), []).append(bool(r.aceptada))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def _hot_lines(spark, n, days, quantity):
+    return spark.range(n).select(
         F.col("id").alias("id_venta"), F.lit(1).alias("id_detalle"),
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 200 + 2).cast("long").alias("id_producto"),
         (F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz")
-         + F.make_dt_interval(days=(F.col("id") % 400).cast("int"))).alias("fecha"),
-        (F.col("id") % 7 + 1).cast("int").alias("cantidad"))
-    inv = spark.createDataFrame([(1, 9000)] + [(i, 40) for i in range(2, 150)], "id_producto long, stock_actual int")
-    got = ledger.oversell_guard(base, inv, hot_candidates=100).toPandas()  # product 1 takes the chunked path
-    want = _guard_brute(base.toPandas(), {r.id_producto: r.stock_actual for r in inv.collect()})
-    g = {}
-    for r in got.itertuples():
-        g.setdefault((r.id_venta, r.id_detalle, r.id_producto, r.fecha, r.cantidad), []).append(bool(r.aceptada))
-    assert {k: sorted(v) for k, v in g.items()} == want
-    hot_days = base.filter("id_producto = 1").select(F.to_date("fecha")).distinct().count()
-    assert hot_days >= 100  # the hot product's windows run as >= 100 separate (product, day) groups
+         + F.make_dt_interval(days=(F.col("id") % days).cast("int"))).alias("fecha"),
+        quantity.cast("int").alias("cantidad"))
+
+
+@pytest.mark.parametrize("stock, days", [(9000, 400), (1_000_000, 400), (200, 1), (0, 7), (-5, 7)])
+def test_hot_product_with_returns_is_exact(spark, stock, days):
+    """One product holds a third of all lines and fills whole partitions, with
+    some negative quantities, much, little or no stock, and also on one day."""
+    h = F.abs(F.xxhash64("id"))
+    base = _hot_lines(spark, 9000, days, F.when(h % 13 == 0, -(h % 90)).when(h % 5 == 0, h % 1500).otherwise(h % 30 + 1))
+    base = base.unionByName(spark.createDataFrame([(1, 9, 1, dt.datetime(2020, 1, 1), None), (2, 9, None, dt.datetime(2020, 1, 1), 3)], base.schema))
+    inv = spark.createDataFrame([(1, stock)] + [(i, 40) for i in range(2, 150)], "id_producto long, stock_actual int")
+    got = ledger.oversell_guard(base, inv)
+    odd = got.filter("cantidad is null or id_producto is null").collect()
+    assert len(odd) == 2 and all(r.aceptada for r in odd)
+    lines = base.filter("cantidad is not null and id_producto is not null").toPandas()
+    want = _guard_brute(lines, {r.id_producto: r.stock_actual for r in inv.collect()})
+    assert _as_decisions(got.filter("cantidad is not null and id_producto is not null").toPandas()) == want
+
+
+def test_hot_product_day_is_spread(spark):
+    """A third of all rows are one product on one day: the running sum is exact
+    and no partition holds more than a few times the median."""
+    from vitrina.functions.scan import ordered_parts, running_sum
+    base = _hot_lines(spark, 9000, 1, F.col("id") % 7 + 1).filter("id_producto = 1 or id_venta % 2 = 0")
+    base = base.withColumn("cantidad", F.when(F.col("id_venta") % 11 != 0, F.col("cantidad")))
+    sizes = [r["count"] for r in ordered_parts(base, ["id_producto"], ledger.GUARD_ORDER).groupBy("_part").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    got = running_sum(base, ["id_producto"], ledger.GUARD_ORDER, "cantidad", "run")
+    assert got.columns == [*base.columns, "run"]
+    rows = base.toPandas().sort_values(["id_producto", "fecha", "id_venta"])
+    want = dict(zip(rows["id_venta"], rows["cantidad"].fillna(0).groupby(rows["id_producto"]).cumsum()))
+    assert {r.id_venta: r.run for r in got.collect()} == want
 
 
 def test_asof_rate_edges(spark):
@@ -128,29 +156,32 @@ def test_asof_rate_edges(spark):
     assert got == {1: None, 2: 1.5, 3: 1.5, 4: 2.0}
 
 
-def test_active_carts_parallel_path_matches_fold(spark, ctx):
-    """Every client taken as hot: the pointer-doubling path equals the fold."""
-    from vitrina.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    ev = ctx["cart_events"]
-    par = carts.active_carts(ev, hot_rows=0).toPandas()
-    want = _carts_brute(ev.toPandas())
-    got = {r.id_detalle: (r.carrito_n, r.creacion_carrito) for r in par.itertuples()}
-    assert len(par) == ev.count()
-    assert got == want
-
-
-def test_oversell_chunked_path_matches_fold(spark, ctx):
-    """Every product taken as hot: the chunked transition-table path equals
-    the sequential brute force."""
-    res = ledger.oversell_guard(ctx["detalle_ventas"], ctx["inventario"], hot_candidates=0).toPandas()
-    lines = ctx["detalle_ventas"].toPandas()
-    stock = {r.id_producto: r.stock_actual for r in ctx["inventario"].toPandas().itertuples()}
-    want = _guard_brute(lines, stock)
-    got = {}
-    for r in res.itertuples():
-        got.setdefault((r.id_venta, r.id_detalle, r.id_producto, r.fecha, r.cantidad), []).append(bool(r.aceptada))
-    assert len(res) == len(lines) and {k: sorted(v) for k, v in got.items()} == want
+@pytest.mark.parametrize("gap", [600, 3600 * 5, 3600 * 24])
+def test_hot_client_fills_partitions(spark, gap):
+    """One client holds most events, many of them at one time, over several
+    partitions; events without time or client belong to no cart."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 5 if i % 4 else i % 7, t0 + dt.timedelta(seconds=(i * i) % 97 * 60 + i // 3 * gap)) for i in range(3000)]
+    odd = [(9001, None, t0), (9002, 5, None), (9003, None, None)]
+    ev = spark.createDataFrame(rows + odd, "id_detalle long, id_carrito long, fecha timestamp_ntz").repartition(5)
+    res = carts.active_carts(ev).toPandas()
+    assert len(res) == 3003
+    none = res[res["id_detalle"] > 9000]
+    assert none["carrito_n"].isna().all() and none["creacion_carrito"].isna().all()
+    got = {r.id_detalle: (r.carrito_n, r.creacion_carrito) for r in res[res["id_detalle"] < 9000].itertuples()}
+    assert got == _carts_brute(pd.DataFrame(rows, columns=["id_detalle", "id_carrito", "fecha"]))
+
+
+def test_entry_maps_compose(spark):
+    """A map gives what a replay of its partition gives, for any entering cart."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        t = np.sort(rng.integers(0, int(rng.choice([1, 3, 40])) * carts._LIFE, int(rng.integers(1, 60))))
+        first, last, count = carts._entry_map(t)
+        for start in [int(t[0]) - int(x) for x in rng.integers(0, 3 * carts._LIFE, 8)] + [int(t[0]), int(t[0]) - carts._LIFE]:
+            starts, numbers = carts._place(t, start, 7)
+            k = int(np.searchsorted(first, start + carts._LIFE, side="right"))
+            assert (starts[-1], numbers[-1]) == ((last[k], 7 + count[k]) if k < len(first) else (start, 7))
 
 
 def test_asof_rate_many_rates_in_a_month(spark):

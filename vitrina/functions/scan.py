@@ -1,32 +1,43 @@
-"""Running sums that do not put a hot key into one task.
-
-``running_sum`` splits each key's ordered rows into buckets that follow the
-order (e.g. the day of the timestamp that leads the order). Bucket totals are
-summed per key (one row per bucket), turned into offsets with a window over
-those few rows, and each bucket's own running sum is computed in a window
-partitioned by (key, bucket). A product that holds a third of all rows is then
-spread over as many tasks as it has days.
+"""Ordered work per key that does not put a hot key into one task.
+
+Rows are range-partitioned by (key, order) with Spark's sampled boundaries, so a
+partition holds a stretch of the order and a key of any size, also one whose
+rows share a day, is spread over as many partitions as its rows fill. Each
+boundary splits at most one key: what has to be carried from one partition to
+the next is one value per partition, a table of at most as many rows as there
+are partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.session import ensure_checkpoint_dir
+
+
+def ordered_parts(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_part``, the number of its range partition by (key, order);
+    every partition is sorted. The rows are checkpointed to the shared folder:
+    all passes over them see the same partitions, also after a lost executor."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = list(dict.fromkeys([*key, *order]))
+    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return placed.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+
 
-def running_sum(df: DataFrame, key: list[str], order: list, value: str, bucket: Column,
-                out: str) -> DataFrame:
+def running_sum(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``key`` up to and
-    including this row, in ``order``. ``bucket`` must be non-decreasing
-    along ``order`` (it is usually the leading order column, truncated). NULL
-    values add nothing."""
-    d = df.withColumn("_b", bucket)
-    totals = d.groupBy(*key, "_b").agg(F.sum(value).alias("_bt"))
-    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cols = [*key, "_b"]
-    offsets = offsets.select(*[F.col(c).alias("_o_" + c) for c in cols], "_off")
-    cond = [d[c].eqNullSafe(offsets["_o_" + c]) for c in cols]  # NULL keys keep their rows
-    j = d.join(offsets, cond, "inner").drop(*["_o_" + c for c in cols])
-    return j.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_b", "_off")
+    including this row, in ``order``. NULL values add nothing; NULL keys are one
+    key. Rows that agree in the whole order share nothing but their places."""
+    d = ordered_parts(df, key, order)
+    totals = d.groupBy(*key, "_part").agg(F.sum(value).alias("_pt"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition at most
+    carried = totals.select(*[F.col(c).alias("_o_" + c) for c in [*key, "_part"]], F.sum("_pt").over(before).alias("_off"))
+    carried = carried.where("_off is not null")  # the keys split by a boundary: at most one row a partition
+    inside = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [d[c].eqNullSafe(carried["_o_" + c]) for c in [*key, "_part"]]
+    j = d.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(carried), same, "left")
+    return j.withColumn(out, F.coalesce("_off", F.lit(0)) + F.col("_in")).select(*df.columns, out)

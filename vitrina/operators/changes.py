@@ -531,11 +531,10 @@ def _counter_rejections(carts: DataFrame, inventory: DataFrame) -> DataFrame:
     rows = first.join(stock, "id_producto", "left").withColumn("stock", F.coalesce("stock", F.lit(0))) \
         .withColumn("sure", F.lit(False)).checkpoint(eager=True)
     served = rows.select("id_carrito").distinct()
-    bucket = F.floor(F.col("id_carrito") / 1000)
     while not rows.filter(~F.col("sure")).isEmpty():
         both = rows.withColumn("_taken", F.when(F.col("sure"), F.col("used")).otherwise(0))
-        both = running_sum(both, ["id_producto"], ["id_carrito"], "_taken", bucket, "_low")
-        both = running_sum(both, ["id_producto"], ["id_carrito"], "used", bucket, "_high")
+        both = running_sum(both, ["id_producto"], ["id_carrito"], "_taken", "_low")
+        both = running_sum(both, ["id_producto"], ["id_carrito"], "used", "_high")
         most = F.greatest(F.lit(0), F.col("stock") - F.col("_low"))  # undecided rows take nothing here
         least = F.greatest(F.lit(0), F.col("stock") - (F.col("_high") - F.col("used")))
         fate = both.filter(~F.col("sure")).groupBy("id_carrito").agg(

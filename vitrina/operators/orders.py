@@ -275,14 +275,13 @@ def select_cart_positions(lines: DataFrame, positions: list[int], remove: bool =
     chosen positions, or drop them with ``remove``. Out-of-range positions are
     ignored; an empty list keeps every line.
 
-    Positions come from a running count (``running_sum``) bucketed by line-id
-    range, so a very large cart is numbered by many tasks, not one window."""
+    Positions come from a running count (``running_sum``), so a very large cart
+    is numbered by many tasks, not one window."""
     from vitrina.functions.scan import running_sum
     if not positions:
         return lines
     one = lines.withColumn("_one", F.lit(1))
-    numbered = running_sum(one, ["id_carrito"], ["id_detalle"], "_one",
-                           F.floor(F.col("id_detalle") / 100000), "_pos")
+    numbered = running_sum(one, ["id_carrito"], ["id_detalle"], "_one", "_pos")
     numbered = numbered.withColumn("posicion", (F.col("_pos") - 1).cast("int")).drop("_one", "_pos")
     hit = F.col("posicion").isin(positions)
     return numbered.filter(~hit if remove else hit)

@@ -61,9 +61,6 @@ def top_products_sheet(top: DataFrame, income) -> DataFrame:
     return rows.unionByName(total)
 
 
-ITEM_BUCKET = 1024  # line ids in one bucket of the running count
-
-
 def order_documents(items: DataFrame) -> DataFrame:
     """The items document of every order (the declared items column), as
     one JSON object per line with its position in the order, from 0. Nothing is
@@ -72,7 +69,7 @@ def order_documents(items: DataFrame) -> DataFrame:
     from vitrina.functions.scan import running_sum
     cols = ["id", "product_id", "name", "quantity", "price", "total"]
     one = items.withColumn("_one", F.lit(1))
-    numbered = running_sum(one, ["id_pedido"], cols, "_one", F.floor(F.col("id") / ITEM_BUCKET), "_pos")
+    numbered = running_sum(one, ["id_pedido"], cols, "_one", "_pos")
     return numbered.select("id_pedido", (F.col("_pos") - 1).cast("long").alias("posicion"),
                            F.to_json(F.struct(*cols)).alias("item_json"))
 

@@ -2,11 +2,12 @@
 most 24 hours old; the first event after that starts a new cart.
 
 This is not a session window (a session extends with activity; a cart's life
-is fixed from its creation). The batch twin streams each client's events in
-time order (hash partitioning by client, sort within partitions) through a
-fold that holds only the current cart start; within an Arrow batch the next
-cart start is found by binary search, so the work per batch is
-O(carts x log rows), not a Python loop per row.
+is fixed from its creation). Events are range-partitioned by (client, time), so
+a boundary splits at most one client. A partition that one client fills becomes a
+map from the cart the client enters with to the cart it leaves with; the maps are
+composed in order, and every partition is then replayed from its own entry. Inside
+a partition the next cart start is found by binary search, so the work is per
+cart, not per row.
 """
 
 from __future__ import annotations
@@ -15,129 +16,136 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrina.functions.scan import ordered_parts
+
 LIFE_SECONDS = 24 * 3600  # Fixed value: cart life, inclusive boundary.
+_LIFE = LIFE_SECONDS * 1_000_000
 
 
-def _fold_carts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cur, start, number = None, None, 0
+def _place(t: np.ndarray, start, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cart start and number of each event time of one client, ascending, who
+    enters with cart ``number`` created at ``start`` (None: no cart yet)."""
+    starts, numbers = np.empty(len(t), dtype=np.int64), np.empty(len(t), dtype=np.int64)
+    i = 0
+    while i < len(t):
+        if start is None or t[i] > start + _LIFE:
+            start, number = int(t[i]), number + 1
+        j = i + int(np.searchsorted(t[i:], start + _LIFE, side="right"))  # up to creation + life
+        starts[i:j], numbers[i:j] = start, number
+        i = j
+    return starts, numbers
+
+
+def _entry_map(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a partition of one client's event times does to an entering cart:
+    (first, last, carts). A cart that ends before ``first[k]`` (and not before
+    ``first[k - 1]``) is followed by ``carts[k]`` new ones, the last created at
+    ``last[k]``; one that outlives all of ``first`` outlives the partition. Only
+    events within one life of the first can be the first new start; chains of
+    starts are followed by doubling."""
+    t = np.unique(t)
+    n = len(t)
+    step = np.append(np.searchsorted(t, t + _LIFE, side="right"), n)  # n: behind the partition
+    last = np.arange(n + 1)
+    count = np.append(np.ones(n, np.int64), 0)
+    while (step[:n] < n).any():
+        last = np.where(step < n, last[np.minimum(step, n)], last)
+        count = count + count[step]
+        step = step[step]
+    k = np.arange(min(n, int(np.searchsorted(t, t[0] + _LIFE, side="right")) + 1))
+    same = (last[k][1:] == last[k][:-1]) & (count[k][1:] == count[k][:-1])
+    k = k[np.append(~same, True)]
+    return t[k], t[last[k]], count[k]
+
+
+def _part_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for the last client of a partition (and one for the first, if
+    another): the client's event times there as a map, or, for a client that
+    begins here, the cart it leaves with."""
+    client = first = part = None
+    times: list[np.ndarray] = []
+    for pdf in batches:
+        keys, t = pdf["_client"].to_numpy(), pdf["_t"].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if client is None or keys[a] != client:
+                client, times = keys[a], []
+            first = client if first is None else first
+            part = int(pdf["_part"].iloc[0])
+            times.append(t[a:b])
+    if client is not None:
+        t, none = np.concatenate(times), [None, None, None]
+        rows = []
+        if first != client:
+            starts, numbers = _place(t, None, 0)
+            rows = [(first, part, 0, *none), (client, part, 2, [int(starts[-1])], [int(starts[-1])], [int(numbers[-1])])]
+        else:
+            rows = [(client, part, 1, *(x.tolist() for x in _entry_map(t)))]
+        yield pd.DataFrame(rows, columns=["_client", "_part", "_kind", "_first", "_last", "_carts"])
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compose a client's maps in the order of the partitions: the cart it
+    enters each later partition with."""
+    client = start = None
+    number = 0
     for pdf in batches:
-        if pdf.empty:
-            continue
-        keys = pdf["_client"].to_numpy()
-        t = pdf["_t"].to_numpy()
-        starts = np.empty(len(pdf), dtype=np.int64)
-        numbers = np.empty(len(pdf), dtype=np.int64)
-        # split the batch into runs of one client
+        rows = []
+        for key, part, kind, first, last, carts in zip(*(pdf[c] for c in ("_client", "_part", "_kind", "_first", "_last", "_carts"))):
+            if client is None or key != client:
+                client, start, number = key, None, 0
+            if start is not None:
+                rows.append((key, part, start, number))
+            if kind == 2:
+                start, number = int(last[0]), int(carts[0])
+            elif kind == 1:
+                k = 0 if start is None else int(np.searchsorted(first, start + _LIFE, side="right"))
+                if k < len(first):
+                    start, number = int(last[k]), number + int(carts[k])
+        yield pd.DataFrame(rows, columns=["_client", "_part", "_s0", "_n0"])
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    client = start = None
+    number = 0
+    for pdf in batches:
+        keys, t = pdf["_client"].to_numpy(), pdf["_t"].to_numpy()
+        known, s0, n0 = pdf["_s0"].notna().to_numpy(), pdf["_s0"].to_numpy(), pdf["_n0"].to_numpy()
+        starts, numbers = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf), dtype=np.int64)
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        bounds = np.concatenate(([0], cuts, [len(pdf)]))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if keys[a] != cur:
-                cur, start, number = keys[a], None, 0
-            i = a
-            while i < b:
-                if start is None or t[i] > start + LIFE_SECONDS * 1_000_000:
-                    start, number = t[i], number + 1
-                # every row up to creation + life belongs to this cart
-                j = a + int(np.searchsorted(t[a:b], start + LIFE_SECONDS * 1_000_000, side="right"))
-                j = max(j, i + 1)
-                starts[i:j] = start
-                numbers[i:j] = number
-                i = j
-        out = pdf.drop(columns=["_client", "_t", "_k"])
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if client is None or keys[a] != client:
+                client, start, number = keys[a], int(s0[a]) if known[a] else None, int(n0[a]) if known[a] else 0
+            starts[a:b], numbers[a:b] = _place(t[a:b], start, number)
+            start, number = int(starts[b - 1]), int(numbers[b - 1])
+        out = pdf.drop(columns=["_client", "_t", "_k", "_part", "_s0", "_n0"])
         out["_start"], out["carrito_n"] = starts, numbers
         yield out
 
 
-HOT_CLIENT_ROWS = 5_000_000  # clients above this many events take the parallel path
-_LIFE = LIFE_SECONDS * 1_000_000
-_HOUR = 3600 * 1_000_000
-
-
-def _next_start_after(times: DataFrame) -> DataFrame:
-    """(_client, _t) distinct -> (_client, _t, _nxt): the first event time
-    strictly after _t + life (NULL if none), computed as a suffix minimum over
-    the merged, sorted sequence of event times and shifted query times. The
-    scan is bucketed by hour: per-bucket minima give the part after the
-    bucket (a window over one row per client-hour), a window inside each
-    (client, hour) gives the rest, so no client is one task."""
-    ev = times.select("_client", F.col("_t").alias("_key"), F.lit(0).alias("_kind"),
-                      F.col("_t").alias("_ev"), F.lit(None).cast("long").alias("_q"))
-    qs = times.select("_client", (F.col("_t") + _LIFE).alias("_key"), F.lit(1).alias("_kind"),
-                      F.lit(None).cast("long").alias("_ev"), F.col("_t").alias("_q"))
-    u = ev.unionByName(qs).withColumn("_b", F.floor(F.col("_key") / _HOUR))
-    later = Window.partitionBy("_client").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    bmin = (u.groupBy("_client", "_b").agg(F.min("_ev").alias("_bmin"))
-            .withColumn("_later", F.min("_bmin").over(later)).drop("_bmin"))
-    # events at the same key sort before the query: "strictly after" holds
-    inside = Window.partitionBy("_client", "_b").orderBy("_key", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    x = u.withColumn("_in", F.min("_ev").over(inside)).filter(F.col("_kind") == 1)
-    x = x.join(bmin, ["_client", "_b"], "inner")
-    return x.select("_client", F.col("_q").alias("_t"), F.least("_in", "_later").alias("_nxt"))
-
-
-def _cart_starts_parallel(times: DataFrame) -> DataFrame:
-    """Cart starts (creation times) of every client: the orbit of the client's
-    first event under "next start", by pointer doubling. J_i maps a time to
-    its 2^i-th next start; P_i holds the first 2^i starts; P_{i+1} = P_i plus
-    J_i(P_i). Rounds = log2(carts per client); each round is two joins on
-    (client, time) and the tables are checkpointed to the shared folder."""
-    jump = _next_start_after(times).filter(F.col("_nxt").isNotNull()).checkpoint(eager=True)
-    starts = times.groupBy("_client").agg(F.min("_t").alias("_s")).checkpoint(eager=True)
-    while True:
-        step = (starts.join(jump.withColumnRenamed("_t", "_s"), ["_client", "_s"], "inner")
-                .select("_client", F.col("_nxt").alias("_s")))
-        step = step.join(starts, ["_client", "_s"], "left_anti").checkpoint(eager=True)
-        if step.isEmpty():
-            return starts
-        starts = starts.unionByName(step).checkpoint(eager=True)
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, (F.col("a._client") == F.col("b._client")) & (F.col("a._nxt") == F.col("b._t")), "inner")
-                .select(F.col("a._client").alias("_client"), F.col("a._t").alias("_t"), F.col("b._nxt").alias("_nxt"))
-                .checkpoint(eager=True))
-
-
-def _assign_to_starts(e: DataFrame, starts: DataFrame) -> DataFrame:
-    """Each event -> the cart whose [start, start + life] holds it (the
-    intervals of one client are disjoint and cover its events). Starts are
-    exploded to the day buckets they touch, so the join is an equi join on
-    (client, day) plus the interval test. Cart numbers count the client's
-    starts (at most one per day: a window over calendar-sized rows)."""
-    w = Window.partitionBy("_client").orderBy("_s")
-    st = starts.withColumn("carrito_n", F.row_number().over(w).cast("long"))
-    day = F.floor(F.col("_s") / _LIFE)
-    st = st.withColumn("_d", F.explode(F.array_distinct(F.array(day, F.floor((F.col("_s") + _LIFE) / _LIFE)))))
-    ev = e.withColumn("_d", F.floor(F.col("_t") / _LIFE))
-    j = ev.join(st, ["_client", "_d"], "inner").filter(
-        (F.col("_t") >= F.col("_s")) & (F.col("_t") <= F.col("_s") + _LIFE))
-    return j.select(*[c for c in e.columns if c not in ("_client", "_t", "_k")], F.col("_s").alias("_start"), "carrito_n")
-
-
 def active_carts(events: DataFrame, client: str = "id_carrito", ts: str = "fecha",
-                 event_id: str = "id_detalle", hot_rows: int = HOT_CLIENT_ROWS) -> DataFrame:
+                 event_id: str = "id_detalle") -> DataFrame:
     """Each cart event with its cart: (client, cart number 1.., cart creation).
 
-    Clients with up to ``hot_rows`` events go through the sorted streaming
-    fold (cheapest); hotter clients are split over many tasks by the parallel
-    path (next-start scan, pointer doubling, bucketed range join). Both are
-    exact; tests compare both with a sequential replay."""
+    One path for all clients, whatever their size. An event without a client or
+    without a time belongs to no cart: its number and creation are NULL. Events at
+    one time are in the order of their ids."""
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = events.select("*", F.col(event_id).alias("_k"), F.col(client).alias("_client"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    parts = ordered_parts(e.filter("_client is not null and _t is not null"), ["_client"], ["_t", "_k"])
+    kind = e.schema["_client"].dataType.simpleString()
+    maps = parts.select("_client", "_t", "_part").mapInPandas(
+        _part_maps, f"_client {kind}, _part int, _kind int, _first array<long>, _last array<long>, _carts array<long>")
+    entries = (maps.repartition(n, F.xxhash64("_client")).sortWithinPartitions("_client", "_part")
+               .mapInPandas(_entries, f"_client {kind}, _part int, _s0 long, _n0 long"))
     carried = T.StructType([*events.schema.fields, T.StructField("_start", T.LongType()), T.StructField("carrito_n", T.LongType())])
-    sizes = e.groupBy("_client").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > hot_rows).select("_client")
-    cool = e.join(hot, "_client", "left_anti")
-    # keyed by xxhash64(client): a shuffle the planner cannot drop as
-    # redundant (see ledger.oversell_guard), so each client stays whole
-    folded = (cool.repartition(n, F.xxhash64("_client")).sortWithinPartitions("_client", "_t", "_k")
-              .mapInPandas(_fold_carts, carried))
-    if not hot.isEmpty():
-        he = e.join(hot, "_client", "left_semi")
-        starts = _cart_starts_parallel(he.select("_client", "_t").distinct())
-        folded = folded.unionByName(_assign_to_starts(he, starts))
-    return folded.withColumn("creacion_carrito",
-                             F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")
+    placed = parts.join(F.broadcast(entries), ["_client", "_part"], "left")  # at most a row a partition
+    placed = placed.select(*events.columns, "_k", "_client", "_t", "_part", "_s0", "_n0").mapInPandas(_replay, carried)
+    nowhere = e.filter("_client is null or _t is null").select(*events.columns, F.lit(None).cast("long").alias("_start"), F.lit(None).cast("long").alias("carrito_n"))
+    return placed.unionByName(nowhere).withColumn(
+        "creacion_carrito", F.timestamp_micros("_start").cast("timestamp_ntz")).drop("_start")

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.functions.scan import running_sum
+from vitrina.functions.scan import ordered_parts, running_sum
 
 # Movement kinds and texts written by the triggers.
 OUT, IN = "salida", "entrada"
@@ -44,7 +44,7 @@ def stock_ledger(sale_lines: DataFrame, purchase_lines: DataFrame, inventory: Da
     without a stock row keep their movements with a NULL stock (the trigger's
     UPDATE touches no row, its INSERT still runs)."""
     m = movements(sale_lines, purchase_lines)
-    m = running_sum(m, ["id_producto"], MOVE_ORDER, "_signed", F.to_date("fecha"), "_run")
+    m = running_sum(m, ["id_producto"], MOVE_ORDER, "_signed", "_run")
     inv = inventory.select("id_producto", F.col("stock_actual").alias("_open"))
     j = m.join(inv, "id_producto", "left")
     return j.select("id_producto", "fecha", "tipo", "cantidad", "descripcion", "ref", "linea",
@@ -66,189 +66,117 @@ GUARD_ORDER = ["fecha", "id_venta", "id_detalle", "cantidad"]
 GUARD_COLS = ["id_venta", "id_detalle", "id_producto", "fecha", "cantidad"]
 
 
+GUARD_SCHEMA = ("id_venta long, id_detalle int, id_producto long, fecha timestamp_ntz, cantidad long, "
+                "aceptada boolean")
+
+
 def guard_scan(qty: np.ndarray, left) -> tuple[np.ndarray, object]:
     """Sequential oversell decisions for one product's lines in order, from
-    stock ``left``: a line is accepted iff it fits in what is left. Instead
-    of a step per line, each step searches (numpy, growing windows) for the
-    next line that fits, so the Python work is one step per accepted line.
-    ``left`` None (no stock row) accepts everything."""
+    stock ``left``: a line is accepted iff it fits in what is left (a negative
+    quantity adds). Numpy jumps over stretches: all lines up to the first one
+    that does not fit by the running sum, then on to the next one that does, in
+    growing windows. ``left`` None (no stock row) accepts everything."""
     n = len(qty)
     ok = np.zeros(n, dtype=bool)
     if left is None:
         ok[:] = True
         return ok, None
-    i = 0
+    i, w = 0, 64
     while i < n:
-        w, j = 64, -1
-        while True:  # find the next line (from i) with qty <= left
+        sums = np.cumsum(qty[i:i + w])
+        bad = np.flatnonzero(sums > left)
+        take = int(bad[0]) if len(bad) else len(sums)
+        if take:
+            ok[i:i + take] = True
+            left = left - sums[take - 1]
+            i += take
+            w = 2 * w if take == len(sums) else 64
+        else:
             hit = np.flatnonzero(qty[i:i + w] <= left)
-            if hit.size:
-                j = i + int(hit[0])
-                break
-            if i + w >= n:
-                break
-            i, w = i + w, w * 2
-        if j < 0:
-            break
-        ok[j] = True
-        left -= qty[j]
-        i = j + 1
+            i, w = (i + int(hit[0]), 64) if len(hit) else (i + w, 2 * w)
     return ok, left
 
 
-def _fold_guard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive hash-partitioned by product and sorted by (product, order).
-    State: the current product and its stock left."""
-    cur, left = None, None
+def _guard_stretches(pdf: pd.DataFrame, current):
+    """(from, to, product, stock before) of the products of a sorted batch.
+    ``current`` is (product, stock left) of the stretch before."""
+    prods = pdf["id_producto"].to_numpy()
+    cuts = np.flatnonzero(prods[1:] != prods[:-1]) + 1
+    entry, given = pdf["_entry"].to_numpy(), pdf["_entry"].notna().to_numpy()
+    for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+        if current and current[0] == prods[a]:
+            yield a, b, prods[a], current[1]
+        else:
+            yield a, b, prods[a], int(entry[a]) if given[a] else int(pdf["_open"].iloc[a])
+
+
+def _guard_exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's first product, and the stock its last product leaves."""
+    current = first = part = None
     for pdf in batches:
-        if pdf.empty:
-            continue
-        prods = pdf["id_producto"].to_numpy()
         qty = pdf["cantidad"].to_numpy()
-        start = pdf["_start"].to_numpy()
-        ok = np.zeros(len(pdf), dtype=bool)
-        cuts = np.flatnonzero(prods[1:] != prods[:-1]) + 1
-        bounds = np.concatenate(([0], cuts, [len(pdf)]))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if prods[a] != cur:
-                cur, left = prods[a], start[a]
+        for a, b, product, left in _guard_stretches(pdf, current):
+            part = int(pdf["_part"].iloc[0]) if part is None else part
+            first = product if first is None else first
+            current = product, guard_scan(qty[a:b], left)[1]
+    if current:
+        rows = [] if first == current[0] else [(first, part, None, False)]
+        rows.append((current[0], part, int(current[1]), bool(first == current[0])))
+        out = pd.DataFrame(rows, columns=["id_producto", "_part", "_exit", "_whole"])
+        out["_exit"] = out["_exit"].astype("Int64")
+        yield out
+
+
+def _guard_decisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current = None
+    for pdf in batches:
+        qty, ok = pdf["cantidad"].to_numpy(), np.zeros(len(pdf), dtype=bool)
+        for a, b, product, left in _guard_stretches(pdf, current):
             ok[a:b], left = guard_scan(qty[a:b], left)
+            current = product, left
         out = pdf[GUARD_COLS].copy()
         out["aceptada"] = ok
         yield out
 
 
-HOT_PRODUCT_CANDIDATES = 1_000_000  # products with more lines take the chunked path
-
-
-def oversell_guard(sale_lines: DataFrame, inventory: DataFrame,
-                   hot_candidates: int = HOT_PRODUCT_CANDIDATES) -> DataFrame:
+def oversell_guard(sale_lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """In arrival order per product, a line that needs more than the
-    stock left is rejected; accepted lines reduce the stock. A product
-    without a stock row accepts everything (the check compares with NULL),
-    and so does a line without a quantity.
-
-    Plan, for products whose quantities are all >= 0 (the running demand is
-    then non-decreasing):
-    (1) a parallel running sum of demand (``running_sum``) accepts every line
-        whose running demand fits in the opening stock;
-    (2) one aggregate per product gives s0, the stock left before the first
-        line that does not fit; stock only goes down from there, so every
-        later line larger than s0 is rejected in parallel;
-    (3) the remaining candidates (quantity <= s0) need the sequential rule.
-        For most products they are few and stream through an ordered fold
-        (``mapInPandas`` after a sort within hash partitions, one number of
-        state, a numpy jump per accepted line). A hot product (more than
-        ``hot_candidates`` lines) is split: its stock is then an integer
-        in 0..s0, so ``_bounded_fold`` runs the rule as a parallel prefix over
-        (product, hour) chunks of transition tables.
-    A product with a negative quantity (stock may grow) always takes the
-    ordered fold, starting from its opening stock.
+    stock left is rejected; accepted lines reduce the stock, negative ones add
+    to it. A product without a stock row accepts everything (the check compares
+    with NULL), and so does a line without a quantity.
+
+    One path for all products, whatever their size or stock: the lines are
+    range-partitioned by (product, order), so that a boundary splits at most one
+    product. Every partition replays its lines; a product that begins in it
+    starts from its opening stock. Where a product fills whole partitions, their
+    stock before is first taken from the running demand (exact until the first
+    rejection) and then corrected: each round replays from the stock that the
+    partition before left, until no such stock changes. A round makes at least
+    one more partition of each product final, so there are at most as many
+    rounds as partitions that one product fills; since a product that is sold
+    out forgets how it got there, two or three are usual. Between rounds only
+    one number per partition is carried (a broadcast of at most that many rows).
     """
     lines = sale_lines.select(*GUARD_COLS).withColumn("cantidad", F.col("cantidad").cast("long"))
     inv = inventory.select("id_producto", F.col("stock_actual").cast("long").alias("_open"))
-    x = running_sum(lines, ["id_producto"], GUARD_ORDER, "cantidad", F.to_date("fecha"), "_cum")
-    x = x.join(inv, "id_producto", "left")
-    per = x.groupBy("id_producto").agg(
-        (F.min("cantidad") < 0).alias("_neg"),
-        F.max(F.when(F.col("_cum") <= F.col("_open"), F.col("_cum"))).alias("_pref"))
-    # products with more lines than the threshold may have a long tail: they
-    # take the chunked path (exact for any product without negative
-    # quantities). A one-column count decides whether that path is planned.
-    hot_ids = (lines.groupBy("id_producto").agg(F.count(F.lit(1)).alias("_c"))
-               .filter(F.col("_c") > hot_candidates).select("id_producto"))
-    any_hot = not hot_ids.isEmpty()
-    if any_hot:
-        per = per.join(hot_ids.withColumn("_hot_id", F.lit(True)), "id_producto", "left")
-    else:
-        per = per.withColumn("_hot_id", F.lit(False))
-    y = x.join(per, "id_producto", "left")
-    s0 = F.col("_open") - F.coalesce("_pref", F.lit(0))
-    decision = (F.when(F.col("_open").isNull() | F.col("cantidad").isNull(), F.lit(True))
-                .when(F.coalesce("_neg", F.lit(False)), F.lit(None))
-                .when(F.col("_cum") <= F.col("_open"), F.lit(True))
-                .when(F.col("cantidad") > s0, F.lit(False))
-                .otherwise(F.lit(None)).cast("boolean"))
-    start = F.when(F.coalesce("_neg", F.lit(False)), F.col("_open")).otherwise(s0)
-    neg = F.coalesce("_neg", F.lit(False))
-    y = y.select(*GUARD_COLS, decision.alias("aceptada"), start.alias("_start"),
-                 (~neg & F.coalesce("_hot_id", F.lit(False))).alias("_hot"))
-    direct = y.filter(F.col("aceptada").isNotNull()).select(*GUARD_COLS, "aceptada")
-    cand = y.filter(F.col("aceptada").isNull()).drop("aceptada")
-    n = int(sale_lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # hot products (many undecided lines, stock bounded by s0) are cut into
-    # hour chunks; the rest, and products with a negative quantity (stock may
-    # grow), stream through the ordered fold
-    # hot products (a long tail past the first line that does not fit; the
-    # stock is then bounded by s0) are cut into hour chunks; the rest, and
-    # products with a negative quantity (stock may grow), stream through the
-    # ordered fold
-    # The fold needs every row of a product in one partition, in order. The
-    # shuffle is keyed by xxhash64(product) so the planner cannot take the
-    # child's partitioning by product as already satisfying it: that one may
-    # be read locally after AQE turns a join into a broadcast, which would
-    # split a product. A user repartition is never rewritten that way.
-    folded = (cand.filter(~F.col("_hot")).drop("_hot")
-              .repartition(n, F.xxhash64("id_producto"))
-              .sortWithinPartitions("id_producto", *GUARD_ORDER)
-              .mapInPandas(_fold_guard, GUARD_SCHEMA))
-    out = direct.unionByName(folded)
-    if any_hot:
-        out = out.unionByName(_bounded_fold(cand.filter("_hot").drop("_hot")))
-    return out
-
-
-GUARD_SCHEMA = ("id_venta long, id_detalle int, id_producto long, fecha timestamp_ntz, cantidad long, "
-                "aceptada boolean")
-
-
-def _chunk_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One (product, hour) chunk: the stock after the chunk for every
-    stock 0..s0 it may start with."""
-    pdf = pdf.sort_values(GUARD_ORDER, kind="stable")
-    qty = pdf["cantidad"].to_numpy()
-    top = int(pdf["_start"].iloc[0])
-    table = [int(guard_scan(qty, s)[1]) for s in range(top + 1)]
-    return pd.DataFrame({"id_producto": [pdf["id_producto"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
-                         "_table": [table]})
-
-
-def _chunk_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One product: compose the chunk tables in order from s0 and return the
-    stock each chunk starts with (one row per hour with candidates)."""
-    pdf = pdf.sort_values("_chunk", kind="stable")
-    state = int(pdf["_start"].iloc[0])
-    entries = []
-    for table in pdf["_table"]:
-        entries.append(state)
-        state = int(table[state])
-    return pd.DataFrame({"id_producto": pdf["id_producto"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
-                         "_entry": entries})
-
-
-def _chunk_decisions(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(GUARD_ORDER, kind="stable")
-    ok, _ = guard_scan(pdf["cantidad"].to_numpy(), int(pdf["_entry"].iloc[0]))
-    out = pdf[GUARD_COLS].copy()
-    out["aceptada"] = ok
-    return out
-
-
-def _bounded_fold(cand: DataFrame) -> DataFrame:
-    """The fold for products whose stock left, s0, is below one line's
-    quantity (every product without negative quantities): the state is an
-    integer in 0..s0, so each line is a transition on that small set and
-    transitions compose. Candidate lines are cut into (product, hour) chunks;
-    each chunk's transition table is computed in parallel, a scan per product
-    over its tables (one row per hour, a calendar-sized group) gives every
-    chunk its starting stock, and each chunk is re-run from it. A hot
-    product is spread over all its hours; the result equals the sequential
-    fold exactly."""
-    c = cand.withColumn("_chunk", F.floor(F.unix_micros(F.col("fecha").cast("timestamp")) / (3600 * 1_000_000)))
-    tables = c.groupBy("id_producto", "_chunk").applyInPandas(
-        _chunk_tables, "id_producto long, _chunk long, _table array<long>")
-    starts = c.groupBy("id_producto").agg(F.first("_start").alias("_start"))
-    entries = tables.join(starts, "id_producto").groupBy("id_producto").applyInPandas(
-        _chunk_entries, "id_producto long, _chunk long, _entry long")
-    return c.join(entries, ["id_producto", "_chunk"]).groupBy("id_producto", "_chunk").applyInPandas(
-        _chunk_decisions, GUARD_SCHEMA)
+    x = lines.join(inv, "id_producto", "left")
+    free = x.filter("_open is null or cantidad is null").select(*GUARD_COLS, F.lit(True).alias("aceptada"))
+    parts = ordered_parts(x.filter("_open is not null and cantidad is not null"), ["id_producto"], GUARD_ORDER)
+    by_part = Window.partitionBy("id_producto").orderBy("_part")
+    demand = parts.groupBy("id_producto", "_part").agg(F.sum("cantidad").alias("_sum"), F.first("_open").alias("_o"))
+    before = demand.withColumn("_before", F.sum("_sum").over(by_part.rowsBetween(Window.unboundedPreceding, -1))).filter("_before is not null")
+    guess = F.greatest(F.lit(0), F.col("_o") - F.col("_before")).cast("long")
+    entries = before.select("id_producto", "_part", guess.alias("_entry")).checkpoint(eager=True)
+
+    def with_entries(e: DataFrame) -> DataFrame:
+        return parts.join(F.broadcast(e), ["id_producto", "_part"], "left")  # at most a row a partition
+
+    while True:
+        exits = with_entries(entries).mapInPandas(_guard_exits, "id_producto long, _part int, _exit long, _whole boolean")
+        now = exits.withColumn("_entry", F.lag("_exit").over(by_part)).filter("_entry is not null").checkpoint(eager=True)
+        was = entries.select("id_producto", "_part", F.col("_entry").alias("_was"))
+        changed = now.filter("_whole").join(was, ["id_producto", "_part"]).filter("_entry <> _was")
+        entries = now.select("id_producto", "_part", "_entry")
+        if changed.isEmpty():
+            break
+    return with_entries(entries).mapInPandas(_guard_decisions, GUARD_SCHEMA).unionByName(free)
