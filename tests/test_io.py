@@ -129,3 +129,21 @@ def test_bad_payloads_give_no_row_and_no_error(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*bad, good])], "id_carrito long, payload string")
     rows = files.parse_cart_payload(df).collect()
     assert [(r.id_carrito, r.pos, r.id, r.quantity, r.price, r.details) for r in rows] == [(len(bad), 1, 3, 2, 4.5, '{"color":"azul"}')]
+
+
+def test_constraints_of_a_table_share_one_pass(spark):
+    from plan_text import final_plan
+    from vitrina.operators import checks
+    rules = [("t", "unique", "k", None, None), ("t", "unique", ("a", "b"), None, None), ("t", "foreign", "r", "ref", "id"),
+             ("t", "foreign", "k", "ref", "id"), ("t", "foreign", "a", "names", "name"), ("t", "not_null", "a", None, None)]
+    rows = [(1, "x|y", "z", 7), (1, "x", "y|z", 7), (None, None, "z", 9), (None, "x", "y|z", None), (2, "", "", 8), (3, None, None, 8)]
+    ctx = {"t": spark.createDataFrame(rows, "k long, a string, b string, r int"),
+           "ref": spark.createDataFrame([(7,), (1,), (2,), (None,)], "id long"),
+           "names": spark.createDataFrame([("x",), ("",)], "name string")}
+    found = checks.constraint_violations(ctx, rules)
+    got = {(r.regla, r.columna, r.clave, r.filas) for r in found.collect()}
+    assert got == {("unique", "k", "1", 2), ("unique", "a,b", "x|y|z", 2), ("foreign", "r", "8", 2), ("foreign", "r", "9", 1),
+                   ("foreign", "k", "3", 1), ("foreign", "a", "x|y", 1), ("not_null", "a", None, 2)}
+    plan = final_plan(checks.constraint_violations(ctx, [r for r in rules if r[1] == "unique"]))
+    assert plan.count("Generate explode") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert checks.constraint_violations({k: v.limit(0) for k, v in ctx.items()}, rules).count() == 0

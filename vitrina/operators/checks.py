@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def schema_evolve(df: DataFrame, added: list[tuple[str, str, object]]) -> DataFrame:
@@ -59,37 +60,65 @@ RULES = [
 ]
 
 
+def _key_columns(t: DataFrame, cols: list[str], shape: list[tuple[int, bool]]) -> list[Column]:
+    """Key columns of one shape for the keys of all rules: place and kind (whole
+    number or text) of each; a key leaves those it has no use for at 0 or ''."""
+    out = []
+    for at, whole in shape:
+        mine = at < len(cols) and whole == isinstance(t.schema[cols[at]].dataType, IntegralType)
+        kind, empty = ("long", 0) if whole else ("string", "")
+        out.append((F.col(cols[at]) if mine else F.lit(empty)).cast(kind).alias(f"{'n' if whole else 's'}{at}"))
+    return out
+
+
+def _table_violations(ctx, table: str, rules: list[tuple]) -> DataFrame:
+    """All rules of one table from one scan and one aggregate: every row is
+    expanded to one (rule, key) per rule it can break, and the distinct foreign
+    keys of all rules are probed together."""
+    t = ctx[table]
+    keyed = [(n, kind, [col] if isinstance(col, str) else list(col), ref, ref_col) for n, (_, kind, col, ref, ref_col) in enumerate(rules)]
+    kinds_at = {(at, isinstance(t.schema[c].dataType, IntegralType)) for _, kind, cols, _, _ in keyed if kind != "not_null" for at, c in enumerate(cols)}
+    shape = sorted(kinds_at)
+    keys = [f"{'n' if whole else 's'}{at}" for at, whole in shape]
+    entries = []
+    for n, kind, cols, _, _ in keyed:
+        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+        if kind == "not_null":
+            entries.append(F.when(null, F.struct(F.lit(n).alias("rule"), *_key_columns(t, [], shape))))
+        else:
+            entries.append(F.when(~null, F.struct(F.lit(n).alias("rule"), *_key_columns(t, cols, shape))))
+    rows = t.select(F.explode(F.array_compact(F.array(*entries))).alias("x")).select("x.*")
+    counts = rows.groupBy("rule", *keys).agg(F.count(F.lit(1)).alias("filas"))
+    foreign = [n for n, kind, *_ in keyed if kind == "foreign"]
+    unique = [n for n, kind, *_ in keyed if kind == "unique"]
+    bad = counts.filter(~F.col("rule").isin(foreign) & (~F.col("rule").isin(unique) | (F.col("filas") > 1)))
+    if foreign:
+        known = [ctx[ref].filter(F.col(ref_col).isNotNull()).select(F.lit(n).alias("rule"), *_key_columns(ctx[ref], [ref_col], shape))
+                 for n, kind, _, ref, ref_col in keyed if kind == "foreign"]
+        bad = bad.unionByName(counts.filter(F.col("rule").isin(foreign)).join(reduce(DataFrame.unionByName, known), ["rule", *keys], "left_anti"))
+    parts = []
+    for at, whole in shape:
+        mine = [n for n, kind, cols, _, _ in keyed if kind != "not_null" and at < len(cols) and whole == isinstance(t.schema[cols[at]].dataType, IntegralType)]
+        parts.append(F.when(F.col("rule").isin(mine), F.col(f"{'n' if whole else 's'}{at}").cast("string")))
+
+    def of_rule(values: list[str]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.col("rule"))
+
+    kinds = of_rule([kind for _, kind, *_ in keyed])
+    return bad.select(F.lit(table).alias("tabla"), kinds.alias("regla"), of_rule([",".join(cols) for _, _, cols, _, _ in keyed]).alias("columna"),
+                      F.when(kinds != "not_null", F.concat_ws("|", *parts)).alias("clave"), "filas")
+
+
 def constraint_violations(ctx, rules=RULES) -> DataFrame:
     """One row per violation (tabla, regla, columna, clave, filas).
 
     UNIQUE: one row per duplicated key without NULLs (NULLs never collide, as
     in SQLite) with its count, a composite key (a tuple of columns) joined by
     '|'; FOREIGN KEY: one row per non-NULL value without a referenced row, with
-    the number of rows using it; NOT NULL: one row with the number of NULL rows,
-    all columns of a table in one pass. Every check is an aggregate or an anti
-    join, so the output is small even when the tables are not."""
-    parts, required = [], {}
-    for table, kind, col, ref, ref_col in rules:
-        t = ctx[table]
-        if kind == "not_null":
-            required.setdefault(table, []).append(col)
-            continue
-        cols = [col] if isinstance(col, str) else list(col)
-        counts = t.select(*cols).dropna().groupBy(*cols).agg(F.count(F.lit(1)).alias("filas"))
-        if kind == "unique":
-            v = counts.filter(F.col("filas") > 1)
-        else:
-            v = counts.join(ctx[ref].select(F.col(ref_col).alias(col)), col, "left_anti")
-        parts.append(v.select(F.lit(table).alias("tabla"), F.lit(kind).alias("regla"), F.lit(",".join(cols)).alias("columna"),
-                              F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("clave"),
-                              F.col("filas").cast("long").alias("filas")))
-    for table, cols in required.items():
-        counts = ctx[table].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
-        each = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).alias("filas")) for c in cols])).alias("x"))
-        parts.append(each.filter("x.filas > 0").select(
-            F.lit(table).alias("tabla"), F.lit("not_null").alias("regla"), "x.columna",
-            F.lit(None).cast("string").alias("clave"), "x.filas"))
-    return reduce(DataFrame.unionByName, parts)
+    the number of rows using it; NOT NULL: one row with the number of NULL rows.
+    One scan and one aggregate per table for all its rules, combined map-side."""
+    tables = dict.fromkeys(r[0] for r in rules)
+    return reduce(DataFrame.unionByName, [_table_violations(ctx, table, [r for r in rules if r[0] == table]) for table in tables])
 
 
 def constraint_violations_sql(rules=RULES) -> str:
