@@ -258,3 +258,36 @@ def test_new_ids_need_one_shuffle(spark):
     got = dense_ids(rows, ["k"], 10, "n")
     assert all(r.n == r.k + 11 for r in got.collect())
     assert rows.sparkSession.range(0).count() == 0 and dense_ids(rows.filter("k < 0"), ["k"], 1, "n").count() == 0
+
+
+def test_stored_carts_are_replaced_by_folder(spark, tmp_path):
+    """Only the folders of the given carts change; the rest keep their files."""
+    import os
+    from vitrina.operators import changes as ch
+    schema = "id_carrito long, id_detalle long, id_producto long, cantidad int"
+    path = str(tmp_path / "carts")
+    old = [(c, 10 * c + k, k, 1) for c in range(20) for k in range(3)]
+    ch.write_carts(spark.createDataFrame(old, schema), path, parts=8)
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+    before = files()
+    ch.replace_stored_carts(path, spark.createDataFrame([(3, 900, 7, 2), (99, 901, 8, 1)], schema), parts=8)
+    got = {tuple(r) for r in spark.read.parquet(path).select("id_carrito", "id_detalle", "id_producto", "cantidad").collect()}
+    assert got == {r for r in old if r[0] != 3} | {(3, 900, 7, 2), (99, 901, 8, 1)}
+    after = files()
+    same = [f for f in before if after.get(f) == before[f]]
+    changed_folders = {os.path.dirname(f) for f in after if f not in before}
+    assert same and len(changed_folders) <= 2
+
+
+def test_checkout_forms_by_shipment_type(spark):
+    from vitrina.operators import catalog
+    rows = [(1, None, None, None, None, None), (2, "", "x", "x", "x", "x"), (3, "retiro", None, None, None, None),
+            (4, "destino", "MRW", " A1 ", "c", "e"), (5, "agencia", "", "a", "c", "e"), (6, "destino", "MRW", "  ", "c", "e"),
+            (7, "agencia", "MRW", "a", None, "e"), (8, "destino", "MRW", "a", "c", " ")]
+    forms = spark.createDataFrame(rows, "id long, tipo_envio string, empresa_envio string, codigo_agencia string, ciudad string, estado string")
+    got = {r.id: r.reason for r in catalog.checkout_form_check(forms).collect()}
+    assert got == {1: "falta tipo_envio", 2: "falta tipo_envio", 3: None, 4: None, 5: "falta empresa_envio", 6: "falta codigo_agencia",
+                   7: "falta ciudad", 8: "falta estado"}

@@ -177,6 +177,53 @@ def product_form_check(ctx) -> DataFrame:
         .select("id_producto", "reason", "valido")
 
 
+# Shipment types that need an agency and an address.
+ADDRESSED_TYPES = ("destino", "agencia")
+AGENCY_FIELDS = ("empresa_envio", "codigo_agencia", "ciudad", "estado")
+
+
+def checkout_form_check(forms: DataFrame) -> DataFrame:
+    """O18 for checkout forms, whose required fields depend on the shipment type:
+    a type must be chosen, and home or agency delivery needs the company, the
+    agency code, the city and the state. All but the company are trimmed first,
+    so blanks do not count there. ``reason`` names the first missing field."""
+    needs = F.col("tipo_envio").isin(*ADDRESSED_TYPES)
+    empty = F.lit(None).cast("string")
+    for name in reversed(AGENCY_FIELDS):
+        given = F.coalesce(F.col(name) if name == "empresa_envio" else F.trim(F.col(name)), F.lit(""))
+        empty = F.when(given == "", F.lit(f"falta {name}")).otherwise(empty)
+    chosen = F.coalesce("tipo_envio", F.lit("")) != ""
+    reason = F.when(~chosen, F.lit("falta tipo_envio")).when(needs, empty)
+    return forms.withColumn("reason", reason).withColumn("valido", F.col("reason").isNull())
+
+
+def client_form_check(forms: DataFrame) -> DataFrame:
+    """O18 for the client forms of the panel: name and e-mail are required."""
+    return valid_and_rejected(forms, ["nombre", "correo"])
+
+
+def signup_form_check(forms: DataFrame) -> DataFrame:
+    """O18 for sign-ups: name, e-mail and password are required. Names and
+    e-mails already taken are ``registration_conflicts``."""
+    return valid_and_rejected(forms, ["nombre", "correo", "clave"])
+
+
+def forms_from_customers(ctx) -> DataFrame:
+    """Every client as a filled form, with gaps that follow from the id."""
+    k = F.col("id_cliente")
+
+    def gap(every: int, value: Column, empty: str | None) -> Column:
+        return F.when(k % every == 0, F.lit(empty)).otherwise(value)
+
+    text = k.cast("string")
+    return ctx["clientes"].select(
+        k.alias("id_formulario"), gap(11, F.col("nombre"), None).alias("nombre"), gap(7, F.col("correo"), "").alias("correo"),
+        gap(5, F.concat(F.lit("clave"), text), "").alias("clave"),
+        F.element_at(F.array(*map(F.lit, ["destino", "agencia", "retiro", ""])), (k % 4 + 1).cast("int")).alias("tipo_envio"),
+        gap(9, F.lit("MRW"), None).alias("empresa_envio"), gap(13, F.concat(F.lit("A"), text), "  ").alias("codigo_agencia"),
+        gap(6, F.lit("Caracas"), "").alias("ciudad"), gap(10, F.lit("Miranda"), None).alias("estado"))
+
+
 def registration_conflicts(incoming: DataFrame, users: DataFrame) -> DataFrame:
     """Sign-ups whose name OR e-mail is already taken.
 

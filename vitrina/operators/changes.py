@@ -65,6 +65,34 @@ def replace_carts(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(carts, "id_carrito", "left_anti").unionByName(new.select(*old.columns))
 
 
+CART_PARTS = 256  # folders of a stored cart table
+
+
+def write_carts(lines: DataFrame, path: str, parts: int = CART_PARTS) -> None:
+    """Store cart lines in folders by cart (``_parte`` = hash of the cart)."""
+    lines.withColumn("_parte", F.pmod(F.xxhash64("id_carrito"), F.lit(parts)).cast("int")) \
+        .repartition("_parte").write.mode("overwrite").partitionBy("_parte").parquet(path)
+
+
+def replace_stored_carts(path: str, new: DataFrame, parts: int = CART_PARTS) -> None:
+    """O59 on disk: of the table that ``write_carts`` stored (with the same
+    ``parts``), only the folders that hold a cart of ``new`` are read and
+    overwritten. Their new content is checkpointed first, since a job must not
+    overwrite what it reads; a cart emptied by the caller keeps no line if it is in
+    ``new`` with a NULL product and no quantity (such rows name a cart only)."""
+    spark = new.sparkSession
+    ensure_checkpoint_dir(spark)
+    part = F.pmod(F.xxhash64("id_carrito"), F.lit(parts)).cast("int")
+    new = new.withColumn("_parte", part)
+    touched = new.select("_parte").distinct()
+    old = spark.read.parquet(path)
+    old = old.join(F.broadcast(touched), "_parte", "left_semi")  # at most ``parts`` numbers; prunes the scan
+    lines = new.filter(F.col("id_producto").isNotNull() | F.col("cantidad").isNotNull())
+    kept = old.join(new.select("id_carrito").distinct(), "id_carrito", "left_anti")
+    rows = kept.unionByName(lines.select(*kept.columns)).checkpoint(eager=True)
+    rows.repartition("_parte").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_parte").parquet(path)
+
+
 def adjust_cart_quantities(cart: DataFrame, deltas: DataFrame, removals: DataFrame | None = None) -> DataFrame:
     """Quantity + summed delta per (cart, product), at least 1; lines
     without a delta stay as they are, lines of (cart, product) pairs in

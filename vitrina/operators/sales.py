@@ -287,15 +287,25 @@ def receipt_totals(ctx, vat: Column | None = None) -> DataFrame:
     )
 
 
-def receipt_vs_order(ctx, vat: Column | None = None) -> DataFrame:
+def receipt_vs_order(ctx, vat: Column | None = None, orders: DataFrame | None = None) -> DataFrame:
     """Orders whose stored total (no shipping) differs from the receipt
-    subtotal + VAT by at least one cent."""
+    subtotal + VAT by at least one cent. ``orders`` (id_pedido, total) stands in
+    for the order table if given."""
     r = _receipt(ctx, vat).select(
         "id_pedido", F.round(F.col("subtotal") + F.col("iva_monto"), 2).alias("recalculado"))
-    p = ctx["pedidos"].select("id_pedido", F.col("total").alias("guardado"))
+    p = (ctx["pedidos"] if orders is None else orders).select("id_pedido", F.col("total").alias("guardado"))
     j = p.join(r, "id_pedido", "inner")
     diff = F.col("guardado") - F.col("recalculado")
     return (j.filter(F.abs(diff) >= F.lit("0.01").cast(DEC))
             .select("id_pedido", to_money("guardado").alias("guardado"),
                     to_money("recalculado").alias("recalculado"),
                     to_money(diff).alias("diferencia")))
+
+
+def orders_with_receipt_totals(ctx, vat: Column | None = None) -> DataFrame:
+    """(id_pedido, total) where two orders in three store what their receipt
+    says, every sixth one cent more, and the rest their own total."""
+    r = _receipt(ctx, vat).select("id_pedido", F.round(F.col("subtotal") + F.col("iva_monto"), 2).alias("_receipt"))
+    cent = F.when(F.col("id_pedido") % 6 == 0, F.lit("0.01")).otherwise(F.lit("0.00")).cast(DEC)
+    p = ctx["pedidos"].select("id_pedido", "total").join(r, "id_pedido", "left")
+    return p.select("id_pedido", F.when(F.col("id_pedido") % 3 == 1, F.col("total")).otherwise(F.col("_receipt") + cent).cast(DEC).alias("total"))

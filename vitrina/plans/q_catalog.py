@@ -107,6 +107,34 @@ select id_producto,
 from productos
 """)(catalog.product_form_check)
 
+_FORMS = """
+select id_cliente id_formulario, case when id_cliente % 11 <> 0 then nombre end nombre,
+  case when id_cliente % 7 = 0 then '' else correo end correo,
+  case when id_cliente % 5 = 0 then '' else 'clave' || id_cliente end clave,
+  ['destino', 'agencia', 'retiro', ''][id_cliente % 4 + 1] tipo_envio,
+  case when id_cliente % 9 <> 0 then 'MRW' end empresa_envio,
+  case when id_cliente % 13 = 0 then '  ' else 'A' || id_cliente end codigo_agencia,
+  case when id_cliente % 6 = 0 then '' else 'Caracas' end ciudad,
+  case when id_cliente % 10 <> 0 then 'Miranda' end estado
+from clientes"""
+_CHECKED = "select id_formulario, reason, reason is null valido from (select id_formulario, {reason} reason from (" + _FORMS + ") f) t"
+_FORM_COLS = ["id_formulario", "reason", "valido"]
+
+register("checkout_form_check", "O18", _CHECKED.format(reason="""case
+  when tipo_envio = '' then 'falta tipo_envio' when tipo_envio = 'retiro' then null
+  when empresa_envio is null then 'falta empresa_envio' when trim(codigo_agencia) = '' then 'falta codigo_agencia'
+  when ciudad = '' then 'falta ciudad' when estado is null then 'falta estado' end"""))(
+    lambda ctx: catalog.checkout_form_check(catalog.forms_from_customers(ctx)).select(*_FORM_COLS))
+
+register("client_form_check", "O18", _CHECKED.format(reason="""case
+  when nombre is null or nombre = '' then 'falta nombre' when correo is null or correo = '' then 'falta correo' end"""))(
+    lambda ctx: catalog.client_form_check(catalog.forms_from_customers(ctx)).select(*_FORM_COLS))
+
+register("signup_form_check", "O18", _CHECKED.format(reason="""case
+  when nombre is null or nombre = '' then 'falta nombre' when correo is null or correo = '' then 'falta correo'
+  when clave = '' then 'falta clave' end"""))(
+    lambda ctx: catalog.signup_form_check(catalog.forms_from_customers(ctx)).select(*_FORM_COLS))
+
 register("registration_conflicts", "O19", """
 with signups as (select id_cliente id_alta, nombre, correo from clientes)
 select id_alta, nombre, correo, string_agg(motivo, ',' order by motivo) motivos from (

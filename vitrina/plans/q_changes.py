@@ -299,6 +299,11 @@ select i.id_producto, i.stock_actual stock_antes, cast(u.descontado as bigint) d
 from inventario i join used u on u.id_producto = i.id_producto
 """)(_counter("stock"))
 
+register("physical_sales_rejected", "O71", f"""
+with recursive {_COUNTER}
+select distinct id_carrito from carrito_pago where id_carrito not in (select id_carrito from good)
+""")(_counter("rejected"))
+
 register("missing_shipments", "O64", f"""
 select p.id_pedido, '' direccion_envio, 'Pendiente' empresa_envio, '' numero_guia, 'Pendiente' estado_envio,
   timestamp '{AS_OF}' fecha_envio, '' metodo_pago, '' referencia_pago, 'destino' tipo_envio
@@ -396,6 +401,10 @@ register("delete_products_stock", "O69", """
 select * from inventario where id_producto not in (select id_producto from productos where activo = 0)
 """)(lambda ctx: ch.delete_products(ctx, ctx["productos"].filter("activo = 0"))[2])
 
+register("delete_products_images", "O69", """
+select * from imagenes_productos where id_producto not in (select id_producto from productos where activo = 0)
+""")(lambda ctx: ch.delete_products(ctx, ctx["productos"].filter("activo = 0"))[1])
+
 register("soft_delete_clients", "O80", """
 select c.id_cliente, c.nombre, c.telefono, c.correo, c.direccion, c.origen,
   case when not exists (select 1 from ventas v where v.id_cliente = c.id_cliente) then 0 else c.activo end activo

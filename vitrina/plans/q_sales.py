@@ -114,6 +114,18 @@ from pedidos p join r on r.id_pedido = p.id_pedido
 where abs(p.total - round(r.subtotal + r.iva_monto, 2)) >= 0.01
 """)(sales.receipt_vs_order)
 
+register("receipt_vs_order_mixed", "O41", _RECEIPT + """
+, p as (
+  select o.id_pedido, cast(case when o.id_pedido % 3 = 1 then o.total
+    else round(r.subtotal + r.iva_monto, 2) + case when o.id_pedido % 6 = 0 then 0.01 else 0 end end as decimal(18,2)) total
+  from pedidos o left join r on r.id_pedido = o.id_pedido)
+select p.id_pedido, cast(p.total as double) guardado,
+  cast(round(r.subtotal + r.iva_monto, 2) as double) recalculado,
+  cast(p.total - cast(round(r.subtotal + r.iva_monto, 2) as decimal(18,2)) as double) diferencia
+from p join r on r.id_pedido = p.id_pedido
+where abs(p.total - cast(round(r.subtotal + r.iva_monto, 2) as decimal(18,2))) >= 0.01
+""")(lambda ctx: sales.receipt_vs_order(ctx, orders=sales.orders_with_receipt_totals(ctx)))
+
 register("profit_series", "O42", """
 select mes, cast(ingresos as double) ingresos, cast(round(ingresos * 0.4, 2) as double) gastos
 from (select strftime(fecha, '%m') mes, coalesce(sum(total), 0) ingresos from ventas group by mes) t
