@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,9 +136,13 @@ def group_links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarr
     return group, key, times
 
 
-def id_type(size: int) -> str:
-    """How ids of a vocabulary of this size are stored: two or four bytes."""
-    return "<u2" if size <= 2**16 else "<u4"
+def stored_ids(ids: np.ndarray, size: int) -> bytes:
+    """Ids of a vocabulary of this size, two or four bytes each, compressed."""
+    return zstandard.compress(ids.astype("<u2" if size <= 2**16 else "<u4").tobytes(), 3)
+
+
+def read_ids(stored: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(stored), "<u2" if size <= 2**16 else "<u4").astype(np.int64)
 
 
 class Block:
@@ -193,7 +198,7 @@ def _aligned(path_a: str, path_b: str, out: pa.Schema):
                 kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, size_b).pairs()
                 bits = [[np.packbits(c).tobytes() for c in np.split(cut, np.cumsum([len(x) for x in ids])[:-1])] for cut, ids in ((cut_a, ids_a), (cut_b, ids_b))]
                 rest = [None] * (hi - lo - 1)
-                ids = [[x.astype(id_type(size)).tobytes() for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
+                ids = [[stored_ids(x, size) for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
                 columns = [[number] * (hi - lo), *ids, *bits,
                            [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<u4").tobytes(), *rest]]
                 arrays = [batch.column("id").slice(lo, hi - lo), *(pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns))]
@@ -263,7 +268,7 @@ def group_texts(ids_a: list[np.ndarray], ids_b: list[np.ndarray], cuts_a: list[n
 
 def _scored(size_a: int, size_b: int, out: pa.Schema):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        ids_a, ids_b = ([np.frombuffer(x, id_type(n)).astype(np.int64) for x in docs.column(c).to_pylist()] for c, n in (("a", size_a), ("b", size_b)))
+        ids_a, ids_b = ([read_ids(x, n) for x in docs.column(c).to_pylist()] for c, n in (("a", size_a), ("b", size_b)))
         cuts = [[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(x)).astype(bool) for bits, x in zip(docs.column(c).to_pylist(), ids)] for c, ids in (("a_cut", ids_a), ("b_cut", ids_b))]
         block = Block(ids_a, ids_b, *(np.concatenate([*c, np.zeros(0, bool)]) for c in cuts), size_b)
         key, signed = (counts.column(c).to_numpy() for c in ("pair", "signed"))  # negative: the best of its A id
