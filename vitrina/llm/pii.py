@@ -10,6 +10,7 @@ which decides about the candidates the base patterns do not cover.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -24,12 +25,12 @@ KINDS = ("email", "ip", "card", "phone", "iban", "key", "name", "ssn")  # the fi
 BASE = 4
 # The base patterns, as given.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # holds the matches of the ip pattern: each four parts in a row
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Wider patterns, cue words and gazetteers.
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r" ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"),  # after the local part
     "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![\w:])"),
     "card": re.compile(r"(?<!\w)[0-9]{13,15}(?!\w)"),
     "phone": re.compile(r"(?<![\w+.])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w])"),
@@ -76,7 +77,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             if start < m.start():
                 out.append((0, start, m.end()))
                 end = m.end()
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+    if text.count(".") > 2:
+        for m in DOTTED.finditer(text):
+            if m.end() - m.start() > 6:
+                out += dotted_quads(m.group(), m.start())
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start() and 16 <= len(d := digits_of(m.group())) <= 19 and luhn(d):
             out.append((2, m.start(), m.end()))
@@ -85,6 +89,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def dotted_quads(run: str, at: int) -> list[tuple[int, int, int]]:
+    """Every four parts in a row of a dotted run of numbers, if none is above 255."""
+    out, parts = [], run.split(".")
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        size = sum(map(len, four)) + 3
+        if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in four):
+            out.append((1, at, at + size))
+        at += size + 1
+    return out
+
+
 def email_run(text: str, at: int, lo: int) -> int:
     """Where the run of local-part characters that ends at ``at`` begins."""
     while at > lo and (text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] in "._%+-")):
@@ -130,12 +146,22 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int, bool]]:
     """(kind, start, end, votes, cell, is base) by kind and start. A wider match
     that overlaps a span already taken is no candidate."""
     spans = [(k, s, e, True) for k, s, e in base_spans(text)]
-    taken = [(s, e) for _, s, e, _ in spans]
     for name, pattern in WIDE.items():
+        starts, reach = [], []  # spans taken so far by start, and the furthest end up to each
+        for s, e in sorted((s, e) for _, s, e, _ in spans):
+            starts.append(s)
+            reach.append(max(e, reach[-1]) if reach else e)
+        end = 0
         for m in pattern.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e in taken):
-                spans.append((KINDS.index(name), m.start(), m.end(), False))
-                taken.append((m.start(), m.end()))
+            start = m.start()
+            if name == "email":
+                start = email_run(text, m.start(), end)
+                if start == m.start():
+                    continue
+            end = m.end()
+            before = bisect.bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
+                spans.append((KINDS.index(name), start, end, False))
     return [(k, s, e, *votes_and_features(text, k, s, e, b), b) for k, s, e, b in sorted(spans)]
 
 

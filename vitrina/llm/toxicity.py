@@ -35,7 +35,7 @@ LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 VOWELS = "aeiou"  # what a "*" mostly stands for
 QUOTES = "\"“”„«»"
 
-MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4000, 12000, 4000
+MAX_TOXIC, MAX_CLEAN = 4000, 12000
 CACHE = 200_000
 FEATURES = ("plain", "types", "quoted", "misspelt", "misspelt_quoted", "directed", "density", "length")
 WORD_PRECISION, STEM_PRECISION = 0.85, 0.6  # least toxic share of the texts that hold a term
@@ -222,7 +222,7 @@ def surprise(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column
 
 
 def choose_terms(words: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
-    """Words and stems that speak for toxicity, at most MAX_TERMS.
+    """Words and stems that speak for toxicity (the sample's bound is theirs).
 
     A stem is the beginning of at least three toxic words, none of them with
     more than 70 % of its occurrences; the shortest one that is as precise as
@@ -233,7 +233,7 @@ def choose_terms(words: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str
     least = max(4, round(0.002 * n_toxic))
     keep = lambda df, share: (df.where((F.col("toxic") >= least) & (F.col("toxic") >= share * (F.col("toxic") + F.col("clean"))))
                        .withColumn("g", surprise(F.col("toxic"), F.col("clean"), n_toxic, n_clean)).where("g > 28")
-                       .orderBy(F.desc("g"), "term").limit(MAX_TERMS))
+                       .orderBy(F.desc("g"), "term"))
     whole = keep(words.where(F.length("word") >= 3).withColumnRenamed("word", "term"), WORD_PRECISION).collect()
     stems = (words.where(F.length("word") >= 4).select("*", F.explode(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(8)))).alias("n"))
              .groupBy(F.expr("left(word, n)").alias("term"))
@@ -252,7 +252,7 @@ def _feature_rows(terms: list[tuple[str, bool]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = LexiconAutomaton(terms, any_start=True)
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"], "x": [features(t, automaton) or [0.0] * len(FEATURES) for t in frame["t"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [features(t, automaton) or [0.0] * len(FEATURES) for t in frame["t"]]})
 
     return run
 
@@ -287,15 +287,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = y.where("y = 1").orderBy(*order).limit(max_toxic).union(y.where("y = 0").orderBy(*order).limit(max_clean))
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
             .join(F.broadcast(sample), "doc_id").mapInPandas(_sketched, "doc_id long, t string, y int, sketch long"))
-    rows = written(rows, "toxic_sample").dropDuplicates(["sketch", "y"]).select("t", "y")
-    rows = written(rows, "toxic_training")
+    # of near copies the smallest id stays, however the rows lie
+    rows = written(rows, "toxic_sample").groupBy("sketch", "y").agg(F.min_by(F.struct("doc_id", "t"), F.struct("doc_id", "t")).alias("row"))
+    rows = written(rows.select("row.doc_id", "row.t", "y"), "toxic_training")
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = seen.get(1, 0), seen.get(0, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel([], [0.0] * len(FEATURES), 3.0 if n_toxic else -3.0)
     words = written(rows.mapInPandas(_count_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic_words")
     terms = choose_terms(words, n_toxic, n_clean)
-    got = rows.mapInPandas(_feature_rows(terms), "y int, x array<double>").collect()
+    got = sorted(rows.mapInPandas(_feature_rows(terms), "doc_id long, y int, x array<double>").collect())
     x = np.array([r["x"] for r in got], float)
     t = np.array([r["y"] for r in got], float)
     weight = np.where(t > 0, counts.get(1, 1) / n_toxic, counts.get(0, 1) / n_clean)
