@@ -32,7 +32,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from vitrina.llm.bpe_index import blocks, encoder_at
 from vitrina.llm.shared import written
 
-BLOCK_BYTES = 3_000_000  # of text aligned at once; a longer text is a block of its own
+BLOCK_BYTES = 1_500_000  # of text aligned at once; a longer text is a block of its own
 LANE_BYTES = 1_024
 
 
@@ -216,7 +216,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     ``a_cut`` and ``b_cut`` one bit a token (the first in the highest bit): whether
     a group ends with it. ``pairs`` and ``pair_docs`` (64 and 32 bits; on the
     first row of a block only) are the block's distinct linked pairs, A id * B's size + B id, and how
-    many of its documents hold each. A block is about three million bytes of
+    many of its documents hold each. A block is about 1.5 million bytes of
     neighbouring rows. The rows are written to the shared folder, so block
     numbers stay.
 
