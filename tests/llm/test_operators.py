@@ -311,6 +311,71 @@ def test_class_lm_matches_brute_force(spark, small_docs):
     assert held[1] > held[0]  # classes predict unseen texts better than unigrams
 
 
+@pytest.mark.parametrize("head_bytes", [class_lm.HEAD_BYTES, 3])  # 3: nearly all words go by the shuffle
+def test_class_lm_score_matches_brute_force(spark, small_docs, monkeypatch, head_bytes):
+    monkeypatch.setattr(class_lm, "HEAD_BYTES", head_bytes)
+    docs = spark.createDataFrame([(d, t) for d, t in small_docs], "doc_id long, text string").repartition(3)
+    train = docs.where(class_lm.training_row()).select(F.coalesce("text", F.lit("")).alias("t"))
+    m = class_lm.fit_class_model(train)
+    k, end = class_lm.CLASSES, class_lm.CLASSES - 1
+    place = {w: i for i, w in enumerate(m.words)}
+    rare = {r["hash"]: (r["cls"], r["n"]) for r in m.rare.collect()}
+    hash_of = lambda w: int(np.array([class_lm.word_hash(w)], np.uint64).view(np.int64)[0])
+    suffix = lambda w: m.unit_class[class_lm.suffix_unit(w)]
+    context = lambda w: end if w is None else m.unit_class[m.head_unit[place[w]]] if w in place else suffix(w)
+
+    def class_of(w):
+        return end if w is None else m.head_class[place[w]] if w in place else rare.get(hash_of(w), (suffix(w), 0))[0]
+
+    words = lambda t: [*(t or "").encode().lower().split(), None]
+    count, joint, types = Counter(), np.zeros((k, k)), np.zeros(k)
+    for d, t in small_docs:
+        if zlib.crc32(str(d).encode()) % 10:
+            last = None
+            for w in words(t):
+                count[w] += 1
+                joint[context(last), class_of(w)] += 1
+                last = w
+    assert all((m.head_count[place[w]] if w in place else rare[hash_of(w)][1]) == n for w, n in count.items() if w is not None)
+    assert len(set(map(class_of, count))) > 20  # rare words too are spread over the classes
+    assert any(class_of(w) != suffix(w) for w in count if w is not None and w not in place) or not rare
+    mass = joint.sum(0)
+    for w in count:
+        types[class_of(w)] += 1
+    share = (mass + 1) / (mass + 1).sum()
+    p = (joint + class_lm.PRIOR * share) / (joint.sum(1, keepdims=True) + class_lm.PRIOR)
+    got = {r["doc_id"]: r["score"] for r in class_lm.score_texts(docs).collect()}
+    for d, t in small_docs:
+        score, last = 0.0, None
+        for w in words(t):
+            c = class_of(w)
+            score += math.log10(p[context(last), c]) + math.log10((count[w] + class_lm.DELTA) / (mass[c] + class_lm.DELTA * (types[c] + 1)))
+            last = w
+        assert got[d] == pytest.approx(score, rel=1e-9)
+
+
+def test_best_classes_is_the_full_information_difference():
+    rng = np.random.default_rng(8)
+    k, sides = class_lm.CLASSES, class_lm.SIDES
+    of = rng.integers(0, 4, 12)
+    table = np.zeros((12, sides))
+    for w in range(12):
+        table[w, rng.integers(0, 5, 6)] += rng.integers(1, 4)
+        table[w, k + rng.integers(0, 5, 6)] += rng.integers(1, 4)
+
+    def information(classes):
+        cells = np.zeros((sides, k))
+        for w, c in enumerate(classes):
+            cells[:, c] += table[w]
+        return sum(class_lm._xlogx(h).sum() - class_lm._xlogx(h.sum(0)).sum() for h in (cells[:k], cells[k:])), cells
+
+    word, side = np.nonzero(table)
+    got = class_lm.best_classes(word, side, table[word, side], of, information(of)[1])
+    for w in range(12):
+        tried = [information([*of[:w], c, *of[w + 1 :]])[0] for c in range(k - 1)]
+        assert tried[got[w]] == pytest.approx(max(tried), abs=1e-9)
+
+
 def test_class_lm_edge_cases(odd_docs, no_docs):
     rows = class_lm.score_texts(odd_docs).collect()
     assert len(rows) == 13 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)

@@ -1,14 +1,17 @@
 """Brown class n-grams: log probabilities of whole texts.
 
-Words are counted over all training rows. A bounded head of frequent words is
-broadcast; every other word is counted and looked up by a shuffle on its hash,
-so no vocabulary has to fit anywhere. The exchange algorithm clusters a fixed
-number of units (the most frequent words, and suffix groups for all others)
-from their bigram counts, a matrix of fixed size. A text's probability is
-
-    P(class | previous class) * P(unit | class) * P(word | unit),
-
-each smoothed; P(word | unit) is 1 for a unit of one word.
+Every training word has a class. The exchange algorithm first clusters a fixed
+number of seed units (the most frequent words, and suffix groups for all others)
+from their bigram counts; their classes are the contexts. Then the counts of
+every word beside each context, on either side, are gathered by a shuffle on the
+word, and some rounds of exchange move each word to the class that gains most
+information. A text's probability is
+
+    P(class of word | context of the word before) * P(word | class),
+
+each smoothed. A bounded head of frequent words is broadcast with classes and
+counts; all other words are looked up by a shuffle on their hash, so no
+vocabulary has to fit anywhere and what is learned grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,22 +23,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.shared import id_or_last, written
+from vitrina.llm.shared import written
 
-HEAD = 131_072  # words broadcast with their counts (about 2 MB)
+HEAD = 131_072  # words broadcast with their counts and classes
+HEAD_BYTES = 48  # longer words never belong to the head, so it has at most 6.3 MB
 HEAD_SHARE = 2.0**-19  # a word with this share of any task's tokens is a candidate for the head
 TASK_WORDS = 400_000  # words a task counts exactly before it merges the rarest away
-WORD_UNITS, SUFFIX_UNITS = 640, 383
+WORD_UNITS, SUFFIX_UNITS = 640, 383  # seed units of the exchange
 UNITS = WORD_UNITS + SUFFIX_UNITS + 1  # the last unit is the end of a text
 END = UNITS - 1
-CLASSES = 48
-ROUNDS = 8
-DELTA = 0.1  # added to word and unit counts
-PRIOR = 5.0  # weight of the class unigrams in a class's transitions
+CLASSES = 48  # the last class is the end of a text
+ROUNDS = 8  # exchange rounds over the seed units
+WORD_ROUNDS = 2  # exchange rounds over all words
+SIDES = 2 * CLASSES  # contexts before a word, then contexts after it
+RARE_TOKENS = 2_000_000  # neighbour places of rare words a task holds before it adds them up
+ENTRIES = 100_000  # neighbour counts in one exchange step
+DELTA = 0.1  # added to word counts, and to unit counts of the seed
+PRIOR = 5.0  # weight of the class unigrams in a context's transitions
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def suffix_unit(word: bytes) -> int:
@@ -64,7 +77,7 @@ def _head_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(count) > 2 * TASK_WORDS:
                 cut = sorted(count.values(), reverse=True)[TASK_WORDS]
                 count = Counter({w: n - cut for w, n in count.items() if n > cut})
-    keep = [(w, n) for w, n in count.items() if n >= max(2, HEAD_SHARE * total)]
+    keep = [(w, n) for w, n in count.items() if n >= max(2, HEAD_SHARE * total) and len(w) <= HEAD_BYTES]
     yield pd.DataFrame(keep, columns=["word", "n"])
 
 
@@ -101,38 +114,76 @@ def _units(place: np.ndarray, rare_units: np.ndarray, head_unit: np.ndarray) ->
     return unit
 
 
-def _statistics(words: list[bytes], head_unit: np.ndarray):
-    """Counts of a task: bigrams (a, b) of units, head words (a, -1) and rare
-    words (hash, -2 - unit)."""
+def _unit_pairs(words: list[bytes], head_unit: np.ndarray):
+    """Bigram counts of a task: (a * UNITS + b, n). An end also opens the next text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = Head((w, i) for i, w in enumerate(words))
         pairs = np.zeros(UNITS * UNITS, np.int64)
-        single = np.zeros(HEAD + 1, np.int64)
-        rare_count: Counter = Counter()
         for whole in frames:
             for lo in range(0, len(whole), 2000):
-                place, rare_units, counts, rare = _numbers(whole["t"].iloc[lo : lo + 2000], head)
+                place, rare_units, _, _ = _numbers(whole["t"].iloc[lo : lo + 2000], head)
                 unit = _units(place, rare_units, head_unit)
-                before = np.concatenate([[END], unit[:-1]])  # an end also opens the next text
+                before = np.concatenate([[END], unit[:-1]])
                 pairs += np.bincount(before * UNITS + unit, minlength=UNITS * UNITS)
-                single += np.bincount(place[place >= 0], minlength=HEAD + 1)
-                rare_count.update(rare)
-            if len(rare_count) > TASK_WORDS:
-                yield _rare_rows(rare_count)
-                rare_count = Counter()
         at = np.flatnonzero(pairs)
-        yield pd.DataFrame({"a": at, "b": np.zeros(len(at), np.int32), "n": pairs[at]})
-        at = np.flatnonzero(single)
-        yield pd.DataFrame({"a": at, "b": np.full(len(at), -1, np.int32), "n": single[at]})
-        yield _rare_rows(rare_count)
+        yield pd.DataFrame({"a": at, "n": pairs[at]})
+
+    return run
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
+
+
+def _neighbours(words: list[bytes], head_unit: np.ndarray, unit_class: np.ndarray):
+    """How often a task's words stand beside each context: rows (hash, head, seed,
+    side, n). ``seed`` is the class of the word's seed unit; ``side`` is the
+    context before, or CLASSES + the context after. The end of a text is the
+    word of no bytes and has no context after it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = Head((w, i) for i, w in enumerate(words))
+        known_hash = np.append(_hashes(words), np.zeros(HEAD - len(words), np.int64))
+        known_hash = np.append(known_hash, _hashes([b""]))
+        known_seed = np.full(HEAD + 1, unit_class[END])
+        known_seed[: len(words)] = unit_class[head_unit[: len(words)]]
+        dense = np.zeros((HEAD + 1) * SIDES, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for whole in frames:
+            for lo in range(0, len(whole), 2000):
+                place, rare_units, _, rare = _numbers(whole["t"].iloc[lo : lo + 2000], head)
+                if not len(place):
+                    continue
+                ctx = unit_class[_units(place, rare_units, head_unit)]
+                before = np.concatenate([[unit_class[END]], ctx[:-1]])
+                after = CLASSES + np.append(ctx[1:], 0)
+                at = place >= 0
+                np.add.at(dense, place[at] * SIDES + before[at], 1)
+                at &= place != HEAD
+                np.add.at(dense, place[at] * SIDES + after[at], 1)
+                if rare:
+                    at = place < 0
+                    held.append((_hashes(rare), ctx[at], np.stack([before[at], after[at]], 1)))
+                if sum(len(h) for h, _, _ in held) > RARE_TOKENS:
+                    yield _rare_rows(held)
+                    held = []
+        if held:
+            yield _rare_rows(held)
+        cells = np.flatnonzero(dense)
+        for lo in range(0, len(cells), 500_000):
+            at = cells[lo : lo + 500_000]
+            yield pd.DataFrame({"hash": known_hash[at // SIDES], "head": True, "seed": known_seed[at // SIDES].astype(np.int32),
+                                "side": (at % SIDES).astype(np.int32), "n": dense[at].astype(np.int64)})
 
     return run
 
 
-def _rare_rows(count: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.array([xxhash.xxh3_64_intdigest(w) for w in count], np.uint64).view(np.int64),
-                         "b": np.array([-2 - suffix_unit(w) for w in count], np.int32), "n": np.array(list(count.values()), np.int64)})
+def _rare_rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    word, first, number = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+    seed = np.concatenate([c for _, c, _ in held])[first]
+    cell, n = np.unique((number[:, None] * SIDES + np.concatenate([s for _, _, s in held])).ravel(), return_counts=True)
+    return pd.DataFrame({"hash": word[cell // SIDES], "head": False, "seed": seed[cell // SIDES].astype(np.int32), "side": (cell % SIDES).astype(np.int32), "n": n})
 
 
 def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -180,20 +231,106 @@ def exchange_classes(pairs: np.ndarray, classes: int = CLASSES, rounds: int = RO
     return of
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def best_classes(word: np.ndarray, side: np.ndarray, n: np.ndarray, of: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The class of each word that gains most information between classes and
+    their contexts, the other words staying where they are.
+
+    ``word`` (ascending), ``side`` and ``n`` are neighbour counts, ``of`` the
+    words' present classes and ``cells`` the counts of all words by (side,
+    class). Of equal classes the present one, then the first, is taken.
+    """
+    n = n.astype(float)
+    begins = np.searchsorted(word, np.arange(len(of)))
+    now = _xlogx(cells).T  # (class, side), so that sums run along memory
+    gain = (_xlogx(cells + 1).T - now)[:, side]
+    more = np.flatnonzero(n > 1)
+    gain[:, more] = _xlogx(cells.T[:, side[more]] + n[more]) - now[:, side[more]]
+    own = cells[side, of[word]]
+    gain[of[word], np.arange(len(n))] = _xlogx(own) - _xlogx(own - n)
+    gain = np.add.reduceat(gain, begins, axis=1).T
+    row = np.arange(len(of))
+    for half in (slice(0, CLASSES), slice(CLASSES, SIDES)):
+        total = cells[half].sum(0)
+        mine = np.add.reduceat(np.where((side >= half.start) & (side < half.stop), n, 0.0), begins)
+        loss = _xlogx(total + mine[:, None]) - _xlogx(total)
+        loss[row, of] = _xlogx(total[of]) - _xlogx(total[of] - mine)
+        gain -= loss
+    gain[:, CLASSES - 1] = -np.inf  # the end of a text stays alone
+    best = gain.argmax(1)
+    return np.where((of == CLASSES - 1) | (gain[row, best] <= gain[row, of] + 1e-9), of, best)
+
+
+def _moved(batch: pa.RecordBatch, rounds: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Words of a batch after some rounds: (rows, classes, word, side, n)."""
+    sizes = np.diff(batch.column("side").offsets.to_numpy())
+    ends = np.cumsum(sizes)
+    sides, counts = batch.column("side").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+    seed = batch.column("seed").to_numpy()
+    lo = 0
+    while lo < len(sizes):
+        start = int(ends[lo] - sizes[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, start + ENTRIES, side="right")))
+        side, n = sides[start : ends[hi - 1]], counts[start : ends[hi - 1]]
+        word = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        of = seed[lo:hi].astype(np.int64)
+        for cells in rounds:
+            of = best_classes(word, side, n, of, cells)
+        yield np.arange(lo, hi), of, word, side, n
+        lo = hi
+
+
+def _class_cells(rounds: list[np.ndarray]):
+    """Counts by (side, class) after some rounds, per task: (cell, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SIDES * CLASSES)
+        for batch in batches:
+            for _, of, word, side, n in _moved(batch, rounds):
+                cells += np.bincount(side * CLASSES + of[word], weights=n, minlength=len(cells))
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "n": cells[at].astype(np.int64)})
+
+    return run
+
+
+def _classified(rounds: list[np.ndarray]):
+    """(hash, head, cls, n) of every word after all rounds; n: its tokens. Rows
+    without ``head`` are the task's counts: hash is the context, cls the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "head", "cls", "n"]
+        joint = np.zeros(CLASSES * CLASSES)
+        for batch in batches:
+            for rows, of, word, side, n in _moved(batch, rounds):
+                left = side < CLASSES
+                total = np.bincount(word[left], weights=n[left], minlength=len(rows))
+                joint += np.bincount(side[left] * CLASSES + of[word[left]], weights=n[left], minlength=len(joint))
+                part = batch.slice(int(rows[0]), len(rows))
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("head"), pa.array(of.astype(np.int32)), pa.array(total.astype(np.int64))], names)
+        at = np.flatnonzero(joint)
+        yield pa.RecordBatch.from_arrays([pa.array(at // CLASSES), pa.nulls(len(at), pa.bool_()), pa.array((at % CLASSES).astype(np.int32)), pa.array(joint[at].astype(np.int64))], names)
+
+    return run
+
+
 @dataclass
 class ClassModel:
-    """What scoring needs: bounded tables, and the rare words' counts as rows."""
+    """What scoring needs: bounded tables, and the classes and counts of all
+    words outside the head as rows."""
 
     words: list[bytes]
     head_count: np.ndarray
+    head_class: np.ndarray
     head_unit: np.ndarray
-    unit_class: np.ndarray
-    transition: np.ndarray  # log10 P(class | previous class)
-    emission: np.ndarray  # log10 P(unit | class)
-    suffix_total: np.ndarray  # log10 of a suffix unit's smoothed word mass
+    unit_class: np.ndarray  # contexts
+    gain: np.ndarray  # log10 P(class | context) / smoothed tokens of the class
     n_tokens: int
     n_types: int
-    rare: DataFrame  # (hash, n)
+    rare: DataFrame  # (hash, cls, n)
 
 
 def fit_class_model(texts: DataFrame) -> ClassModel:
@@ -202,42 +339,52 @@ def fit_class_model(texts: DataFrame) -> ClassModel:
            .orderBy(F.desc("n"), "word").limit(HEAD).select("word").toArrow())
     words = top["word"].to_pylist()
     head_unit = np.array([i if i < WORD_UNITS else suffix_unit(w) for i, w in enumerate(words)] or [0], np.int64)
-    seen = texts.mapInPandas(_statistics(words, head_unit), "a long, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    seen = written(seen, "lm_counts")
     pairs = np.zeros(UNITS * UNITS, np.int64)
-    bigrams = seen.where("b = 0").select("a", "n").toArrow().to_pandas()  # at most UNITS^2 cells
-    pairs[bigrams["a"].to_numpy(np.int64)] = bigrams["n"].to_numpy(np.int64)
+    seen = texts.mapInPandas(_unit_pairs(words, head_unit), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most UNITS^2 cells
+    pairs[seen["a"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     pairs = pairs.reshape(UNITS, UNITS)
-    count = np.zeros(HEAD + 1, np.int64)
-    single = seen.where("b = -1").select("a", "n").toArrow().to_pandas()  # at most HEAD + 1 rows
-    count[single["a"].to_numpy(np.int64)] = single["n"].to_numpy(np.int64)
-    rare = seen.where("b <= -2")
-    by_unit = {-2 - r["b"]: (r["n"], r["v"]) for r in rare.groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    total, types = np.zeros(UNITS), np.zeros(UNITS)
-    in_suffix = (head_unit >= WORD_UNITS) & (count[: len(head_unit)] > 0)
-    np.add.at(total, head_unit[in_suffix], count[: len(head_unit)][in_suffix])
-    np.add.at(types, head_unit[in_suffix], 1)
-    for u, (n, v) in by_unit.items():
-        total[u] += n
-        types[u] += v
     unit_class = exchange_classes(pairs.astype(float))
-    unit_count = pairs.sum(0).astype(float)
+    beside = texts.mapInPandas(_neighbours(words, head_unit, unit_class), "hash long, head boolean, seed int, side int, n long")
+    # a task holds a word's counts added up already; both aggregates use one shuffle
+    beside = (beside.repartition("hash").groupBy("hash", "side").agg(F.sum("n").alias("n"), F.min("seed").alias("seed"), F.max("head").alias("head"))
+              .groupBy("hash").agg(F.max("head").alias("head"), F.min("seed").alias("seed"), F.collect_list(F.struct("side", "n")).alias("c")))
+    beside = written(beside.select("hash", "head", "seed", F.col("c.side").alias("side"), F.col("c.n").alias("n")), "lm_words")
+
+    def cells_after(rounds: list[np.ndarray]) -> np.ndarray:
+        cells = np.zeros(SIDES * CLASSES)
+        for r in beside.mapInArrow(_class_cells(rounds), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most SIDES * CLASSES
+            cells[r["cell"]] = r["n"]
+        return cells.reshape(SIDES, CLASSES)
+
     member = np.eye(CLASSES)[unit_class]
-    joint = member.T @ pairs @ member
-    size = member.sum(0)
-    class_count = unit_count @ member
-    share = (class_count + 1.0) / (class_count + 1.0).sum()
+    seed = member.T @ pairs @ member
+    after = seed.T.copy()
+    after[:, CLASSES - 1] = 0  # the end of a text has no context after it
+    rounds = [np.vstack([seed, after])]
+    while len(rounds) < WORD_ROUNDS:
+        rounds.append(cells_after(rounds))
+    rows = written(beside.mapInArrow(_classified(rounds), "hash long, head boolean, cls int, n long"), "lm_classes")
+    classes, joint = rows.where("head is not null"), np.zeros((CLASSES, CLASSES))
+    for r in rows.where("head is null").groupBy("hash", "cls").agg(F.sum("n").alias("n")).collect():  # at most CLASSES^2
+        joint[r["hash"], r["cls"]] = r["n"]
+    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[r["cls"]], types[r["cls"]] = r["n"], r["v"]
+    share = (mass + 1.0) / (mass + 1.0).sum()
     transition = (joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR)
-    emission = (unit_count + DELTA) / (class_count + DELTA * size)[unit_class]
-    return ClassModel(words, count, head_unit, unit_class, np.log10(transition), np.log10(emission),
-                      np.log10(total + DELTA * (types + 1)), int(count.sum() + sum(n for n, _ in by_unit.values())),
-                      int((count > 0).sum() + sum(v for _, v in by_unit.values())),
-                      rare.select(F.col("a").alias("hash"), "n"))
+    place = {h: i for i, h in enumerate(_hashes(words).tolist())} | {int(_hashes([b""])[0]): HEAD}
+    head_count, head_class = np.zeros(HEAD + 1, np.int64), np.full(HEAD + 1, CLASSES - 1)
+    head_class[: len(words)] = unit_class[head_unit[: len(words)]]
+    for r in classes.where("head").select("hash", "cls", "n").collect():  # at most HEAD + 1 rows
+        head_count[place[r["hash"]]], head_class[place[r["hash"]]] = r["n"], r["cls"]
+    return ClassModel(words, head_count, head_class, head_unit, unit_class, np.log10(transition) - np.log10(mass + DELTA * (types + 1)),
+                      int(mass.sum()), int(types.sum()), classes.where("not head").select("hash", "cls", "n"))
 
 
 def _scores(m: ClassModel):
-    words, count, head_unit = m.words, m.head_count, m.head_unit
-    unit_class, transition, emission, suffix_total = m.unit_class, m.transition, m.emission, m.suffix_total
+    """Per text (hash NULL): its sums over head words. Per text, rare word,
+    context before it and class of its suffix: how often (tf)."""
+    words, count, head_class, head_unit, unit_class, gain = m.words, m.head_count, m.head_class, m.head_unit, m.unit_class, m.gain
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = Head((w, i) for i, w in enumerate(words))
@@ -246,26 +393,25 @@ def _scores(m: ClassModel):
             for lo in range(0, len(whole), 2000):
                 frame = whole.iloc[lo : lo + 2000]
                 place, rare_units, counts, rare = _numbers(frame["t"], head)
-                unit = _units(place, rare_units, head_unit)
-                cls = unit_class[unit]
-                before = np.concatenate([[unit_class[END]], cls[:-1]])
+                ctx = unit_class[_units(place, rare_units, head_unit)]
+                before = np.concatenate([[unit_class[END]], ctx[:-1]])
                 known = np.where(place >= 0, log_count[place], 0.0)
-                score = transition[before, cls] + emission[unit]
-                inside = (unit >= WORD_UNITS) & (unit != END)
-                score[inside] += known[inside] - suffix_total[unit[inside]]
+                score = np.where(place >= 0, gain[before, head_class[place]] + known, 0.0)
                 first = np.cumsum(counts) - counts
-                yield pd.DataFrame({"uid": frame["uid"], "hash": pd.array([None] * len(frame), "Int64"), "tf": 0, "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"],
-                                    "n_tokens": counts, "n_known": np.add.reduceat(((place >= 0) & (count[place] > 0)).astype(np.int64), first),
+                yield pd.DataFrame({"uid": frame["uid"], "hash": pd.array([None] * len(frame), "Int64"), "ctx": 0, "seed": 0, "tf": 0,
+                                    "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": counts,
+                                    "n_known": np.add.reduceat(((place >= 0) & (count[place] > 0)).astype(np.int64), first),
                                     "base": np.add.reduceat(known, first), "score": np.add.reduceat(score, first)})
-                owner = np.repeat(np.arange(len(frame)), counts)[place < 0]
-                h = np.array([xxhash.xxh3_64_intdigest(w) for w in rare], np.uint64)
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
+                at = place < 0
+                owner, cell, h = np.repeat(np.arange(len(frame)), counts)[at], before[at] * CLASSES + ctx[at], _hashes(rare)
+                order = np.lexsort((cell, h, owner))
+                h, owner, cell = h[order], owner[order], cell[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1])
                 at = np.flatnonzero(new)
-                yield pd.DataFrame({"uid": frame["uid"].to_numpy()[owner[at]], "hash": pd.array(h[at].view(np.int64), "Int64"), "tf": np.diff(np.append(at, len(h))),
-                                    "doc_id": pd.array([None] * len(at), "Int64"), "held_out": False, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
+                yield pd.DataFrame({"uid": frame["uid"].to_numpy()[owner[at]], "hash": pd.array(h[at], "Int64"), "ctx": cell[at] // CLASSES, "seed": cell[at] % CLASSES,
+                                    "tf": np.diff(np.append(at, len(h))), "doc_id": pd.array([None] * len(at), "Int64"), "held_out": False,
+                                    "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
 
     return run
 
@@ -275,21 +421,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score);
     the two scores are log10 probabilities of the whole text, its end included;
-    base_score is the additive unigram model. A NULL or empty text is its end
-    alone; repeated rows each have a row; a NULL id counts as the empty text for
-    crc32 and stays NULL; an empty table gives no rows.
+    base_score is the additive unigram model. A word never seen in training has
+    the class of its suffix and the share of one unseen word there. A NULL or
+    empty text is its end alone; repeated rows each have a row; a NULL id counts
+    as the empty text for crc32 and stays NULL; an empty table gives no rows.
     """
     held = ~training_row(id_col)
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     model = fit_class_model(docs.where(~held).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")))
-    schema = "uid long, hash long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    schema = "uid long, hash long, ctx int, seed int, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     rows = written(src.mapInPandas(_scores(model), schema), "lm_scores")
-    rare = rows.where("hash is not null").select("uid", "hash", "tf").join(model.rare, "hash", "left")
+    rare = rows.where("hash is not null").select("uid", "hash", "ctx", "seed", "tf").join(model.rare, "hash", "left")
     log_c = F.log10(F.coalesce("n", F.lit(0)) + F.lit(DELTA))
-    rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * log_c).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    extra, more = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
+    gains = F.split(F.lit(",".join(repr(float(x)) for x in model.gain.ravel())), ",").cast("array<double>")  # one constant of CLASSES^2 numbers
+    gain = F.get(gains, F.col("ctx") * CLASSES + F.coalesce("cls", "seed"))
+    rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * log_c).alias("rare_log"), F.sum(F.col("tf") * (gain + log_c)).alias("rare_score"),
+                                   F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     norm = float(np.log10(model.n_tokens + DELTA * (model.n_types + 1)))
     return rows.where("hash is null").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("score") + extra).alias("score"))
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
