@@ -393,6 +393,27 @@ def test_exchange_separates_alternating_words():
     assert len(set(of[:16])) == 1 and len(set(of[16:32])) == 1 and of[0] != of[16] and of[32] == 2
 
 
+ARTICLE = "The council met on Monday and agreed to build a new bridge across the river. Work is to begin in the spring of next year."
+TALK = "I have said for many years that nobody in this town would ever listen to us about that old bridge and its many holes. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="widget"><article><p>{ARTICLE}</p></article></div><div class="comments"><p>{TALK}</p><p>{TALK}</p></div>',
+    f'<div id="search"><article><p>{ARTICLE}</p></article></div><div class="related"><p>{TALK}</p><p>{TALK}</p></div>',
+    f'<div class="social"><div><p>{ARTICLE}</p></div></div><section id="user-comments"><p>{TALK}</p></section>',
+    f'<article><p>{ARTICLE}</p></article><div class="user-reviews"><p>{TALK}</p></div>',
+    f'<article><p>{ARTICLE}</p></article><div id="responses"><p>{TALK}</p></div>',
+    f'<div class="post comments-open"><p>{ARTICLE}</p></div><ol class="comment-list"><li>{TALK}</li></ol>',
+    f'<main class="related"><p>{ARTICLE}</p></main>',
+])
+def test_main_text_is_the_article_however_long_the_comments(page):
+    assert main_blocks(f"<html><body>{page}</body></html>") == [ARTICLE]
+
+
+def test_main_text_of_comments_alone_is_empty():
+    assert main_blocks(f'<body><div class="comments"><p>{TALK}</p></div></body>') == []
+
+
 # toxicity
 
 def test_automaton_finds_misspellings():

@@ -26,9 +26,11 @@ NOISE_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adbox alert banner breadcrumb breadcrumbs byline comment commentlist
  comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu menus modal nav navbar
- navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar
+ navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply respond responses reviews search share sharing sidebar
  signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
 MODIFIERS = frozenset("has have no not with without".split())  # "has-sidebar" names what is elsewhere in the box
+OTHERS_WORDS = frozenset("comment comments commentlist discussion disqus recommended related replies respond".split())  # what readers wrote, other pages
+STATE_WORDS = frozenset("closed disabled enabled off on open".split())  # "comments-open" says something about the box, not what it holds
 GUESSED_TAGS = frozenset("form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
@@ -42,19 +44,21 @@ NEXT, SAME_PARENT, SAME_CONTAINER = 0.3, 0.6, 0.4
 
 class Element:
     """``hidden``: in navigation, a footer or the like, or not shown. ``mark``: the
-    nearest element whose class, id or form tag only suggests boilerplate."""
+    nearest element whose class, id or form tag only suggests boilerplate.
+    ``others``: in a box named for comments or for other pages, whatever its length."""
 
-    __slots__ = ("tag", "parent", "hidden", "mark", "outer", "void", "content", "block")
+    __slots__ = ("tag", "parent", "hidden", "mark", "outer", "void", "others", "content", "block")
 
     def __init__(self, tag: str, parent: Element | None, attrs: dict[str, str | None]):
         self.tag, self.parent = tag, parent
         tokens = [t for key in ("class", "id") for t in (attrs.get(key) or "").split()]
-        names, plain = set(), set()
+        names, plain, others = set(), set(), False
         for t in tokens:
             words = [w.lower() for w in WORD.findall(t)]
             names.update(words, (t.lower(),))
             if not (len(words) > 1 and words[0] in MODIFIERS):
                 plain.update(words, (t.lower(),))
+                others |= bool(words) and (words[0] in OTHERS_WORDS or words[-1] in OTHERS_WORDS) and words[-1] not in STATE_WORDS
         up = parent
         self.content = bool(up and up.content) or tag in ("article", "main") or attrs.get("role") == "main" or bool(names & CONTENT_WORDS)
         style = (attrs.get("style") or "").replace(" ", "").lower()
@@ -63,6 +67,7 @@ class Element:
         guess = (tag in GUESSED_TAGS or "header" in plain and not self.content
                  or bool(plain & NOISE_WORDS) and tag not in ("html", "body"))
         self.hidden = bool(up and up.hidden) or own
+        self.others = bool(up and up.others) or others and tag not in ("html", "body", "article", "main")
         self.outer, self.void = up.mark if up else None, False
         self.mark: Element | None = self if guess else self.outer
         self.block = tag in BLOCKS
@@ -227,8 +232,9 @@ def lift_marks(texts: list[str], elements: list[Element]) -> None:
     """Voids marks that cannot be right: below a marked container lies most of
     the page's sentence text (what deeper marks hold not counted), the text
     without any mark is less than half of it, and no more than headings of it
-    are in a content place."""
-    size = [len(t) if t.count(" ") >= 9 and not e.hidden else 0 for t, e in zip(texts, elements)]
+    are in a content place. Boxes of comments or of other pages are never the
+    main text, so theirs does not count and their marks stand."""
+    size = [len(t) if t.count(" ") >= 9 and not e.hidden and not e.others else 0 for t, e in zip(texts, elements)]
     total = sum(size)
     while True:
         free, own, below = 0, {}, {}
