@@ -4,6 +4,7 @@ smallest tables."""
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -414,8 +415,36 @@ def test_main_text_of_comments_alone_is_empty():
     assert main_blocks(f'<body><div class="comments"><p>{TALK}</p></div></body>') == []
 
 
+def test_unclosed_inline_elements_take_linear_time():
+    def seconds(n):
+        begin = time.process_time()
+        blocks = main_blocks("<body><article>" + "<b>" * n + f"<p>{ARTICLE}</p>" * n)
+        assert len(blocks) == n
+        return time.process_time() - begin
+
+    seconds(500)
+    assert seconds(8000) < 3 * seconds(4000)
+
+
 # toxicity
 
+
+def test_automaton_forgets_states_but_not_results(monkeypatch):
+    rng = np.random.default_rng(4)
+    terms = [("".join(rng.choice(list("abcdefgh"), rng.integers(5, 10))), False) for _ in range(60)]
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 10))) for _ in range(3000)]
+    whole = toxicity.LexiconAutomaton(terms, any_start=True)
+    want = [whole.find(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 2000)
+    small = toxicity.LexiconAutomaton(terms, any_start=True)
+    most = 0
+    for w, hit in zip(words, want):
+        assert small.find(w) == hit
+        most = max(most, len(small.sets) + small.n_steps)
+    # a word may add a state and a step a letter before the next look at the bound
+    assert most <= 2000 + 2 * 10 < len(whole.sets) + whole.n_steps
+
+
 def test_automaton_finds_misspellings():
     a = toxicity.LexiconAutomaton([("stupid", False), ("worthless", False), ("scum", False), ("lowei", True)])
     assert a.find("stupid") == (0, 0) and a.find("stuppid") == (0, 1) and a.find("stupd") == (0, 1) and a.find("st0pid") == (0, 1)

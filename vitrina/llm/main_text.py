@@ -9,7 +9,7 @@ the minimum cut that stays with the content terminal is the main text.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -137,14 +137,18 @@ class PageBlocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.unclosed, self.n, self.loose = unclosed, 0, False
         self.stack: list[Element] = [Element("html", None, {})]
+        self.count: Counter = Counter()  # open elements by tag, so that nobody walks the stack for a tag that is not there
         self.blocks: list[Block] = []
         self.open: Block | None = None
         self.dropped: list[str] = []
         self.links = 0
 
     def _close_to(self, tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
+                self.count.subtract(e.tag for e in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i].tag in scopes:
@@ -179,6 +183,7 @@ class PageBlocks(HTMLParser):
         if tag == "a":
             self.links += 1
         self.stack.append(Element(tag, self.stack[-1], dict(attrs)))
+        self.count[tag] += 1
 
     def _end_dropped(self) -> None:
         self.dropped.clear()
@@ -197,14 +202,14 @@ class PageBlocks(HTMLParser):
                 del self.dropped[len(self.dropped) - 1 - self.dropped[::-1].index(tag) :]
                 self.loose = self.loose and bool(self.dropped)
                 return
-            if not (self.loose and tag in BLOCKS and any(e.tag == tag for e in self.stack[1:])):
+            if not (self.loose and tag in BLOCKS and self.count[tag]):
                 return
             self._end_dropped()
         if tag in BLOCKS:
             self.open = None
         if tag == "a" and self.links:
             self.links -= 1
-        if any(e.tag == tag for e in self.stack[1:]):
+        if self.count[tag]:
             self._close_to((tag,), () if tag in BLOCKS else tuple(BLOCKS))
 
     def handle_data(self, data: str) -> None:

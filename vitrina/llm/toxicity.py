@@ -37,6 +37,7 @@ QUOTES = "\"“”„«»"
 
 MAX_TOXIC, MAX_CLEAN = 4000, 12000
 CACHE = 200_000
+STATES = 50_000  # automaton states and steps a task remembers; beyond, they are built anew
 FEATURES = ("plain", "types", "quoted", "misspelt", "misspelt_quoted", "directed", "density", "length")
 WORD_PRECISION, STEM_PRECISION = 0.85, 0.6  # least toxic share of the texts that hold a term
 
@@ -70,12 +71,17 @@ class LexiconAutomaton:
                 self.reach[node] = max(self.reach[node], k)
             self.ends[node].append((i, stem, k))
             self.reach[0] = max(self.reach[0], k)
+        self.known: dict[str, tuple[int, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the start state; the others are built as words need them."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.final: list[tuple[int, int] | None] = []
         self.stem: list[tuple[int, int] | None] = []
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.n_steps = 0
         self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -109,9 +115,12 @@ class LexiconAutomaton:
                 out.add((node, e + 1))
                 out.update((child, e + 1) for child in self.children[node].values())
         self.steps[state][c] = to = self._state(out)
+        self.n_steps += 1
         return to
 
     def _walk(self, word: str) -> tuple[int, int] | None:
+        if len(self.sets) + self.n_steps > STATES:
+            self._forget()
         state, best = 0, None
         for c in word:
             to = self.steps[state].get(c)
