@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vitrina.functions import money, text
 from vitrina.functions.ids import dense_ids, next_id_base
 from vitrina.functions.money import DEC, to_money
-from vitrina.functions.scan import running_sum
+from vitrina.functions.serve import refused_in_order
 from vitrina.session import ensure_checkpoint_dir
 
 # Names the jobs set or look for.
@@ -544,32 +544,14 @@ def _invoices(heads: DataFrame) -> DataFrame:
 def _counter_rejections(carts: DataFrame, inventory: DataFrame) -> DataFrame:
     """Carts that a counter refuses when it serves them in cart order: a cart is
     refused if one of its lines needs more than earlier accepted carts left.
-
-    Rounds over the undecided carts, with bounds from running sums per product:
-    the stock left if only the carts accepted so far were served, and if all
-    undecided ones were as well. A cart that passes with the lower bound is
-    accepted, one that fails with the upper bound is refused. The first
-    undecided cart is decided in every round, and a product that runs out
-    decides all its later carts at once, so few rounds are usual. Quantities
-    below 0 take nothing from the stock."""
+    Quantities below 0 take nothing from the stock; lines without a cart are
+    neither served nor refused."""
     q = F.coalesce("cantidad", F.lit(1)).cast("long")
-    first = carts.filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).groupBy("id_carrito", "id_producto").agg(
+    wants = carts.filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).groupBy(
+        F.col("id_carrito").alias("order"), F.col("id_producto").alias("item")).agg(
         F.max(q).alias("need"), F.sum(F.greatest(q, F.lit(0))).alias("used"))
-    stock = inventory.select("id_producto", F.coalesce("stock_actual", F.lit(0)).alias("stock"))
-    rows = first.join(stock, "id_producto", "left").withColumn("stock", F.coalesce("stock", F.lit(0))) \
-        .withColumn("sure", F.lit(False)).checkpoint(eager=True)
-    served = rows.select("id_carrito").distinct()
-    while not rows.filter(~F.col("sure")).isEmpty():
-        both = rows.withColumn("_taken", F.when(F.col("sure"), F.col("used")).otherwise(0))
-        both = running_sum(both, ["id_producto"], ["id_carrito"], "_taken", "_low")
-        both = running_sum(both, ["id_producto"], ["id_carrito"], "used", "_high")
-        most = F.greatest(F.lit(0), F.col("stock") - F.col("_low"))  # undecided rows take nothing here
-        least = F.greatest(F.lit(0), F.col("stock") - (F.col("_high") - F.col("used")))
-        fate = both.filter(~F.col("sure")).groupBy("id_carrito").agg(
-            F.bool_and(F.col("need") <= least).alias("_yes"), F.bool_or(F.col("need") > most).alias("_no"))
-        rows = rows.join(fate, "id_carrito", "left").filter(~F.coalesce("_no", F.lit(False))) \
-            .withColumn("sure", F.col("sure") | F.coalesce("_yes", F.lit(False))).drop("_yes", "_no").checkpoint(eager=True)
-    return served.join(rows.select("id_carrito").distinct(), "id_carrito", "left_anti")
+    stock = inventory.select(F.col("id_producto").alias("item"), F.col("stock_actual").alias("stock"))
+    return refused_in_order(wants.join(stock, "item", "left")).select(F.col("order").alias("id_carrito")).checkpoint(eager=True)
 
 
 def physical_sales(ctx, carts: DataFrame, vat: Column | None = None) -> dict[str, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.ids import dense_ids, next_id_base
 from vitrina.functions.money import DEC, to_money
+from vitrina.functions.serve import refused_in_order
 from vitrina.operators.catalog import PLACEHOLDER_IMAGE, first_image
 from vitrina.operators.sales import active_rate
 
@@ -167,29 +168,15 @@ def users_with_role(ctx) -> DataFrame:
 
 def _first_creators(cand: DataFrame) -> DataFrame:
     """Rows that create a new client, exactly as the sequential reference
-    decides them. Each candidate row is an edge between its e-mail node and
-    its (name, address) node; a row creates a client iff no earlier creator
-    shares either node, i.e. the creators are the greedy maximal matching in
-    key order. Computed in rounds: a row that has the lowest key among the
-    undecided rows at both its nodes is a creator (every smaller row at its
-    nodes was already rejected); rows touching a new creator's nodes are
-    rejected. Each round is two aggregates and joins; the loop only reads a
-    count, and the shrinking sets are checkpointed to the shared folder."""
-    undecided = cand.select("key", "_mail_node", "_name_node")
-    creators = None
-    while True:
-        low_m = undecided.groupBy("_mail_node").agg(F.min("key").alias("_km"))
-        low_n = undecided.groupBy("_name_node").agg(F.min("key").alias("_kn"))
-        sel = (undecided.join(low_m, "_mail_node").join(low_n, "_name_node")
-               .filter((F.col("key") == F.col("_km")) & (F.col("key") == F.col("_kn")))
-               .select("key", "_mail_node", "_name_node")).checkpoint(eager=True)
-        creators = sel if creators is None else creators.unionByName(sel)
-        gone_m = sel.select("_mail_node").distinct()
-        gone_n = sel.select("_name_node").distinct()
-        undecided = (undecided.join(gone_m, "_mail_node", "left_anti")
-                     .join(gone_n, "_name_node", "left_anti")).checkpoint(eager=True)
-        if undecided.isEmpty():
-            return creators
+    decides them: a row creates a client iff no earlier creator shares its
+    e-mail or its (name, address). Both are items that one row can take, so the
+    creators are the rows that ``refused_in_order`` serves; values that only one
+    row has drop out there at once."""
+    items = F.array("_mail_node", F.concat(F.lit("n:"), "_name_node"))
+    one = F.lit(1).cast("long")
+    wants = cand.select(F.col("key").alias("order"), F.explode(items).alias("item"), one.alias("need"), one.alias("used"), one.alias("stock"))
+    refused = refused_in_order(wants).withColumnRenamed("order", "key")
+    return cand.join(refused, "key", "left_anti").select("key", "_mail_node", "_name_node")
 
 
 def match_or_create_clients(incoming: DataFrame, clients: DataFrame) -> DataFrame:
