@@ -188,7 +188,7 @@ def test_physical_sales_replay(spark):
     assert got["invoices"].count() == len(accepted)
 
 
-def test_checkout_writes_clients_products_and_shipments(spark):
+def test_checkout_writes_clients_products_and_shipments(spark, monkeypatch):
     ctx = Ctx(spark, estados_pedido=_states(spark),
               inventario=spark.createDataFrame([(1, 5)], "id_producto long, stock_actual int"),
               productos=spark.createDataFrame([(1, "P")], "id_producto long, nombre string"),
@@ -206,8 +206,23 @@ def test_checkout_writes_clients_products_and_shipments(spark):
          form(3, "Leo", "leo@x.com", "destino", ""), form(4, "", "no@x.com", "destino", ""), form(5, "Eva B", "eva@x.com", "agencia", "")],
         "id_carrito long, nombre string, correo string, telefono string, cedula string, tipo_envio string, empresa_envio string, "
         "codigo_agencia string, ciudad string, estado string, metodo_pago string, referencia string")
+    runs = {"match": 0, "stock": 0, "number": 0}
+
+    def counted(module, name, key):
+        real = getattr(module, name)
+
+        def run(*args):
+            runs[key] += 1
+            return real(*args)
+        monkeypatch.setattr(module, name, run)
+
+    counted(orders, "match_or_create_clients", "match")
+    counted(changes, "stock_check", "stock")
+    counted(changes, "dense_ids", "number")
     got = changes.checkout(ctx, carts, forms, F.lit(16).cast("decimal(5,2)"))
+    assert runs == {"match": 0, "stock": 0, "number": 0}  # nothing runs before a frame is asked for
     assert {r.id_carrito for r in got["rejected"].collect()} == {3, 4}  # short line; no name
+    assert runs == {"match": 0, "stock": 1, "number": 1}
     assert {r.id_pedido: r.id_cliente for r in got["orders"].collect()} == {11: 4, 12: 5, 13: 5}
     clients = {r.id_cliente: (r.nombre, r.telefono, r.cambio) for r in got["clients"].collect()}
     assert clients == {4: ("Ana", "t1", "actualizado"), 5: ("Eva", "t5", "nuevo")}
@@ -221,6 +236,8 @@ def test_checkout_writes_clients_products_and_shipments(spark):
     ships = {r.id_pedido: (r.empresa_envio, r.direccion_envio) for r in got["shipments"].collect()}
     assert ships[11] == ("Cobro a Destino - MRW", "MRW, Cód: 7, Coro") and ships[12][0] == "Retiro en Tienda"
     assert ships[13] == ("Retirar en Agencia", "Cód: 7, Coro")
+    assert len(got) == 11 and all(f.columns for f in got.values())
+    assert runs == {"match": 1, "stock": 1, "number": 2}  # each shared table was made once
 
 
 def test_upsert_products_latest_valid_edit(spark):

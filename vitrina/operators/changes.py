@@ -10,10 +10,13 @@ rows or load one task with raw rows.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions import money, text
+from vitrina.functions.frames import Frames
 from vitrina.functions.ids import dense_ids, next_id_base
 from vitrina.functions.money import DEC, to_money
 from vitrina.functions.serve import refused_in_order
@@ -460,7 +463,7 @@ def checkout_forms_from_users(ctx) -> DataFrame:
 
 
 def checkout(ctx, carts: DataFrame, forms: DataFrame | None = None, vat: Column | None = None,
-             as_of: str = "1998-08-02 00:00:00") -> dict[str, DataFrame]:
+             as_of: str = "1998-08-02 00:00:00") -> Frames:
     """Carts and their checkout forms -> all rows the shop writes.
 
     ``forms`` holds one row per cart: (id_carrito, nombre, correo, telefono,
@@ -479,7 +482,9 @@ def checkout(ctx, carts: DataFrame, forms: DataFrame | None = None, vat: Column
 
     Frames: orders, order_lines, shipments, sales, sale_lines, invoices,
     clients (new and updated rows), products, categories (new rows), summary,
-    rejected.
+    rejected. They read three shared tables, each made once and only if a frame
+    that is asked for needs it: the accepted carts with their numbers, the
+    matched clients, and the numbers of custom products.
     """
     from vitrina.operators.orders import client_writes, match_or_create_clients
     from vitrina.operators.sales import current_vat
@@ -488,52 +493,77 @@ def checkout(ctx, carts: DataFrame, forms: DataFrame | None = None, vat: Column
         blank = {c: F.lit("") for c in ("telefono", "cedula", "empresa_envio", "codigo_agencia", "ciudad", "estado", "referencia")}
         forms = ctx["usuarios"].select(F.col("id_usuario").alias("id_carrito"), "nombre", "correo").withColumns(
             blank | {"tipo_envio": F.lit("destino"), "metodo_pago": F.lit("Pendiente")})
-    chk = stock_check(carts, ctx["inventario"], ctx["productos"])
-    short = chk.filter(~F.col("ok")).select("id_carrito")
     named = forms.filter(F.col("nombre") != "")
-    good = carts.join(short.distinct(), "id_carrito", "left_anti").join(named.select("id_carrito"), "id_carrito", "left_semi")
-    heads = _cart_headers(good, rate)
-    order_base = next_id_base(ctx["pedidos"], "id_pedido")
-    heads = dense_ids(heads, ["id_carrito"], order_base, "id_pedido")
-    heads = heads.withColumn("id_venta", next_id_base(ctx["ventas"], "id_venta") + (F.col("id_pedido") - order_base))
     address = text.shipping_address("tipo_envio", "empresa_envio", "codigo_agencia", "ciudad", "estado")
-    form = named.join(heads.select("id_carrito"), "id_carrito", "left_semi").withColumn("direccion", address)
-    incoming = form.select(F.col("id_carrito").alias("key"), "nombre", "correo", "direccion", "telefono", "cedula")
-    matched = match_or_create_clients(incoming, ctx["clientes"]).checkpoint(eager=True)
-    clients = client_writes(incoming, matched, ctx["clientes"])
-    heads = heads.join(matched.select(F.col("key").alias("id_carrito"), "id_cliente"), "id_carrito", "left")
-
-    custom = good.filter(F.col("id_producto").isNull() | (F.col("id_producto") == 0))
-    custom = dense_ids(custom.select("id_carrito", "id_detalle"), ["id_carrito", "id_detalle"],
-                       next_id_base(ctx["productos"], "id_producto"), "_custom_id")
-    category, new_categories = _custom_category(ctx)
-    price = F.lit(CUSTOM_PRICE).cast(DEC)
-    products = custom.select(
-        F.col("_custom_id").alias("id_producto"),
-        F.concat(F.lit(f"{CUSTOM_NAME} - "), F.col("_custom_id").cast("string")).alias("nombre"),
-        F.lit(CUSTOM_TEXT).alias("descripcion"), price.alias("costo"), price.alias("precio_venta"),
-        category.alias("id_categoria"), F.lit(1).alias("activo"))
-    lines = good.join(custom, ["id_carrito", "id_detalle"], "left").join(
-        heads.select("id_carrito", "id_pedido", "id_venta"), "id_carrito", "inner")
-    lines = lines.select(
-        "id_pedido", "id_venta", "id_detalle", F.coalesce("_custom_id", "id_producto").alias("id_producto"),
-        F.greatest(F.lit(1), F.coalesce("cantidad", F.lit(1))).alias("cantidad"),
-        F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
-    state = ctx["estados_pedido"].filter(F.col("nombre") == PENDING_STATE).select(F.min("id_estado")).scalar()
-    orders = heads.select("id_pedido", "id_cliente", F.coalesce(state, F.lit(1)).cast("long").alias("id_estado"), "total")
-    shipments = heads.select("id_carrito", "id_pedido").join(form, "id_carrito", "inner").select(
-        "id_pedido", F.col("direccion").alias("direccion_envio"),
-        text.shipping_label("tipo_envio", "empresa_envio").alias("empresa_envio"), F.lit("").alias("numero_guia"),
-        F.lit("Pendiente").alias("estado_envio"), F.lit(as_of).cast("timestamp_ntz").alias("fecha_envio"),
-        "metodo_pago", F.coalesce("referencia", F.lit("")).alias("referencia_pago"), "tipo_envio")
-    summary = heads.select("id_carrito", "id_pedido", "id_venta", "id_cliente", "lineas",
-                           to_money("subtotal").alias("subtotal"), to_money("impuesto").alias("impuesto"),
-                           to_money("total").alias("total"))
-    return {"orders": orders, "order_lines": lines.drop("id_venta"), "shipments": shipments,
-            "sales": heads.select("id_venta", "id_cliente", "total"), "sale_lines": lines.drop("id_pedido"),
-            "invoices": _invoices(heads), "clients": clients, "products": products, "categories": new_categories,
-            "summary": summary,
-            "rejected": carts.select("id_carrito").distinct().join(heads.select("id_carrito"), "id_carrito", "left_anti")}
+
+    @cache
+    def heads() -> DataFrame:  # accepted carts
+        short = stock_check(carts, ctx["inventario"], ctx["productos"]).filter(~F.col("ok")).select("id_carrito")
+        good = carts.join(short.distinct(), "id_carrito", "left_anti").join(named.select("id_carrito"), "id_carrito", "left_semi")
+        base = next_id_base(ctx["pedidos"], "id_pedido")
+        numbered = dense_ids(_cart_headers(good, rate), ["id_carrito"], base, "id_pedido")
+        return numbered.withColumn("id_venta", next_id_base(ctx["ventas"], "id_venta") + (F.col("id_pedido") - base))
+
+    @cache
+    def form() -> DataFrame:
+        return named.join(heads().select("id_carrito"), "id_carrito", "left_semi").withColumn("direccion", address)
+
+    @cache
+    def incoming() -> DataFrame:
+        return form().select(F.col("id_carrito").alias("key"), "nombre", "correo", "direccion", "telefono", "cedula")
+
+    @cache
+    def matched() -> DataFrame:
+        return match_or_create_clients(incoming(), ctx["clientes"]).checkpoint(eager=True)
+
+    @cache
+    def with_clients() -> DataFrame:
+        return heads().join(matched().select(F.col("key").alias("id_carrito"), "id_cliente"), "id_carrito", "left")
+
+    @cache
+    def custom() -> DataFrame:  # lines that become products
+        rows = carts.filter(F.col("id_producto").isNull() | (F.col("id_producto") == 0)).join(heads().select("id_carrito"), "id_carrito", "left_semi")
+        return dense_ids(rows.select("id_carrito", "id_detalle"), ["id_carrito", "id_detalle"],
+                         next_id_base(ctx["productos"], "id_producto"), "_custom_id")
+
+    @cache
+    def lines() -> DataFrame:
+        rows = carts.join(heads().select("id_carrito", "id_pedido", "id_venta"), "id_carrito").join(custom(), ["id_carrito", "id_detalle"], "left")
+        return rows.select(
+            "id_pedido", "id_venta", "id_detalle", F.coalesce("_custom_id", "id_producto").alias("id_producto"),
+            F.greatest(F.lit(1), F.coalesce("cantidad", F.lit(1))).alias("cantidad"),
+            F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
+
+    def orders() -> DataFrame:
+        state = ctx["estados_pedido"].filter(F.col("nombre") == PENDING_STATE).select(F.min("id_estado")).scalar()
+        return with_clients().select("id_pedido", "id_cliente", F.coalesce(state, F.lit(1)).cast("long").alias("id_estado"), "total")
+
+    def shipments() -> DataFrame:
+        return heads().select("id_carrito", "id_pedido").join(form(), "id_carrito", "inner").select(
+            "id_pedido", F.col("direccion").alias("direccion_envio"),
+            text.shipping_label("tipo_envio", "empresa_envio").alias("empresa_envio"), F.lit("").alias("numero_guia"),
+            F.lit("Pendiente").alias("estado_envio"), F.lit(as_of).cast("timestamp_ntz").alias("fecha_envio"),
+            "metodo_pago", F.coalesce("referencia", F.lit("")).alias("referencia_pago"), "tipo_envio")
+
+    def products() -> DataFrame:
+        price = F.lit(CUSTOM_PRICE).cast(DEC)
+        return custom().select(
+            F.col("_custom_id").alias("id_producto"),
+            F.concat(F.lit(f"{CUSTOM_NAME} - "), F.col("_custom_id").cast("string")).alias("nombre"),
+            F.lit(CUSTOM_TEXT).alias("descripcion"), price.alias("costo"), price.alias("precio_venta"),
+            _custom_category(ctx)[0].alias("id_categoria"), F.lit(1).alias("activo"))
+
+    def summary() -> DataFrame:
+        return with_clients().select("id_carrito", "id_pedido", "id_venta", "id_cliente", "lineas",
+                                     to_money("subtotal").alias("subtotal"), to_money("impuesto").alias("impuesto"),
+                                     to_money("total").alias("total"))
+
+    return Frames(
+        orders=orders, order_lines=lambda: lines().drop("id_venta"), shipments=shipments,
+        sales=lambda: with_clients().select("id_venta", "id_cliente", "total"), sale_lines=lambda: lines().drop("id_pedido"),
+        invoices=lambda: _invoices(heads()), clients=lambda: client_writes(incoming(), matched(), ctx["clientes"]),
+        products=products, categories=lambda: _custom_category(ctx)[1], summary=summary,
+        rejected=lambda: carts.select("id_carrito").distinct().join(heads().select("id_carrito"), "id_carrito", "left_anti"))
 
 
 def _invoices(heads: DataFrame) -> DataFrame:
@@ -554,26 +584,42 @@ def _counter_rejections(carts: DataFrame, inventory: DataFrame) -> DataFrame:
     return refused_in_order(wants.join(stock, "item", "left")).select(F.col("order").alias("id_carrito")).checkpoint(eager=True)
 
 
-def physical_sales(ctx, carts: DataFrame, vat: Column | None = None) -> dict[str, DataFrame]:
+def physical_sales(ctx, carts: DataFrame, vat: Column | None = None) -> Frames:
     """Counter sale per cart, served in cart order: sale, lines, invoice
     and stock reduced at once (clamped at 0). A cart with a line that needs
     more than earlier sales left is refused as a whole. Lines are checked one
     by one, so two lines of one cart may take a product to 0 together.
 
-    Frames: summary (one sale per row), sale_lines, invoices, stock, rejected."""
+    Frames: summary (one sale per row), sale_lines, invoices, stock, rejected;
+    the rejections and the sale numbers are made once, for the frames that need them."""
     from vitrina.operators.sales import current_vat
     ensure_checkpoint_dir(carts.sparkSession)
     rate = current_vat(ctx) if vat is None else vat
-    bad = _counter_rejections(carts, ctx["inventario"])
-    good = carts.join(bad, "id_carrito", "left_anti")
-    heads = _cart_headers(good, rate)
-    heads = dense_ids(heads, ["id_carrito"], next_id_base(ctx["ventas"], "id_venta"), "id_venta")
-    used = good.filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).select(
-        "id_producto", F.greatest(F.lit(0), F.coalesce("cantidad", F.lit(1))).alias("cantidad"))
-    stock = _clamped_deduction(ctx["inventario"], used)
-    lines = good.join(heads.select("id_carrito", "id_venta"), "id_carrito").select(
-        "id_venta", "id_detalle", "id_producto", F.coalesce("cantidad", F.lit(1)).alias("cantidad"),
-        F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
-    summary = heads.select("id_carrito", "id_venta", "lineas", to_money("subtotal").alias("subtotal"),
-                           to_money("impuesto").alias("impuesto"), to_money("total").alias("total"))
-    return {"summary": summary, "sale_lines": lines, "invoices": _invoices(heads), "stock": stock, "rejected": bad}
+
+    @cache
+    def bad() -> DataFrame:
+        return _counter_rejections(carts, ctx["inventario"])
+
+    @cache
+    def good() -> DataFrame:
+        return carts.join(bad(), "id_carrito", "left_anti")
+
+    @cache
+    def heads() -> DataFrame:
+        return dense_ids(_cart_headers(good(), rate), ["id_carrito"], next_id_base(ctx["ventas"], "id_venta"), "id_venta")
+
+    def stock() -> DataFrame:
+        used = good().filter(F.col("id_producto").isNotNull() & (F.col("id_producto") != 0)).select(
+            "id_producto", F.greatest(F.lit(0), F.coalesce("cantidad", F.lit(1))).alias("cantidad"))
+        return _clamped_deduction(ctx["inventario"], used)
+
+    def sale_lines() -> DataFrame:
+        return good().join(heads().select("id_carrito", "id_venta"), "id_carrito").select(
+            "id_venta", "id_detalle", "id_producto", F.coalesce("cantidad", F.lit(1)).alias("cantidad"),
+            F.coalesce("precio_unitario", F.lit(0).cast(DEC)).alias("precio_unitario"))
+
+    def summary() -> DataFrame:
+        return heads().select("id_carrito", "id_venta", "lineas", to_money("subtotal").alias("subtotal"),
+                              to_money("impuesto").alias("impuesto"), to_money("total").alias("total"))
+
+    return Frames(summary=summary, sale_lines=sale_lines, invoices=lambda: _invoices(heads()), stock=stock, rejected=bad)
