@@ -274,11 +274,27 @@ def test_alignment_edge_cases(spark, odd_docs, monkeypatch):
     assert token_align.link_scores(token_align.align_tokens(odd_docs.limit(0), BYTE_BPE, PIECE_BPE), *sizes).count() == 0
 
 
-def test_words_of_pieces_stand_alone():
-    whole = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
-    texts = [t for t in ODD_TEXTS + random_texts(800) + ["  a  b ", "\n x", " ", "a " * 40] if t]
-    for text, ids in zip(texts, token_align.PieceTokens(PIECE_BPE).encode(texts)):
-        assert ids.tolist() == whole.encode(text)
+def test_stretches_stand_alone_on_both_sides(monkeypatch):
+    """Ids put together from stretches, remembered or not, are those of the whole text."""
+    monkeypatch.setattr(token_align, "KNOWN_STRETCHES", 60)
+    piece = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    byte = Tokenizer.from_file(BYTE_BPE)
+    byte.encode_special_tokens = True
+    entry = token_align.pieces_at(PIECE_BPE).entry
+    texts = [t for t in ODD_TEXTS + random_texts(800) if t] + [
+        "  a  b ", "\n x", " ", "   ", "a " * 40, "a\n\n  b", "x\t y\x1c z\x85 w\xa0 v", "fi \ufb01 \uff21 ok", "end\n", "\u0378 a \U0001fae9 b", ""]
+    both = token_align.StretchTokens(BYTE_BPE, PIECE_BPE)
+    empty = 0
+    for lo in range(0, len(texts), 7):
+        some = texts[lo : lo + 7]
+        for text, a, b in zip(some, *both.encode(some)):
+            whole = piece.encode(text)
+            if not text or b"".join(entry[i] for i in whole) != (" " + text).encode():
+                assert len(a) == len(b) == 0
+                empty += 1
+            else:
+                assert b.tolist() == whole and a.tolist() == byte.encode(" " + text, add_special_tokens=False).ids
+    assert 0 < empty < len(texts)
 
 
 def test_lanes_of_any_length_give_the_same_links():

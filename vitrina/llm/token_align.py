@@ -16,6 +16,7 @@ and each block looks its own links up.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -29,23 +30,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from vitrina.llm.bpe_index import blocks, encoder_at
+from vitrina.llm.bpe_index import UNSETTLED, blocks, encoder_at
 from vitrina.llm.shared import written
 
 BLOCK_BYTES = 1_500_000  # of text aligned at once; a longer text is a block of its own
+ENCODE_BYTES = 6_000_000  # of text encoded at once: a merge rank costs about the same for few words as for many
 LANE_BYTES = 1_024
 
-
-KNOWN_WORDS = 200_000  # of B that a worker remembers between blocks
-SPACED = re.compile(" +[^ ]*")
+KNOWN_STRETCHES = 200_000  # that a worker remembers between blocks
+KNOWN_LENGTH = 64  # characters; longer stretches are encoded again in every block
+# From a blank after a visible character to the next such place. White space is
+# what Python calls so, which includes what either tokenizer does.
+STRETCH = re.compile(r"\s++\S*+(?:[^\S ]\s*+\S*+)*+")
 
 
 class PieceTokens:
     """Ids and bytes of a sentencepiece BPE model's tokens.
 
     No piece of the model may hold a space after another character (checked), so
-    merges never pass from a word into the blanks behind it, and a text's ids are
-    those of its stretches of blanks with the word after them, in a row.
+    merges never pass from a word into the blanks behind it.
     """
 
     def __init__(self, path: str):
@@ -58,19 +61,13 @@ class PieceTokens:
             raise ValueError(f"{path}: not a model whose words stand alone")
         self.entry = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.entry_length = np.array([len(e) for e in self.entry], np.int64)
-        self.blank = {" ": array("I", [self.model.piece_to_id("▁")]).tobytes()}  # the model gives an empty text no ids
-        self.known: dict[str, bytes] = dict(self.blank)
+        self.blank = self.model.piece_to_id("▁")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [SPACED.findall(" " + t) if t else [] for t in texts]
-        used = set().union(*parts)
-        new = list(used.difference(self.known))
-        if len(self.known) + len(new) > KNOWN_WORDS:  # what this block uses stays
-            self.known = {w: ids for w, ids in self.known.items() if w in used} | self.blank
-        # the model puts one blank before every text itself
-        self.known |= {w: array("I", ids).tobytes() for w, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1) if new else [])}
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, row)), "<u4").astype(np.int64) for row in parts]
+    def encode(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of stretches that begin with a blank; the model puts one before every
+        text itself, but gives an empty text no ids."""
+        ids = self.model.encode([w[1:] for w in stretches], num_threads=1) if stretches else []
+        return [[self.blank] if w == " " else i for w, i in zip(stretches, ids)]
 
 
 @functools.cache
@@ -78,6 +75,67 @@ def pieces_at(path: str) -> PieceTokens:
     return PieceTokens(path)
 
 
+class StretchTokens:
+    """A and B ids of texts by their stretches, each encoded once while it is known.
+
+    No token of A or B passes from a visible character into a blank, and A's word
+    pattern never looks further than the end of a run of white space. So the ids
+    of space + text are, on both sides, those of its stretches in a row.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.one, self.two = encoder_at(path_a, False), pieces_at(path_b)
+        self.a: dict[str, bytes] = {}
+        self.b: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # stretches that B does not give back
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A ids and B ids of each text; none on either side where B's bytes are
+        not those of space + text (a byte-level vocabulary has all bytes, so A
+        gives every text back)."""
+        parts = [STRETCH.findall(" " + t) if t else [] for t in texts]
+        used = set().union(*parts)
+        new = list(used.difference(self.a))
+        if len(self.a) + len(new) > KNOWN_STRETCHES:  # what this block uses stays
+            self.a, self.b = ({w: ids for w, ids in side.items() if w in used} for side in (self.a, self.b))
+            self.odd &= used
+        self.a |= self._a_ids(new)
+        ids_b = self.two.encode(new)
+        self.b |= zip(new, (array("I", ids).tobytes() for ids in ids_b))
+        entry = self.two.entry.__getitem__
+        if b"".join(map(entry, itertools.chain.from_iterable(ids_b))) != "".join(new).encode():
+            self.odd.update(w for w, ids in zip(new, ids_b) if b"".join(map(entry, ids)) != w.encode())
+        rows = [[np.frombuffer(b"".join(map(side.__getitem__, row)), "<u4") for row in parts] for side in (self.a, self.b)]
+        nothing = np.zeros(0, "<u4")
+        for k, row in enumerate(parts):
+            if self.odd and not self.odd.isdisjoint(row) and b"".join([self.two.entry[i] for i in rows[1][k].tolist()]) != (" " + texts[k]).encode():
+                rows[0][k] = rows[1][k] = nothing
+        for w in new:
+            if len(w) > KNOWN_LENGTH:
+                del self.a[w], self.b[w]
+                self.odd.discard(w)
+        return rows[0], rows[1]
+
+
+    def _a_ids(self, new: list[str]) -> dict[str, bytes]:
+        """A ids of stretches: as one text where each ends visibly, cut at their lengths in bytes."""
+        open_end = [w for w in new if w[-1].isspace() or UNSETTLED.search(w)]
+        out = dict(zip(open_end, self.one.encode(open_end)))
+        closed = [w for w in new if w not in out]
+        for group in ([w for w in closed if w.isascii()], [w for w in closed if not w.isascii()]):
+            ids = self.one.encode(["".join(group)])[0]
+            ends = np.cumsum(self.one.entry_length[np.frombuffer(ids, "<u4")])
+            at = (4 * np.searchsorted(ends, np.cumsum([len(w.encode()) for w in group]), "right")).tolist()
+            out |= {w: ids[x:y] for w, x, y in zip(group, [0, *at], at)}
+        return out
+
+
+@functools.cache
+def stretches_at(path_a: str, path_b: str) -> StretchTokens:
+    """One for all tasks of a worker, so that its stretches stay known."""
+    return StretchTokens(path_a, path_b)
+
+
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, lane_bytes: int = LANE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Steps (a, b, cut) over two ascending lists of token ends of the same
     bytes: the numbers of the tokens linked at the step, by lane, and where both
@@ -173,19 +231,11 @@ class Block:
         return np.unique(held % self.key_span, return_counts=True)
 
 
-def align_texts(texts: list[str], path_a: str, path_b: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """A ids and B ids of each text, and the booleans of ``token_groups``."""
-    one, two = encoder_at(path_a, False), pieces_at(path_b)
-    ids_a = [np.frombuffer(x, "<u4").astype(np.int64) for x in one.encode([" " + t for t in texts])]
-    ids_b = two.encode(texts)
-    nothing = np.zeros(0, np.int64)
-    for k, t in enumerate(texts):
-        data = b" " + t.encode()
-        # a byte-level vocabulary has all bytes, so A gives every text back
-        if not t or b"".join([two.entry[i] for i in ids_b[k].tolist()]) != data:
-            ids_a[k] = ids_b[k] = nothing
-    flat_a, flat_b = (np.concatenate([*ids, nothing]) for ids in (ids_a, ids_b))
-    return ids_a, ids_b, *token_groups(np.cumsum(one.entry_length[flat_a]), np.cumsum(two.entry_length[flat_b]))
+def align_ids(ids_a: list[np.ndarray], ids_b: list[np.ndarray], path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    """The booleans of ``token_groups`` for texts given by their A ids and B ids."""
+    both = stretches_at(path_a, path_b)
+    flat_a, flat_b = (np.concatenate([*ids, np.zeros(0, "<u4")]) for ids in (ids_a, ids_b))
+    return token_groups(np.cumsum(both.one.entry_length[flat_a]), np.cumsum(both.two.entry_length[flat_b]))
 
 
 def _aligned(path_a: str, path_b: str, out: pa.Schema):
@@ -193,17 +243,21 @@ def _aligned(path_a: str, path_b: str, out: pa.Schema):
         size_a, size_b = encoder_at(path_a, False).size, pieces_at(path_b).size
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo, hi in blocks(batch.column("t"), BLOCK_BYTES):
-                ids_a, ids_b, cut_a, cut_b = align_texts(batch.column("t").slice(lo, hi - lo).to_pylist(), path_a, path_b)
-                kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, size_b).pairs()
-                bits = [[np.packbits(c).tobytes() for c in np.split(cut, np.cumsum([len(x) for x in ids])[:-1])] for cut, ids in ((cut_a, ids_a), (cut_b, ids_b))]
-                rest = [None] * (hi - lo - 1)
-                ids = [[stored_ids(x, size) for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
-                columns = [[number] * (hi - lo), *ids, *bits,
-                           [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<u4").tobytes(), *rest]]
-                arrays = [batch.column("id").slice(lo, hi - lo), *(pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
-                number += 1
+            for start, end in blocks(batch.column("t"), ENCODE_BYTES):
+                texts = batch.column("t").slice(start, end - start)
+                all_a, all_b = stretches_at(path_a, path_b).encode(texts.to_pylist())
+                for lo, hi in blocks(texts, BLOCK_BYTES):
+                    ids_a, ids_b = all_a[lo:hi], all_b[lo:hi]
+                    cut_a, cut_b = align_ids(ids_a, ids_b, path_a, path_b)
+                    kinds, docs = Block(ids_a, ids_b, cut_a, cut_b, size_b).pairs()
+                    bits = [[np.packbits(c).tobytes() for c in np.split(cut, np.cumsum([len(x) for x in ids])[:-1])] for cut, ids in ((cut_a, ids_a), (cut_b, ids_b))]
+                    rest = [None] * (hi - lo - 1)
+                    ids = [[stored_ids(x, size) for x in side] for side, size in ((ids_a, size_a), (ids_b, size_b))]
+                    columns = [[number] * (hi - lo), *ids, *bits,
+                               [kinds.astype("<i8").tobytes(), *rest], [docs.astype("<u4").tobytes(), *rest]]
+                    arrays = [batch.column("id").slice(start + lo, hi - lo), *(pa.array(c, out.field(i + 1).type) for i, c in enumerate(columns))]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=out)
+                    number += 1
 
     return run
 
