@@ -258,6 +258,22 @@ def test_pii_query_and_edge_cases(spark, small_docs, odd_docs, no_docs):
     assert pii.find_pii(odd_docs).count() == 13 and pii.find_pii(no_docs).count() == 0
 
 
+def test_pii_counts_and_ids_of_mixed_rows(spark, tmp_path):
+    """Each kind has its own count, and large ids beside NULL ids stay exact."""
+    texts = [None, "", "mail a@b.co", "two x@y.z, a@b.co at 10.0.0.1", "ring +1 (555) 123-4567", "4111 1111 1111 1111 from 1.2.3.4 and 999.1.1.1",
+             "1.1.1.1 2.2.2.2 3.3.3.3", "+1 555 123 4567 a@b.co 4111111111111111 8.8.8.8"]
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**60) - 1, 2**62 + 1, 7, 7, None]
+    rows = list(zip(ids, texts))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in rows:
+        base = plain_base_spans(t or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        want.append((d, *(sum(x[0] == k for x in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest()))
+    got = [tuple(r)[:6] for r in queries.op3_pii(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_long_runs_take_linear_time():
     """A megabyte of digits, letters, dotted numbers or spans within seconds."""
     import time

@@ -171,7 +171,7 @@ MAYBE = re.compile(r"[0-9@+]|\(at\)|\[at\]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra
 def _candidate_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found = [candidates(t) if MAYBE.search(t) else [] for t in frame["t"]]
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "spans": [[dict(zip(("kind", "s", "e", "votes", "cell", "base"), x)) for x in xs] for xs in found]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": [[dict(zip(("kind", "s", "e", "votes", "cell", "base"), x)) for x in xs] for xs in found]})
 
 
 def estimate_reliabilities(votes: np.ndarray, kind: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -227,9 +227,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     its cell at least ``threshold``. NULL and empty texts have no spans; repeated
     rows and NULL ids each keep their row; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    # the ids pass pandas as text: beside a NULL it would make them doubles
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     span = "array<struct<kind: int, s: long, e: long, votes: int, cell: int, base: boolean>>"
-    rows = written(src.mapInPandas(_candidate_rows, f"doc_id long, spans {span}"), "pii_spans")
+    found = src.mapInPandas(_candidate_rows, f"doc_id string, spans {span}")
+    rows = written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "spans"), "pii_spans")
     x = F.explode("spans").alias("x")
     table = rows.select(x).groupBy("x.votes", "x.cell").agg(F.count("*").alias("n")).orderBy("votes", "cell").collect()  # bounded by the cells
     accepted: list[int] = []

@@ -38,8 +38,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["s"], s["e"])), ",")
 
+    def of_kind(spans, kind):  # a lambda of two parameters would get the span's place as the second
+        return F.filter(spans, lambda s: s["kind"] == kind)
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)]
+    counts = [F.size(of_kind(base, k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)]
     return rows.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
