@@ -147,3 +147,20 @@ def test_constraints_of_a_table_share_one_pass(spark):
     plan = final_plan(checks.constraint_violations(ctx, [r for r in rules if r[1] == "unique"]))
     assert plan.count("Generate explode") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert checks.constraint_violations({k: v.limit(0) for k, v in ctx.items()}, rules).count() == 0
+
+
+def test_constraints_hold_each_key_once(spark):
+    """Rules on the same columns share a key, referenced keys need no join, and
+    each table's aggregate has a stage of its own."""
+    from plan_text import final_plan
+    from vitrina.operators import checks
+    rules = [("t", "unique", "k", None, None), ("t", "foreign", "k", "ref", "id"), ("t", "foreign", "k", "other", "id"), ("t", "not_null", "k", None, None),
+             ("u", "foreign", "k", "ref", "id"), ("u", "not_null", "k", None, None)]
+    long = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} long")
+    ctx = {"t": long("k", 1, 1, 2, 3, 4, 4, 4, None), "u": long("k", 2, 0, 0), "ref": long("id", 1, 2, 2, 2, None, 9), "other": long("id", 4, 3, 3, 1)}
+    found = checks.constraint_violations(ctx, rules)
+    assert sorted(tuple(r) for r in found.fillna({"clave": "NULL"}).collect()) == [
+        ("t", "foreign", "k", "2", 1), ("t", "foreign", "k", "3", 1), ("t", "foreign", "k", "4", 3),
+        ("t", "not_null", "k", "NULL", 1), ("t", "unique", "k", "1", 2), ("t", "unique", "k", "4", 3), ("u", "foreign", "k", "0", 2)]
+    plan = final_plan(found)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("REBALANCE") == 2

@@ -73,40 +73,44 @@ def _key_columns(t: DataFrame, cols: list[str], shape: list[tuple[int, bool]]) -
 
 def _table_violations(ctx, table: str, rules: list[tuple]) -> DataFrame:
     """All rules of one table from one scan and one aggregate: every row is
-    expanded to one (rule, key) per rule it can break, and the distinct foreign
-    keys of all rules are probed together."""
+    expanded to one (place, key) per key the rules look at, rules on the same
+    columns sharing it, and the referenced keys join the same aggregate as rows
+    that count nothing and set their rule's bit in ``known``. A task holds each
+    key once, in the aggregate alone: no join sorts or builds it again."""
     t = ctx[table]
-    keyed = [(n, kind, [col] if isinstance(col, str) else list(col), ref, ref_col) for n, (_, kind, col, ref, ref_col) in enumerate(rules)]
-    kinds_at = {(at, isinstance(t.schema[c].dataType, IntegralType)) for _, kind, cols, _, _ in keyed if kind != "not_null" for at, c in enumerate(cols)}
-    shape = sorted(kinds_at)
-    keys = [f"{'n' if whole else 's'}{at}" for at, whole in shape]
+    keyed = [(kind, [col] if isinstance(col, str) else list(col), ref, ref_col) for _, kind, col, ref, ref_col in rules]
+    whole = {c: isinstance(t.schema[c].dataType, IntegralType) for _, cols, _, _ in keyed for c in cols}
+    shape = sorted({(at, whole[c]) for kind, cols, _, _ in keyed if kind != "not_null" for at, c in enumerate(cols)})
+    keys = [f"{'n' if is_whole else 's'}{at}" for at, is_whole in shape]
+    places = list(dict.fromkeys((kind == "not_null", tuple(cols)) for kind, cols, _, _ in keyed))
+
+    def entry(source: DataFrame, place: int, cols: list[str], known: int) -> list[Column]:
+        return [F.lit(place).alias("place"), *_key_columns(source, cols, shape), F.lit(known).cast("long").alias("known")]
+
     entries = []
-    for n, kind, cols, _, _ in keyed:
+    for n, (for_nulls, cols) in enumerate(places):
         null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        if kind == "not_null":
-            entries.append(F.when(null, F.struct(F.lit(n).alias("rule"), *_key_columns(t, [], shape))))
+        entries.append(F.when(null if for_nulls else ~null, F.struct(*entry(t, n, [] if for_nulls else list(cols), 0))))
+    rows = t.select(F.explode(F.array_compact(F.array(*entries))).alias("x")).select("x.*", F.lit(1).cast("long").alias("filas"))
+    broken = []
+    for n, (kind, cols, ref, ref_col) in enumerate(keyed):
+        place = places.index((kind == "not_null", tuple(cols)))
+        bad, key = F.lit(True), F.concat_ws("|", *[F.col(f"{'n' if whole[c] else 's'}{at}").cast("string") for at, c in enumerate(cols)])
+        if kind == "unique":
+            bad = F.col("filas") > 1
+        elif kind == "foreign":
+            known = ctx[ref].filter(F.col(ref_col).isNotNull())
+            rows = rows.unionByName(known.select(*entry(ctx[ref], place, [ref_col], 1 << n), F.lit(0).cast("long").alias("filas")))
+            bad = F.col("known").bitwiseAND(F.lit(1 << n).cast("long")) == 0
         else:
-            entries.append(F.when(~null, F.struct(F.lit(n).alias("rule"), *_key_columns(t, cols, shape))))
-    rows = t.select(F.explode(F.array_compact(F.array(*entries))).alias("x")).select("x.*")
-    counts = rows.groupBy("rule", *keys).agg(F.count(F.lit(1)).alias("filas"))
-    foreign = [n for n, kind, *_ in keyed if kind == "foreign"]
-    unique = [n for n, kind, *_ in keyed if kind == "unique"]
-    bad = counts.filter(~F.col("rule").isin(foreign) & (~F.col("rule").isin(unique) | (F.col("filas") > 1)))
-    if foreign:
-        known = [ctx[ref].filter(F.col(ref_col).isNotNull()).select(F.lit(n).alias("rule"), *_key_columns(ctx[ref], [ref_col], shape))
-                 for n, kind, _, ref, ref_col in keyed if kind == "foreign"]
-        bad = bad.unionByName(counts.filter(F.col("rule").isin(foreign)).join(reduce(DataFrame.unionByName, known), ["rule", *keys], "left_anti"))
-    parts = []
-    for at, whole in shape:
-        mine = [n for n, kind, cols, _, _ in keyed if kind != "not_null" and at < len(cols) and whole == isinstance(t.schema[cols[at]].dataType, IntegralType)]
-        parts.append(F.when(F.col("rule").isin(mine), F.col(f"{'n' if whole else 's'}{at}").cast("string")))
-
-    def of_rule(values: list[str]) -> Column:
-        return F.get(F.array(*map(F.lit, values)), F.col("rule"))
-
-    kinds = of_rule([kind for _, kind, *_ in keyed])
-    return bad.select(F.lit(table).alias("tabla"), kinds.alias("regla"), of_rule([",".join(cols) for _, _, cols, _, _ in keyed]).alias("columna"),
-                      F.when(kinds != "not_null", F.concat_ws("|", *parts)).alias("clave"), "filas")
+            key = F.lit(None).cast("string")
+        found = F.struct(F.lit(table).alias("tabla"), F.lit(kind).alias("regla"), F.lit(",".join(cols)).alias("columna"), key.alias("clave"), F.col("filas").alias("filas"))
+        broken.append(F.when((F.col("place") == place) & bad, found))
+    counts = rows.groupBy("place", *keys).agg(F.sum("filas").alias("filas"), F.bit_or("known").alias("known"))
+    found = counts.filter("filas > 0").select(F.inline(F.array_compact(F.array(*broken))))
+    # a stage of its own for each table: under one union adaptive execution
+    # would share the cores out among the tables, with few, large tasks for each
+    return found.hint("rebalance")
 
 
 def constraint_violations(ctx, rules=RULES) -> DataFrame:
