@@ -400,6 +400,30 @@ def test_class_lm_edge_cases(odd_docs, no_docs):
     assert class_lm.score_texts(no_docs).count() == 0
 
 
+def test_class_lm_numbers_match_the_words(spark):
+    rows = [(1, "B a  rare\tA end"), (2, ""), (None, "rare other rare"), (1, "a"), (3, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, t string").coalesce(1)
+    got = [tuple(r) for r in class_lm.numbered(docs, [b"a", b"b"]).collect()]
+    place, hashed = {"a": 0, "b": 1}, class_lm.word_hash
+    for (d, t), (doc_id, numbers, rare) in zip(rows, got, strict=True):
+        w = t.lower().split()
+        assert doc_id == d
+        assert np.frombuffer(numbers, np.int32).tolist() == [*(place.get(x, -1 - class_lm.suffix_unit(x.encode())) for x in w), class_lm.HEAD]
+        assert np.frombuffer(rare, np.uint64).tolist() == [hashed(x.encode()) for x in w if x not in place]
+
+
+def test_class_lm_cuts_texts_only_for_the_head_and_the_numbers(odd_docs, monkeypatch):
+    from_texts = []
+    for name in ("mapInPandas", "mapInArrow"):
+        def recorded(self, *args, run=getattr(type(odd_docs), name), **kwargs):
+            from_texts.append("t" in self.columns)
+            return run(self, *args, **kwargs)
+
+        monkeypatch.setattr(type(odd_docs), name, recorded)
+    assert class_lm.score_texts(odd_docs).count() == 13
+    assert sum(from_texts) == 2
+
+
 def test_exchange_separates_alternating_words():
     rng = np.random.default_rng(6)
     pairs = np.zeros((33, 33))

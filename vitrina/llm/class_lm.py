@@ -11,19 +11,22 @@ information. A text's probability is
 
 each smoothed. A bounded head of frequent words is broadcast with classes and
 counts; all other words are looked up by a shuffle on their hash, so no
-vocabulary has to fit anywhere and what is learned grows with the corpus.
+vocabulary has to fit anywhere and what is learned grows with the corpus. With
+the head known, texts are written as numbers, which all later steps read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,49 +84,68 @@ def _head_candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(keep, columns=["word", "n"])
 
 
-class Head(dict):
-    """Word to its place in the head; -1 for any other word."""
+def _numbers(texts, place_of: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """All texts in a row, each with a closing end: of every token its place in
+    the head (HEAD: end, below 0: -1 - unit of a rare word), token counts of the
+    texts, the rare words in order and their counts."""
+    words, ends = [], []
+    for t in texts:
+        words += tokens(t)
+        words.append(b"")
+        ends.append(len(words))
+    place = np.fromiter(map(place_of.get, words, repeat(-1)), np.int32, len(words))
+    at = np.flatnonzero(place < 0)
+    rare = [words[i] for i in at.tolist()]
+    place[at] = np.fromiter((-1 - suffix_unit(w) for w in rare), np.int32, len(rare))
+    return place, np.diff(ends, prepend=0), rare, np.diff(np.searchsorted(at, ends), prepend=0)
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A column of bytes whose rows are the next ``counts`` values each."""
+    ends = np.append(0, np.cumsum(counts) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(values)])
 
-def _numbers(texts, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """All texts in a row, each with a closing end: place in the head (-1: rare
-    word, HEAD: end) and unit of every token, token counts, and the rare words
-    in order."""
-    place, unit_of_rare, rare, counts = [], [], [], []
-    get = head.__getitem__
-    for t in texts:
-        words = tokens(t)
-        ids = list(map(get, words))
-        if -1 in ids:
-            new = [w for w, i in zip(words, ids) if i < 0]
-            rare += new
-            unit_of_rare += [suffix_unit(w) for w in new]
-        ids.append(HEAD)
-        place += ids
-        counts.append(len(ids))
-    return np.array(place, np.int64), np.array(unit_of_rare, np.int64), np.array(counts, np.int64), rare
-
-
-def _units(place: np.ndarray, rare_units: np.ndarray, head_unit: np.ndarray) -> np.ndarray:
-    unit = head_unit[np.minimum(place, len(head_unit) - 1)]
-    unit[place == HEAD] = END
-    unit[place < 0] = rare_units
+
+def _values(column: Iterable[bytes], dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype)
+
+
+def numbered(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """``texts`` (column ``t``) with every text in numbers, so that it is cut into
+    words once: ``place`` has an int32 for each token as in ``_numbers``, ``rare``
+    the 64-bit hashes of its rare words. All other columns stay."""
+    others = [c for c in texts.columns if c != "t"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place_of = {w: i for i, w in enumerate(words)} | {b"": HEAD}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                part = whole.slice(lo, 2000)
+                place, counts, rare, rare_counts = _numbers(part.column("t").to_pylist(), place_of)
+                yield pa.RecordBatch.from_arrays([*map(part.column, others), _binary(place, counts), _binary(_hashes(rare), rare_counts)], [*others, "place", "rare"])
+
+    schema = texts.select(*others).schema.add("place", "binary").add("rare", "binary")
+    return written(texts.mapInArrow(run, schema), "lm_tokens", compression="zstd")
+
+
+def _units(head_unit: np.ndarray) -> np.ndarray:
+    """Unit of every place; places below 0 count from the back."""
+    unit = np.zeros(HEAD + 1 + UNITS, np.int64)
+    unit[: len(head_unit)] = head_unit
+    unit[HEAD] = END
+    unit[HEAD + 1 :] = np.arange(UNITS)[::-1]
     return unit
 
 
-def _unit_pairs(words: list[bytes], head_unit: np.ndarray):
+def _unit_pairs(head_unit: np.ndarray):
     """Bigram counts of a task: (a * UNITS + b, n). An end also opens the next text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = Head((w, i) for i, w in enumerate(words))
+        unit_of = _units(head_unit)
         pairs = np.zeros(UNITS * UNITS, np.int64)
         for whole in frames:
             for lo in range(0, len(whole), 2000):
-                place, rare_units, _, _ = _numbers(whole["t"].iloc[lo : lo + 2000], head)
-                unit = _units(place, rare_units, head_unit)
+                unit = unit_of[_values(whole["place"].iloc[lo : lo + 2000], np.int32)]
                 before = np.concatenate([[END], unit[:-1]])
                 pairs += np.bincount(before * UNITS + unit, minlength=UNITS * UNITS)
         at = np.flatnonzero(pairs)
@@ -143,7 +165,7 @@ def _neighbours(words: list[bytes], head_unit: np.ndarray, unit_class: np.ndarra
     word of no bytes and has no context after it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = Head((w, i) for i, w in enumerate(words))
+        ctx_of = unit_class[_units(head_unit)]
         known_hash = np.append(_hashes(words), np.zeros(HEAD - len(words), np.int64))
         known_hash = np.append(known_hash, _hashes([b""]))
         known_seed = np.full(HEAD + 1, unit_class[END])
@@ -152,19 +174,20 @@ def _neighbours(words: list[bytes], head_unit: np.ndarray, unit_class: np.ndarra
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for whole in frames:
             for lo in range(0, len(whole), 2000):
-                place, rare_units, _, rare = _numbers(whole["t"].iloc[lo : lo + 2000], head)
+                place = _values(whole["place"].iloc[lo : lo + 2000], np.int32)
+                rare = _values(whole["rare"].iloc[lo : lo + 2000], np.int64)
                 if not len(place):
                     continue
-                ctx = unit_class[_units(place, rare_units, head_unit)]
+                ctx = ctx_of[place]
                 before = np.concatenate([[unit_class[END]], ctx[:-1]])
                 after = CLASSES + np.append(ctx[1:], 0)
                 at = place >= 0
-                np.add.at(dense, place[at] * SIDES + before[at], 1)
+                np.add.at(dense, place[at] * SIDES + before[at], np.int32(1))  # of the same type: add.at is many times slower otherwise
                 at &= place != HEAD
-                np.add.at(dense, place[at] * SIDES + after[at], 1)
-                if rare:
+                np.add.at(dense, place[at] * SIDES + after[at], np.int32(1))
+                if len(rare):
                     at = place < 0
-                    held.append((_hashes(rare), ctx[at], np.stack([before[at], after[at]], 1)))
+                    held.append((rare, ctx[at], np.stack([before[at], after[at]], 1)))
                 if sum(len(h) for h, _, _ in held) > RARE_TOKENS:
                     yield _rare_rows(held)
                     held = []
@@ -333,18 +356,28 @@ class ClassModel:
     rare: DataFrame  # (hash, cls, n)
 
 
-def fit_class_model(texts: DataFrame) -> ClassModel:
-    """Learn from all rows of ``texts`` (column ``t``)."""
+def head_words(texts: DataFrame) -> list[bytes]:
+    """The most frequent words of ``texts`` (column ``t``), at most HEAD."""
     top = (texts.mapInPandas(_head_candidates, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "word").limit(HEAD).select("word").toArrow())
-    words = top["word"].to_pylist()
+    return top["word"].to_pylist()
+
+
+def fit_class_model(texts: DataFrame) -> ClassModel:
+    """Learn from all rows of ``texts`` (column ``t``)."""
+    words = head_words(texts)
+    return _fit(numbered(texts.select("t"), words), words)
+
+
+def _fit(numbers: DataFrame, words: list[bytes]) -> ClassModel:
+    numbers = numbers.select("place", "rare")
     head_unit = np.array([i if i < WORD_UNITS else suffix_unit(w) for i, w in enumerate(words)] or [0], np.int64)
     pairs = np.zeros(UNITS * UNITS, np.int64)
-    seen = texts.mapInPandas(_unit_pairs(words, head_unit), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most UNITS^2 cells
+    seen = numbers.select("place").mapInPandas(_unit_pairs(head_unit), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most UNITS^2 cells
     pairs[seen["a"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
     pairs = pairs.reshape(UNITS, UNITS)
     unit_class = exchange_classes(pairs.astype(float))
-    beside = texts.mapInPandas(_neighbours(words, head_unit, unit_class), "hash long, head boolean, seed int, side int, n long")
+    beside = numbers.mapInPandas(_neighbours(words, head_unit, unit_class), "hash long, head boolean, seed int, side int, n long")
     # a task holds a word's counts added up already; both aggregates use one shuffle
     beside = (beside.repartition("hash").groupBy("hash", "side").agg(F.sum("n").alias("n"), F.min("seed").alias("seed"), F.max("head").alias("head"))
               .groupBy("hash").agg(F.max("head").alias("head"), F.min("seed").alias("seed"), F.collect_list(F.struct("side", "n")).alias("c")))
@@ -384,34 +417,36 @@ def fit_class_model(texts: DataFrame) -> ClassModel:
 def _scores(m: ClassModel):
     """Per text (hash NULL): its sums over head words. Per text, rare word,
     context before it and class of its suffix: how often (tf)."""
-    words, count, head_class, head_unit, unit_class, gain = m.words, m.head_count, m.head_class, m.head_unit, m.unit_class, m.gain
+    head_class, head_unit, unit_class, gain = m.head_class, m.head_unit, m.unit_class, m.gain
+    log_count, is_known = np.log10(m.head_count + DELTA), m.head_count > 0
+    names = ["uid", "hash", "ctx", "seed", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = Head((w, i) for i, w in enumerate(words))
-        log_count = np.log10(count + DELTA)
-        for whole in frames:
-            for lo in range(0, len(whole), 2000):
-                frame = whole.iloc[lo : lo + 2000]
-                place, rare_units, counts, rare = _numbers(frame["t"], head)
-                ctx = unit_class[_units(place, rare_units, head_unit)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx_of = unit_class[_units(head_unit)]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                part = whole.slice(lo, 2000)
+                place, h = _values(part.column("place").to_pylist(), np.int32), _values(part.column("rare").to_pylist(), np.int64)
+                counts = pc.binary_length(part.column("place")).to_numpy() // place.itemsize
+                ctx = ctx_of[place]
                 before = np.concatenate([[unit_class[END]], ctx[:-1]])
-                known = np.where(place >= 0, log_count[place], 0.0)
-                score = np.where(place >= 0, gain[before, head_class[place]] + known, 0.0)
+                at = place >= 0
+                known = np.where(at, log_count[place], 0.0)
+                score = np.where(at, gain[before, head_class[place]] + known, 0.0)
                 first = np.cumsum(counts) - counts
-                yield pd.DataFrame({"uid": frame["uid"], "hash": pd.array([None] * len(frame), "Int64"), "ctx": 0, "seed": 0, "tf": 0,
-                                    "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "n_tokens": counts,
-                                    "n_known": np.add.reduceat(((place >= 0) & (count[place] > 0)).astype(np.int64), first),
-                                    "base": np.add.reduceat(known, first), "score": np.add.reduceat(score, first)})
-                at = place < 0
-                owner, cell, h = np.repeat(np.arange(len(frame)), counts)[at], before[at] * CLASSES + ctx[at], _hashes(rare)
+                none = pa.nulls(len(counts), pa.int64())
+                sums = [np.add.reduceat(x, first) for x in ((at & is_known[place]).astype(np.int64), known, score)]
+                yield pa.RecordBatch.from_arrays([part.column("uid"), none, none, none, none, part.column("doc_id"), part.column("held_out"), pa.array(counts.astype(np.int64)),
+                                                  *map(pa.array, sums)], names)
+                owner, cell = np.repeat(np.arange(len(counts)), counts)[~at], (before * CLASSES + ctx)[~at]
                 order = np.lexsort((cell, h, owner))
                 h, owner, cell = h[order], owner[order], cell[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1])
                 at = np.flatnonzero(new)
-                yield pd.DataFrame({"uid": frame["uid"].to_numpy()[owner[at]], "hash": pd.array(h[at], "Int64"), "ctx": cell[at] // CLASSES, "seed": cell[at] % CLASSES,
-                                    "tf": np.diff(np.append(at, len(h))), "doc_id": pd.array([None] * len(at), "Int64"), "held_out": False,
-                                    "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})
+                none, no_number = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())
+                rare = [part.column("uid").to_numpy()[owner[at]], h[at], cell[at] // CLASSES, cell[at] % CLASSES, np.diff(np.append(at, len(h)))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rare), none, pa.nulls(len(at), pa.bool_()), none, none, no_number, no_number], names)
 
     return run
 
@@ -429,13 +464,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = ~training_row(id_col)
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    model = fit_class_model(docs.where(~held).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")))
-    schema = "uid long, hash long, ctx int, seed int, tf int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-    rows = written(src.mapInPandas(_scores(model), schema), "lm_scores")
+    words = head_words(src.where("not held_out").select("t"))
+    numbers = numbered(src, words)
+    model = _fit(numbers.where("not held_out"), words)
+    schema = "uid long, hash long, ctx long, seed long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    rows = written(numbers.mapInArrow(_scores(model), schema), "lm_scores")
     rare = rows.where("hash is not null").select("uid", "hash", "ctx", "seed", "tf").join(model.rare, "hash", "left")
     log_c = F.log10(F.coalesce("n", F.lit(0)) + F.lit(DELTA))
     gains = F.split(F.lit(",".join(repr(float(x)) for x in model.gain.ravel())), ",").cast("array<double>")  # one constant of CLASSES^2 numbers
-    gain = F.get(gains, F.col("ctx") * CLASSES + F.coalesce("cls", "seed"))
+    gain = F.get(gains, (F.col("ctx") * CLASSES + F.coalesce("cls", "seed")).cast("int"))
     rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * log_c).alias("rare_log"), F.sum(F.col("tf") * (gain + log_c)).alias("rare_score"),
                                    F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     norm = float(np.log10(model.n_tokens + DELTA * (model.n_types + 1)))
